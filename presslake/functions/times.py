@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, functions as F
 
 from presslake.functions.text import _col
@@ -9,6 +11,11 @@ from presslake.functions.text import _col
 COMPACT = "yyyyMMdd'T'HHmmssX"
 
 
+def instant(t: dt.datetime) -> Column:
+    """A fixed time as a literal. A time without a zone is UTC, whatever zone the driver runs in."""
+    return F.lit(t if t.tzinfo else t.replace(tzinfo=dt.timezone.utc))
+
+
 def parse_time(c: Column | str) -> Column:
     """Compact feed form (`20240101T101500Z`) or ISO text to a timestamp; null when neither fits."""
     c = _col(c)

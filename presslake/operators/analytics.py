@@ -10,6 +10,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from presslake.functions.times import instant
 from presslake.operators.dedup import canonical_articles
 from presslake.operators.enrich import category_or_other, topic_or_other, with_label
 
@@ -20,7 +21,7 @@ def _rows() -> Column:
 
 def since(df: DataFrame, as_of: dt.datetime, days: int, column: str = "processed_at") -> DataFrame:
     """Rows of the last `days` before `as_of`; a plain comparison, so it reaches the scan."""
-    return df.filter(F.col(column) >= F.lit(as_of - dt.timedelta(days=days)))
+    return df.filter(F.col(column) >= instant(as_of - dt.timedelta(days=days)))
 
 
 def ai_only(df: DataFrame) -> DataFrame:

@@ -165,11 +165,12 @@ def classify_mixed(df: DataFrame, responses: DataFrame, row_id: str = "url", **r
     )
 
 
-def flatten_analysis(df: DataFrame) -> DataFrame:
+def flatten_analysis(df: DataFrame, keep: bool = False) -> DataFrame:
     """`analysis` as flat columns, with the English summary taken from its explanation."""
     a = F.col("analysis")
+    replaced = {"ai_topic_detected", "ai_topic", "ai_confidence", "ai_keywords", "summary_en"}
     return df.select(
-        *[c for c in df.columns if c not in {"ai_topic", "ai_confidence", "ai_keywords", "summary_en", "analysis"}],
+        *[c for c in df.columns if c not in replaced and (keep or c != "analysis")],
         F.coalesce(a["is_ai_topic"], F.lit(False)).alias("ai_topic_detected"),
         a["topic"].alias("ai_topic"),
         a["confidence"].alias("ai_confidence"),

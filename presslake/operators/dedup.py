@@ -46,15 +46,15 @@ def new_titles(df: DataFrame, stored: DataFrame, row_id: str = "ingest_rank",
     return anti_join(keyed, seen, KEY, [row_id]).drop(*KEY)
 
 
-def dedup_cross_run(df: DataFrame, known: DataFrame, stored: DataFrame, row_id: str = "ingest_rank",
+def dedup_cross_run(df: DataFrame, known: DataFrame | None, stored: DataFrame, row_id: str = "ingest_rank",
                     two_part_suffixes: list[str] | None = None) -> DataFrame:
     """Drop known addresses, then stored (base domain, title) keys, then keep the first row of each key.
 
-    The last two steps are one aggregate over both sides: a key survives when no stored row carries it,
+    `known=None` states that known addresses are already gone. The last two steps are one aggregate over both sides: a key survives when no stored row carries it,
     and its smallest `row_id` is the row to keep.
     """
     narrow = df.select(row_id, or_null("url").alias("url"), *_article_key("domain", "title", two_part_suffixes))
-    fresh = anti_join(narrow, known, ["url"], [row_id])
+    fresh = narrow if known is None else anti_join(narrow, known, ["url"], [row_id])
     stored_keys = stored.select(*_article_key("domain", "title", two_part_suffixes)).dropna()
     no_row = F.lit(None).cast(df.schema[row_id].dataType)
     kept = (

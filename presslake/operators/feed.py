@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from presslake import dims
 from presslake.functions.text import is_empty, or_null
-from presslake.functions.times import parse_time
+from presslake.functions.times import instant, parse_time
 from presslake.functions.urls import host_contains, host_matches, host_of, url_authority, url_host
 from presslake.operators.skew import anti_join, lookup_join
 
@@ -25,8 +25,7 @@ def feed_window(df: DataFrame, as_of: dt.datetime, hours: float = 2, compact: bo
     start = as_of - dt.timedelta(hours=hours)
     if compact:
         return df.filter(F.col("seendate").between(*(f"{t:%Y%m%dT%H%M%SZ}" for t in (start, as_of))))
-    low, high = (F.to_timestamp(F.lit(f"{t:%Y-%m-%d %H:%M:%S}+00:00")) for t in (start, as_of))
-    return df.filter(parse_time("seendate").between(low, high))
+    return df.filter(parse_time("seendate").between(instant(start), instant(as_of)))
 
 
 def feed_required(df: DataFrame) -> DataFrame:
@@ -123,7 +122,7 @@ def with_domain_category(df: DataFrame, rows: list[tuple[str, str]] = dims.DOMAI
 def article_record(df: DataFrame, downloaded_at: dt.datetime | Column,
                    categories: list[tuple[str, str]] = dims.DOMAIN_CATEGORY) -> DataFrame:
     """Feed columns (and `text` when present) in article shape; other columns are kept as they are."""
-    when = downloaded_at if isinstance(downloaded_at, Column) else F.lit(downloaded_at).cast("timestamp")
+    when = downloaded_at if isinstance(downloaded_at, Column) else instant(downloaded_at)
     consumed = {"seendate", "sourcecountry", "domain", "language", "title", "url", "text"}
     shaped = df.select(
         "url",

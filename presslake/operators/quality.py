@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presslake.functions.text import is_empty, strip
+from presslake.functions.times import instant
 from presslake.functions.urls import url_host
 
 MIN_ARTICLE_LENGTH = 700
@@ -119,7 +120,7 @@ def failure_report(failures: DataFrame, batch_start: dt.datetime | None = None,
     per_domain = failures.groupBy("domain").agg(
         F.count(F.lit(1)).alias("failures"), F.min("at").alias("first_at"), F.max("at").alias("last_at")
     )
-    start = F.lit(batch_start).cast("timestamp") if batch_start else F.min("first_at")
+    start = instant(batch_start) if batch_start else F.min("first_at")
     return per_domain.agg(
         F.count(F.lit(1)).alias("tracked_domains"),
         F.count_if(F.col("failures") >= max_failures).alias("failed_domains"),

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from presslake import dims
+from presslake.functions.times import instant
 
 
 def _period(unit: str, as_of: dt.datetime) -> tuple[dt.datetime, dt.datetime]:
@@ -58,7 +59,7 @@ def trend(df: DataFrame, unit: str, as_of: dt.datetime, lang: str = "en", years:
         labels = [f"{b:02d}:00" if unit == "hour" else str(b) for b in buckets]
     calendar = df.sparkSession.createDataFrame(list(zip(buckets, labels)), "bucket INT, label STRING")
     counts = (
-        df.filter((F.col(time) >= F.lit(start)) & (F.col(time) < F.lit(end)))
+        df.filter((F.col(time) >= instant(start)) & (F.col(time) < instant(end)))
         .groupBy(_bucket(unit, time).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -70,6 +71,6 @@ def time_rollup(df: DataFrame, units: list[str], start: dt.datetime, end: dt.dat
     """Counts per bucket over any range, with subtotals: a rollup over truncated times, largest unit first."""
     levels = [F.date_trunc(u, time).alias(u) for u in units]
     return (
-        df.filter((F.col(time) >= F.lit(start)) & (F.col(time) < F.lit(end)))
+        df.filter((F.col(time) >= instant(start)) & (F.col(time) < instant(end)))
         .select(*levels).rollup(*units).agg(F.count(F.lit(1)).alias("n"))
     )

@@ -61,6 +61,13 @@ FAILURE = _fields("domain STRING, reason STRING, at TIMESTAMP, batch_id STRING")
 
 SUMMARY_CACHE = _fields("cache_key STRING, summary STRING")
 
+SUMMARY_TABLE = _fields("cache_key STRING, summary STRING, at TIMESTAMP, batch_id STRING")
+
+RUN_EVENT = _fields(
+    "run_id STRING, at TIMESTAMP, status STRING, fetched BIGINT, validated BIGINT, stored BIGINT, "
+    "rejected BIGINT, ai_topic_count BIGINT, seconds DOUBLE, error STRING"
+)
+
 COLUMN_DEFAULTS = {"domain_category": "unknown"}
 
 
