@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from presslake import dims
 from presslake.functions.text import _col, is_empty, or_null
 from presslake.operators.skew import anti_join, lookup_join
+from presslake.operators.stage import computed
 
 RESPONSE_DDL = "is_ai_topic BOOLEAN, confidence DOUBLE, topic STRING, explanation STRING, keywords ARRAY<STRING>"
 
@@ -73,9 +74,8 @@ def classify_keywords(df: DataFrame, text: str = "text", title: str = "title", c
     # Two projections: the lowered text and the found terms are each computed once per row.
     staged = df.withColumn("__body", body).withColumn("__found", found_terms("__body", terms))
     verdict = keyword_analysis("__found", core, keywords, rules, default_topic, threshold)
-    return staged.withColumn(
-        "analysis", F.when(is_empty(text), no_text_analysis()).otherwise(verdict)
-    ).drop("__body", "__found")
+    scored = staged.withColumn("analysis", F.when(is_empty(text), no_text_analysis()).otherwise(verdict))
+    return computed(scored.drop("__body", "__found"), "classify_keywords")
 
 
 def _json_kind(c: Column) -> Column:
@@ -139,10 +139,11 @@ def parse_responses(df: DataFrame, response: str = "response_text", text: str =
         F.concat(F.lit("OpenAI manual parsing: "), F.substring(reply, 1, 100), F.lit("...")),
         F.slice(found_terms("__body", keywords), 1, 5),
     )
-    return staged.withColumn(
+    parsed = staged.withColumn(
         "analysis",
         F.when(F.col("parsed_as") == "prose", from_prose).when(F.col("__json").isNotNull(), from_json),
-    ).drop("__whole", "__braces", "__json", "__lower", "__body")
+    )
+    return computed(parsed.drop("__whole", "__braces", "__json", "__lower", "__body"), "parse_responses")
 
 
 def classify_mixed(df: DataFrame, responses: DataFrame, row_id: str = "url", **rules) -> DataFrame:
@@ -183,14 +184,22 @@ def cache_key(url: str = "url", summary: str = "summary_en") -> Column:
     return F.coalesce(or_null(url), or_null(summary))
 
 
-def fill_summaries(df: DataFrame, cache: DataFrame, force: bool = False, row_id: str = "url") -> DataFrame:
+def fill_summaries(df: DataFrame, cache: DataFrame, force: bool = False, row_id: str = "url",
+                   unique_urls: bool = False) -> DataFrame:
     """Second-language summary of hits from the cache, else the English text; `from_cache` tells which.
 
     Rows that are no hit get their English summary. `cache` has one row per `cache_key`; `force` ignores it.
+    `unique_urls=True` states that every row has its own address, as after duplicate removal: no key can be
+    frequent then, and the pass that looks for frequent keys is left out.
     """
     keyed = df.withColumn("cache_key", F.when(F.col("ai_topic_detected"), cache_key()))
-    cached = lookup_join(keyed, cache.select("cache_key", F.col("summary").alias("__cached")), ["cache_key"], [row_id])
-    cached = cached.withColumn("__cached", F.lit(None).cast("string")) if force else cached
+    entries = cache.select("cache_key", F.col("summary").alias("__cached"))
+    if force:
+        cached = keyed.withColumn("__cached", F.lit(None).cast("string"))
+    elif unique_urls:
+        cached = keyed.join(entries, "cache_key", "left")
+    else:
+        cached = lookup_join(keyed, entries, ["cache_key"], [row_id])
     wanted = F.col("ai_topic_detected") & ~is_empty("summary_en")
     return cached.select(
         *[c for c in df.columns if c != "summary_da"],

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from presslake.functions.text import _col, clean_text, collapse_spaces, fix_mojibake, is_empty, strip
 from presslake.functions.urls import query_parameter
 from presslake.operators.skew import lookup_join
+from presslake.operators.stage import computed
 
 # ---- fixed values: content regions in order of preference ----
 CONTENT_REGIONS = [
@@ -144,7 +145,7 @@ def page_text(df: DataFrame, html: str = "html", out: str = "text", min_region:
     Text of at most `min_region` characters counts as not extracted and becomes null.
     """
     stripped = lambda source: F.regexp_replace(source, TAG, " ")
-    tidy = lambda c: collapse_spaces(decode_entities(c))
+    tidy = lambda c: collapse_spaces(F.when(F.col(c).contains("&"), decode_entities(c)).otherwise(F.col(c)))
     # Each step is its own projection, so no pattern runs twice; main and body are read only when needed.
     steps = df.withColumn("__src", visible(html)).withColumn("__raw", stripped(region("__src", "article")))
     steps = steps.withColumn("__text", tidy("__raw"))
@@ -161,11 +162,11 @@ def page_text(df: DataFrame, html: str = "html", out: str = "text", min_region:
         | F.col("__raw").rlike(OTHER_ENTITY)
     )
     read = steps.select(*df.columns, F.col("__text"), F.when(needs_tree, F.col(html)).alias("__odd"))
-    text = fix_mojibake(F.coalesce(tree_text("__odd"), "__text"))
-    return (
-        read.withColumn("__text", text)
-        .withColumn(out, F.when(F.length("__text") > min_region, F.col("__text")))
-        .drop("__odd", "__text")
+    read = read.withColumn("__text", F.coalesce(tree_text("__odd"), "__text"))
+    read = read.withColumn("__text", fix_mojibake("__text"))
+    kept = [c for c in df.columns if c != out]
+    return computed(
+        read.select(*kept, F.when(F.length("__text") > min_region, F.col("__text")).alias(out)), "page_text"
     )
 
 

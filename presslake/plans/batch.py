@@ -70,7 +70,9 @@ def classify_articles(valid: DataFrame, cache: DataFrame, config: BatchConfig,
         scored = classify.classify_keywords(valid, **config.classifier)
     else:
         scored = classify.classify_mixed(valid, responses, **config.classifier)
-    return classify.fill_summaries(classify.flatten_analysis(scored, keep=True), cache).drop("from_cache", "parsed_as")
+    return classify.fill_summaries(
+        classify.flatten_analysis(scored, keep=True), cache, unique_urls=True
+    ).drop("from_cache", "parsed_as")
 
 
 def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str, config: BatchConfig,

@@ -559,7 +559,7 @@ def first_of_text(spark, sf_dir):
     is_ai AND coalesce(quality = 1, false) AS from_cache FROM scored LEFT JOIN labels USING (doc_id)""")
 def summary_fill(spark, sf_dir):
     flat = classify.flatten_analysis(st.classified(spark, sf_dir)).drop("text")
-    return classify.fill_summaries(flat, st.summary_cache(spark, sf_dir)).select("doc_id", "summary_da", "from_cache")
+    return classify.fill_summaries(flat, st.summary_cache(spark, sf_dir), unique_urls=True).select("doc_id", "summary_da", "from_cache")
 
 
 @query("scored", """SELECT url AS cache_key, url, explanation AS summary_en FROM scored

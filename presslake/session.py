@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
     if current is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="presslake-"))
+        scratch = tempfile.mkdtemp(prefix="presslake-")
+        atexit.register(shutil.rmtree, scratch, ignore_errors=True)
+        sc.setCheckpointDir(scratch)
         current = sc.getCheckpointDir()
     return current.rstrip("/")
 
