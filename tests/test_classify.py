@@ -1,0 +1,132 @@
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from presslake import dims
+from presslake.operators import classify
+
+
+def verdict(spark, text, title="", **kw):
+    df = spark.createDataFrame([(text, title)], "text string, title string")
+    return classify.classify_keywords(df, **kw).first().analysis
+
+
+def test_three_terms_make_a_hit(spark):
+    a = verdict(spark, "Machine Learning and deep learning with a neural network", "News")
+    assert (a.is_ai_topic, a.topic) == (True, "AI Technology and Infrastructure")
+    assert a.confidence == 0.4 + 3 * 0.1
+    assert a.explanation == "Fallback classification: 3 AI terms found"
+    assert a.keywords == ["machine learning", "deep learning", "neural network"]
+
+
+def test_below_threshold_and_cap(spark):
+    none = verdict(spark, "weather")
+    assert (none.is_ai_topic, none.confidence, none.topic, none.keywords) == (False, 0.4, None, [])
+    assert none.explanation.endswith("0 AI terms found - not sufficient for AI classification")
+    every = verdict(spark, " ".join(dims.CORE_TERMS))
+    assert every.confidence == 0.8 and every.keywords == dims.KEYWORD_TERMS[:5]
+
+
+@pytest.mark.parametrize("text,topic", [
+    ("openai machine learning ai model claude", "AI Language Models and NLP"),
+    ("openai machine learning ai model", "AI Business and Industry"),
+    ("computer vision machine learning ai model", "AI Technology and Infrastructure"),
+])
+def test_topic_precedence(spark, text, topic):
+    assert verdict(spark, text).topic == topic
+
+
+@pytest.mark.parametrize("text", ["", None])
+def test_without_text(spark, text):
+    a = verdict(spark, text, "machine learning deep learning openai")
+    assert (a.is_ai_topic, a.confidence, a.topic, a.explanation, a.keywords) == (False, 0.0, None, "No text content available", [])
+
+
+RESPONSES = {
+    '{"is_ai_topic": true, "confidence": 0.9, "topic": "AI Computer Vision", "explanation": "x", "keywords": ["a"]}':
+        ("json", True, 0.9, "AI Computer Vision", "OpenAI: x", ["a"]),
+    "{}": ("json", False, 0.5, None, "OpenAI: AI classification completed", []),
+    'ok:\n{"is_ai_topic": true,\n"confidence": 1}\nbye': ("embedded", True, 1.0, None, "OpenAI: AI classification completed", []),
+    '{"is_ai_topic": true} trailing': ("embedded", True, 0.5, None, "OpenAI: AI classification completed", []),
+    "Yes, primarily about AI": ("prose", True, 0.8, "AI Technology and Infrastructure", "OpenAI manual parsing: Yes, primarily about AI...", ["llm"]),
+    "yes: ai computer vision": ("prose", True, 0.8, "AI Computer Vision", "OpenAI manual parsing: yes: ai computer vision...", ["llm"]),
+    "No.": ("prose", False, 0.7, None, "OpenAI manual parsing: No....", ["llm"]),
+    '{"a":1}{"b":2}': ("prose", False, 0.7, None, 'OpenAI manual parsing: {"a":1}{"b":2}...', ["llm"]),
+    "{broken": ("prose", False, 0.7, None, "OpenAI manual parsing: {broken...", ["llm"]),
+}
+
+
+def test_parse_responses(spark):
+    rows = [(i, r, "an LLM text", "t") for i, r in enumerate(RESPONSES)]
+    df = spark.createDataFrame(rows, "id int, response_text string, text string, title string")
+    got = {r.response_text: r for r in classify.parse_responses(df).collect()}
+    for response, want in RESPONSES.items():
+        a = got[response].analysis
+        assert (got[response].parsed_as, a.is_ai_topic, a.confidence, a.topic, a.explanation, a.keywords) == want
+
+
+def test_long_prose_is_searched_whole(spark):
+    df = spark.createDataFrame([("x" * 5000 + " yes", "", "")], "response_text string, text string, title string")
+    a = classify.parse_responses(df).first().analysis
+    assert a.is_ai_topic and a.explanation == "OpenAI manual parsing: " + "x" * 100 + "..."
+
+
+def test_mixed_prefers_landed_answers(spark):
+    text = "machine learning, deep learning, openai"
+    df = spark.createDataFrame([("u1", text, "t"), ("u2", text, "t"), ("u3", text, "t"), ("u4", "", "t")], "url string, text string, title string")
+    answers = spark.createDataFrame([("u1", '{"is_ai_topic": false}'), ("u3", "[1]"), ("u4", '{"is_ai_topic": true}')], "url string, response_text string")
+    got = {r.url: (r.parsed_as, r.analysis.is_ai_topic) for r in classify.classify_mixed(df, answers).collect()}
+    assert got == {"u1": ("json", False), "u2": ("keywords", True), "u3": ("keywords", True), "u4": ("keywords", False)}
+
+
+def flat(spark):
+    rows = [("u1", True, "en one"), ("u2", True, "en two"), ("", True, "en three"), ("u4", False, "en four"), ("u5", True, ""), ("u6", False, None)]
+    return spark.createDataFrame(rows, "url string, ai_topic_detected boolean, summary_en string")
+
+
+def test_summaries(spark):
+    cache = spark.createDataFrame([("u1", "da one"), ("en three", "da three"), ("u4", "unused"), ("u5", "unused")], "cache_key string, summary string")
+    for unique in (False, True):
+        got = {r.url: (r.summary_da, r.from_cache) for r in classify.fill_summaries(flat(spark), cache, unique_urls=unique).collect()}
+        assert got == {"u1": ("da one", True), "u2": ("en two", False), "": ("da three", True), "u4": ("en four", False),
+                       "u5": ("", False), "u6": (None, False)}
+    forced = {r.url: r.summary_da for r in classify.fill_summaries(flat(spark), cache, force=True).collect()}
+    assert forced["u1"] == "en one"
+    assert [r.cache_key for r in classify.missing_summaries(flat(spark), cache).collect()] == ["u2"]
+    new = spark.createDataFrame([("u1", "newer"), ("u9", "nine")], "cache_key string, summary string")
+    merged = {r.cache_key: r.summary for r in classify.merge_cache(cache, new).collect()}
+    assert merged["u1"] == "newer" and merged["u9"] == "nine" and len(merged) == 5
+
+
+def test_scorer_hook_retries_and_leaves_failures(spark, tmp_path):
+    marker = str(tmp_path / "tries")
+
+    def scorer(batch: pd.DataFrame) -> pd.DataFrame:
+        with open(marker, "a") as f:
+            f.write("x")
+        if len(open(marker).read()) < 3:
+            raise RuntimeError("busy")
+        return pd.DataFrame({"url": batch["url"], "response_text": "{}"})
+
+    df = spark.createDataFrame([("u1", "a"), ("u2", "b"), ("u3", "c")], "url string, text string").coalesce(1)
+    done = spark.createDataFrame([("u2",)], "url string")
+    out = classify.score_missing(df, done, scorer, "url string, response_text string", backoff=0).coalesce(1)
+    assert sorted(r.url for r in out.collect()) == ["u1", "u3"]
+
+    def broken(batch):
+        raise RuntimeError("down")
+
+    assert classify.score_missing(df, done, broken, "url string, response_text string", backoff=0).count() == 0
+
+
+def test_flatten(spark):
+    df = classify.classify_keywords(spark.createDataFrame([("a", "t")], "text string, title string"))
+    df = df.withColumn("analysis", F.col("analysis").withField("explanation", F.lit("OpenAI: why")))
+    r = classify.flatten_analysis(df).first()
+    assert r.summary_en == "why" and r.ai_topic_detected is False and "analysis" not in r.asDict()
+
+
+def test_classification_is_not_repeated_by_a_filter(spark):
+    df = spark.createDataFrame([("a", "t")], "text string, title string")
+    plan = classify.classify_keywords(df).filter("analysis.is_ai_topic").select("analysis.topic")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("lower(concat") == 1
