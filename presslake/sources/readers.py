@@ -24,7 +24,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     """Pages landed as one file each; the file path stands in for the address."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("url"), F.col("value").alias("html")
     )
 
@@ -50,7 +50,7 @@ def read_summary_cache(spark: SparkSession, path: str, lines: bool = False) -> D
         return spark.createDataFrame([], SUMMARY_CACHE)
     pairs = F.from_json("value", "map<string,string>")
     return (
-        spark.read.option("wholetext", not lines).text(path)
+        spark.read.text(path, wholetext=not lines)
         .select(F.explode(pairs).alias("cache_key", "summary"))
     )
 
