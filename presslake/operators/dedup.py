@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from presslake.functions.text import content_hash, is_empty, or_null, title_key
 from presslake.functions.urls import base_domain
 from presslake.operators.skew import anti_join, hot_hashes, repeat_salts, with_salt
-from presslake.session import checkpointed
+from presslake.session import staged
 
 KEY = ["__base", "__title"]
 
@@ -78,7 +78,7 @@ def dedup_batch(df: DataFrame, row_id: str = "ingest_rank", two_part_suffixes: l
     first of them can ever be kept.
     """
     free = F.col("url").isNull() & F.col("__base").isNull()
-    rows = checkpointed(
+    rows = staged(
         df.select(row_id, or_null("url").alias("url"), *_article_key("domain", "title", two_part_suffixes))
         .groupBy("url", *KEY, F.when(free, F.col(row_id)).alias("__alone"))
         .agg(F.min(row_id).alias("__rank"))
@@ -89,19 +89,20 @@ def dedup_batch(df: DataFrame, row_id: str = "ingest_rank", two_part_suffixes: l
     rows = rows.filter(~free)
     hot_url, hot_key = hot_hashes(rows, ["url"]), hot_hashes(rows, KEY)
     left = with_salt(rows, ["url"], hot_url, ["__rank"], "__url_salt")
-    left = checkpointed(with_salt(left, KEY, hot_key, ["__rank"], "__key_salt"))
-    row = F.struct("__rank", "url", *KEY)
+    left = with_salt(left, KEY, hot_key, ["__rank"], "__key_salt")
+    tests = F.col("url").isNotNull().cast("int") + F.col("__base").isNotNull().cast("int")
     while not left.isEmpty():
-        first = checkpointed(
-            left.dropna(subset=["url"]).groupBy("url").agg(F.min(row).alias("row")).select("row.*")
-            .unionByName(left.dropna(subset=KEY).groupBy(*KEY).agg(F.min(row).alias("row")).select("row.*"))
-            .groupBy("__rank", "url", *KEY).agg(F.count(F.lit(1)).alias("firsts"))
-            .filter(F.col("firsts") == F.col("url").isNotNull().cast("int") + F.col("__base").isNotNull().cast("int"))
+        # Only numbers are aggregated: fixed-width state keeps these in hash aggregates, without a sort.
+        firsts = (
+            left.dropna(subset=["url"]).groupBy("url").agg(F.min("__rank").alias("__rank")).select("__rank")
+            .unionByName(left.dropna(subset=KEY).groupBy(*KEY).agg(F.min("__rank").alias("__rank")).select("__rank"))
+            .groupBy("__rank").agg(F.count(F.lit(1)).alias("__firsts"))
         )
+        first = staged(left.join(firsts, "__rank").filter(F.col("__firsts") == tests).select("__rank", "url", *KEY))
         kept.append(first.select(F.col("__rank").alias(row_id)))
         urls = repeat_salts(first.select("url").dropna(), ["url"], hot_url, "__url_salt")
         keys = repeat_salts(first.select(*KEY).dropna(), KEY, hot_key, "__key_salt")
-        left = checkpointed(
+        left = staged(
             left.join(urls, ["url", "__url_salt"], "left_anti").join(keys, [*KEY, "__key_salt"], "left_anti")
         )
     return df.join(reduce(DataFrame.unionByName, kept), row_id, "left_semi").select(*df.columns)

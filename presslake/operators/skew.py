@@ -1,9 +1,9 @@
 """Membership joins that stay balanced when one key holds a large share of the rows.
 
-A key that fills more than 1/SUPPORT of the probing side is found with one column-pruned pass whose
-state is bounded (`freqItems` keeps at most SUPPORT candidates and misses no frequent key). Rows of such
-keys are spread over SALTS shuffle partitions and the few matching rows of the other side are repeated
-once per salt, so the result is exactly that of the plain join.
+Keys that fill more than 1/SUPPORT of the probing side are found in two column-pruned passes with bounded
+state. Rows of such keys are spread over SALTS shuffle partitions and the few matching rows of the other
+side are repeated once per salt, so the result is exactly that of the plain join. Without such keys the
+plain join is used, and it shares the shuffle of the distinct step on the other side.
 """
 
 from __future__ import annotations
@@ -12,16 +12,26 @@ from pyspark.sql import DataFrame, functions as F
 
 SUPPORT = 256
 SALTS = 64
+# A group below this many rows is no burden for one task, whatever its share.
+MIN_HOT_ROWS = 20_000
 
 
 def hot_hashes(df: DataFrame, keys: list[str]) -> list[int]:
-    """Hashes of the frequent keys of `df`: one row of at most SUPPORT numbers, read by the driver.
+    """Hashes of the frequent keys of `df`, at most SUPPORT of them, read by the driver.
 
-    Both sides of a join must use the same list, and a second evaluation could return another one, so the
-    list is fixed here instead of being left in the plan.
+    `freqItems` misses no frequent key but may name others; counting its candidates removes those. Both
+    sides of a join must use the same list, so it is fixed here instead of being left in the plan.
     """
     hashed = df.select(F.xxhash64(*keys).alias("__h"))
-    return sorted(h for h in hashed.freqItems(["__h"], 1.0 / SUPPORT).head()[0] if h is not None)
+    candidates = hashed.freqItems(["__h"], 1.0 / SUPPORT).head()[0]
+    if not candidates:
+        return []
+    groups = hashed.groupBy(F.when(F.col("__h").isin(candidates), F.col("__h")).alias("__h")).count().collect()
+    total = sum(g["count"] for g in groups)
+    return sorted(
+        g["__h"] for g in groups
+        if g["__h"] is not None and g["count"] >= MIN_HOT_ROWS and g["count"] * SUPPORT >= total
+    )
 
 
 def with_salt(df: DataFrame, keys: list[str], hot: list[int], spread: list[str], out: str = "__salt") -> DataFrame:
@@ -46,13 +56,17 @@ def membership_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     `spread` names columns that differ between rows of one key, normally a unique row id; all other
     columns are used when it is not given. A null key matches nothing.
     """
-    spread = spread or [c for c in left.columns if c not in keys] or keys
-    hot = hot_hashes(left, keys)
-    # The null test sits below the distinct, and the distinct combines copies before its shuffle.
+    # The distinct combines copies before its shuffle.
     members = right.dropna(subset=keys)
     members = members.distinct() if how != "left" else members
+    hot = hot_hashes(left, keys)
+    added = [c for c in members.columns if c not in keys] if how == "left" else []
+    if not hot:
+        return left.join(members, keys, how).select(*left.columns, *added)
+    spread = spread or [c for c in left.columns if c not in keys] or keys
     salted = with_salt(left, keys, hot, spread)
-    return salted.join(repeat_salts(members, keys, hot), [*keys, "__salt"], how).drop("__salt")
+    joined = salted.join(repeat_salts(members, keys, hot), [*keys, "__salt"], how)
+    return joined.select(*left.columns, *added)
 
 
 def semi_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str] | None = None) -> DataFrame:
@@ -65,6 +79,4 @@ def anti_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[s
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str] | None = None) -> DataFrame:
     """Left join with a table that has at most one row per key."""
-    return membership_join(left, right, keys, "left", spread).select(
-        *left.columns, *[c for c in right.columns if c not in keys]
-    )
+    return membership_join(left, right, keys, "left", spread)

@@ -14,7 +14,7 @@ from presslake.operators import classify, dedup, enrich, extract, feed as feeds,
 from presslake.operators.analytics import run_counters
 from presslake.operators.skew import semi_join
 from presslake.schemas import ARTICLE, FAILURE, REJECTED, STORED, STORED_REJECTED, SUMMARY_TABLE, conform
-from presslake.session import checkpointed
+from presslake.session import staged
 from presslake.sources import readers, store
 
 
@@ -49,12 +49,14 @@ def select_candidates(feed: DataFrame, config: BatchConfig, known: DataFrame | N
 def extract_articles(candidates: DataFrame, pages: DataFrame, config: BatchConfig) -> tuple[DataFrame, DataFrame]:
     """(unique articles with text, failure rows).
 
-    Every page is read once however often the feed lists it. Duplicates are settled on feed columns, and the
+    Every page is read once however often the feed lists it; of a page landed more than once the longest text
+    counts. Duplicates are settled on feed columns, and the
     text joins afterwards, when addresses are unique.
     """
     wanted = candidates.select("url").distinct()
-    texts = checkpointed(
-        extract.page_text(wanted.join(pages.select("url", "html"), "url", "left")).select("url", "text")
+    texts = staged(
+        extract.page_text(wanted.join(pages.select("url", "html"), "url", "left"))
+        .groupBy("url").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
     )
     failures = quality.extraction_failures(texts, instant(config.as_of), config.batch_id, config.min_length)
     usable = quality.long_enough(texts, config.min_length)
@@ -99,13 +101,13 @@ def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str,
         known = dedup.known_urls(processed, rejected)
         failed = quality.failed_domains(failures, config.max_failures)
 
-        candidates = checkpointed(select_candidates(feed, config, known, failed, position))
+        candidates = staged(select_candidates(feed, config, known, failed, position))
         articles, new_failures = extract_articles(candidates, pages, config)
-        validated = checkpointed(quality.validate(articles, config.min_length))
+        validated = staged(quality.validate(articles, config.min_length))
         valid = enrich.process_articles(quality.valid_rows(validated), instant(config.as_of))
         fresh = dedup.dedup_cross_run(valid, None, processed)
         scored = classify_articles(fresh, cache, config, responses).withColumn("batch_id", F.lit(config.batch_id))
-        accepted = checkpointed(scored)
+        accepted = staged(scored)
         refused = quality.rejected_rows(validated).withColumns(
             {"batch_id": F.lit(config.batch_id), "rejected_at": F.col("downloaded_at")}
         )

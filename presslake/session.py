@@ -1,10 +1,11 @@
-"""Session defaults and the two ways this library cuts lineage."""
+"""Session defaults, and the written stages by which this library cuts lineage."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,7 +56,22 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder now and continue from the written rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _stage_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/presslake/{spark.sparkContext.applicationId}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write `df` as a table in the shared folder now and continue from the written rows.
+
+    A table rather than a checkpoint, because the next steps read only some of its columns, and because its
+    size is known to the planner. It survives the loss of any executor.
+    """
+    path = f"{_stage_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete the stages of this application. Frames that were built on them can no longer be read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,10 +12,16 @@ from presslake.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
-        "local[4]", "presslake-tests", 4,
+        "local[8]", "presslake-tests", 2,
         **{"spark.ui.enabled": "false", "spark.sql.adaptive.coalescePartitions.enabled": "true",
            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint"))},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def salted(monkeypatch):
+    """Treat small groups as hot, so that the salted joins run on test data."""
+    monkeypatch.setattr("presslake.operators.skew.MIN_HOT_ROWS", 20)
