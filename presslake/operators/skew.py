@@ -1,6 +1,6 @@
 """Membership joins that stay balanced when one key holds a large share of the rows.
 
-Keys that fill more than 1/SUPPORT of the probing side are found in two column-pruned passes with bounded
+Keys that fill more than 1/SUPPORT of the probing side are found in one column-pruned pass with bounded
 state. Rows of such keys are spread over SALTS shuffle partitions and the few matching rows of the other
 side are repeated once per salt, so the result is exactly that of the plain join. Without such keys the
 plain join is used, and it shares the shuffle of the distinct step on the other side.
@@ -17,20 +17,19 @@ MIN_HOT_ROWS = 20_000
 
 
 def hot_hashes(df: DataFrame, keys: list[str]) -> list[int]:
-    """Hashes of the frequent keys of `df`, at most SUPPORT of them, read by the driver.
+    """Hashes of the frequent keys of `df`, at most SUPPORT of them, read by the driver in one row.
 
-    `freqItems` misses no frequent key but may name others; counting its candidates removes those. Both
-    sides of a join must use the same list, so it is fixed here instead of being left in the plan.
+    The sketch counts any key with a share of 1/SUPPORT to within a fifth of that share, in a few thousand
+    counters per task. Both sides of a join must use the same list, so it is fixed here and not left in the
+    plan; it decides the balance of the join only, never its result.
     """
     hashed = df.select(F.xxhash64(*keys).alias("__h"))
-    candidates = hashed.freqItems(["__h"], 1.0 / SUPPORT).head()[0]
-    if not candidates:
-        return []
-    groups = hashed.groupBy(F.when(F.col("__h").isin(candidates), F.col("__h")).alias("__h")).count().collect()
-    total = sum(g["count"] for g in groups)
+    found = hashed.agg(
+        F.expr(f"approx_top_k(__h, {SUPPORT}, {16 * SUPPORT})").alias("top"), F.count(F.lit(1)).alias("total")
+    ).head()
     return sorted(
-        g["__h"] for g in groups
-        if g["__h"] is not None and g["count"] >= MIN_HOT_ROWS and g["count"] * SUPPORT >= total
+        key for key, n in found["top"]
+        if key is not None and n >= MIN_HOT_ROWS and n * SUPPORT >= found["total"]
     )
 
 
