@@ -60,7 +60,9 @@ def dedup_cross_run(df: DataFrame, known: DataFrame | None, stored: DataFrame, r
     kept = (
         fresh.select(*KEY, F.when(F.col("__base").isNull(), F.col(row_id)).alias("__alone"), F.col(row_id),
                      F.lit(0).alias("__stored"))
-        .unionByName(stored_keys.select(*KEY, no_row.alias("__alone"), no_row.alias(row_id), F.lit(1).alias("__stored")))
+        .unionByName(
+            stored_keys.select(*KEY, no_row.alias("__alone"), no_row.alias(row_id), F.lit(1).alias("__stored"))
+        )
         .groupBy(*KEY, "__alone")
         .agg(F.min(row_id).alias(row_id), F.max("__stored").alias("__stored"))
         .filter("__stored = 0")

@@ -172,3 +172,16 @@ def test_failure_totals_stream(spark, tmp_path):
     stream = ingest.feed_stream(spark, f"{tmp_path}/in", schema=df.schema, max_files=1)
     ingest.write_totals(ingest.failure_totals(stream), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert {r.domain: r.failures for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"a": 2, "b": 1}
+
+
+def test_views_answer_monitoring_sql(spark, first):
+    from presslake.plans.views import VIEWS, register_views
+
+    register_views(spark, first[0])
+    rows = spark.sql("SELECT domain_category, COUNT(*) AS n FROM processed_articles WHERE ai_topic_detected GROUP BY domain_category").collect()
+    assert [tuple(r) for r in rows] == [("journalism, news and media", 1)]
+    assert spark.sql("SELECT COUNT(DISTINCT url) FROM processed_articles WHERE processed_at >= timestamp'2024-01-01' - INTERVAL 7 DAYS").first()[0] == 2
+    run = spark.sql("SELECT * FROM pipeline_runs ORDER BY run_started_at DESC, id LIMIT 1").first()
+    assert (run.id, run.status, run.articles_stored) == ("0001", "completed", 2)
+    assert spark.sql("SELECT total_articles FROM daily_statistics").first()[0] == 2
+    assert all(spark.table(v).columns for v in VIEWS)
