@@ -18,11 +18,6 @@ def url_authority(url: Column | str) -> Column:
     return F.coalesce(F.regexp_extract(_col(url), AUTHORITY, 1), F.lit(""))
 
 
-def drop_www(host: Column | str) -> Column:
-    host = _col(host)
-    return F.when(host.startswith("www."), F.substr(host, F.lit(5))).otherwise(host)
-
-
 def url_host(url: Column | str) -> Column:
     return F.regexp_replace(F.lower(url_authority(url)), r"^www\.", "")
 

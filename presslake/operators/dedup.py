@@ -89,7 +89,7 @@ def dedup_batch(df: DataFrame, row_id: str = "ingest_rank", two_part_suffixes: l
     kept = [rows.filter(free).select(F.col("__rank").alias(row_id))]
     # Rows only leave the set, so a key that is not frequent now can never become a hot group later.
     rows = rows.filter(~free)
-    hot_url, hot_key = hot_hashes(rows, ["url"]), hot_hashes(rows, KEY)
+    hot_url, hot_key = hot_hashes(rows, ["url"], KEY)
     left = with_salt(rows, ["url"], hot_url, ["__rank"], "__url_salt")
     left = with_salt(left, KEY, hot_key, ["__rank"], "__key_salt")
     tests = F.col("url").isNotNull().cast("int") + F.col("__base").isNotNull().cast("int")

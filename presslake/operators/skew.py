@@ -16,21 +16,21 @@ SALTS = 64
 MIN_HOT_ROWS = 20_000
 
 
-def hot_hashes(df: DataFrame, keys: list[str]) -> list[int]:
-    """Hashes of the frequent keys of `df`, at most SUPPORT of them, read by the driver in one row.
+def hot_hashes(df: DataFrame, *key_sets: list[str]) -> list[list[int]]:
+    """Per set of key columns, the hashes of the frequent keys of `df`: at most SUPPORT, in one row for the driver.
 
     The sketch counts any key with a share of 1/SUPPORT to within a fifth of that share, in a few thousand
     counters per task. Both sides of a join must use the same list, so it is fixed here and not left in the
     plan; it decides the balance of the join only, never its result.
     """
-    hashed = df.select(F.xxhash64(*keys).alias("__h"))
+    names = [f"__h{i}" for i in range(len(key_sets))]
+    hashed = df.select(*[F.xxhash64(*keys).alias(name) for name, keys in zip(names, key_sets)])
     found = hashed.agg(
-        F.expr(f"approx_top_k(__h, {SUPPORT}, {16 * SUPPORT})").alias("top"), F.count(F.lit(1)).alias("total")
+        F.count(F.lit(1)).alias("total"),
+        *[F.expr(f"approx_top_k({name}, {SUPPORT}, {16 * SUPPORT})").alias(name) for name in names],
     ).head()
-    return sorted(
-        key for key, n in found["top"]
-        if key is not None and n >= MIN_HOT_ROWS and n * SUPPORT >= found["total"]
-    )
+    least = max(MIN_HOT_ROWS, found["total"] / SUPPORT)
+    return [sorted(key for key, n in found[name] if n >= least) for name in names]
 
 
 def with_salt(df: DataFrame, keys: list[str], hot: list[int], spread: list[str], out: str = "__salt") -> DataFrame:
@@ -58,7 +58,7 @@ def membership_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     # The distinct combines copies before its shuffle.
     members = right.dropna(subset=keys)
     members = members.distinct() if how != "left" else members
-    hot = hot_hashes(left, keys)
+    (hot,) = hot_hashes(left, keys)
     added = [c for c in members.columns if c not in keys] if how == "left" else []
     if not hot:
         return left.join(members, keys, how).select(*left.columns, *added)

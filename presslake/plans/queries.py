@@ -13,7 +13,8 @@ from presslake.operators import (
     analytics, browse, classify, dedup, enrich, extract, feed, quality, trends,
 )
 from presslake.plans import standins as st
-from presslake.session import shared_dir
+from presslake.plans.batch import BatchConfig, extract_articles, select_candidates
+from presslake.session import shared_dir, staged
 from presslake.sources import readers, store
 from presslake.streaming import ingest
 
@@ -572,14 +573,16 @@ def summary_work_list(spark, sf_dir):
 # ---- text and classification -----------------------------------------------------------------------------
 
 
-@query("page_texts", "SELECT page_id, md5(text) AS text_md5, length(text) AS n FROM page_texts")
+@query("page_texts", "SELECT page_id, md5(text) AS text_md5, coalesce(length(text), 0) AS n FROM page_texts")
 def page_text(spark, sf_dir):
     rows = extract.page_text(st.table(spark, sf_dir, "pages")).select("page_id", "text")
-    return rows.select("page_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n"))
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("bigint")
+    return rows.select("page_id", F.md5("text").alias("text_md5"), n.alias("n"))
 
 
-@query("page_parts", """SELECT CASE WHEN length(art) > 1500 THEN 'article' WHEN length(body) > 1000 THEN 'body' END AS extraction_method,
-    count(*) AS n, sum(CASE WHEN length(art) > 1500 THEN length(art) WHEN length(body) > 1000 THEN length(body) END)::BIGINT AS chars
+@query("page_parts", """SELECT CASE WHEN length(art) > 1500 THEN 'article' WHEN length(body) > 1000 THEN 'body' ELSE 'none' END
+      AS extraction_method, count(*) AS n,
+    sum(CASE WHEN length(art) > 1500 THEN length(art) WHEN length(body) > 1000 THEN length(body) ELSE 0 END)::BIGINT AS chars
     FROM page_parts GROUP BY 1""")
 def extraction_method_mix(spark, sf_dir):
     rows = st.table(spark, sf_dir, "pages").select(extract.visible("html").alias("src"))
@@ -587,7 +590,10 @@ def extraction_method_mix(spark, sf_dir):
         extract.plain(extract.region("src", "article")).alias("art"), extract.plain(extract.body("src")).alias("body")
     )
     found = extract.extraction_cascade(parts, [("article", F.col("art"), 1500), ("body", F.col("body"), 1000)])
-    return found.groupBy("extraction_method").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    method = F.coalesce("extraction_method", F.lit("none")).alias("extraction_method")
+    return found.groupBy(method).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars")
+    )
 
 
 @query("feed", f"""SELECT page_id, CASE WHEN fixed THEN h1 ELSE t END AS title, fixed AS title_repaired
@@ -986,14 +992,12 @@ def stream_unique_urls(spark, sf_dir):
       WHERE length(text) >= 700) f) GROUP BY 1, 2""")
 def monitor_topics(spark, sf_dir):
     """Feed to topics: gate, extract, validate, remove duplicates, classify, count by language and topic."""
-    from presslake.plans.batch import BatchConfig, extract_articles, select_candidates
-
     config = BatchConfig(
         dt.datetime(2034, 1, 1), "b1", look_back_hours=24 * 4000, reliable=st.RELIABLE, problematic=st.PROBLEMATIC,
         japanese=st.JAPANESE, languages=["en", "fr", "de", "es"], categories=st.PAGE_CATEGORIES, classifier=st.CLASSIFIER,
     )
     rows = st.page_feed(spark, sf_dir).drop("html", "ingest_rank")
-    candidates = select_candidates(rows, config, position="page_id")
+    candidates = staged(select_candidates(rows, config, position="page_id"))
     found, _ = extract_articles(candidates, st.table(spark, sf_dir, "pages"), config)
     valid = quality.valid_rows(quality.validate(found, config.min_length))
     scored = classify.classify_keywords(valid, **st.CLASSIFIER)

@@ -101,7 +101,7 @@ def test_hot_keys_are_found_and_spread(spark, salted):
     df = spark.range(9000).select(
         F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k")
     ).repartition(6)
-    hot = skew.hot_hashes(df, ["k"])
+    (hot,) = skew.hot_hashes(df, ["k"])
     hashed = spark.sql("SELECT xxhash64('hot') AS h").first().h
     assert hot == [hashed]
     salts = skew.with_salt(df.filter("k = 'hot'"), ["k"], hot, ["id"]).groupBy("__salt").count().collect()
@@ -115,7 +115,7 @@ def test_hot_keys_are_found_and_spread(spark, salted):
 
 def test_no_salts_without_hot_keys(spark, salted):
     df = spark.range(5000).select("id", F.col("id").alias("k"))
-    assert skew.hot_hashes(df, ["k"]) == [] and skew.hot_hashes(df.limit(0), ["k"]) == []
+    assert skew.hot_hashes(df, ["k"], ["id"]) == [[], []] and skew.hot_hashes(df.limit(0), ["k"]) == [[]]
     joined = skew.anti_join(df, df.filter("id > 9"), ["k"])
     assert joined.count() == 10 and "__salt" not in joined._jdf.queryExecution().analyzed().toString()
 

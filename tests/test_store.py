@@ -120,3 +120,21 @@ def test_manifest(spark):
 def test_shared_dir_is_the_one_the_session_names(spark):
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert build_session().sparkContext is spark.sparkContext
+
+
+def test_landed_feed_and_pages(spark, tmp_path):
+    feed = [{"url": "u", "title": "t", "seendate": "s"}, {"url": "v", "language": "da"}]
+    (tmp_path / "feed.json").write_text("\n".join(json.dumps(r) for r in feed))
+    got = {r.url: r for r in readers.read_feed(spark, str(tmp_path / "feed.json"), "json").collect()}
+    assert got["u"].domain is None and got["v"].language == "da"
+    spark.createDataFrame([("u", "<p>", 1)], "url string, html string, extra int").write.parquet(str(tmp_path / "pages"))
+    assert readers.read_pages(spark, str(tmp_path / "pages")).columns == ["url", "html"]
+
+
+def test_processing_step(spark):
+    from presslake.operators.enrich import process_articles
+
+    df = spark.createDataFrame([("ﬁ", 1)], "text string, n int")
+    plain = process_articles(df, F.lit(AS_OF)).first()
+    assert plain.text == "ﬁ" and plain.content_hash is not None and plain.processed_at == AS_OF and plain.n == 1
+    assert process_articles(df, F.lit(AS_OF), normalize_unicode=True).first().text == "fi"
