@@ -48,6 +48,7 @@ def keyword_analysis(found: Column | str, core: list[str] = dims.CORE_TERMS,
     topic = F.lit(default_topic)
     for name, terms in reversed(rules):
         topic = F.when(F.arrays_overlap(found, _terms(terms)), name).otherwise(topic)
+    # The wording of the explanations is fixed.
     explanation = F.concat(
         F.lit("Fallback classification: "), n.cast("string"), F.lit(" AI terms found"),
         F.when(is_ai, "").otherwise(" - not sufficient for AI classification"),

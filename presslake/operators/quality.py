@@ -22,6 +22,7 @@ FAILURE_KINDS = [
 
 def with_placeholder(df: DataFrame) -> DataFrame:
     """Rows without text get the stand-in sentence that names their domain and title."""
+    # The sentence is a fixed value.
     sentence = F.concat(
         F.lit("Article from "), F.coalesce("domain", F.lit("unknown domain")),
         F.lit(". Full text extraction failed. This is a metadata-only article with title: "),
