@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from presslake.operators.analytics import daily_statistics
@@ -11,11 +13,17 @@ from presslake.sources import readers, store
 VIEWS = ["processed_articles", "rejected_articles", "pipeline_runs", "daily_statistics"]
 
 
-def stored_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Current state of the tables below `root`: the last written row per address and per run."""
+def stored_tables(spark: SparkSession, root: str, as_of: dt.datetime | None = None, days: int = 30) -> dict[str, DataFrame]:
+    """Current state of the tables below `root`: the last written row per address and per run.
+
+    With `as_of`, articles and runs older than `days` are left out to the second, not only by whole days.
+    """
     articles = store.latest(readers.read_table(spark, f"{root}/processed", STORED), "url", ["batch_id"])
     rejected = store.latest(readers.read_table(spark, f"{root}/rejected", STORED_REJECTED), "url", ["batch_id"])
     runs = store.runs_current(readers.read_table(spark, f"{root}/runs", RUN_EVENT))
+    if as_of:
+        articles = store.retained(articles, as_of, days)
+        runs = store.retained(runs, as_of, days, "started_at")
     return {
         "processed_articles": articles,
         "rejected_articles": rejected,
@@ -29,6 +37,6 @@ def stored_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
 
 
-def register_views(spark: SparkSession, root: str) -> None:
-    for name, table in stored_tables(spark, root).items():
+def register_views(spark: SparkSession, root: str, as_of: dt.datetime | None = None, days: int = 30) -> None:
+    for name, table in stored_tables(spark, root, as_of, days).items():
         table.createOrReplaceTempView(name)

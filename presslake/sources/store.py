@@ -112,7 +112,7 @@ def _file_system(spark: SparkSession, path: str):
 def drop_expired(spark: SparkSession, path: str, as_of: dt.datetime, days: int = 30) -> list[str]:
     """Delete the day partitions that lie wholly before the retention limit; returns their names.
 
-    Rows of the limit day itself are left to `retained`, which every reader applies.
+    Rows of the limit day itself are left to `retained`, which batches and views apply.
     """
     limit = (as_of - dt.timedelta(days=days)).date()
     if not path_exists(spark, path):

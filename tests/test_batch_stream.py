@@ -185,3 +185,5 @@ def test_views_answer_monitoring_sql(spark, first):
     assert (run.id, run.status, run.articles_stored) == ("0001", "completed", 2)
     assert spark.sql("SELECT total_articles FROM daily_statistics").first()[0] == 2
     assert all(spark.table(v).columns for v in VIEWS)
+    register_views(spark, first[0], AS_OF + dt.timedelta(days=31))
+    assert spark.table("processed_articles").count() == 0 == spark.table("pipeline_runs").count()
