@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presslake.llm import decontaminate, mixing, quality, sharding
+from presslake.llm import decontaminate, mixing, neardup, quality, sharding
 from presslake.session import staged
 
 
@@ -18,6 +18,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs, rules)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return neardup.one_of_each(docs)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
@@ -35,6 +40,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("near duplicates", one_of_each),
     ("decontamination", without_benchmark),
     ("mix", mixed),
     ("shards", sharded),

@@ -110,7 +110,6 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = values[:, :ROWS * BANDS].reshape(-1, BANDS, ROWS).astype(np.uint64)
         keys = mixed((rows * factors).sum(axis=2, dtype=np.uint64) ^ salt)
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.repeat(np.arange(len(keys)), BANDS)).cast(pa.int32()).dictionary_encode().cast(pa.int32()) if False else
             batch.column("node").take(pa.array(np.repeat(np.arange(len(keys)), BANDS))),
             pa.array(keys.ravel().view(np.int64)),
         ], ["node", "band"])

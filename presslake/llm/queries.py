@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslake.llm import decontaminate, license_scan, mixing, quality, sharding
+from presslake.llm import decontaminate, license_scan, mixing, neardup, quality, sharding
 from presslake.llm.sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -31,6 +31,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return told.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = license_scan.scan(_table(spark, sf_dir, "documents"))
     places = F.transform("places", lambda p: p["at"].cast("long"))
@@ -54,6 +59,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op10_shard": op10_shard,

@@ -59,9 +59,9 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
         if n >= size:
             sets.append(np.unique(windows[end - n:end - size + 1]))
         elif n:
-            whole = np.uint64(n)
-            for h in hashes[end - n:end]:
-                whole = whole * _STEP + h
+            whole = n
+            for h in hashes[end - n:end].tolist():
+                whole = (whole * int(_STEP) + h) % 2**64
             sets.append(mixed(np.array([whole], np.uint64)))
         else:
             sets.append(np.zeros(0, np.uint64))
