@@ -27,7 +27,7 @@ def difference(loads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     n, k = loads.shape
     order = np.argsort(loads, axis=1, kind="stable")
-    sums = [np.take_along_axis(loads, order, axis=1)[i] for i in range(n)]
+    sums = list(np.take_along_axis(loads, order, axis=1))
     # label[i][j]: which part of the own row stands at place j once the parts are sorted
     heap = [(-int(s[-1] - s[0]), i) for i, s in enumerate(sums)]
     heapq.heapify(heap)
