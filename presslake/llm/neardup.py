@@ -111,8 +111,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = mixed((rows * factors).sum(axis=2, dtype=np.uint64) ^ salt)
         yield pa.RecordBatch.from_arrays([
             batch.column("node").take(pa.array(np.repeat(np.arange(len(keys)), BANDS))),
-            pa.array(keys.ravel().view(np.int64)),
-        ], ["node", "band"])
+            pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))),
+        ], ["node", "band", "place"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -137,9 +137,8 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(test, "a binary, b binary")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold. Sets are made only for texts that stand in a pair."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles): the full sets of the nodes in `needed`, written down; no other text is read into shingles."""
     homes = nodes.join(needed, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     texts = texts.join(homes, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
@@ -151,17 +150,27 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -
                 yield pa.RecordBatch.from_arrays([batch.column("node")[part.start:part.stop], pa.array(
                     [s.tobytes() for s in shingle_sets(rows[part], SIZE)], pa.binary())], ["node", "shingles"])
 
-    made = staged(texts.mapInArrow(sets, "node binary, shingles binary"))
+    return staged(texts.mapInArrow(sets, "node binary, shingles binary"))
+
+
+def _set_of(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(both) - common)
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold."""
+    made = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), nodes, docs)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            keep = [_similar(_set_of(x), _set_of(y), percent) for x, y in zip(batch.column("set_a"), batch.column("set_b"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = made.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
@@ -198,36 +207,44 @@ def components(links: DataFrame) -> DataFrame:
     return staged(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots))
 
 
-def _across(buckets: DataFrame, nodes: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """Pairs of (band, node, root) that share a band but not a root and survive the signature test.
+def _across(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+    """Links between rows of (band, place, node, root) that share a band but not a root.
 
-    A bucket is cut into tiles of about `tile` members; each pair of tiles is compared in one task, blocks of signatures
-    against blocks, and only survivors leave it. Buckets with the same members are compared once.
+    A bucket is cut into tiles of about `tile` members; each pair of tiles meets in one task with signatures and full sets. A
+    pair is compared only in the first band that it shares, by the sequential test and then on the full sets, and only
+    links leave the task; a link between members that links already join there is not looked for again.
     """
-    size = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("root").alias("roots"),
-                                       F.expr("bit_xor(xxhash64(node))").alias("members")).where("roots > 1")
-    size = size.groupBy("n", "members").agg(F.min("band").alias("band"))
-    rows = buckets.join(size.select("band", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "band")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    size = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    size = size.where("low <> high").select("band", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    open_rows = staged(buckets.join(size, "band"))
+    rows = open_rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("band", "node", "root", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
-    rows = rows.join(nodes.select("node", "signature", "n_shingles"), "node")
+    rows = rows.select("band", "place", "node", "root", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+    made = _sets(open_rows.select("node").distinct(), nodes, docs)
+    rows = rows.join(nodes.select("node", "signature").join(made, "node"), "node")
 
     def settle(rows: pa.Table) -> pa.RecordBatch | None:
-        own, first, second = (rows.column(c).to_numpy() for c in ("own", "first", "second"))
-        names = rows.column("node").combine_chunks()
-        roots = rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
-        sizes, values = rows.column("n_shingles").to_numpy(), _matrix(rows.column("signature"))
-        left = np.flatnonzero(own == first[0])
-        right = np.flatnonzero(own == second[0])
+        own, first, second, place = (rows.column(c).to_numpy() for c in ("own", "first", "second", "place"))
+        names, kept = rows.column("node").combine_chunks(), rows.column("shingles").combine_chunks()
+        group = rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        values = _matrix(rows.column("signature"))
+        sizes = np.array([len(x.as_buffer()) // 8 for x in kept])
+        left, right = np.flatnonzero(own == first[0]), np.flatnonzero(own == second[0])
         found = []
         for i in left:
             others = right[right > i] if first[0] == second[0] else right
-            others = others[roots[others] != roots[i]]
-            others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
-            if len(others):
-                keep = others[alive(np.broadcast_to(values[i], (len(others), HASHES)), values[others], percent)]
-                found += [(i, j) for j in keep]
+            others = others[(group[others] != group[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))]
+            if not len(others):
+                continue
+            same = (values[others, :ROWS * BANDS] == values[i, :ROWS * BANDS]).reshape(-1, BANDS, ROWS).all(axis=2)
+            others = others[same.argmax(axis=1) == place[0]]
+            if not len(others):
+                continue
+            mine = _set_of(kept[i])
+            for j in others[alive(np.broadcast_to(values[i], (len(others), HASHES)), values[others], percent)]:
+                if group[j] != group[i] and _similar(mine, _set_of(kept[j]), percent):
+                    found.append((i, j))
+                    group[group == group[j]] = group[i]
         if not found:
             return None
         a, b = (pa.array(x) for x in zip(*found))
@@ -276,7 +293,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = staged(first.alias("f").join(some.alias("t"), same).select(
         "f.node", "f.doc_id", "f.text_key", "t.n_shingles", "t.signature").dropDuplicates(["node"]))
 
-    bands = staged(nodes.select("node", "signature").mapInArrow(_bands, "node binary, band long"))
+    bands = staged(nodes.select("node", "signature").mapInArrow(_bands, "node binary, band long, place int"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = staged(bands.join(sizes, "band"))
     # The member that shares bands most often stands in the middle of its group.
@@ -286,8 +303,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = ranked.select("band", F.col("node").alias("b")).join(centres, "band").where("a <> b").select("a", "b").distinct()
     links = staged(_linked(staged(_pruned(stars, nodes, percent)), nodes, docs, percent))
     roots = components(links)
-    placed = shared.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    more = staged(_linked(staged(_across(placed, nodes, percent)), nodes, docs, percent))
+    placed = shared.select("band", "place", "node").join(roots, "node", "left").select("band", "place", "node", F.coalesce("root", "node").alias("root"))
+    more = staged(_across(placed, nodes, docs, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslake.llm import decontaminate, license_scan, mixing, neardup, quality, sharding
+from presslake.llm import decontaminate, htmltree, langid, license_scan, mixing, neardup, quality, sharding
 from presslake.llm.sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -21,6 +21,11 @@ def _sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def op1_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = htmltree.extract(_table(spark, sf_dir, "pages"))
+    return told.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return told.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -51,16 +56,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                   "base_failed", "rule", "kept")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(0)), F.lit(4)) == 2
+    model = langid.train_on(documents.where(~held_out))
+    return langid.identify(documents.withColumn("held_out", held_out), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = sharding.shard(_table(spark, sf_dir, "documents"))
     return told.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_extract_html": op1_extract_html,
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_language": op9_language,
     "op10_shard": op10_shard,
 }
