@@ -74,7 +74,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t if t is not None else b"" for t in column.to_pylist()]
 
 
-def _parts(texts: list[bytes], most: int = 4_000_000) -> Iterator[slice]:
+def _parts(texts: list[bytes], most: int = 1_000_000) -> Iterator[slice]:
     """Consecutive texts of about `most` bytes together, so that the arrays of a batch stay small."""
     begun, size = 0, 0
     for i, text in enumerate(texts):
