@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslake.llm import decontaminate, htmltree, langid, license_scan, mixing, neardup, quality, sharding
+from presslake.llm import decontaminate, htmltree, langid, license_scan, mixing, neardup, quality, sharding, suffixes, urlfilter
 from presslake.llm.sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -26,6 +26,11 @@ def op1_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = suffixes.deduplicate(_table(spark, sf_dir, "documents"))
+    return told.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return told.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -41,6 +46,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = license_scan.scan(_table(spark, sf_dir, "documents"))
     places = F.transform("places", lambda p: p["at"].cast("long"))
@@ -70,9 +79,11 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_html": op1_extract_html,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_url_filter": op6_url_filter,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_language": op9_language,
