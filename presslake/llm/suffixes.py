@@ -10,16 +10,17 @@ by its own first bytes, again one bucket at a time.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presslake.llm.common import shuffle_partitions
 from presslake.llm.shingles import mixed
-from presslake.session import staged
+from presslake.session import shared_dir, staged
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 50
@@ -33,24 +34,27 @@ _BYTE = np.random.default_rng(4421).integers(0, 2**63, 256, dtype=np.uint64) * n
 _STEP = 0x9E3779B97F4A7C15
 
 
-def window_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit rank of the `length` bytes from each place, equal for equal bytes; built by doubling."""
-    out = _BYTE[data]
-    single, have, bits = out, 1, bin(length)[3:]
-    for bit in bits:
-        n = len(out) - have
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        out = out[:n] + out[have:have + n] * np.uint64(pow(_STEP, have, 2**64))
-        out = mixed(out)
-        have *= 2
-        if bit == "1":
-            n = len(data) - have
-            if n <= 0:
-                return np.zeros(0, np.uint64)
-            out = out[:n] + single[have:have + n] * np.uint64(pow(_STEP, have, 2**64))
-            have += 1
-    return mixed(out)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, as many as the largest unit of this worker has needed so far."""
+    if len(_POWERS[0]) < n:
+        for k, factor in enumerate((_STEP, pow(_STEP, -1, 2**64))):
+            powers = np.full(n, factor, np.uint64)
+            powers[0] = 1
+            _POWERS[k] = np.multiply.accumulate(powers, out=powers)
+    return _POWERS
+
+
+def string_ranks(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit rank of the `length` bytes from each place, equal for equal bytes, from one running sum over the unit."""
+    if not len(places):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[:len(data)], dtype=np.uint64, out=total[1:])
+    return mixed((total[places + length] - total[places]) * down[places])
 
 
 class _Chunk:
@@ -99,25 +103,37 @@ def _bucket_of(ranks: np.ndarray, buckets: int) -> np.ndarray:
     return ((ranks >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _send(chunk: int, ranks: np.ndarray, ids: np.ndarray, short: bool, buckets: int, several: np.ndarray | None = None) -> pa.RecordBatch:
-    """The sorted ranks of a unit, cut by bucket: a row for each bucket with its ranks and what goes with them."""
+def _send(chunk: int, ranks: np.ndarray, ids: np.ndarray | None, buckets: int, several: np.ndarray | None = None) -> pa.RecordBatch:
+    """The sorted ranks of a unit, cut by bucket: a row for each bucket with its ranks and what goes with them.
+
+    With `several` the ranks are cut to 32 bits below those that name the bucket, enough to find candidates; with `ids`
+    they are whole, and ids are written as distances from the smallest of the unit in as few bytes as they need.
+    """
     bucket = _bucket_of(ranks, buckets)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = np.append(cuts[1:], len(bucket))
-    # Within a bucket the leading bits are known; 32 bits below them tell candidates apart well enough, exact steps use all 64.
-    body = ((ranks * np.uint64(buckets)) >> np.uint64(0)).astype(np.uint64) >> np.uint64(32) if short else ranks
-    kind = np.uint32 if short else np.uint64
-    rows = [(int(bucket[b]), chunk, body[b:e].astype(kind).tobytes(), ids[b:e].astype(np.int64).tobytes() if ids is not None else b"",
+    body = (ranks * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32) if ids is None else ranks
+    base = 0
+    if ids is not None and len(ids):
+        base = int(ids.min())
+        wide = (ids - base).astype(np.uint64)
+        ids = wide.astype(np.min_scalar_type(int(wide.max())))
+    rows = [(int(bucket[b]), chunk, base, body[b:e].tobytes(), ids[b:e].tobytes() if ids is not None else b"",
              np.packbits(several[b:e]).tobytes() if several is not None else b"") for b, e in zip(cuts, ends)]
-    columns = list(zip(*rows)) if rows else [[], [], [], [], []]
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "chunk", "ranks", "ids", "several"])
+    columns = list(zip(*rows)) if rows else [[], [], [], [], [], []]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "chunk", "base", "ranks", "ids", "several"])
 
 
-_SENT = "bucket int, chunk int, ranks binary, ids binary, several binary"
+_SENT = "bucket int, chunk int, base bigint, ranks binary, ids binary, several binary"
 _TOLD = "bucket int, chunk int, flags binary"
 
 
+def _ids(row: dict, n: int) -> np.ndarray:
+    kind = np.dtype(f"u{len(row['ids']) // n}")
+    return np.frombuffer(row["ids"], kind).astype(np.int64) + row["base"]
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     bucket, held = None, []
     for batch in batches:
@@ -150,7 +166,7 @@ def _rank_buckets(short: bool):
                 tied = np.add.reduceat(several.astype(np.int64) + 1, starts) > 1
                 flags[order] = tied[group]
             else:
-                ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in held])[order]
+                ids = np.concatenate([_ids(r, len(p)) for r, p in zip(held, parts)])[order]
                 flags[order] = ids > np.minimum.reduceat(ids, starts)[group]
             at = np.cumsum([0, *map(len, parts)])
             yield pa.RecordBatch.from_arrays([
@@ -186,7 +202,7 @@ class _Reader:
     def sample(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places of the sample, their distinct ranks, the index of each, and which ranks stand in several documents here."""
         places = self.c.sample(self.key)
-        ranks = window_ranks(self.c.data, self.key)[places] if len(places) else np.zeros(0, np.uint64)
+        ranks = string_ranks(self.c.data, places, self.key)
         distinct, first, index = _distinct(ranks, self.c.owner[places])
         several = np.zeros(len(distinct), bool)
         several[index[self.c.owner[places] != first[index]]] = True
@@ -201,7 +217,7 @@ class _Reader:
     def long_ties(self, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tied sample places with a whole period behind the string: places, distinct ranks, first ids, index."""
         places = tied[self.c.starts(self.long)[tied]]
-        ranks = window_ranks(self.c.data, self.long)[places] if len(places) else np.zeros(0, np.uint64)
+        ranks = string_ranks(self.c.data, places, self.long)
         distinct, first, index = _distinct(ranks, self.c.owner[places])
         return places, distinct, first, index
 
@@ -215,7 +231,7 @@ class _Reader:
     def rest(self, tied: np.ndarray, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts near a tie that are not settled: places, distinct ranks, first ids, index."""
         places = np.flatnonzero(self.c.reach(tied, PERIOD - 1, 0) & self.c.starts(self.length) & ~settled)
-        ranks = window_ranks(self.c.data, self.length)[places] if len(places) else np.zeros(0, np.uint64)
+        ranks = string_ranks(self.c.data, places, self.length)
         distinct, first, index = _distinct(ranks, self.c.owner[places])
         return places, distinct, first, index
 
@@ -230,50 +246,69 @@ class _Reader:
         return settled
 
 
-def _units(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(chunk, ids, texts): the distinct texts with their smallest id, packed into units of about `chunk_bytes`.
+def _units(docs: DataFrame, first: DataFrame, length: int, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """(chunk, ids, texts): the distinct texts with their smallest id, in units of about `chunk_bytes`; and their bytes.
 
-    Each task numbers its own units; the written table fixes them for all rounds.
+    Ids are dealt to units by hash. The texts travel once, together with a mark for each text that counts, and are written as a
+    table bucketed by unit, so that the joins with the answers of the rounds move only the answers.
     """
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
+    spark = docs.sparkSession
+    sized = first.where(F.col("n_bytes") >= length)
+    total = sized.agg(F.sum("n_bytes")).head()[0] or 0
+    chunks = max(1, -(-total // chunk_bytes))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")
+    text = F.encode("text", "UTF-8")
+    rows = docs.where(F.col("doc_id").isNotNull() & (F.octet_length(text) >= length)).select(chunk, "doc_id", F.xxhash64("text").alias("key"), text.alias("bytes"))
+    marks = sized.select(F.col("first_id").alias("doc_id"), "key").select(chunk, "doc_id", "key", F.lit(None).cast("binary").alias("bytes"))
+    n = shuffle_partitions(spark)
+    order = ["chunk", "doc_id", "key", F.col("bytes").isNotNull()]
+    spread = rows.union(marks).repartition(n, "chunk").sortWithinPartitions(*order)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary()))], ["ids", "texts"])
+            return pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary()))],
+                                              ["chunk", "ids", "texts"])
 
+        unit, ids, texts, wanted = None, [], [], None
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("bytes").to_pylist()):
-                if size and size + len(text) > chunk_bytes:
-                    yield out()
-                    ids, texts, size = [], [], 0
-                ids.append(doc), texts.append(text)
-                size += len(text)
+            for own, doc, key, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "doc_id", "key", "bytes"))):
+                if own != unit:
+                    if ids:
+                        yield out()
+                    unit, ids, texts, wanted = own, [], [], None
+                if data is None:
+                    wanted = (doc, key)
+                elif wanted == (doc, key):
+                    # The first row after its mark; equal rows that follow are the same document.
+                    ids.append(doc), texts.append(data)
+                    wanted = None
         if ids:
             yield out()
 
-    return docs.select("doc_id", "bytes").mapInArrow(pack, "ids array<bigint>, texts array<binary>")
+    name = f"suffix_units_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/presslake/{spark.sparkContext.applicationId}/{name}"
+    spread.mapInArrow(pack, "chunk int, ids array<bigint>, texts array<binary>").write.bucketBy(n, "chunk").option("path", path).saveAsTable(name)
+    return spark.table(name), total
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES,
-                   bucket_suffixes: int = BUCKET_SUFFIXES) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, spans) and (text_key, first_id): the maximal runs [start, end) of bytes that repeat earlier documents.
+def deduplicate(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, bucket_suffixes: int = BUCKET_SUFFIXES) -> DataFrame:
+    """Per row of `docs`: doc_id, text_key, n_bytes, spans (removed runs [start, end) of bytes), n_removed, n_spans, kept_sha256.
 
-    A byte is covered if a string of `length` bytes over it also starts in a document with a smaller doc_id. Strings do not cross
+    A byte is removed if a string of `length` bytes over it also starts in a document with a smaller doc_id. Strings do not cross
     documents, overlaps count, and strings are judged on the input. A text that several documents hold is read once,
-    for the smallest id; for the others the whole text is a run if it has `length` bytes. Rows without id are not compared.
+    for the smallest id; for the others the whole text is a run. Texts shorter than `length` lose nothing.
+
+    Null and empty texts have no bytes. Rows without id are left as they are and take nothing from others. Rows that share id and
+    text get equal results; with one id on several texts, each is judged against smaller ids. Empty input gives an
+    empty result. Only doc_id and text are read.
     """
-    text = F.encode("text", "UTF-8")
-    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.sha2(text, 256)).alias("text_key"))
-    first = staged(keyed.groupBy("text_key").agg(F.min("doc_id").alias("first_id")))
-    own = docs.where("doc_id is not null").select("doc_id", F.unhex(F.sha2(text, 256)).alias("_key"), text.alias("bytes")).where(F.octet_length("bytes") >= length)
-    firsts = own.join(first, (F.col("_key") == F.col("text_key")) & (F.col("doc_id") == F.col("first_id")), "left_semi")
-    spark = docs.sparkSession
-    units = staged(_units(firsts, chunk_bytes).withColumn("number", F.monotonically_increasing_id()))
-    # Units get small numbers by their order; they are few, a row for each few megabytes of text.
-    numbers = staged(units.select("number", F.size("ids").alias("n")).withColumn("chunk", F.row_number().over(Window.orderBy("number"))).select("number", "chunk"))
-    units = staged(units.join(numbers, "number").select("chunk", "ids", "texts"))
-    total = units.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t)))).head()[0] or 0
-    buckets = max(1, min(1 << 30, -(-total * len(COVER) // (PERIOD * bucket_suffixes))), min(shuffle_partitions(spark), 1 + total // (1 << 18)))
+    text = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
+    told = staged(docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), F.xxhash64("text").alias("key"), F.octet_length(text).cast("long").alias("n_bytes")))
+    first = staged(told.where("doc_id is not null").groupBy("text_sha256").agg(
+        F.min("doc_id").alias("first_id"), F.first("key").alias("key"), F.first("n_bytes").alias("n_bytes")))
+    units, total = _units(docs, first, length, chunk_bytes)
+    # A bucket holds a bounded number of suffixes, however many there are; ranks are spread evenly by their making.
+    buckets = max(1, -(-total * len(COVER) // (PERIOD * bucket_suffixes)), min(shuffle_partitions(docs.sparkSession), 1 + total // (1 << 18)))
 
     def ask(name: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,75 +317,67 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHU
                     reader = _Reader(batch.slice(k, 1).to_pylist()[0], buckets, length)
                     if name == "cover":
                         _, distinct, _, several = reader.sample()
-                        yield _send(reader.chunk, distinct, None, True, buckets, several)
+                        yield _send(reader.chunk, distinct, None, buckets, several)
                         continue
                     tied = reader.tied()
                     if name == "long":
                         _, distinct, owner, _ = reader.long_ties(tied)
                     else:
                         _, distinct, owner, _ = reader.rest(tied, reader.settled(tied))
-                    yield _send(reader.chunk, distinct, reader.c.ids[owner], False, buckets)
+                    yield _send(reader.chunk, distinct, reader.c.ids[owner], buckets)
 
         return run
 
     def answered(name: str, asked: DataFrame) -> DataFrame:
         sent = asked.mapInArrow(ask(name), _SENT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        told = staged(sent.mapInArrow(_rank_buckets(name == "cover"), _TOLD))
-        return told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags")).alias(name))
+        answers = staged(sent.mapInArrow(_rank_buckets(name == "cover"), _TOLD))
+        return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags")).alias(name))
 
     known = units
     for name in ("cover", "long", "rest"):
         known = known.join(answered(name, known), "chunk", "left")
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 reader = _Reader(batch.slice(k, 1).to_pylist()[0], buckets, length)
                 c = reader.c
                 covered = c.reach(np.flatnonzero(reader.repeated()), 0, length - 1)
-                edge = np.diff(np.concatenate(([0], covered.astype(np.int8), [0])))
-                # A run ends with its document, also where the next one begins covered.
-                inner = c.begins[1:][covered[c.begins[1:]] & covered[c.begins[1:] - 1]] if len(c.begins) > 1 else np.zeros(0, np.int64)
-                begin = np.sort(np.concatenate((np.flatnonzero(edge == 1), inner)))
-                end = np.sort(np.concatenate((np.flatnonzero(edge == -1), inner)))
-                doc = c.owner[begin]
-                yield pa.RecordBatch.from_arrays([pa.array(c.ids[doc]), pa.array(begin - c.begins[doc]), pa.array(end - c.begins[doc])], ["doc_id", "start", "end"])
-
-    spans = known.mapInArrow(runs, "doc_id bigint, start bigint, end bigint")
-    return spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), first
-
-
-def deduplicate(docs: DataFrame, length: int = LENGTH, **settings) -> DataFrame:
-    """Per row of `docs`: doc_id, n_bytes, spans (removed runs), n_removed, n_spans, kept (the bytes that remain).
-
-    Null and empty texts have no bytes and lose none. Rows without id are left as they are and take nothing from others. Rows that
-    share id and text get equal results; with one id on several texts, each is judged by its own bytes against smaller
-    ids. Empty input gives an empty result. Only doc_id and text are read.
-    """
-    runs, first = repeated_bytes(docs, length, **settings)
-    text = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    rows = docs.select("doc_id", text.alias("bytes"), F.unhex(F.sha2(text, 256)).alias("_key"))
-    told = rows.join(first, F.col("_key") == F.col("text_key"), "left").join(runs.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("bytes").cast("long").alias("end")))
+                data, out = c.data.tobytes(), []
+                for doc, b, e in zip(c.ids.tolist(), c.begins.tolist(), c.ends.tolist()):
+                    edge = np.flatnonzero(np.diff(covered[b:e].astype(np.int8), prepend=0, append=0)).tolist()
+                    runs = list(zip(edge[0::2], edge[1::2]))
+                    at, parts = b, []
+                    for begin, end in runs:
+                        parts.append(data[at:b + begin])
+                        at = b + end
+                    kept = b"".join([*parts, data[at:e]])
+                    out.append((doc, hashlib.sha256(data[b:e]).hexdigest(), [{"start": x, "end": y} for x, y in runs], e - b - len(kept), hashlib.sha256(kept).hexdigest()))
+                columns = list(zip(*out))
+                kinds = (pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["_id", "_sha256", "_spans", "_removed", "_kept"])
+
+    read = known.mapInArrow(cut, "_id bigint, _sha256 string, _spans array<struct<start:bigint,end:bigint>>, _removed bigint, _kept string")
+    joined = told.join(first.select("text_sha256", "first_id"), "text_sha256", "left")
+    joined = joined.join(read, (F.col("doc_id") == F.col("_id")) & (F.col("text_sha256") == F.col("_sha256")), "left")
+    copy = F.coalesce((F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= length), F.lit(False))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    spans = F.when(F.col("doc_id").isNull() | (F.octet_length("bytes") < length), none).when(
-        F.col("doc_id") > F.col("first_id"), whole).otherwise(F.coalesce("spans", none))
-    told = told.select("doc_id", "bytes", spans.alias("spans"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, removed = [], []
-            for text, spans in zip(batch.column("bytes").to_pylist(), batch.column("spans").to_pylist()):
-                at, parts = 0, []
-                for s in spans:
-                    parts.append(text[at:s["start"]])
-                    at = s["end"]
-                kept.append(b"".join([*parts, text[at:]]))
-                removed.append(len(text) - len(kept[-1]))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(k) + r for k, r in zip(kept, removed)], pa.int64()), batch.column("spans"),
-                pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(kept, pa.binary()),
-            ], ["doc_id", "n_bytes", "spans", "n_removed", "kept_sha256", "kept"])
-
-    schema = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, n_removed bigint, kept_sha256 string, kept binary"
-    return told.mapInArrow(cut, schema).withColumn("n_spans", F.size("spans").cast("long"))
+    out = joined.select(
+        "doc_id", F.col("key").alias("text_key"), "n_bytes", F.when(copy, whole).otherwise(F.coalesce("_spans", none)).alias("spans"),
+        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("_kept", "text_sha256")).alias("kept_sha256"))
+    return out.withColumn("n_spans", F.size("spans").cast("long"))
+
+
+def kept_texts(docs: DataFrame, **settings) -> DataFrame:
+    """`docs` with `kept` (binary): the bytes of each text that `deduplicate` leaves, which may cut a character; null for null text."""
+    names = [c for c in docs.columns if c != "kept"]
+    told = deduplicate(docs, **settings).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
+    joined = packed.join(told, packed["_doc"].eqNullSafe(told["_id"]) & (packed["_text"] == told["_key"]), "left")
+    data = F.encode("_row.text", "UTF-8")
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["end"]))
+    pieces = F.transform(ends, lambda at, i: F.substring(data, at.cast("int") + 1, (F.coalesce(F.get("_spans", i)["start"], F.octet_length(data).cast("long")) - at).cast("int")))
+    kept = F.aggregate(pieces, F.lit(b""), lambda a, piece: F.concat(a, piece))
+    return joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], F.when(data.isNotNull(), kept).alias("kept"))
