@@ -150,9 +150,12 @@ def parse_responses(df: DataFrame, response: str = "response_text", text: str =
 def classify_mixed(df: DataFrame, responses: DataFrame, row_id: str = "url", **rules) -> DataFrame:
     """Landed response where there is one, keyword rules where there is none; `parsed_as` tells which.
 
-    `responses` has at most one row per address. `rules` are the parameters of `classify_keywords`.
+    Of several answers for one address the last counts, by `landed_at` where `responses` has that column; equal times
+    are settled by the text. `rules` are the parameters of `classify_keywords`.
     """
-    joined = lookup_join(df, responses.select("url", "response_text"), ["url"], [row_id])
+    order = [c for c in ("landed_at", "response_text") if c in responses.columns]
+    answers = responses.groupBy("url").agg(F.max_by("response_text", F.struct(*order)).alias("response_text"))
+    joined = lookup_join(df, answers, ["url"], [row_id])
     ruled = classify_keywords(joined, **rules).withColumnRenamed("analysis", "__ruled")
     parsed = parse_responses(
         ruled,

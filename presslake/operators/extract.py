@@ -124,19 +124,22 @@ def _parse(html: str, matches) -> _Regions:
     return reader
 
 
-def _tree_text(html: str) -> str:
+def _tree_text(html: str, min_region: int = MIN_REGION) -> str:
     page = _parse(html, _region_names)
     for name in CONTENT_REGIONS:
         text = " ".join(page.texts(name))
-        if len(text) > MIN_REGION:
+        if len(text) > min_region:
             return text
     return " ".join(page.texts("body")[:1])
 
 
-@F.pandas_udf(T.StringType())
-def tree_text(pages: pd.Series) -> pd.Series:
+def tree_text(html: Column | str, min_region: int = MIN_REGION) -> Column:
     """Region text by walking the element tree; null in, null out."""
-    return pages.map(_tree_text, na_action="ignore")
+    @F.pandas_udf(T.StringType())
+    def read(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: _tree_text(page, min_region), na_action="ignore")
+
+    return read(html)
 
 
 def page_text(df: DataFrame, html: str = "html", out: str = "text", min_region: int = MIN_REGION) -> DataFrame:
@@ -162,7 +165,7 @@ def page_text(df: DataFrame, html: str = "html", out: str = "text", min_region:
         | F.col("__raw").rlike(OTHER_ENTITY)
     )
     read = steps.select(*df.columns, F.col("__text"), F.when(needs_tree, F.col(html)).alias("__odd"))
-    read = read.withColumn("__text", F.coalesce(tree_text("__odd"), "__text"))
+    read = read.withColumn("__text", F.coalesce(tree_text("__odd", min_region), "__text"))
     read = read.withColumn("__text", fix_mojibake("__text"))
     kept = [c for c in df.columns if c != out]
     return computed(
@@ -211,7 +214,8 @@ def title_repair(df: DataFrame, pages: DataFrame, site_name: Column | None = Non
 
     `site_name` is the lower-case name of a row's site, null for sites whose titles are trusted. A heading
     must differ from that name and have more than five characters; without one the title stays. Only the
-    pages of affected rows are read. Adds `title_repaired`.
+    pages of affected rows are read. A page landed more than once gives the headings of its longest version, so
+    a row stays one row. Adds `title_repaired`.
     """
     if site_name is None:
         site_name = F.when(F.col("domain") == "deadline.com", "deadline")
@@ -219,8 +223,9 @@ def title_repair(df: DataFrame, pages: DataFrame, site_name: Column | None = Non
     generic = F.col("__site").isNotNull() & (is_empty("title") | (F.lower(strip("title")) == F.col("__site")))
     marked = marked.withColumn("__generic", generic)
     headings = pages.join(marked.filter("__generic").select("url").distinct(), "url", "left_semi").select(
-        "url", F.array(*heading_candidates(html)).alias("__headings")
+        "url", F.length(html).alias("__size"), F.array(*heading_candidates(html)).alias("__headings")
     )
+    headings = headings.groupBy("url").agg(F.max_by("__headings", F.struct("__size", "__headings")).alias("__headings"))
     joined = lookup_join(marked, headings, ["url"], [row_id] if row_id else None)
     usable = F.filter("__headings", lambda t: (F.length(t) > 5) & (F.lower(t) != F.col("__site")))
     found = F.when(F.col("__generic"), F.get(usable, F.lit(0)))

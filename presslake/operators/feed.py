@@ -28,6 +28,16 @@ def feed_window(df: DataFrame, as_of: dt.datetime, hours: float = 2, compact: bo
     return df.filter(parse_time("seendate").between(instant(start), instant(as_of)))
 
 
+def seen_after(df: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Feed rows that claim to be seen after `as_of`, which cannot be."""
+    return df.filter(parse_time("seendate") > instant(as_of))
+
+
+def seen_by(df: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """All other feed rows, however old; rows whose time cannot be read stay."""
+    return df.filter(F.coalesce(parse_time("seendate") <= instant(as_of), F.lit(True)))
+
+
 def feed_required(df: DataFrame) -> DataFrame:
     return df.filter(~is_empty("url") & ~is_empty("title") & ~is_empty("seendate"))
 

@@ -115,6 +115,12 @@ def domain_failures(failures: DataFrame, max_failures: int = MAX_FAILURES) -> Da
     )
 
 
+def failures_by_kind(failures: DataFrame) -> DataFrame:
+    """One row per domain and kind of reason, every kind under its own name."""
+    kind = F.substring_index(F.coalesce("reason", F.lit("text_extraction_failed")), ":", 1)
+    return failures.groupBy("domain", kind.alias("kind")).agg(F.count(F.lit(1)).alias("failures"), F.max("at").alias("last_failure_at"))
+
+
 def failed_domains(failures: DataFrame, max_failures: int = MAX_FAILURES) -> DataFrame:
     """The blacklist: one row per domain with at least `max_failures` failures."""
     return (

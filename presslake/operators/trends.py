@@ -66,11 +66,13 @@ def trend(df: DataFrame, unit: str, as_of: dt.datetime, lang: str = "en", years:
     return calendar.join(counts, "bucket", "left").select("bucket", "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def time_rollup(df: DataFrame, units: list[str], start: dt.datetime, end: dt.datetime,
+def time_rollup(df: DataFrame, units: list[str], start: dt.datetime | None = None, end: dt.datetime | None = None,
                 time: str = "processed_at") -> DataFrame:
-    """Counts per bucket over any range, with subtotals: a rollup over truncated times, largest unit first."""
+    """Counts per bucket over any range, or all time, with subtotals: a rollup over truncated times, largest unit first."""
     levels = [F.date_trunc(u, time).alias(u) for u in units]
+    rows = df if start is None else df.filter(F.col(time) >= instant(start))
+    rows = rows if end is None else rows.filter(F.col(time) < instant(end))
     return (
-        df.filter((F.col(time) >= instant(start)) & (F.col(time) < instant(end)))
+        rows.filter(F.col(time).isNotNull())
         .select(*levels).rollup(*units).agg(F.count(F.lit(1)).alias("n"))
     )

@@ -20,11 +20,15 @@ from presslake.sources import readers, store
 
 @dataclass(frozen=True)
 class BatchConfig:
-    """Everything a batch depends on. There is no hidden clock: the same inputs give the same tables."""
+    """Everything a batch depends on. There is no hidden clock: the same inputs give the same tables.
+
+    With `look_back_hours=None` every feed row up to `as_of` counts, however old, and rows that claim a later time are
+    stored as rejected; that is for feeds which give each row once.
+    """
 
     as_of: dt.datetime
     batch_id: str
-    look_back_hours: float = 2
+    look_back_hours: float | None = 2
     min_length: int = quality.MIN_ARTICLE_LENGTH
     max_failures: int = quality.MAX_FAILURES
     retention_days: int = 30
@@ -39,7 +43,10 @@ class BatchConfig:
 def select_candidates(feed: DataFrame, config: BatchConfig, known: DataFrame | None = None,
                       failed: DataFrame | None = None, position: str = "position") -> DataFrame:
     """Feed rows worth extracting, in ingest order. All native filters come before any page is read."""
-    rows = feeds.feed_required(feeds.feed_window(feed, config.as_of, config.look_back_hours))
+    if config.look_back_hours is None:
+        rows = feeds.feed_required(feeds.seen_by(feed, config.as_of))
+    else:
+        rows = feeds.feed_required(feeds.feed_window(feed, config.as_of, config.look_back_hours))
     rows = feeds.with_ingest_rank(feeds.language_filter(rows, config.languages), position)
     gated = feeds.domain_gate(rows, failed, config.reliable, config.problematic, config.japanese,
                               row_id="ingest_rank").filter("gate_reason = 'reliable'")
@@ -65,6 +72,16 @@ def extract_articles(candidates: DataFrame, pages: DataFrame, config: BatchConfi
     return feeds.article_record(articles, config.as_of, config.categories), failures
 
 
+def ahead_of_time(feed: DataFrame, config: BatchConfig) -> DataFrame:
+    """Feed rows dated after `as_of` as rejected articles, one per address; their pages are not read."""
+    rows = feeds.feed_required(feeds.seen_after(feed, config.as_of)).drop("text")
+    named = [c for c in rows.columns if c != "url"]
+    one = rows.groupBy("url").agg(F.min(F.struct(*named)).alias("__row")).select("url", *[F.col(f"__row.{c}").alias(c) for c in named])
+    return feeds.article_record(one, config.as_of, config.categories).withColumns(
+        {"reject_reason": F.lit("date_in_future"), "rejection_reason": F.lit("validation_failed")}
+    )
+
+
 def classify_articles(valid: DataFrame, cache: DataFrame, config: BatchConfig,
                       responses: DataFrame | None = None) -> DataFrame:
     """Analysis, flat columns and both summaries."""
@@ -95,7 +112,7 @@ def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str,
         )
         rejected = readers.read_table(spark, paths["rejected"], STORED_REJECTED).filter(others)
         cache = store.latest(
-            readers.read_table(spark, paths["summary_cache"], SUMMARY_TABLE).filter(others), "cache_key", ["batch_id"]
+            readers.read_table(spark, paths["summary_cache"], SUMMARY_TABLE).filter(others), "cache_key", store.written_order("at")
         )
         failures = readers.read_table(spark, paths["failures"], FAILURE).filter(others)
         known = dedup.known_urls(processed, rejected)
@@ -108,26 +125,29 @@ def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str,
         fresh = dedup.dedup_cross_run(valid, None, processed)
         scored = classify_articles(fresh, cache, config, responses).withColumn("batch_id", F.lit(config.batch_id))
         accepted = staged(scored)
-        refused = quality.rejected_rows(validated).withColumns(
+        turned_down = quality.rejected_rows(validated)
+        if config.look_back_hours is None:
+            turned_down = turned_down.unionByName(ahead_of_time(feed, config), allowMissingColumns=True)
+        refused = turned_down.withColumns(
             {"batch_id": F.lit(config.batch_id), "rejected_at": F.col("downloaded_at")}
         )
 
-        store.write_batch_json(conform(accepted, ARTICLE), paths["articles_json"])
-        store.write_batch_json(conform(refused, REJECTED), paths["rejected_json"])
+        store.write_batch_json(conform(accepted, ARTICLE), paths["articles_json"], config.batch_id)
+        store.write_batch_json(conform(refused, REJECTED), paths["rejected_json"], config.batch_id)
         stored = enrich.store_projection(accepted, instant(config.as_of),
                                          F.lit(f"{paths['articles_json']}/batch_id={config.batch_id}"))
-        store.append_batch(stored, paths["processed"])
+        store.append_batch(stored, paths["processed"], batch_id=config.batch_id)
         refusals = enrich.reject_projection(refused, F.lit(f"{paths['rejected_json']}/batch_id={config.batch_id}"))
-        store.append_batch(refusals, paths["rejected"], "rejected_at")
-        store.append_batch(conform(new_failures, FAILURE), paths["failures"], "at")
+        store.append_batch(refusals, paths["rejected"], "rejected_at", batch_id=config.batch_id)
+        store.append_batch(conform(new_failures, FAILURE), paths["failures"], "at", batch_id=config.batch_id)
         filled = accepted.filter(F.col("ai_topic_detected") & (F.col("summary_da") != "")).select(
             classify.cache_key().alias("cache_key"), F.col("summary_da").alias("summary"),
             F.lit(config.batch_id).alias("batch_id"), instant(config.as_of).alias("at"),
         )
         new_entries = filled.join(cache.select("cache_key"), "cache_key", "left_anti")
-        store.append_batch(new_entries, paths["summary_cache"], "at")
+        store.append_batch(new_entries, paths["summary_cache"], "at", batch_id=config.batch_id)
         manifest = store.batch_manifest(accepted, refused, instant(config.as_of), f"{root}/")
-        store.append_batch(manifest, paths["manifest"], "written_at")
+        store.append_batch(manifest, paths["manifest"], "written_at", batch_id=config.batch_id)
 
         tagged = (
             validated.select("url", F.when(F.col("reject_reason").isNotNull(), "rejected").alias("stage"))

@@ -840,7 +840,7 @@ ORACLE["trend_yearly"] = _trend_sql("range(2022, 2025)", "b::VARCHAR", "year(pro
     GROUP BY ROLLUP (1, 2)""")
 def trend_rollup(spark, sf_dir):
     rows = analytics.ai_only(st.stored(spark, sf_dir))
-    out = trends.time_rollup(rows, ["month", "day"], dt.datetime(2024, 1, 1), dt.datetime(2034, 1, 1))
+    out = trends.time_rollup(rows, ["month", "day"])
     return out.select(*[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("month", "day")], "n")
 
 
@@ -857,8 +857,9 @@ def facets(spark, sf_dir):
     return analytics.facets(st.stored(spark, sf_dir))
 
 
-@query("docs", """SELECT have_danish, have_other, greatest(0, 25000 - have_danish)::BIGINT AS missing_danish,
-    greatest(0, 25001 - have_other)::BIGINT AS missing_other FROM (SELECT count(*) FILTER (language = 'de') AS have_danish,
+@query("docs", """SELECT have_danish, have_other,
+    CASE WHEN have_danish + have_other < 50001 THEN greatest(0, 25000 - have_danish) ELSE 0 END::BIGINT AS missing_danish,
+    CASE WHEN have_danish + have_other < 50001 THEN greatest(0, 25001 - have_other) ELSE 0 END::BIGINT AS missing_other FROM (SELECT count(*) FILTER (language = 'de') AS have_danish,
       count(*) FILTER (language <> 'de') AS have_other FROM docs)""")
 def quota_gap(spark, sf_dir):
     return feed.quota_gap(st.articles(spark, sf_dir), 50001, F.col("language") == "de")
@@ -993,7 +994,7 @@ def stream_unique_urls(spark, sf_dir):
 def monitor_topics(spark, sf_dir):
     """Feed to topics: gate, extract, validate, remove duplicates, classify, count by language and topic."""
     config = BatchConfig(
-        dt.datetime(2034, 1, 1), "b1", look_back_hours=24 * 4000, reliable=st.RELIABLE, problematic=st.PROBLEMATIC,
+        dt.datetime(9999, 1, 1), "b1", look_back_hours=None, reliable=st.RELIABLE, problematic=st.PROBLEMATIC,
         japanese=st.JAPANESE, languages=["en", "fr", "de", "es"], categories=st.PAGE_CATEGORIES, classifier=st.CLASSIFIER,
     )
     rows = st.page_feed(spark, sf_dir).drop("html", "ingest_rank")

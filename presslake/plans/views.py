@@ -18,8 +18,8 @@ def stored_tables(spark: SparkSession, root: str, as_of: dt.datetime | None = No
 
     With `as_of`, articles and runs older than `days` are left out to the second, not only by whole days.
     """
-    articles = store.latest(readers.read_table(spark, f"{root}/processed", STORED), "url", ["batch_id"])
-    rejected = store.latest(readers.read_table(spark, f"{root}/rejected", STORED_REJECTED), "url", ["batch_id"])
+    articles = store.latest(readers.read_table(spark, f"{root}/processed", STORED), "url", store.written_order("processed_at"))
+    rejected = store.latest(readers.read_table(spark, f"{root}/rejected", STORED_REJECTED), "url", store.written_order("rejected_at"))
     runs = store.runs_current(readers.read_table(spark, f"{root}/runs", RUN_EVENT))
     if as_of:
         articles = store.retained(articles, as_of, days)

@@ -1,7 +1,7 @@
 """Stored tables and batch files.
 
 Tables are append-only parquet, partitioned by day and batch. An "upsert" appends, and readers take the
-latest row of a key, so a batch never rewrites what is already stored. Writing a batch again replaces
+latest row of a key, so a batch never rewrites what is already stored. Writing a batch again under its id replaces
 exactly its own partitions, which makes a re-run after a failure harmless. Retention drops whole days.
 """
 
@@ -16,7 +16,12 @@ from presslake.schemas import RUN_EVENT
 from presslake.sources.readers import path_exists
 
 
-def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+def written_order(time: str | None = None) -> list[Column]:
+    """When a row was written: by its time, then by batch id, of which a longer one is later (`b10` after `b9`)."""
+    return [*([F.col(time)] if time else []), F.length("batch_id"), F.col("batch_id")]
+
+
+def latest(df: DataFrame, key: str, order: list[str | Column]) -> DataFrame:
     """The last written row per key. One shuffle, and copies combine before it."""
     rest = [c for c in df.columns if c != key]
     return (
@@ -25,9 +30,9 @@ def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     )
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: str = "url", order: list[str] = ["batch_id"]) -> DataFrame:
-    """Stored and incoming rows, the last written row per key."""
-    return latest(stored.unionByName(incoming, allowMissingColumns=True), key, order)
+def upsert(stored: DataFrame, incoming: DataFrame, key: str = "url", order: list[str | Column] | None = None) -> DataFrame:
+    """Stored and incoming rows, the last written row per key; without `order` by batch id."""
+    return latest(stored.unionByName(incoming, allowMissingColumns=True), key, order or written_order())
 
 
 def retained(df: DataFrame, as_of: dt.datetime, days: int = 30, column: str = "processed_at") -> DataFrame:
@@ -35,8 +40,22 @@ def retained(df: DataFrame, as_of: dt.datetime, days: int = 30, column: str = "p
     return df.filter(F.col(column) >= instant(as_of - dt.timedelta(days=days)))
 
 
-def append_batch(df: DataFrame, path: str, day: str = "processed_at", files_per_partition: int | None = None) -> None:
-    """Write the rows of a batch below `day=…/batch_id=…`, replacing earlier output of the same batch."""
+def _drop_batch(spark: SparkSession, path: str, batch_id: str, levels: str = "") -> None:
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(batch_id)
+    fs, target = _file_system(spark, f"{path}/{levels}batch_id={name}")
+    for entry in fs.globStatus(target) or []:
+        fs.delete(entry.getPath(), True)
+
+
+def append_batch(df: DataFrame, path: str, day: str = "processed_at", files_per_partition: int | None = None,
+                 batch_id: str | None = None) -> None:
+    """Write the rows of a batch below `day=…/batch_id=…`, replacing earlier output of the same batch.
+
+    Given `batch_id`, all earlier output of that batch goes first, also on days that it no longer has; without
+    it only the partitions that are written anew are replaced.
+    """
+    if batch_id is not None:
+        _drop_batch(df.sparkSession, path, batch_id, "day=*/")
     out = df.withColumn("day", F.to_date(day))
     if files_per_partition:
         out = out.repartition(files_per_partition)
@@ -46,8 +65,13 @@ def append_batch(df: DataFrame, path: str, day: str = "processed_at", files_per_
     )
 
 
-def write_batch_json(df: DataFrame, path: str) -> None:
-    """JSON lines below `batch_id=…`; times are ISO text and non-ASCII text stays as it is."""
+def write_batch_json(df: DataFrame, path: str, batch_id: str | None = None) -> None:
+    """JSON lines below `batch_id=…`; times are ISO text and non-ASCII text stays as it is.
+
+    Given `batch_id`, earlier output of that batch goes first, also if it now has no rows.
+    """
+    if batch_id is not None:
+        _drop_batch(df.sparkSession, path, batch_id)
     (
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False)
         .partitionBy("batch_id").json(path)

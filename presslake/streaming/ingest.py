@@ -69,21 +69,24 @@ def append_rows(rows: DataFrame, path: str, checkpoint: str, interval: str | Non
 
 
 def ingest(feed: DataFrame, pages: Callable[[SparkSession], DataFrame], root: str, config: BatchConfig,
-           checkpoint: str, interval: str | None = None, position: str = "position") -> StreamingQuery:
+           checkpoint: str, interval: str | None = None, position: str = "position",
+           as_of: Callable[[], dt.datetime] | None = None,
+           responses: Callable[[SparkSession], DataFrame] | None = None) -> StreamingQuery:
     """Run the whole batch on every micro-batch of a feed stream.
 
     `interval=None` works off what has landed and stops. The micro-batch number names the batch, so a
-    micro-batch that is repeated after a failure replaces its own output. `as_of` of the micro-batch is its
-    latest seen time; the look-back window then bounds how late a row may be.
+    micro-batch that is repeated after a failure replaces its own output. The source gives each row once, so there is no
+    look-back: a backlog is stored whole. The time of a micro-batch comes from `as_of`, by default the clock of
+    the driver in UTC, never from the rows; rows dated after it are stored as rejected, and retention follows it.
+    `pages` and `responses` (landed classifier answers) are read anew for each micro-batch.
     """
+    clock = as_of or (lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest = batch.agg(F.max(F.unix_micros(parse_time("seendate")))).head()[0]
-        if latest is None:
+        if batch.isEmpty():
             return
-        as_of = dt.datetime.fromtimestamp(latest / 1e6, dt.timezone.utc).replace(tzinfo=None)
-        run_batch(spark, batch, pages(spark), root, replace(config, as_of=as_of, batch_id=f"stream-{number:012d}"),
-                  position=position)
+        settings = replace(config, as_of=clock(), batch_id=f"stream-{number:012d}", look_back_hours=None)
+        run_batch(spark, batch, pages(spark), root, settings, responses(spark) if responses else None, position)
 
     return _start(feed.writeStream.foreachBatch(run), checkpoint, interval)

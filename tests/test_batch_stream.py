@@ -127,15 +127,35 @@ def test_stream_of_batches_equals_one_batch(spark, tmp_path):
     stream = ingest.feed_stream(spark, f"{tmp_path}/feed", schema=feed.schema, max_files=1)
     config = BatchConfig(AS_OF, "-")
     for _ in range(2):  # the second start finds nothing new
-        ingest.ingest(stream, lambda s: pages, f"{tmp_path}/root", config, f"{tmp_path}/state").awaitTermination()
+        ingest.ingest(stream, lambda s: pages, f"{tmp_path}/root", config, f"{tmp_path}/state", as_of=lambda: AS_OF).awaitTermination()
     whole = f"{tmp_path}/whole"
-    run_batch(spark, feed, pages, whole, BatchConfig(dt.datetime(2024, 1, 1, 11, 30), "0001"))
+    run_batch(spark, feed, pages, whole, BatchConfig(AS_OF, "0001", look_back_hours=None))
     strip = lambda c: [r[:-1] for r in c[0]]
     assert strip(contents(spark, f"{tmp_path}/root")) == strip(contents(spark, whole))
     assert contents(spark, f"{tmp_path}/root")[1] == contents(spark, whole)[1]
     assert tables(spark, f"{tmp_path}/root")["runs"].filter("status = 'completed'").count() == 2
 
 
+def test_stream_keeps_a_backlog_and_survives_a_future_date(spark, tmp_path):
+    rows = [
+        (1, "https://cnn.com/early", "Early", "20240101T050000Z", "cnn.com", "en", "US"),
+        (2, "https://cnn.com/late", "Late", "20240101T113000Z", "cnn.com", "en", "US"),
+        (3, "https://cnn.com/never", "Never", "20990101T000000Z", "cnn.com", "en", "US"),
+    ]
+    feed = spark.createDataFrame(rows, FEED)
+    pages = spark.createDataFrame([(r[1], html(AI * 20)) for r in rows], "url string, html string")
+    answers = [("https://cnn.com/early", '{"is_ai_topic": false, "confidence": 0.9}', 1), ("https://cnn.com/early", '{"is_ai_topic": true, "confidence": 0.7}', 2)]
+    landed = spark.createDataFrame(answers, "url string, response_text string, landed_at int")
+    land(spark, feed, f"{tmp_path}/feed", "position < 3", "position = 3")
+    stream = ingest.feed_stream(spark, f"{tmp_path}/feed", schema=feed.schema, max_files=1)
+    ingest.ingest(stream, lambda s: pages, f"{tmp_path}/root", BatchConfig(AS_OF, "-"), f"{tmp_path}/state", as_of=lambda: AS_OF,
+                  responses=lambda s: landed).awaitTermination()
+    t = tables(spark, f"{tmp_path}/root")
+    assert {r.url: r.ai_confidence for r in t["processed"].collect()}["https://cnn.com/early"] == 0.7
+    assert sorted(r.url for r in t["processed"].collect()) == ["https://cnn.com/early", "https://cnn.com/late"]
+    assert [r.url for r in t["rejected"].collect()] == ["https://cnn.com/never"]
+
+
 def test_unique_urls_and_late_rows(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(list(r), "url string, seendate string")
     path = f"{tmp_path}/feed"

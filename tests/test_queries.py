@@ -2,9 +2,11 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import check, connect
+from presslake.plans import queries as registry
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES = {name: run for name, run in entry.queries().items() if name in registry.QUERIES}
+ORACLE = {name: sql for name, sql in entry.oracle_sql().items() if name in registry.QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -138,3 +138,20 @@ def test_processing_step(spark):
     plain = process_articles(df, F.lit(AS_OF)).first()
     assert plain.text == "ﬁ" and plain.content_hash is not None and plain.processed_at == AS_OF and plain.n == 1
     assert process_articles(df, F.lit(AS_OF), normalize_unicode=True).first().text == "fi"
+
+
+def test_a_shrinking_rerun_leaves_no_old_rows(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "url string, batch_id string, processed_at timestamp")
+    day = dt.datetime
+    path = f"{tmp_path}/t"
+    store.append_batch(rows(("a", "b1", day(2024, 1, 1)), ("b", "b1", day(2024, 1, 2))), path, batch_id="b1")
+    store.append_batch(rows(("c", "b2", day(2024, 1, 2))), path, batch_id="b2")
+    store.append_batch(rows(("a", "b1", day(2024, 1, 1))), path, batch_id="b1")
+    assert sorted(r.url for r in spark.read.parquet(path).collect()) == ["a", "c"]
+    store.append_batch(rows(("x", "b1", day(2024, 1, 1))).limit(0), path, batch_id="b1")
+    assert [r.url for r in spark.read.parquet(path).collect()] == ["c"]
+
+
+def test_the_tenth_batch_beats_the_ninth(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "url string, title string, batch_id string")
+    assert store.upsert(rows(("u", "old", "b9")), rows(("u", "new", "b10"))).first().title == "new"
