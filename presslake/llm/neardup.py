@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from presslake.llm.shingles import mixed, shingle_sets
 from presslake.session import staged
@@ -284,8 +285,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     are judged each by its own text. Empty input gives an empty result. Only doc_id and text are read.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    told = staged(keyed.mapInArrow(_describe, keyed.drop("text").withColumns({
-        "n_shingles": F.lit(0).cast("long"), "node": F.lit(b""), "signature": F.lit(b"")}).schema))
+    kinds = [T.StructField(c, keyed.schema[c].dataType) for c in ("doc_id", "text_key")]
+    kinds += [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("signature", T.BinaryType())]
+    told = staged(keyed.mapInArrow(_describe, T.StructType(kinds)))
     some = told.where("node is not null")
     first = some.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("home"))
     first = first.select("node", F.col("home.doc_id").alias("doc_id"), F.col("home.text_key").alias("text_key"))

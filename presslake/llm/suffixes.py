@@ -376,8 +376,10 @@ def kept_texts(docs: DataFrame, **settings) -> DataFrame:
     told = deduplicate(docs, **settings).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
     joined = packed.join(told, packed["_doc"].eqNullSafe(told["_id"]) & (packed["_text"] == told["_key"]), "left")
-    data = F.encode("_row.text", "UTF-8")
+    joined = joined.withColumn("_data", F.encode(F.col("_row")["text"], "UTF-8"))
+    data = F.col("_data")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["end"]))
     pieces = F.transform(ends, lambda at, i: F.substring(data, at.cast("int") + 1, (F.coalesce(F.get("_spans", i)["start"], F.octet_length(data).cast("long")) - at).cast("int")))
     kept = F.aggregate(pieces, F.lit(b""), lambda a, piece: F.concat(a, piece))
-    return joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], F.when(data.isNotNull(), kept).alias("kept"))
+    told = joined.withColumn("_kept", F.when(data.isNotNull(), kept))
+    return told.select(*[F.col("_row")[c].alias(c) for c in names], F.col("_kept").alias("kept"))
