@@ -9,36 +9,50 @@ from pyspark.sql import DataFrame, SparkSession
 
 # ---- fixed values: source domains with their category, in list order -------------------------------
 CATEGORY_DOMAINS = {
-    "advertising and commercial": (
-        "adweek.com adage.com thedrum.com campaignlive.com markedsforing.dk bureaubiz.dk"
-    ),
-    "journalism, news and media": (
-        "reuters.com bbc.com theguardian.com cnn.com washingtonpost.com npr.org nbcnews.com abcnews.go.com "
-        "cbsnews.com msnbc.com foxnews.com usatoday.com latimes.com theglobeandmail.com nationalpost.com "
-        "cjr.org niemanlab.org poynter.org pressgazette.co.uk journalisten.dk dr.dk tv2.dk berlingske.dk "
-        "jyllands-posten.dk ekstrabladet.dk bt.dk information.dk weekendavisen.dk kristeligt-dagblad.dk "
-        "kforum.dk medietrends.dk mediawatch.dk politiken.dk arbejderen.dk avisen.dk nordjyske.dk sn.dk fyens.dk"
-    ),
-    "graphic design and visual communication": (
-        "creativereview.co.uk commarts.com itsnicethat.com eyeondesign.aiga.org"
-    ),
-    "strategic communication and PR": "prweek.com provokemedia.com prdaily.com",
-    "film and TV production": "variety.com hollywoodreporter.com indiewire.com deadline.com ekkofilm.dk",
-    "photography": "nationalgeographic.com bjp-online.com petapixel.com lensculture.com digitalfoto.dk",
-    "web and UX design": "smashingmagazine.com alistapart.com uxmag.com nngroup.com",
-    "digital media and content creation": (
-        "soundvenue.dk ddc.dk theverge.com wired.com mashable.com digiday.com contentmarketinginstitute.com "
-        "computerworld.dk version2.dk elektronista.dk"
-    ),
+    "advertising and commercial": [
+        "adweek.com", "adage.com", "thedrum.com", "campaignlive.com", "markedsforing.dk", "bureaubiz.dk",
+    ],
+    "journalism, news and media": [
+        "reuters.com", "bbc.com", "theguardian.com", "cnn.com", "washingtonpost.com", "npr.org", "nbcnews.com",
+        "abcnews.go.com", "cbsnews.com", "msnbc.com", "foxnews.com", "usatoday.com", "latimes.com",
+        "theglobeandmail.com", "nationalpost.com", "cjr.org", "niemanlab.org", "poynter.org", "pressgazette.co.uk",
+        "journalisten.dk", "dr.dk", "tv2.dk", "berlingske.dk", "jyllands-posten.dk", "ekstrabladet.dk", "bt.dk",
+        "information.dk", "weekendavisen.dk", "kristeligt-dagblad.dk", "kforum.dk", "medietrends.dk",
+        "mediawatch.dk", "politiken.dk", "arbejderen.dk", "avisen.dk", "nordjyske.dk", "sn.dk", "fyens.dk",
+    ],
+    "graphic design and visual communication": [
+        "creativereview.co.uk", "commarts.com", "itsnicethat.com", "eyeondesign.aiga.org",
+    ],
+    "strategic communication and PR": [
+        "prweek.com", "provokemedia.com", "prdaily.com",
+    ],
+    "film and TV production": [
+        "variety.com", "hollywoodreporter.com", "indiewire.com", "deadline.com", "ekkofilm.dk",
+    ],
+    "photography": [
+        "nationalgeographic.com", "bjp-online.com", "petapixel.com", "lensculture.com", "digitalfoto.dk",
+    ],
+    "web and UX design": [
+        "smashingmagazine.com", "alistapart.com", "uxmag.com", "nngroup.com",
+    ],
+    "digital media and content creation": [
+        "soundvenue.dk", "ddc.dk", "theverge.com", "wired.com", "mashable.com", "digiday.com",
+        "contentmarketinginstitute.com", "computerworld.dk", "version2.dk", "elektronista.dk",
+    ],
 }
-PROBLEMATIC_DOMAINS = (
-    "youtube.com vimeo.com dailymotion.com twitch.tv tiktok.com facebook.com twitter.com instagram.com deperu.com"
-).split()
-JAPANESE_DOMAINS = "jp.reuters.com jp.bloomberg.com asahi.com mainichi.jp yomiuri.co.jp".split()
-ACCEPTED_LANGUAGES = "en da danish eng dan English Danish".split()
+PROBLEMATIC_DOMAINS = [
+    "youtube.com", "vimeo.com", "dailymotion.com", "twitch.tv", "tiktok.com", "facebook.com", "twitter.com",
+    "instagram.com", "deperu.com",
+]
+JAPANESE_DOMAINS = [
+    "jp.reuters.com", "jp.bloomberg.com", "asahi.com", "mainichi.jp", "yomiuri.co.jp",
+]
+ACCEPTED_LANGUAGES = [
+    "en", "da", "danish", "eng", "dan", "English", "Danish",
+]
 # ---- end of fixed values ---------------------------------------------------------------------------
 
-DOMAIN_CATEGORY = [(d, c) for c, names in CATEGORY_DOMAINS.items() for d in names.split()]
+DOMAIN_CATEGORY = [(d, c) for c, names in CATEGORY_DOMAINS.items() for d in names]
 RELIABLE_DOMAINS = [d for d, _ in DOMAIN_CATEGORY]
 DANISH_DOMAINS = [d for d in RELIABLE_DOMAINS if d.endswith(".dk")]
 

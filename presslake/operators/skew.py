@@ -1,51 +1,62 @@
 """Membership joins that stay balanced when one key holds a large share of the rows.
 
-Keys that fill more than 1/SUPPORT of the probing side are found in one column-pruned pass with bounded
-state. Rows of such keys are spread over SALTS shuffle partitions and the few matching rows of the other
-side are repeated once per salt, so the result is exactly that of the plain join. Without such keys the
-plain join is used, and it shares the shuffle of the distinct step on the other side.
+A key is hot when it holds more rows than a mean task gets, that is a share above 1/partitions of the probing side. Hot keys
+are found in one column-pruned pass with bounded state. Their rows are spread over as many salts as
+their share asks for, and the few matching rows of the other side are repeated once per salt, so the
+result is exactly that of the plain join. Both limits come from the measured share and the number of shuffle
+partitions; they are the same at every size. Without hot keys the plain join is used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-SUPPORT = 256
-SALTS = 64
-# A group below this many rows is no burden for one task, whatever its share.
-MIN_HOT_ROWS = 20_000
+# Counters that the sketch keeps for each key that it is to find: it errs by less than a fifth of a mean task.
+COUNTERS = 16
 
 
-def hot_hashes(df: DataFrame, *key_sets: list[str]) -> list[list[int]]:
-    """Per set of key columns, the hashes of the frequent keys of `df`: at most SUPPORT, in one row for the driver.
+def tasks_of(df: DataFrame) -> int:
+    """Over how many tasks a shuffle of `df` is dealt."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    The sketch counts any key with a share of 1/SUPPORT to within a fifth of that share, in a few thousand
-    counters per task. Both sides of a join must use the same list, so it is fixed here and not left in the
-    plan; it decides the balance of the join only, never its result.
+
+def hot_hashes(df: DataFrame, *key_sets: list[str]) -> list[dict[int, int]]:
+    """Per set of key columns, the hash and the number of salts of every hot key of `df`.
+
+    There are fewer hot keys than shuffle partitions, so what the driver holds is bounded by their number. Salts are
+    powers of two and leave at most half a mean task to each. Both sides of a join must use the same
+    list, so it is fixed here and not left in the plan; it decides the balance of the join only, never its result.
     """
+    tasks = tasks_of(df)
     names = [f"__h{i}" for i in range(len(key_sets))]
     hashed = df.select(*[F.xxhash64(*keys).alias(name) for name, keys in zip(names, key_sets)])
     found = hashed.agg(
         F.count(F.lit(1)).alias("total"),
-        *[F.expr(f"approx_top_k({name}, {SUPPORT}, {16 * SUPPORT})").alias(name) for name in names],
+        *[F.expr(f"approx_top_k({name}, {tasks}, {min(COUNTERS * tasks, 1_000_000)})").alias(name) for name in names],
     ).head()
-    least = max(MIN_HOT_ROWS, found["total"] / SUPPORT)
-    return [sorted(key for key, n in found[name] if n >= least) for name in names]
+    mean = found["total"] / tasks
+    return [{key: 2 ** int(min(2 * n / mean, n)).bit_length() for key, n in found[name] if n > max(1, mean)} for name in names]
+
+
+def _salts(keys: list[str], hot: dict[int, int]) -> Column:
+    """Number of salts of a row: one, or that of its hot key. Keys of equal number are tested as one set."""
+    number, hashed = F.lit(1), F.xxhash64(*keys)
+    for salts in sorted(set(hot.values())):
+        number = F.when(hashed.isin([k for k, n in hot.items() if n == salts]), salts).otherwise(number)
+    return number
 
 
-def with_salt(df: DataFrame, keys: list[str], hot: list[int], spread: list[str], out: str = "__salt") -> DataFrame:
-    """Probing side: rows of a hot key get one of SALTS numbers, all other rows get 0.
+def with_salt(df: DataFrame, keys: list[str], hot: dict[int, int], spread: list[str], out: str = "__salt") -> DataFrame:
+    """Probing side: rows of a hot key get one of its salts, all other rows get 0.
 
     The number comes from row data, never from a random source, so a recomputed task repeats it.
     """
-    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    return df.withColumn(out, F.when(F.xxhash64(*keys).isin(hot), salt).otherwise(F.lit(0)))
+    return df.withColumn(out, F.pmod(F.xxhash64(*spread), _salts(keys, hot)).cast("int"))
 
 
-def repeat_salts(df: DataFrame, keys: list[str], hot: list[int], out: str = "__salt") -> DataFrame:
+def repeat_salts(df: DataFrame, keys: list[str], hot: dict[int, int], out: str = "__salt") -> DataFrame:
     """Other side: one copy per salt for a hot key, one copy otherwise. `df` has unique keys."""
-    salts = F.when(F.xxhash64(*keys).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return df.withColumn(out, F.explode(salts))
+    return df.withColumn(out, F.explode(F.sequence(F.lit(0), _salts(keys, hot) - 1)))
 
 
 def membership_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,

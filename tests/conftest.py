@@ -22,6 +22,9 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture
-def salted(monkeypatch):
-    """Treat small groups as hot, so that the salted joins run on test data."""
-    monkeypatch.setattr("presslake.operators.skew.MIN_HOT_ROWS", 20)
+def salted(spark):
+    """Deal shuffles over many tasks, so that groups of test size are hot and the salted joins run."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
