@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from presslake import dims
 from presslake.functions.text import _col, is_empty, or_null
@@ -228,27 +228,32 @@ def merge_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def score_missing(df: DataFrame, scored: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
+def score_missing(df: DataFrame, scored: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType,
                   attempts: int = 3, backoff: float = 1.0) -> DataFrame:
     """Run an external batch scorer over the rows of `df` that `scored` does not hold yet.
 
-    `scorer` gets a batch (`url` and whatever `df` carries) and returns rows of `schema`. A failing batch is
-    tried `attempts` times with doubling waits; when all fail it yields nothing, so its rows stay on the
-    work-list and `classify_mixed` falls back to keyword rules for them. Land the result as a table: a
+    `scorer` gets a batch (`url` and whatever `df` carries) and returns rows of `schema`, which holds `url`. A failing
+    batch is tried `attempts` times with doubling waits; when all fail, each of its rows comes back with nothing but its
+    `url` and the message in `scorer_error`, so an incomplete result shows. `scored` may hold such rows: they stay
+    on the work-list, and `classify_mixed` falls back to keyword rules for them. Land the result as a table: a
     re-run then only pays for what is missing.
     """
-    todo = anti_join(df, scored, ["url"])
+    done = scored.where("scorer_error IS NULL") if "scorer_error" in scored.columns else scored
+    todo = anti_join(df, done, ["url"])
+    out = T.StructType([*(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields]).add("scorer_error", T.StringType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for attempt in range(attempts):
                 try:
-                    result = scorer(batch)
-                except Exception:  # noqa: BLE001 - the service may fail in any way
+                    result = scorer(batch).assign(scorer_error=None)
+                except Exception as error:  # noqa: BLE001 - the service may fail in any way
+                    result = batch[["url"]].assign(scorer_error=f"{type(error).__name__}: {error}")
                     if attempt + 1 < attempts:
                         time.sleep(backoff * 2**attempt)
                 else:
-                    yield result
                     break
+            result = result.reindex(columns=out.names).astype(object)
+            yield result.where(result.notna(), None)
 
-    return todo.mapInPandas(run, schema)
+    return todo.mapInPandas(run, out)

@@ -208,6 +208,17 @@ def heading_candidates(source: Column | str) -> list[Column]:
     return [plain(p) for p in parts] + [strip(decode_entities(share))]
 
 
+def own_site_name(domain: str = "domain") -> Column:
+    """Lower-case name of a site whose feed puts that name in place of titles; null for all others."""
+    return F.when(F.col(domain) == "deadline.com", "deadline")
+
+
+def is_generic_title(site_name: Column | None = None) -> Column:
+    """Whether a title is empty or just the name of its site, on sites that are known for it."""
+    site_name = own_site_name() if site_name is None else site_name
+    return F.coalesce(site_name.isNotNull() & (is_empty("title") | (F.lower(strip("title")) == site_name)), F.lit(False))
+
+
 def title_repair(df: DataFrame, pages: DataFrame, site_name: Column | None = None, html: str = "html",
                  row_id: str | None = None) -> DataFrame:
     """Replace titles that are empty or just the site name by the heading of the landed page.
@@ -217,11 +228,8 @@ def title_repair(df: DataFrame, pages: DataFrame, site_name: Column | None = Non
     pages of affected rows are read. A page landed more than once gives the headings of its longest version, so
     a row stays one row. Adds `title_repaired`.
     """
-    if site_name is None:
-        site_name = F.when(F.col("domain") == "deadline.com", "deadline")
-    marked = df.withColumn("__site", site_name)
-    generic = F.col("__site").isNotNull() & (is_empty("title") | (F.lower(strip("title")) == F.col("__site")))
-    marked = marked.withColumn("__generic", generic)
+    site_name = own_site_name() if site_name is None else site_name
+    marked = df.withColumn("__site", site_name).withColumn("__generic", is_generic_title(site_name))
     headings = pages.join(marked.filter("__generic").select("url").distinct(), "url", "left_semi").select(
         "url", F.length(html).alias("__size"), F.array(*heading_candidates(html)).alias("__headings")
     )
@@ -270,8 +278,27 @@ def _fragment(html: str, element_id: str, content_class: str) -> str | None:
     return "\n".join(line for line in lines if len(line) > 10)
 
 
-def fragment_text(df: DataFrame, domain: str = "journalisten.dk", path: str = "/nyhedsoverblik",
-                  parameter: str = "news_band_id", prefix: str = FRAGMENT_PREFIX,
+OVERVIEW_DOMAIN, OVERVIEW_PATH, OVERVIEW_PARAMETER = "journalisten.dk", "/nyhedsoverblik", "news_band_id"
+
+
+def is_overview_entry(domain: Column | str = "domain", url: str = "url") -> Column:
+    """Whether an address names one entry of an overview page."""
+    named = F.col(url).contains(OVERVIEW_PATH) & F.col(url).contains(OVERVIEW_PARAMETER + "=")
+    return F.coalesce((_col(domain) == OVERVIEW_DOMAIN) & named, F.lit(False))
+
+
+def entry_text(html: Column | str, url: Column | str) -> Column:
+    """Text of the entry that an address names in an overview page; null without page, name or block."""
+    @F.pandas_udf(T.StringType())
+    def read(pages: pd.Series, names: pd.Series) -> pd.Series:
+        texts = [_fragment(p, n, FRAGMENT_CLASS) if p is not None and n is not None else None for p, n in zip(pages, names)]
+        return pd.Series(texts, dtype=object)
+
+    return read(_col(html), F.concat(F.lit(FRAGMENT_PREFIX), query_parameter(url, OVERVIEW_PARAMETER)))
+
+
+def fragment_text(df: DataFrame, domain: str = OVERVIEW_DOMAIN, path: str = OVERVIEW_PATH,
+                  parameter: str = OVERVIEW_PARAMETER, prefix: str = FRAGMENT_PREFIX,
                   content_class: str = FRAGMENT_CLASS) -> DataFrame:
     """Text of one entry of an overview page, named by a query parameter of its address.
 

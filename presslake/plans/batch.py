@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import datetime as dt
 import time
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from presslake import dims
 from presslake.functions.times import instant
+from presslake.functions.urls import url_host
 from presslake.operators import classify, dedup, enrich, extract, feed as feeds, quality
 from presslake.operators.analytics import run_counters
-from presslake.operators.skew import semi_join
-from presslake.schemas import ARTICLE, FAILURE, REJECTED, STORED, STORED_REJECTED, SUMMARY_TABLE, conform
+from presslake.operators.skew import anti_join, semi_join
+from presslake.schemas import ANSWER, ARTICLE, FAILURE, FEED, PENDING, REJECTED, STORED, STORED_ANSWER, STORED_REJECTED, SUMMARY_TABLE, conform
 from presslake.session import staged
 from presslake.sources import readers, store
 
@@ -38,6 +41,12 @@ class BatchConfig:
     languages: list[str] = field(default_factory=lambda: dims.ACCEPTED_LANGUAGES)
     categories: list[tuple[str, str]] = field(default_factory=lambda: dims.DOMAIN_CATEGORY)
     classifier: dict = field(default_factory=dict)
+    #: States that every `seendate` reads like `20240101T101500Z`, so that the look-back reaches the scan as text bounds.
+    compact_dates: bool = False
+    #: Days for which a failure counts against its domain; None: for ever.
+    failure_days: int | None = None
+    #: Domains of which each batch must bring a feed row and an article; a miss is a failure of the domain.
+    expected_domains: list[str] = field(default_factory=list)
 
 
 def select_candidates(feed: DataFrame, config: BatchConfig, known: DataFrame | None = None,
@@ -46,30 +55,63 @@ def select_candidates(feed: DataFrame, config: BatchConfig, known: DataFrame | N
     if config.look_back_hours is None:
         rows = feeds.feed_required(feeds.seen_by(feed, config.as_of))
     else:
-        rows = feeds.feed_required(feeds.feed_window(feed, config.as_of, config.look_back_hours))
+        rows = feeds.feed_required(feeds.feed_window(feed, config.as_of, config.look_back_hours, config.compact_dates))
     rows = feeds.with_ingest_rank(feeds.language_filter(rows, config.languages), position)
     gated = feeds.domain_gate(rows, failed, config.reliable, config.problematic, config.japanese,
                               row_id="ingest_rank").filter("gate_reason = 'reliable'")
     return gated if known is None else dedup.new_urls(gated, known)
 
 
-def extract_articles(candidates: DataFrame, pages: DataFrame, config: BatchConfig) -> tuple[DataFrame, DataFrame]:
-    """(unique articles with text, failure rows).
+def page_texts(candidates: DataFrame, pages: DataFrame, min_region: int = extract.MIN_REGION) -> DataFrame:
+    """(url, text) of every candidate whose page has landed; the text is null where none can be read.
 
-    Every page is read once however often the feed lists it; of a page landed more than once the longest text
-    counts. Duplicates are settled on feed columns, and the
-    text joins afterwards, when addresses are unique.
+    An entry of an overview page is read from its own block, any other page as a whole. Of a page landed more than once the
+    longest text counts.
     """
-    wanted = candidates.select("url").distinct()
-    texts = staged(
-        extract.page_text(wanted.join(pages.select("url", "html"), "url", "left"))
-        .groupBy("url").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
-    )
+    landed = pages.select("url", "html").join(candidates.select("url").distinct(), "url", "left_semi")
+    marked = landed.withColumn("entry", F.when(extract.is_overview_entry(url_host("url")), F.col("html")))
+    marked = marked.withColumn("html", F.when(~extract.is_overview_entry(url_host("url")), F.col("html")))
+    read = extract.page_text(marked, min_region=min_region).select("url", F.coalesce("text", extract.entry_text("entry", "url")).alias("text"))
+    return read.groupBy("url").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+
+
+def extract_articles(candidates: DataFrame, pages: DataFrame, config: BatchConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(unique articles with text, failure rows, candidates whose page has not landed).
+
+    Every page is read once however often the feed lists it. Only landed pages can fail. Titles that merely name the site are
+    replaced by the heading of the page. Duplicates are settled on feed columns, and the text joins
+    afterwards, when addresses are unique.
+    """
+    texts = staged(page_texts(candidates, pages))
+    waiting = anti_join(candidates, texts, ["url"], ["ingest_rank"])
     failures = quality.extraction_failures(texts, instant(config.as_of), config.batch_id, config.min_length)
     usable = quality.long_enough(texts, config.min_length)
-    unique = dedup.dedup_batch(semi_join(candidates, usable, ["url"], ["ingest_rank"]))
+    readable = staged(semi_join(candidates, usable, ["url"], ["ingest_rank"]))
+    # Pages are read for headings only when a title asks for it.
+    if not readable.where(extract.is_generic_title()).isEmpty():
+        readable = staged(extract.title_repair(readable, pages, row_id="ingest_rank").drop("title_repaired"))
+    unique = dedup.dedup_batch(readable)
     articles = extract.cleaned(unique.join(usable, "url"))
-    return feeds.article_record(articles, config.as_of, config.categories), failures
+    return feeds.article_record(articles, config.as_of, config.categories), failures, waiting
+
+
+#: First rank of rows that waited for their page: before all new rows of the same scan.
+WAITED = -(1 << 61)
+
+
+def pending_rows(waiting: DataFrame, carried: DataFrame, config: BatchConfig) -> DataFrame:
+    """What the batch writes about waiting candidates: those that wait now, and those that waited before and are settled."""
+    waits = conform(waiting, FEED).groupBy("url").agg(F.min(F.struct(*[c for c in FEED.names if c != "url"])).alias("row"))
+    waits = waits.select("url", *[F.col(f"row.{c}").alias(c) for c in FEED.names if c != "url"], F.lit(True).alias("waits"))
+    settled = conform(carried, FEED).join(waits.select("url"), "url", "left_anti").withColumn("waits", F.lit(False))
+    return waits.unionByName(settled).withColumns({"batch_id": F.lit(config.batch_id), "at": instant(config.as_of)})
+
+
+def carried_rows(pending: DataFrame, position: str, config: BatchConfig) -> DataFrame:
+    """Feed rows of earlier batches that still wait for their page, ranked before the new rows of their scan."""
+    recent = store.retained(pending, config.as_of, config.retention_days, "at")
+    last = store.latest(recent, "url", store.written_order("at")).where("waits")
+    return last.select(*FEED.names, (F.pmod(F.xxhash64("url"), F.lit(1 << 60)) + F.lit(WAITED)).alias(position))
 
 
 def ahead_of_time(feed: DataFrame, config: BatchConfig) -> DataFrame:
@@ -95,15 +137,20 @@ def classify_articles(valid: DataFrame, cache: DataFrame, config: BatchConfig,
 
 
 def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str, config: BatchConfig,
-              responses: DataFrame | None = None, position: str = "position") -> dict:
+              responses: DataFrame | None = None, position: str = "position",
+              scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> dict:
     """Run one batch against the tables below `root` and return its counters.
 
+    Candidates whose page has not landed wait in the table `pending` and join later batches until it has, for
+    `retention_days`. `scorer` (rows of url, title and text in, `url, response_text` out) answers for articles without a
+    landed answer; its answers and the errors of batches that it could not answer are kept in `responses`.
+
     Writing is idempotent per `batch_id`; history is read without the batch's own rows, so running a batch
     again after a failure stores the same rows.
     """
     begun = time.monotonic()
     paths = {name: f"{root}/{name}" for name in
-             ("processed", "rejected", "failures", "runs", "summary_cache", "articles_json", "rejected_json", "manifest")}
+             ("processed", "rejected", "failures", "runs", "summary_cache", "pending", "responses", "articles_json", "rejected_json", "manifest")}
     store.append_run_event(store.run_event(spark, config.batch_id, config.as_of, "running"), paths["runs"])
     try:
         others = F.col("batch_id") != config.batch_id
@@ -116,13 +163,34 @@ def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str,
         )
         failures = readers.read_table(spark, paths["failures"], FAILURE).filter(others)
         known = dedup.known_urls(processed, rejected)
-        failed = quality.failed_domains(failures, config.max_failures)
-
-        candidates = staged(select_candidates(feed, config, known, failed, position))
-        articles, new_failures = extract_articles(candidates, pages, config)
+        counted = failures if config.failure_days is None else store.retained(failures, config.as_of, config.failure_days, "at")
+        failed = quality.failed_domains(counted, config.max_failures)
+
+        pending = readers.read_table(spark, paths["pending"], PENDING).filter(others)
+        carried = staged(carried_rows(pending, position, config))
+        fresh_rows = select_candidates(feed, config, known, failed, position)
+        # A row that waited has passed the look-back before; the other filters apply again.
+        waited = select_candidates(carried, replace(config, look_back_hours=None), known, failed, position)
+        candidates = staged(fresh_rows.unionByName(waited, allowMissingColumns=True))
+        articles, new_failures, waiting = extract_articles(candidates, pages, config)
+        new_failures = staged(new_failures)
+        waiting = staged(waiting)
         validated = staged(quality.validate(articles, config.min_length))
         valid = enrich.process_articles(quality.valid_rows(validated), instant(config.as_of))
         fresh = dedup.dedup_cross_run(valid, None, processed)
+        if scorer is not None:
+            fresh = staged(fresh)
+            # Answers of earlier runs count, also those of this batch, so a re-run pays for what is missing.
+            stored_answers = readers.read_table(spark, paths["responses"], STORED_ANSWER).filter("scorer_error IS NULL")
+            landed = stored_answers.select("url", "response_text")
+            if responses is not None:
+                landed = responses.unionByName(landed, allowMissingColumns=True)
+            answers = staged(classify.score_missing(fresh.select("url", "title", "text"), landed, scorer, ANSWER))
+            own = stored_answers.filter(~others).select(*answers.columns)
+            kept_answers = staged(answers.unionByName(own).withColumns({"batch_id": F.lit(config.batch_id), "at": instant(config.as_of)}))
+            good_answers = answers.select("url", "response_text").dropna()
+            responses = staged(landed.unionByName(good_answers, allowMissingColumns=True))
+            store.append_batch(kept_answers, paths["responses"], "at", batch_id=config.batch_id)
         scored = classify_articles(fresh, cache, config, responses).withColumn("batch_id", F.lit(config.batch_id))
         accepted = staged(scored)
         turned_down = quality.rejected_rows(validated)
@@ -139,7 +207,15 @@ def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str,
         store.append_batch(stored, paths["processed"], batch_id=config.batch_id)
         refusals = enrich.reject_projection(refused, F.lit(f"{paths['rejected_json']}/batch_id={config.batch_id}"))
         store.append_batch(refusals, paths["rejected"], "rejected_at", batch_id=config.batch_id)
-        store.append_batch(conform(new_failures, FAILURE), paths["failures"], "at", batch_id=config.batch_id)
+        of_domains = conform(new_failures, FAILURE)
+        if config.expected_domains:
+            expected = spark.createDataFrame([(d,) for d in config.expected_domains], "domain string")
+            seen = feeds.feed_required(feed).select(url_host("url").alias("domain"))
+            good = quality.valid_rows(validated).select(url_host("url").alias("domain"))
+            missed = quality.empty_scans(expected, seen, good, instant(config.as_of), config.batch_id)
+            of_domains = of_domains.unionByName(conform(missed, FAILURE))
+        store.append_batch(of_domains, paths["failures"], "at", batch_id=config.batch_id)
+        store.append_batch(pending_rows(waiting, carried, config), paths["pending"], "at", batch_id=config.batch_id)
         filled = accepted.filter(F.col("ai_topic_detected") & (F.col("summary_da") != "")).select(
             classify.cache_key().alias("cache_key"), F.col("summary_da").alias("summary"),
             F.lit(config.batch_id).alias("batch_id"), instant(config.as_of).alias("at"),
@@ -156,6 +232,7 @@ def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str,
                 F.coalesce("stage", F.when(F.col("is_ai_topic").isNotNull(), "stored"), F.lit("duplicate")).alias("stage"),
                 "is_ai_topic",
             )
+            .unionByName(new_failures.select(F.lit("fetch_failed").alias("stage"), F.lit(None).cast("boolean").alias("is_ai_topic")))
         )
         counters = run_counters(tagged).first().asDict()
     except Exception as error:
@@ -167,7 +244,7 @@ def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str,
     store.append_run_event(
         store.run_event(spark, config.batch_id, config.as_of, "completed", counters, seconds), paths["runs"]
     )
-    for table in ("processed", "runs"):
+    for table in ("processed", "runs", "pending"):
         store.drop_expired(spark, paths[table], config.as_of, config.retention_days)
     return {**counters, "seconds": seconds}
 

@@ -999,7 +999,7 @@ def monitor_topics(spark, sf_dir):
     )
     rows = st.page_feed(spark, sf_dir).drop("html", "ingest_rank")
     candidates = staged(select_candidates(rows, config, position="page_id"))
-    found, _ = extract_articles(candidates, st.table(spark, sf_dir, "pages"), config)
+    found, _, _ = extract_articles(candidates, st.table(spark, sf_dir, "pages"), config)
     valid = quality.valid_rows(quality.validate(found, config.min_length))
     scored = classify.classify_keywords(valid, **st.CLASSIFIER)
     return scored.groupBy("language", F.coalesce("analysis.topic", F.lit("none")).alias("topic")).agg(

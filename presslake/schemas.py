@@ -59,6 +59,12 @@ RUN = _fields(
 
 FAILURE = _fields("domain STRING, reason STRING, at TIMESTAMP, batch_id STRING")
 
+PENDING = T.StructType(FEED.fields + _fields("waits BOOLEAN, at TIMESTAMP, batch_id STRING").fields)
+
+ANSWER = _fields("url STRING, response_text STRING")
+
+STORED_ANSWER = _fields("url STRING, response_text STRING, scorer_error STRING, at TIMESTAMP, batch_id STRING")
+
 SUMMARY_CACHE = _fields("cache_key STRING, summary STRING")
 
 SUMMARY_TABLE = _fields("cache_key STRING, summary STRING, at TIMESTAMP, batch_id STRING")

@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -71,14 +72,16 @@ def append_rows(rows: DataFrame, path: str, checkpoint: str, interval: str | Non
 def ingest(feed: DataFrame, pages: Callable[[SparkSession], DataFrame], root: str, config: BatchConfig,
            checkpoint: str, interval: str | None = None, position: str = "position",
            as_of: Callable[[], dt.datetime] | None = None,
-           responses: Callable[[SparkSession], DataFrame] | None = None) -> StreamingQuery:
+           responses: Callable[[SparkSession], DataFrame] | None = None,
+           scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> StreamingQuery:
     """Run the whole batch on every micro-batch of a feed stream.
 
     `interval=None` works off what has landed and stops. The micro-batch number names the batch, so a
     micro-batch that is repeated after a failure replaces its own output. The source gives each row once, so there is no
     look-back: a backlog is stored whole. The time of a micro-batch comes from `as_of`, by default the clock of
     the driver in UTC, never from the rows; rows dated after it are stored as rejected, and retention follows it.
-    `pages` and `responses` (landed classifier answers) are read anew for each micro-batch.
+    `pages` and `responses` (landed classifier answers) are read anew for each micro-batch. Rows whose page has not landed
+    wait for it in `pending` and are tried again with every later micro-batch that brings rows.
     """
     clock = as_of or (lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
 
@@ -87,6 +90,6 @@ def ingest(feed: DataFrame, pages: Callable[[SparkSession], DataFrame], root: st
         if batch.isEmpty():
             return
         settings = replace(config, as_of=clock(), batch_id=f"stream-{number:012d}", look_back_hours=None)
-        run_batch(spark, batch, pages(spark), root, settings, responses(spark) if responses else None, position)
+        run_batch(spark, batch, pages(spark), root, settings, responses(spark) if responses else None, position, scorer)
 
     return _start(feed.writeStream.foreachBatch(run), checkpoint, interval)

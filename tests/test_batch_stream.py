@@ -71,8 +71,10 @@ def test_one_batch(spark, first):
     assert story.summary_en == "Fallback classification: 4 AI terms found" == story.summary_da
     assert got["https://dr.dk/vejr"].title == "Vejret"
     assert [r.url for r in t["rejected"].collect()] == ["https://cnn.com/blank"]
-    assert sorted((r.domain, r.reason) for r in t["failures"].collect()) == [
-        ("cnn.com", "text_extraction_failed"), ("cnn.com", "text_too_short_before_processing")]
+    # A page that has not landed is no failure.
+    assert sorted((r.domain, r.reason) for r in t["failures"].collect()) == [("cnn.com", "text_too_short_before_processing")]
+    assert counters["failed_fetching"] == 1
+    assert [r.url for r in readers.read_table(spark, f"{root}/pending", schemas.PENDING).filter("waits").collect()] == ["https://cnn.com/none"]
     run = t["runs"].first()
     assert (run.run_id, run.status, run.stored) == ("0001", "completed", 2)
     stored_json = spark.read.json(f"{root}/articles_json")
@@ -116,6 +118,58 @@ def test_blacklisted_domain_is_skipped(spark, tmp_path):
     assert kept == {"https://news.bbc.com/ai", "https://dr.dk/vejr"} and counters["stored"] == 2
 
 
+def test_a_late_page_is_stored_when_it_lands(spark, tmp_path):
+    feed, pages = inputs(spark)
+    run_batch(spark, feed, pages, str(tmp_path), BatchConfig(AS_OF, "0001"))
+    later, none = AS_OF + dt.timedelta(hours=9), feed.limit(0)
+    late = pages.union(spark.createDataFrame([("https://cnn.com/none", html("late words " * 90))], "url string, html string"))
+    for batch, landed, stored in (("0002", pages, 0), ("0003", late, 1), ("0004", late, 0), ("0003", late, 1)):
+        assert run_batch(spark, none, landed, str(tmp_path), BatchConfig(later, batch))["stored"] == stored
+    assert "https://cnn.com/none" in {r.url for r in tables(spark, str(tmp_path))["processed"].collect()}
+
+
+def test_titles_entries_answers_and_silent_domains(spark, tmp_path):
+    seen, entry = "20240101T113000Z", "https://journalisten.dk/nyhedsoverblik?news_band_id=7"
+    rows = [
+        (1, "https://deadline.com/a", "Deadline", seen, "deadline.com", "en", "US"),
+        (2, entry, "Kort nyt", seen, "journalisten.dk", "da", "DK"),
+        (3, "https://cnn.com/x", "Plain", seen, "cnn.com", "en", "US"),
+    ]
+    block = f'<div id="news-feed-7"><div class="news-band__content">{"ord " * 200}</div></div>'
+    pages = spark.createDataFrame([
+        (rows[0][1], html("film words " * 90, "A real heading")), (rows[0][1], html("film")),
+        (entry, f"<html><body><article>{'other ' * 400}</article>{block}</body></html>"), (rows[2][1], html("plain words " * 90)),
+    ], "url string, html string")
+
+    def scorer(batch):
+        if (batch["url"] == "https://cnn.com/x").any():
+            raise RuntimeError("down")
+        return batch.assign(response_text='{"is_ai_topic": true, "confidence": 0.6, "topic": "T"}')[["url", "response_text"]]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        config = BatchConfig(AS_OF, "0001", expected_domains=["cnn.com", "bbc.com"])
+        feed = spark.createDataFrame(rows, FEED)
+        counters = run_batch(spark, feed, pages, str(tmp_path), config, scorer=scorer)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert counters["stored"] == 3
+    t = tables(spark, str(tmp_path))
+    got = {r.url: r for r in t["processed"].collect()}
+    assert got["https://deadline.com/a"].title == "A real heading" and got["https://deadline.com/a"].ai_confidence == 0.6
+    assert got["https://cnn.com/x"].ai_topic_detected is False
+    text = spark.read.json(f"{tmp_path}/articles_json").filter(F.col("url") == entry).first().text
+    assert text.startswith("ord ord") and "other" not in text
+    assert [(r.domain, r.reason) for r in t["failures"].collect()] == [("bbc.com", "no_articles_found")]
+    answers = readers.read_table(spark, f"{tmp_path}/responses", schemas.STORED_ANSWER)
+    assert [r.scorer_error for r in answers.filter("scorer_error IS NOT NULL").collect()] == ["RuntimeError: down"]
+    # A re-run asks only for what is missing and keeps the answers that it has.
+    asked = lambda b: b.assign(response_text='{"is_ai_topic": true, "confidence": 0.9}')[["url", "response_text"]]
+    run_batch(spark, feed, pages, str(tmp_path), config, scorer=asked)
+    again = {r.url: r.ai_confidence for r in tables(spark, str(tmp_path))["processed"].collect()}
+    assert again["https://deadline.com/a"] == 0.6 and again["https://cnn.com/x"] == 0.9
+
+
 def land(spark, df, path, *filters):
     for i, f in enumerate(filters):
         df.filter(f).coalesce(1).write.mode("append").parquet(path)

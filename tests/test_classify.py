@@ -116,7 +116,11 @@ def test_scorer_hook_retries_and_leaves_failures(spark, tmp_path):
     def broken(batch):
         raise RuntimeError("down")
 
-    assert classify.score_missing(df, done, broken, "url string, response_text string", backoff=0).count() == 0
+    lost = classify.score_missing(df, done, broken, "url string, response_text string", backoff=0).coalesce(1)
+    assert sorted(tuple(r) for r in lost.collect()) == [("u1", None, "RuntimeError: down"), ("u3", None, "RuntimeError: down")]
+    again = classify.score_missing(df, done.withColumn("scorer_error", F.lit(None).cast("string")).unionByName(lost.select("url", "scorer_error")),
+                                   scorer, "url string, response_text string", backoff=0)
+    assert sorted(r.url for r in again.collect()) == ["u1", "u3"]
 
 
 def test_flatten(spark):
