@@ -81,10 +81,16 @@ def content_hash(c: Column | str) -> Column:
     return F.when(~is_empty(c), F.md5(_col(c)))
 
 
+# Two code points that are no characters; they stand for a genuine replacement character while a text is repaired.
+GUARD = "\ufdd0\ufdd1"
+
+
 def utf8_clean(c: Column | str) -> Column:
-    """Drop byte sequences that are not valid UTF-8; valid text is returned untouched."""
+    """Drop byte sequences that are not valid UTF-8; valid text and genuine U+FFFD characters are returned untouched."""
     c = _col(c)
-    return F.when(F.is_valid_utf8(c), c).otherwise(F.replace(F.make_valid_utf8(c), F.lit("\ufffd"), F.lit("")))
+    guarded = F.make_valid_utf8(F.replace(c, F.lit("\ufffd"), F.lit(GUARD)))
+    repaired = F.replace(F.replace(guarded, F.lit("\ufffd"), F.lit("")), F.lit(GUARD), F.lit("\ufffd"))
+    return F.when(F.is_valid_utf8(c), c).otherwise(repaired)
 
 
 @F.pandas_udf(T.StringType())

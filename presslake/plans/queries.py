@@ -305,17 +305,21 @@ def content_hash(spark, sf_dir):
     return st.table(spark, sf_dir, "documents").select("doc_id", tx.content_hash("text").alias("content_hash"))
 
 
-@query(sql="SELECT doc_id, md5(text) AS clean_md5, length(text) AS n FROM documents")
+@query(sql="""SELECT doc_id, md5(text || chr(233) || chr(65533)) AS clean_md5, length(text) + 2 AS n FROM documents""")
 def utf8_clean(spark, sf_dir):
-    clean = tx.utf8_clean("text")
+    """Each text with a byte that no character has, a genuine replacement character and half a character at its end."""
+    tail = [F.unhex(F.lit("FF")), F.encode(F.lit("\u00e9\ufffd"), "UTF-8"), F.unhex(F.lit("C3"))]
+    clean = tx.utf8_clean(F.concat(F.encode("text", "UTF-8"), *tail).cast("string"))
     return st.table(spark, sf_dir, "documents").select(
         "doc_id", F.md5(clean).alias("clean_md5"), F.length(clean).cast("bigint").alias("n")
     )
 
 
-@query(sql="SELECT doc_id, md5(nfc_normalize(text)) AS nfkc_md5 FROM documents")
+@query(sql="SELECT doc_id, md5(nfc_normalize(text) || ' fiA1' || chr(233)) AS nfkc_md5 FROM documents")
 def unicode_normalized(spark, sf_dir):
-    return st.table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.nfkc("text")).alias("nfkc_md5"))
+    """Each text with a ligature, a wide letter, a circled digit and a letter with a separate accent at its end."""
+    odd = F.concat("text", F.lit(" \ufb01\uff21\u2460e\u0301"))
+    return st.table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.nfkc(odd)).alias("nfkc_md5"))
 
 
 @query("scored", f"""SELECT doc_id, strftime(processed_at, {TIME}) AS processed_at, is_ai AS ai_topic_detected,
