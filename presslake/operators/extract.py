@@ -8,6 +8,7 @@ HTML reader, in Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -30,10 +31,13 @@ MIN_CASCADE = 200
 # One pass, first match wins, so a comment around a script or a script around a comment is read in order.
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 TAG = r"</?[A-Za-z!][^>]*>"
-# Decoded in this order; the ampersand comes last so that `&amp;lt;` becomes `&lt;` and not `<`.
+# References that the given pages hold; the ampersand comes last so that `&amp;lt;` becomes `&lt;` and not `<`.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
             ("&middot;", "·"), ("&amp;", "&")]
-OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|nbsp|copy|middot|amp);)(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+# Decimal references that name the character itself: 32 to 126 and 160 to 54999, with any leading zeros.
+PLAIN_NUMBER = r"#0*(?:3[2-9]|[4-9][0-9]|1[01][0-9]|12[0-6]|1[6-9][0-9]|[2-9][0-9]{2}|[1-9][0-9]{3}|[1-4][0-9]{4}|5[0-4][0-9]{3})"
+KNOWN_ENTITY = "(?:" + "|".join([PLAIN_NUMBER, *sorted(name2codepoint)]) + ");"
+OTHER_ENTITY = rf"&(?!{KNOWN_ENTITY})(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
 CLASS_REGION = (
     r"(?i)class\s*=\s*[\"']?[^\"'>]*\b(?:content|(?:article|post|entry|story|news|text|main)-content"
     r"|(?:article|story)-body)\b|role\s*=\s*[\"']?main\b"
@@ -56,10 +60,19 @@ def body(source: Column | str) -> Column:
 
 
 def decode_entities(c: Column | str) -> Column:
-    out = _col(c)
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Text with the HTML 4 named and the plain decimal references decoded, each once; anything else stays."""
+    text = _col(c)
+    names = F.create_map(*[F.lit(x) for pair in name2codepoint.items() for x in pair])
+
+    def decoded(piece: Column) -> Column:
+        name = F.rtrim(F.regexp_extract(piece, "^" + KNOWN_ENTITY, 0), F.lit(";"))
+        code = F.when(name.startswith("#"), F.substr(name, F.lit(2)).try_cast("int")).otherwise(F.try_element_at(names, name))
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(name == "", F.concat(F.lit("&"), piece)).otherwise(F.concat(char, F.substr(piece, F.length(name) + 2)))
+
+    pieces = F.split(text, "&", -1)
+    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded)
+    return F.when(text.contains("&"), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(text)
 
 
 def plain(source: Column | str) -> Column:

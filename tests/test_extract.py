@@ -108,3 +108,20 @@ def test_fragment(spark):
     out = extract.fragment_text(spark.createDataFrame(rows, "url string, domain string, html string")).collect()
     assert [r.url for r in out] == [url + "7"]
     assert "second line" in out[0].text and "other" not in out[0].text and "tail" not in out[0].text
+
+
+def test_references_are_read_without_python(spark):
+    import html as stdlib
+
+    refs = ["&rsquo;", "&#8217;", "&#039;", "&mdash;", "&eacute;", "&amp;lt;", "&amp;", "&euro;", "&#54999;", "&nbsp;"]
+    kept = ["&", "a & b", "&;", "&#x41;", "&#55296;", "&#130;", "&unknownname;", "&&lt;"]
+    df = spark.createDataFrame([(r, f"x{r}y{r}") for r in [*refs, *kept]], "ref string, source string")
+    got = {r.ref: (r.text, r.other) for r in df.select(
+        "ref", extract.decode_entities("source").alias("text"), F.col("source").rlike(extract.OTHER_ENTITY).alias("other")).collect()}
+    for ref in refs:
+        assert got[ref] == (stdlib.unescape(f"x{ref}y{ref}"), False)
+    assert got["&&lt;"] == ("x&<y&<", False) and got["a & b"] == ("xa & bya & b", False)
+    assert all(got[r] == (f"x{r}y{r}", True) for r in ("&#x41;", "&#55296;", "&#130;", "&unknownname;"))
+    page = "<html><body><article><p>" + "l&rsquo;&eacute;t&#233; &mdash; caf&eacute; " * 20 + "</p></article></body></html>"
+    frame = spark.createDataFrame([(page,)], "html string")
+    assert extract.page_text(frame).first().text == extract._tree_text(page)
