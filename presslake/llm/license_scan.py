@@ -43,10 +43,8 @@ TEMPLATES = [
     Template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
     Template("proprietary", "all rights reserved", "all rights reserved"),
 ]
-#: Highest-IDF licence words of a file that are looked up.
+#: Highest-IDF licence words of a file that are looked up, besides the rarest word of each key phrase.
 TOP_WORDS = 8
-#: A licence word is rare when at most one document in so many has it.
-RARE = 8
 #: Share of a template's words that must stand at their places.
 LEAST_SHARE = 0.5
 
@@ -101,22 +99,26 @@ def word_idf(read: DataFrame) -> dict[str, float]:
     return {r["word"]: math.log((1 + n) / (1 + r["count"])) for r in rows}
 
 
-def template_matches(read: DataFrame, templates: list[Template] = TEMPLATES, top_words: int = TOP_WORDS, rare: float = RARE,
+def template_matches(read: DataFrame, templates: list[Template] = TEMPLATES, top_words: int = TOP_WORDS,
                      least_share: float = LEAST_SHARE) -> DataFrame:
     """(doc_id, row_key, label, at, share): templates that stand at position `at`, with the share of their words in place.
 
-    The `top_words` rare licence words of highest IDF in a file are looked up in the postings (word, template, offset). Each
-    pair of a file position and a posting votes for the relative position where the template would begin; positions
-    with votes are then compared word by word, and the mandatory key phrase must stand there in full.
+    The `top_words` licence words of highest IDF in a file, and the rarest word of each key phrase, are looked up in the
+    postings (word, template, offset). Each pair of a file position and a posting votes for the relative position where the
+    template would begin; positions with votes are then compared word by word, and the mandatory key phrase must
+    stand there in full. As its rarest word always votes, no template is missed, however common its words are.
     """
     idf = word_idf(read)
-    ranked = sorted((w for w in idf if idf[w] >= math.log(rare)), key=lambda w: (-idf[w], w))
-    rare_words = F.array(*[F.lit(w) for w in ranked]).cast("array<string>")
+    rarest = lambda words: min(words, key=lambda w: (-idf.get(w, math.inf), w))
+    ranked = sorted(idf, key=lambda w: (-idf[w], w))
+    licence_words = F.array(*[F.lit(w) for w in ranked]).cast("array<string>")
+    always = F.array(*[F.lit(w) for w in sorted({rarest(t.key_phrase.split()) for t in templates})])
     spark = read.sparkSession
     postings = F.broadcast(spark.createDataFrame(  # as many rows as the templates have words
         [(w, k, i) for k, t in enumerate(templates) for i, w in enumerate(t.text.split())], "word string, template int, offset int"))
-    present = read.where(F.size("found") > 0).select("doc_id", "row_key", "found", F.slice(F.array_intersect(
-        rare_words, F.transform("found", lambda x: x["word"])), 1, top_words).alias("top")).where(F.size("top") > 0)
+    in_file = F.transform("found", lambda x: x["word"])
+    top = F.array_union(F.slice(F.array_intersect(licence_words, in_file), 1, top_words), F.array_intersect(always, in_file))
+    present = read.where(F.size("found") > 0).select("doc_id", "row_key", "found", top.alias("top"))
     looked = present.select("doc_id", "row_key", "found", "top", F.explode(F.filter("found", lambda x: F.array_contains("top", x["word"]))).alias("x"))
     votes = looked.select("doc_id", "row_key", "x.word", "x.at").join(postings, "word").select(
         "doc_id", "row_key", "template", (F.col("at") - F.col("offset")).alias("start"))

@@ -249,6 +249,11 @@ def test_licences(spark, docs, empty):
     assert "gpl-3" in told[5]["labels"] and "proprietary" in told[6]["labels"] and not told[7]["labels"] and not told[8]["labels"]
     assert all(0 <= r["score"] <= 1 for r in told.values()) and told[3]["n_words"] == 0
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(empty).count() == 0
+    # A phrase that most files carry has no rare word, and a file may hold more rare words than are looked up.
+    many = " filler ".join(t.text for t in license_scan.TEMPLATES)
+    common = spark.createDataFrame([(i, t) for i, t in enumerate([many] + ["All rights reserved. filler"] * 30)], "doc_id bigint, text string")
+    told = {r["doc_id"]: r["labels"] for r in license_scan.scan(common, top_words=2).collect()}
+    assert set(told[0]) == {t.label for t in license_scan.TEMPLATES} and all(told[i] == ["proprietary"] for i in range(1, 31))
 
 
 def test_languages(spark, empty):
