@@ -83,7 +83,7 @@ def category_distribution(df: DataFrame, lang: str = "da", limit: int | None = N
 
 
 def topic_counts(df: DataFrame) -> DataFrame:
-    """Hits per topic, of all hits that have one, with the share of all articles in percent.
+    """Hits per topic, of all hits that have one.
 
     Works on the `analysis` struct of a classified batch.
     """

@@ -154,19 +154,21 @@ def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str,
     store.append_run_event(store.run_event(spark, config.batch_id, config.as_of, "running"), paths["runs"])
     try:
         others = F.col("batch_id") != config.batch_id
+        kept_since = config.as_of - dt.timedelta(days=config.retention_days)
         processed = store.retained(
-            readers.read_table(spark, paths["processed"], STORED).filter(others), config.as_of, config.retention_days
+            readers.read_table(spark, paths["processed"], STORED, since=kept_since).filter(others), config.as_of, config.retention_days
         )
         rejected = readers.read_table(spark, paths["rejected"], STORED_REJECTED).filter(others)
         cache = store.latest(
             readers.read_table(spark, paths["summary_cache"], SUMMARY_TABLE).filter(others), "cache_key", store.written_order("at")
         )
-        failures = readers.read_table(spark, paths["failures"], FAILURE).filter(others)
+        failed_since = None if config.failure_days is None else config.as_of - dt.timedelta(days=config.failure_days)
+        failures = readers.read_table(spark, paths["failures"], FAILURE, since=failed_since).filter(others)
         known = dedup.known_urls(processed, rejected)
         counted = failures if config.failure_days is None else store.retained(failures, config.as_of, config.failure_days, "at")
         failed = quality.failed_domains(counted, config.max_failures)
 
-        pending = readers.read_table(spark, paths["pending"], PENDING).filter(others)
+        pending = readers.read_table(spark, paths["pending"], PENDING, since=kept_since).filter(others)
         carried = staged(carried_rows(pending, position, config))
         fresh_rows = select_candidates(feed, config, known, failed, position)
         # A row that waited has passed the look-back before; the other filters apply again.

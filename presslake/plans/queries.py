@@ -181,7 +181,7 @@ def batch_files(spark, sf_dir):
     path = scratch(spark, "batch-json")
     rows = st.articles(spark, sf_dir).withColumn("batch_id", F.col("language"))
     store.write_batch_json(rows, path)
-    back = spark.read.schema(rows.schema).json(path)
+    back = readers.read_batch_json(spark, path, rows.schema, lines=True)
     return back.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("articles"), F.sum(F.length("text")).alias("chars"),
         F.count_distinct(F.md5("text")).alias("texts"),
@@ -924,15 +924,18 @@ def _event_stream(spark, sf_dir):
     return rows.withColumn("seen_at", F.col("ts").cast("timestamp"))
 
 
-def _run_totals(spark, counts, name):
+def _run_totals(spark, counts, name, keys):
     path = scratch(spark, name)
     ingest.write_totals(counts, f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    return ingest.read_totals(spark, f"{path}/out", keys)
 
 
 WINDOWS = f"strftime(s, {TIME}) AS window_start, event_type, n"
 
 
+WINDOW_KEYS = ["window_start", "window_end", "event_type"]
+
+
 def _windows(out):
     return out.withColumn("window_start", st.show_time("window_start")).select("window_start", "event_type", "n")
 
@@ -940,7 +943,7 @@ def _windows(out):
 @query(sql=f"SELECT {WINDOWS} FROM (SELECT date_trunc('hour', ts) AS s, event_type, count(*) AS n FROM events GROUP BY 1, 2)")
 def stream_hourly_counts(spark, sf_dir):
     counts = ingest.window_counts(_event_stream(spark, sf_dir), by=["event_type"])
-    return _windows(_run_totals(spark, counts, "hourly"))
+    return _windows(_run_totals(spark, counts, "hourly", WINDOW_KEYS))
 
 
 SLIDING = """SELECT s, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('hour', ts),
@@ -950,7 +953,7 @@ SLIDING = """SELECT s, event_type, count(*) AS n FROM (SELECT event_type, unnest
 @query(sql=f"SELECT {WINDOWS} FROM ({SLIDING})")
 def stream_sliding_counts(spark, sf_dir):
     counts = ingest.window_counts(_event_stream(spark, sf_dir), size="2 hours", slide="1 hour", by=["event_type"])
-    return _windows(_run_totals(spark, counts, "sliding"))
+    return _windows(_run_totals(spark, counts, "sliding", WINDOW_KEYS))
 
 
 @query(sql=f"SELECT {WINDOWS} FROM ({SLIDING})")
@@ -964,7 +967,7 @@ def stream_failure_totals(spark, sf_dir):
     errors = _event_stream(spark, sf_dir).filter("event_type = 'error'").select(
         F.concat(F.lit("site"), F.col("user_id").cast("string"), F.lit(".example.com")).alias("domain"), F.col("seen_at").alias("at")
     )
-    out = _run_totals(spark, ingest.failure_totals(errors), "failure-totals")
+    out = _run_totals(spark, ingest.failure_totals(errors), "failure-totals", ["domain"])
     return out.withColumn("last_failure_at", st.show_time("last_failure_at"))
 
 

@@ -16,9 +16,12 @@ VIEWS = ["processed_articles", "rejected_articles", "pipeline_runs", "daily_stat
 def stored_tables(spark: SparkSession, root: str, as_of: dt.datetime | None = None, days: int = 30) -> dict[str, DataFrame]:
     """Current state of the tables below `root`: the last written row per address and per run.
 
-    With `as_of`, articles and runs older than `days` are left out to the second, not only by whole days.
+    With `as_of`, articles and runs older than `days` are left out to the second, and day folders of articles before that
+    are not read.
     """
-    articles = store.latest(readers.read_table(spark, f"{root}/processed", STORED), "url", store.written_order("processed_at"))
+    since = as_of - dt.timedelta(days=days) if as_of else None
+    written = readers.read_table(spark, f"{root}/processed", STORED, since=since)
+    articles = store.latest(written, "url", store.written_order("processed_at"))
     rejected = store.latest(readers.read_table(spark, f"{root}/rejected", STORED_REJECTED), "url", store.written_order("rejected_at"))
     runs = store.runs_current(readers.read_table(spark, f"{root}/runs", RUN_EVENT))
     if as_of:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from presslake.schemas import COLUMN_DEFAULTS, FEED, PAGE, SUMMARY_CACHE, conform
@@ -29,15 +31,20 @@ def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
+               since: dt.datetime | None = None) -> DataFrame:
     """A stored table in today's schema; a table that was never written is empty.
 
     The schema is given to the reader, so columns an old file lacks are null and partition values such as
-    `batch_id=007` stay text.
+    `batch_id=007` stay text. `since` prunes the day folders that lie wholly before it; rows of its own day all stay.
     """
     if not path_exists(spark, f"{path}/*"):
         return spark.createDataFrame([], schema)
-    rows = conform(spark.read.format(fmt).schema(schema).load(path), schema)
+    if since is not None:
+        dated = T.StructType([*schema.fields, T.StructField("day", T.DateType())])
+        rows = conform(spark.read.format(fmt).schema(dated).load(path).where(F.col("day") >= F.lit(since.date())), schema)
+    else:
+        rows = conform(spark.read.format(fmt).schema(schema).load(path), schema)
     return rows.fillna({k: v for k, v in COLUMN_DEFAULTS.items() if k in rows.columns})
 
 
@@ -55,9 +62,9 @@ def read_summary_cache(spark: SparkSession, path: str, lines: bool = False) -> D
     )
 
 
-def read_batch_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Batch files written as one indented JSON array each."""
-    reader = spark.read.option("multiLine", True)
+def read_batch_json(spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool = False) -> DataFrame:
+    """Batch files: one indented JSON array each, or with `lines` one object per line, as batches write them now."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 

@@ -21,12 +21,13 @@ def written_order(time: str | None = None) -> list[Column]:
     return [*([F.col(time)] if time else []), F.length("batch_id"), F.col("batch_id")]
 
 
-def latest(df: DataFrame, key: str, order: list[str | Column]) -> DataFrame:
+def latest(df: DataFrame, key: str | list[str], order: list[str | Column]) -> DataFrame:
     """The last written row per key. One shuffle, and copies combine before it."""
-    rest = [c for c in df.columns if c != key]
+    keys = [key] if isinstance(key, str) else key
+    rest = [c for c in df.columns if c not in keys]
     return (
-        df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row"))
-        .select(*[F.col(c) if c == key else F.col(f"__row.{c}").alias(c) for c in df.columns])
+        df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row"))
+        .select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns])
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from presslake.functions.times import parse_time
 from presslake.plans.batch import BatchConfig, run_batch
 from presslake.schemas import FEED
+from presslake.sources.store import latest
 
 
 def feed_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = FEED,
@@ -56,12 +57,21 @@ def _start(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> S
 
 
 def write_totals(counts: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Keep the full result of a windowed or keyed count in a parquet table, replaced after each trigger."""
+    """Keep a windowed or keyed count in a parquet table: each trigger adds the rows that it changed; see `read_totals`.
+
+    Every micro-batch writes a folder of its own, so readers never meet a half-written table, a repeated
+    micro-batch replaces its own rows, and windows behind the watermark leave the state.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    return _start(counts.writeStream.outputMode("update").foreachBatch(add), checkpoint, interval)
 
-    def replace_table(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
 
-    return _start(counts.writeStream.outputMode("complete").foreachBatch(replace_table), checkpoint, interval)
+def read_totals(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The current count of every key in a table kept by `write_totals`."""
+    return latest(spark.read.parquet(path), keys, ["version"]).drop("version")
 
 
 def append_rows(rows: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:

@@ -237,7 +237,7 @@ def test_windows_stream_equals_batch(spark, tmp_path):
         ingest.write_totals(counts, f"{tmp_path}/{name}", f"{tmp_path}/{name}-state").awaitTermination()
         want = ingest.window_counts(df, size=size, slide=slide, by=["kind"])
         rows = lambda d: sorted(tuple(r) for r in d.collect())
-        assert rows(spark.read.parquet(f"{tmp_path}/{name}")) == rows(want)
+        assert rows(ingest.read_totals(spark, f"{tmp_path}/{name}", ["window_start", "window_end", "kind"])) == rows(want)
 
 
 def test_failure_totals_stream(spark, tmp_path):
@@ -245,7 +245,25 @@ def test_failure_totals_stream(spark, tmp_path):
     land(spark, df, f"{tmp_path}/in", "domain = 'a'", "domain = 'b'")
     stream = ingest.feed_stream(spark, f"{tmp_path}/in", schema=df.schema, max_files=1)
     ingest.write_totals(ingest.failure_totals(stream), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    assert {r.domain: r.failures for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"a": 2, "b": 1}
+    assert {r.domain: r.failures for r in ingest.read_totals(spark, f"{tmp_path}/out", ["domain"]).collect()} == {"a": 2, "b": 1}
+
+
+def test_totals_change_over_runs(spark, tmp_path):
+    df = spark.createDataFrame([("a", AS_OF), ("a", AS_OF), ("b", AS_OF)], "domain string, at timestamp")
+    for n in range(2):
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = ingest.feed_stream(spark, f"{tmp_path}/in", schema=df.schema)
+        ingest.write_totals(ingest.failure_totals(stream), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert {r.domain: r.failures for r in ingest.read_totals(spark, f"{tmp_path}/out", ["domain"]).collect()} == {"a": 4, "b": 2}
+
+
+def test_a_view_of_recent_days_reads_only_their_folders(spark, first):
+    from presslake.plans.views import stored_tables
+
+    recent = stored_tables(spark, first[0], AS_OF, 7)["processed_articles"]
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and recent.count() == 2
+    assert stored_tables(spark, first[0], AS_OF + dt.timedelta(days=40), 7)["processed_articles"].count() == 0
 
 
 def test_views_answer_monitoring_sql(spark, first):
