@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from presslake import schemas
 from presslake.functions import text as tx, times, urls
 from presslake.operators import (
     analytics, browse, classify, dedup, enrich, extract, feed, quality, trends,
@@ -81,6 +82,7 @@ CTES = {
         GROUP BY 1 HAVING count(*) >= 2""",
     "mixed": """SELECT page_id AS ingest_rank, url, domain, title FROM feed
         UNION ALL SELECT doc_id + 1099511627776, url, domain, title FROM docs""",
+    "sites": "SELECT * REPLACE (split_part(domain, '.', 1) || '.site' || (doc_id % 5) || '.com' AS domain) FROM docs",
     "hits": "SELECT * FROM stored WHERE is_ai",
     "known": "SELECT DISTINCT url FROM docs JOIN labels USING (doc_id)",
     "canonical": f"""SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY {base('domain')}, lower(trim(title))
@@ -120,7 +122,7 @@ PARSED_COLUMNS = f"""parsed_as,
 DEPENDS = {
     "scored": ["docs"], "stored": ["scored", "cats"], "page_parts": ["page_src"], "page_texts": ["page_parts"],
     "mixed": ["feed", "docs"], "failed": ["page_texts"], "hits": ["stored"], "known": ["docs"], "canonical": ["stored"],
-    "canonical_hits": ["hits"], "runs": ["run_log"], "parsed": ["answers"],
+    "canonical_hits": ["hits"], "sites": ["docs"], "runs": ["run_log"], "parsed": ["answers"],
 }
 
 
@@ -508,13 +510,15 @@ def new_urls(spark, sf_dir):
     return dedup.new_urls(rows, st.known(spark, sf_dir)).select("doc_id")
 
 
-STORED_KEYS = "SELECT lower(trim(title)) FROM docs JOIN labels USING (doc_id)"
+SITE_KEY = f"{base('domain')} || '|' || lower(trim(title))"
+STORED_KEYS = f"SELECT {SITE_KEY} FROM sites JOIN labels USING (doc_id)"
 
 
-@query("docs", f"SELECT doc_id FROM docs WHERE lower(trim(title)) NOT IN ({STORED_KEYS})")
+@query("sites", f"SELECT doc_id FROM sites WHERE {SITE_KEY} NOT IN ({STORED_KEYS})")
 def new_titles(spark, sf_dir):
-    rows = st.articles(spark, sf_dir).select("doc_id", "domain", "title", "ingest_rank")
-    return dedup.new_titles(rows, st.labelled(spark, sf_dir)).select("doc_id")
+    rows = st.site_articles(spark, sf_dir).select("doc_id", "domain", "title", "ingest_rank")
+    labels = st.table(spark, sf_dir, "labels")
+    return dedup.new_titles(rows, rows.join(labels, "doc_id", "left_semi")).select("doc_id")
 
 
 @query("mixed", f"""SELECT ingest_rank, url FROM mixed
@@ -523,23 +527,32 @@ def dedup_batch(spark, sf_dir):
     return dedup.dedup_batch(st.mixed_feed(spark, sf_dir)).select("ingest_rank", "url")
 
 
-CROSS = f"""SELECT doc_id FROM docs WHERE url NOT IN (SELECT url FROM known) AND lower(trim(title)) NOT IN ({STORED_KEYS})
-    QUALIFY row_number() OVER (PARTITION BY lower(trim(title)) ORDER BY doc_id) = 1"""
+@query("sites", f"""SELECT doc_id + layer * 1099511627776 AS ingest_rank, url || CASE WHEN layer = 2 THEN '#again' ELSE '' END AS url
+    FROM (SELECT *, row_number() OVER (PARTITION BY {SITE_KEY} ORDER BY doc_id) = 1 AS is_first FROM sites), range(3) r(layer)
+    WHERE CASE WHEN layer = 1 THEN NOT is_first ELSE is_first END""")
+def dedup_batch_chains(spark, sf_dir):
+    """A dropped row hides nothing: the copy of an address stays where its first row went, and then hides the row that has its title."""
+    return dedup.dedup_batch(st.chained_feed(spark, sf_dir)).select("ingest_rank", "url")
+
+
+CROSS = f"""SELECT doc_id FROM sites WHERE url NOT IN (SELECT url FROM known) AND {SITE_KEY} NOT IN ({STORED_KEYS})
+    QUALIFY row_number() OVER (PARTITION BY {SITE_KEY} ORDER BY doc_id) = 1"""
 
 
 def _fresh(spark, sf_dir):
-    rows = st.articles(spark, sf_dir).select("doc_id", "url", "domain", "title", "language", "ingest_rank")
-    return rows, dedup.dedup_cross_run(rows, st.known(spark, sf_dir), st.labelled(spark, sf_dir))
+    rows = st.site_articles(spark, sf_dir).select("doc_id", "url", "domain", "title", "language", "ingest_rank")
+    stored = rows.join(st.table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    return rows, dedup.dedup_cross_run(rows, st.known(spark, sf_dir), stored)
 
 
-@query("known docs", CROSS)
+@query("known sites", CROSS)
 def dedup_cross_run(spark, sf_dir):
     return _fresh(spark, sf_dir)[1].select("doc_id")
 
 
-@query("known docs", f"""SELECT count(*) FILTER (NOT kept) AS removed, count(*) FILTER (NOT kept AND language = 'de') AS removed_danish,
+@query("known sites", f"""SELECT count(*) FILTER (NOT kept) AS removed, count(*) FILTER (NOT kept AND language = 'de') AS removed_danish,
     count(*) FILTER (NOT kept AND language <> 'de') AS removed_other, count(*) FILTER (kept) AS kept
-    FROM (SELECT language, doc_id IN ({CROSS}) AS kept FROM docs)""")
+    FROM (SELECT language, doc_id IN ({CROSS}) AS kept FROM sites)""")
 def dedup_stats(spark, sf_dir):
     before, after = _fresh(spark, sf_dir)
     return dedup.dedup_loss(before, after, F.col("language") == "de")
@@ -982,6 +995,123 @@ def stream_unique_urls(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").select("url")
 
 
+@query(sql="""SELECT event_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id FROM events
+    WHERE event_id % 2 = 1 AND date_trunc('second', ts) > (SELECT max(date_trunc('second', ts)) FROM events WHERE event_id % 2 = 0) - INTERVAL 7 DAYS""")
+def stream_late_rows(spark, sf_dir):
+    """Odd events land after the even ones; those behind the watermark are left out."""
+    path = scratch(spark, "late-rows")
+    rows = st.table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_id").cast("string").alias("url"), F.date_trunc("second", "ts").cast("timestamp").alias("seen_at"))
+    for parity in (0, 1):
+        rows.where(F.col("event_id") % 2 == parity).write.mode("append").parquet(f"{path}/in")
+        landed = ingest.feed_stream(spark, f"{path}/in", schema=rows.schema)
+        ingest.append_rows(ingest.unique_urls(landed, "7 days"), f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("event_id")
+
+
+# ---- stored tables over time -----------------------------------------------------------------------------
+
+
+@query("docs", "SELECT url, title FROM docs JOIN labels USING (doc_id)")
+def clear_tables(spark, sf_dir):
+    """All articles are stored, everything is cleared, then the labelled ones are stored."""
+    path = scratch(spark, "cleared")
+    shaped = lambda rows: rows.select("url", "title", "processed_at", F.col("language").alias("batch_id"))
+    store.append_batch(shaped(st.articles(spark, sf_dir)), path)
+    store.clear_all(spark, [path])
+    store.append_batch(shaped(st.labelled(spark, sf_dir)), path)
+    return readers.read_table(spark, path, schemas.STORED).select("url", "title")
+
+
+@query("docs", """SELECT url AS cache_key, CASE WHEN toxic = 1 THEN 'Nyt resumé ' ELSE 'Resumé ' END || doc_id AS summary
+    FROM docs JOIN labels USING (doc_id) WHERE toxic = 1 OR quality = 1""")
+def cache_write(spark, sf_dir):
+    """Two batches write summaries; the later one wins where both have the address."""
+    path = scratch(spark, "cache")
+    entries = lambda rows, batch_id, hour: rows.select(
+        "cache_key", "summary", F.lit(batch_id).alias("batch_id"), times.instant(dt.datetime(2024, 2, 10, hour)).alias("at"))
+    newer = st.labelled(spark, sf_dir, 1).select(
+        F.col("url").alias("cache_key"), F.concat(F.lit("Nyt resumé "), F.col("doc_id").cast("string")).alias("summary"))
+    store.append_batch(entries(newer, "b10", 12), path, "at", batch_id="b10")
+    store.append_batch(entries(st.summary_cache(spark, sf_dir), "b9", 11), path, "at", batch_id="b9")
+    table = readers.read_table(spark, path, schemas.SUMMARY_TABLE)
+    return store.latest(table, "cache_key", store.written_order("at")).select("cache_key", "summary")
+
+
+@query("docs", """SELECT url, title, 'unknown' AS domain_category, NULL::VARCHAR AS summary_en, length(text) / 4.0::DOUBLE AS ai_confidence FROM docs""")
+def migrated_table(spark, sf_dir):
+    """A table of an older schema: missing columns get their default, text becomes a number, columns since dropped go."""
+    path = scratch(spark, "older")
+    rows = st.articles(spark, sf_dir)
+    rows.select("title", "url", F.col("doc_id").alias("no_longer_kept")).write.parquet(path)
+    old = readers.read_table(spark, path, schemas.STORED).drop("ai_confidence")
+    scores = rows.select("url", (F.length("text") / 4).cast("string").alias("ai_confidence"))
+    out = schemas.conform(old.join(scores, "url"), schemas.STORED)
+    return out.select("url", "title", "domain_category", "summary_en", "ai_confidence")
+
+
+@query("docs", "SELECT doc_id, domain = 'src' || (doc_id % 8) || '.example.com' AS same FROM docs")
+def same_domain(spark, sf_dir):
+    other = F.concat(F.lit("src"), F.pmod("doc_id", F.lit(8)).cast("string"), F.lit(".example.com"))
+    return st.articles(spark, sf_dir).select("doc_id", urls.same_domain(F.concat(F.lit("WWW."), F.upper("domain")), other).alias("same"))
+
+
+def _fake_scorer(batch):
+    return batch.assign(response_text="words " + batch["title"].fillna("").str.len().astype(str))[["url", "response_text"]]
+
+
+@query("docs", """SELECT url, 'words ' || length(title) AS response_text, NULL::VARCHAR AS scorer_error FROM docs
+    WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
+def scorer_answers(spark, sf_dir):
+    """A scorer answers for articles that have no landed answer yet."""
+    done = st.labelled(spark, sf_dir).select("url")
+    rows = st.articles(spark, sf_dir).select("url", "title")
+    return classify.score_missing(rows, done, _fake_scorer, schemas.ANSWER)
+
+
+STREAM_ROWS = f"""cand AS (SELECT f.page_id, f.url, {squeeze("regexp_replace(p.text, '<[^>]+>', ' ', 'g')")} AS text, f.page_id % 2 AS part,
+      {base('f.domain')} || '|' || lower(trim(f.title)) AS k
+    FROM feed f JOIN page_texts p USING (page_id)
+    WHERE f.page_id % 50 <> 0 AND length(p.text) >= 700 AND f.title <> '' AND f.language IN ('en', 'fr', 'de', 'es')
+      AND (ends_with('.' || f.host, '.example.com') OR ends_with('.' || f.host, '.example.net'))
+      AND NOT (contains(f.host, 'cheap-pills') OR contains(f.host, 'free-bets') OR contains(f.host, 'adult-x') OR contains(f.host, 'casino-win')
+        OR contains(f.host, 'ththre') OR contains(f.host, 'ththed'))),
+  first_of AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY part, k ORDER BY page_id) = 1),
+  stored_rows AS (SELECT url, part FROM first_of a WHERE length(text) >= 700
+    AND NOT (part = 1 AND EXISTS (SELECT 1 FROM first_of b WHERE b.part = 0 AND b.k = a.k AND length(b.text) >= 700))),
+  future_rows AS (SELECT DISTINCT url, page_id % 2 AS part FROM feed WHERE page_id % 50 = 0 AND title <> '')"""
+
+
+@query("page_texts feed", "SELECT * FROM (WITH " + STREAM_ROWS + """
+    SELECT 'stored' AS kind, url AS what, 'stream-' || lpad(part::VARCHAR, 12, '0') AS batch_id FROM stored_rows
+    UNION ALL SELECT 'rejected', url, 'stream-' || lpad(part::VARCHAR, 12, '0') FROM
+      (SELECT url, part FROM future_rows UNION ALL SELECT url, part FROM first_of WHERE length(text) < 700)
+    UNION ALL SELECT 'run completed', (SELECT count(*) FROM stored_rows s WHERE s.part = p.part)::VARCHAR, 'stream-' || lpad(p.part::VARCHAR, 12, '0')
+      FROM range(2) p(part))""")
+def stream_ingest(spark, sf_dir):
+    """Whole batches on a stream of two micro-batches: a backlog of any age is stored, rows that claim a later time are rejected."""
+    path = scratch(spark, "ingest")
+    config = BatchConfig(
+        dt.datetime(9000, 1, 1), "-", max_failures=1 << 30, reliable=st.RELIABLE, problematic=st.PROBLEMATIC, japanese=st.JAPANESE,
+        languages=["en", "fr", "de", "es"], categories=st.PAGE_CATEGORIES, classifier=st.CLASSIFIER,
+    )
+    late = F.when(F.col("page_id") % 50 == 0, "99990101T000000Z").otherwise(F.col("seendate"))
+    rows = st.page_feed(spark, sf_dir).drop("html", "ingest_rank").withColumn("seendate", late)
+    for part in range(2):
+        rows.where(F.col("page_id") % 2 == part).write.mode("append").parquet(f"{path}/in")
+        landed = ingest.feed_stream(spark, f"{path}/in", schema=rows.schema)
+        ingest.ingest(landed, lambda s: st.table(s, sf_dir, "pages"), f"{path}/store", config, f"{path}/state",
+                      position="page_id", as_of=lambda: config.as_of).awaitTermination()
+    read = lambda name, schema: readers.read_table(spark, f"{path}/store/{name}", schema)
+    runs = store.runs_current(read("runs", schemas.RUN_EVENT))
+    return (
+        read("processed", schemas.STORED).select(F.lit("stored").alias("kind"), F.col("url").alias("what"), "batch_id")
+        .unionByName(read("rejected", schemas.STORED_REJECTED).select(F.lit("rejected").alias("kind"), F.col("url").alias("what"), "batch_id"))
+        .unionByName(runs.select(F.concat(F.lit("run "), "status").alias("kind"), F.col("stored").cast("string").alias("what"),
+                                 F.col("run_id").alias("batch_id")))
+    )
+
+
 # ---- the whole flow --------------------------------------------------------------------------------------
 
 

@@ -65,6 +65,24 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def site_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles spread over five base domains."""
+    site = F.concat(F.lit(".site"), F.pmod("doc_id", F.lit(5)).cast("string"), F.lit(".com"))
+    return articles(spark, sf_dir).withColumn("domain", F.concat(F.substring_index("domain", ".", 1), site))
+
+
+def chained_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of several sites; then a row for each that shares its address only; then one that shares only that row's title."""
+    rows = site_articles(spark, sf_dir).select("doc_id", "url", "domain", "title")
+    own = F.concat(F.lit("Copy "), F.col("doc_id").cast("string"))
+    parts = [
+        rows, rows.withColumn("title", own),
+        rows.withColumns({"title": own, "url": F.concat("url", F.lit("#again"))}),
+    ]
+    ranked = [p.select((F.col("doc_id") + F.lit(k << 40)).alias("ingest_rank"), "url", "domain", "title") for k, p in enumerate(parts)]
+    return ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
+
+
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classify_keywords(articles(spark, sf_dir), **CLASSIFIER)
 
