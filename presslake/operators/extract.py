@@ -51,7 +51,12 @@ def visible(html: Column | str) -> Column:
 
 def region(source: Column | str, tag: str) -> Column:
     """Inner source of the first `tag` element; '' when there is none."""
-    return F.regexp_extract(_col(source), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
+    return F.regexp_extract(_col(source), rf"(?is)<{tag}(?=[\s/>])[^>]*>(.*?)</{tag}\s*>", 1)
+
+
+def siblings(source: Column | str, tag: str) -> Column:
+    """Inner sources of all `tag` elements that stand side by side, as an array; nested ones are read wrongly."""
+    return F.regexp_extract_all(_col(source), F.lit(rf"(?is)<{tag}(?=[\s/>])[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
 
 
 def body(source: Column | str) -> Column:
@@ -140,7 +145,7 @@ def _parse(html: str, matches) -> _Regions:
 def _tree_text(html: str, min_region: int = MIN_REGION) -> str:
     page = _parse(html, _region_names)
     for name in CONTENT_REGIONS:
-        text = " ".join(page.texts(name))
+        text = " ".join(filter(None, page.texts(name)))
         if len(text) > min_region:
             return text
     return " ".join(page.texts("body")[:1])
@@ -155,15 +160,18 @@ def tree_text(html: Column | str, min_region: int = MIN_REGION) -> Column:
     return read(html)
 
 
-def page_text(df: DataFrame, html: str = "html", out: str = "text", min_region: int = MIN_REGION) -> DataFrame:
+def page_text(df: DataFrame, html: str = "html", out: str = "text", min_region: int = MIN_REGION,
+              reader: str | None = None) -> DataFrame:
     """Add the article text of a page: the first region with more than `min_region` characters, else the body.
 
-    Text of at most `min_region` characters counts as not extracted and becomes null.
+    Text of at most `min_region` characters counts as not extracted and becomes null. `reader` names a column that says
+    whether `patterns` or the `tree` reader read the page.
     """
     stripped = lambda source: F.regexp_replace(source, TAG, " ")
     tidy = lambda c: collapse_spaces(F.when(F.col(c).contains("&"), decode_entities(c)).otherwise(F.col(c)))
     # Each step is its own projection, so no pattern runs twice; main and body are read only when needed.
-    steps = df.withColumn("__src", visible(html)).withColumn("__raw", stripped(region("__src", "article")))
+    steps = df.withColumn("__src", visible(html)).withColumn("__articles", siblings("__src", "article"))
+    steps = steps.withColumn("__raw", stripped(F.array_join("__articles", " ")))
     steps = steps.withColumn("__text", tidy("__raw"))
     for name, source in (("main", region("__src", "main")), ("body", body("__src"))):
         steps = steps.withColumn(f"__no_{name}", F.length("__text") > min_region)
@@ -171,18 +179,20 @@ def page_text(df: DataFrame, html: str = "html", out: str = "text", min_region:
         steps = steps.withColumn("__text", F.when(F.col(f"__no_{name}"), F.col("__text")).otherwise(tidy("__raw")))
     source = F.col("__src")
     needs_tree = (
-        (F.regexp_count(source, F.lit(r"(?i)<article\b")) > 1)
-        | source.rlike(r"(?is)<!--|<(?:script|style)\b|<article\b(?!.*</article)")
+        # An article inside another or without an end tag is not found as a piece of its own.
+        (F.regexp_count(source, F.lit(r"(?i)<article(?=[\s/>])")) != F.size("__articles"))
+        | source.rlike(r"(?is)<!--|<(?:script|style)\b")
         | (~F.col("__no_main") & (F.regexp_count(source, F.lit(r"(?i)<main\b")) > 1))
         | (~F.col("__no_body") & source.rlike(CLASS_REGION))
         | F.col("__raw").rlike(OTHER_ENTITY)
     )
     read = steps.select(*df.columns, F.col("__text"), F.when(needs_tree, F.col(html)).alias("__odd"))
+    told = [F.when(F.col("__odd").isNull(), "patterns").otherwise("tree").alias(reader)] if reader else []
     read = read.withColumn("__text", F.coalesce(tree_text("__odd", min_region), "__text"))
     read = read.withColumn("__text", fix_mojibake("__text"))
-    kept = [c for c in df.columns if c != out]
+    kept = [c for c in df.columns if c not in (out, reader)]
     return computed(
-        read.select(*kept, F.when(F.length("__text") > min_region, F.col("__text")).alias(out)), "page_text"
+        read.select(*kept, F.when(F.length("__text") > min_region, F.col("__text")).alias(out), *told), "page_text"
     )
 
 

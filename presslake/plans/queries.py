@@ -597,6 +597,18 @@ def page_text(spark, sf_dir):
     return rows.select("page_id", F.md5("text").alias("text_md5"), n.alias("n"))
 
 
+@query("docs", f"""SELECT doc_id, md5(CASE WHEN length(t) > 100 THEN t WHEN length(b) > 100 THEN b END) AS text_md5, 'patterns' AS reader
+    FROM (SELECT doc_id, {squeeze("coalesce(title, '') || '’s ' || coalesce(text, '') || '—é'")} AS t,
+      {squeeze("coalesce(title, '') || '’s between ' || coalesce(text, '') || '—é'")} AS b FROM docs)""")
+def page_text_siblings(spark, sf_dir):
+    """Pages with two articles side by side and references beyond the common ones; all are read without Python."""
+    safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = F.concat(F.lit("<html><body><article><h1>"), safe("title"), F.lit("&rsquo;s</h1></article><p>between</p><ARTICLE class=x><p>"),
+                    safe("text"), F.lit("&#8212;&eacute;</p></ARTICLE></body></html>"))
+    read = extract.page_text(st.articles(spark, sf_dir).select("doc_id", html.alias("html")), reader="reader")
+    return read.select("doc_id", F.md5("text").alias("text_md5"), "reader")
+
+
 @query("page_parts", """SELECT CASE WHEN length(art) > 1500 THEN 'article' WHEN length(body) > 1000 THEN 'body' ELSE 'none' END
       AS extraction_method, count(*) AS n,
     sum(CASE WHEN length(art) > 1500 THEN length(art) WHEN length(body) > 1000 THEN length(body) ELSE 0 END)::BIGINT AS chars
@@ -1038,6 +1050,21 @@ def cache_write(spark, sf_dir):
     return store.latest(table, "cache_key", store.written_order("at")).select("cache_key", "summary")
 
 
+@query("failures", """SELECT domain, strftime(seen, '%Y%m%d') AS batch_id, count(*) AS failures FROM failures
+    WHERE strftime(seen, '%Y%m%d') <> '20240103' OR domain LIKE 'site1%' GROUP BY 1, 2""")
+def merged_days(spark, sf_dir):
+    """Failures of many batches, merged by day; then one old batch runs again with fewer rows."""
+    path = scratch(spark, "merged")
+    rows = st.failures(spark, sf_dir)
+    hour = F.concat("batch_id", F.lit("-"), F.floor(F.hour("at") / 8).cast("string"))
+    store.append_batch(rows.where("batch_id = '20240103'"), path, "at")
+    store.append_batch(rows.where("batch_id <> '20240103'").withColumn("batch_id", hour), path, "at")
+    store.compact(spark, path, schemas.FAILURE, dt.date(2024, 1, 20))
+    store.append_batch(rows.where("batch_id = '20240103' AND domain LIKE 'site1%'"), path, "at", batch_id="20240103")
+    day = F.substring_index("batch_id", "-", 1).alias("batch_id")
+    return readers.read_table(spark, path, schemas.FAILURE).groupBy("domain", day).agg(F.count(F.lit(1)).alias("failures"))
+
+
 @query("docs", """SELECT url, title, 'unknown' AS domain_category, NULL::VARCHAR AS summary_en, length(text) / 4.0::DOUBLE AS ai_confidence FROM docs""")
 def migrated_table(spark, sf_dir):
     """A table of an older schema: missing columns get their default, text becomes a number, columns since dropped go."""

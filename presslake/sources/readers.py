@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from presslake.schemas import COLUMN_DEFAULTS, FEED, PAGE, SUMMARY_CACHE, conform
 
 
+#: Name of folders that hold the rows of many batches of a day, and the column that keeps a row's own batch id in them.
+MERGED = "__merged-"
+MERGED_BATCH = "merged_batch_id"
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether any file matches `path`, on whatever file system it names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -37,17 +42,53 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 
     The schema is given to the reader, so columns an old file lacks are null and partition values such as
     `batch_id=007` stay text. `since` prunes the day folders that lie wholly before it; rows of its own day all stay.
+    Rows of merged folders (see `store.compact`) come with the batch id that they were written under.
     """
     if not path_exists(spark, f"{path}/*"):
         return spark.createDataFrame([], schema)
+    merged = path_exists(spark, f"{path}/day=*/batch_id={MERGED}*")
+    added = [T.StructField("day", T.DateType())] * (merged or since is not None) + [T.StructField(MERGED_BATCH, T.StringType())] * merged
+    rows = spark.read.format(fmt).schema(T.StructType([*schema.fields, *added])).load(path)
     if since is not None:
-        dated = T.StructType([*schema.fields, T.StructField("day", T.DateType())])
-        rows = conform(spark.read.format(fmt).schema(dated).load(path).where(F.col("day") >= F.lit(since.date())), schema)
-    else:
-        rows = conform(spark.read.format(fmt).schema(schema).load(path), schema)
+        rows = rows.where(F.col("day") >= F.lit(since.date()))
+    rows = conform(valid_batches(rows, path) if merged else rows, schema)
     return rows.fillna({k: v for k, v in COLUMN_DEFAULTS.items() if k in rows.columns})
 
 
+def batch_folders(spark: SparkSession, path: str, day: str = "*") -> dict[str, dict[str, bool]]:
+    """Per day that has merged folders (or the given one): its batch folders, and whether they were written whole."""
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    of_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    holders = fs.globStatus(of_path(f"{path}/day={day}/batch_id={MERGED if day == '*' else ''}*")) or []
+    found: dict[str, dict[str, bool]] = {}
+    for folder in {str(e.getPath().getParent()) for e in holders}:
+        entries = found.setdefault(folder.rsplit("day=", 1)[1], {})
+        for e in fs.listStatus(of_path(folder)):
+            name = names.unescapePathName(e.getPath().getName().removeprefix("batch_id="))
+            entries[name] = not name.startswith(MERGED) or fs.exists(of_path(f"{e.getPath()}/_SUCCESS"))
+    return found
+
+
+def valid_batches(rows: DataFrame, path: str) -> DataFrame:
+    """`rows` of a table with merged folders, each row once and under its own batch id.
+
+    Of the merged folders of a day the newest whole one counts, and a batch that still (or again) has a folder of its own is
+    read from there. Both lists of what to skip are empty unless a merge was cut short or an old batch ran again.
+    """
+    stale, replaced = [], []
+    for day, entries in batch_folders(rows.sparkSession, path).items():
+        whole = [n for n, done in entries.items() if n.startswith(MERGED) and done]
+        stale += [f"{day}/{n}" for n in entries if n.startswith(MERGED) and n != max(whole, default=None)]
+        replaced += [f"{day}/{n}" for n in entries if not n.startswith(MERGED)]
+    place = lambda name: F.concat_ws("/", F.col("day").cast("string"), F.col(name))
+    if stale:
+        rows = rows.where(~place("batch_id").isin(stale))
+    if replaced:
+        rows = rows.where(F.col(MERGED_BATCH).isNull() | ~place(MERGED_BATCH).isin(replaced))
+    return rows.withColumn("batch_id", F.coalesce(MERGED_BATCH, "batch_id"))
+
+
 def read_summary_cache(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """`(cache_key, summary)` from JSON object files; a missing or unreadable file gives no rows.
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from presslake.functions.times import instant
 from presslake.schemas import RUN_EVENT
-from presslake.sources.readers import path_exists
+from presslake.sources.readers import MERGED, MERGED_BATCH, batch_folders, path_exists, read_table
 
 
 def written_order(time: str | None = None) -> list[Column]:
@@ -46,6 +46,9 @@ def _drop_batch(spark: SparkSession, path: str, batch_id: str, levels: str = "")
     fs, target = _file_system(spark, f"{path}/{levels}batch_id={name}")
     for entry in fs.globStatus(target) or []:
         fs.delete(entry.getPath(), True)
+    # Rows of the batch in merged folders are outdated from now on, which a folder of its own says, even an empty one.
+    for folder in (fs.globStatus(_file_system(spark, f"{path}/{levels}batch_id={MERGED}*")[1]) or []) if levels else []:
+        fs.create(_file_system(spark, f"{folder.getPath().getParent()}/batch_id={name}/_replaced")[1], True).close()
 
 
 def append_batch(df: DataFrame, path: str, day: str = "processed_at", files_per_partition: int | None = None,
@@ -152,6 +155,36 @@ def drop_expired(spark: SparkSession, path: str, as_of: dt.datetime, days: int =
     return sorted(dropped)
 
 
+def compact(spark: SparkSession, path: str, schema: T.StructType, before: dt.date, files: int = 1) -> list[str]:
+    """Merge the batch folders of every day before `before` into one folder per day; returns the days.
+
+    Every row stays, under its batch id. The merged folder is written first and the folders that it covers go afterwards;
+    readers skip whichever of the two is not needed, so a merge may be cut short at any point and run again. Run it
+    when no batch is being written for those days. `files` is the number of files per day.
+    """
+    fs, root = _file_system(spark, path)
+    if not path_exists(spark, path):
+        return []
+    own = [f for f in schema.fields if f.name not in ("batch_id", "day")]
+    placed = T.StructType([*own, T.StructField("batch_id", T.StringType()), T.StructField("day", T.DateType())])
+    days = sorted(n[4:] for n in (e.getPath().getName() for e in fs.listStatus(root)) if n.startswith("day=") and n[4:] < before.isoformat())
+    done = []
+    for day in days:
+        covered = batch_folders(spark, path, day).get(day, {})
+        if len(covered) < 2:
+            continue
+        start = dt.datetime.fromisoformat(day)
+        rows = read_table(spark, path, placed, since=start)
+        rows = rows.where(F.col("day") == F.lit(start.date())).withColumnRenamed("batch_id", MERGED_BATCH).drop("day")
+        number = 1 + max([int(n.removeprefix(MERGED)) for n in covered if n.startswith(MERGED)], default=0)
+        rows.repartition(files).write.mode("overwrite").parquet(f"{path}/day={day}/batch_id={MERGED}{number:09d}")
+        names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        for name in covered:
+            fs.delete(_file_system(spark, f"{path}/day={day}/batch_id={names.escapePathName(name)}")[1], True)
+        done.append(day)
+    return done
+
+
 def clear_all(spark: SparkSession, paths: list[str]) -> None:
     """Remove all data below the given table folders and make sure that nothing is left."""
     for path in paths:

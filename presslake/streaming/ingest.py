@@ -74,6 +74,17 @@ def read_totals(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return latest(spark.read.parquet(path), keys, ["version"]).drop("version")
 
 
+def progress_rates(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """One row per recent micro-batch of a stream: rows read, rows per second in and through, seconds taken.
+
+    Spark keeps as many as `spark.sql.streaming.numRecentProgressUpdates` says, so this is a bounded report.
+    """
+    rows = [(p.batchId, p.timestamp, p.numInputRows, p.inputRowsPerSecond, p.processedRowsPerSecond,
+             p.durationMs.get("triggerExecution", 0) / 1000) for p in query.recentProgress]
+    return spark.createDataFrame(rows, "batch long, started_at string, input_rows long, input_per_second double, "
+                                       "processed_per_second double, seconds double")
+
+
 def append_rows(rows: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Append finished rows to a parquet table, exactly once."""
     return _start(rows.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, interval)

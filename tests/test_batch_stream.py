@@ -253,8 +253,11 @@ def test_totals_change_over_runs(spark, tmp_path):
     for n in range(2):
         df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = ingest.feed_stream(spark, f"{tmp_path}/in", schema=df.schema)
-        ingest.write_totals(ingest.failure_totals(stream), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        query = ingest.write_totals(ingest.failure_totals(stream), f"{tmp_path}/out", f"{tmp_path}/state")
+        query.awaitTermination()
     assert {r.domain: r.failures for r in ingest.read_totals(spark, f"{tmp_path}/out", ["domain"]).collect()} == {"a": 4, "b": 2}
+    rates = ingest.progress_rates(spark, query).collect()
+    assert sum(r.input_rows for r in rates) == 3 and all(r.seconds >= 0 for r in rates)
 
 
 def test_a_view_of_recent_days_reads_only_their_folders(spark, first):

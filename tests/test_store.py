@@ -155,3 +155,35 @@ def test_a_shrinking_rerun_leaves_no_old_rows(spark, tmp_path):
 def test_the_tenth_batch_beats_the_ninth(spark):
     rows = lambda *r: spark.createDataFrame(list(r), "url string, title string, batch_id string")
     assert store.upsert(rows(("u", "old", "b9")), rows(("u", "new", "b10"))).first().title == "new"
+
+
+def test_merged_days_keep_every_row(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), schemas.FAILURE
+    batch = lambda b, day, *d: spark.createDataFrame(
+        [(x, "r", dt.datetime(2024, 1, day, 1), b) for x in d], schema)
+    now = lambda: sorted((r.domain, r.batch_id, r.at.day) for r in readers.read_table(spark, path, schema).collect())
+    for b, day, domains in (("b1", 1, "aab"), ("b2", 1, "a"), ("b=3", 1, "c"), ("b4", 2, "d")):
+        store.append_batch(batch(b, day, *domains), path, "at", batch_id=b)
+    before = now()
+    assert store.compact(spark, path, schema, dt.date(2024, 1, 3)) == ["2024-01-01"] and now() == before
+    assert [p.name for p in (tmp_path / "t" / "day=2024-01-01").iterdir() if p.name.startswith("batch")] == ["batch_id=__merged-000000001"]
+    since = readers.read_table(spark, path, schema, since=dt.datetime(2024, 1, 2))
+    assert [r.domain for r in since.collect()] == ["d"]
+    # A batch of a merged day runs again: fewer rows, then none, then another merge.
+    store.append_batch(batch("b1", 1, "z"), path, "at", batch_id="b1")
+    assert now() == sorted([("z", "b1", 1), *[r for r in before if r[1] != "b1"]])
+    store.append_batch(batch("b1", 1, "z").limit(0), path, "at", batch_id="b1")
+    rest = [r for r in before if r[1] != "b1"]
+    assert now() == rest
+    assert store.compact(spark, path, schema, dt.date(2024, 1, 3)) == ["2024-01-01"] and now() == rest
+    # A merge that was cut short: not whole, or whole with its sources still there.
+    half = batch("x", 1, "x").withColumnRenamed("batch_id", readers.MERGED_BATCH)
+    half.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/day=2024-01-01/batch_id=__merged-000000009")
+    assert now() == rest
+    store.append_batch(batch("b5", 2, "e"), path, "at", batch_id="b5")
+    both = now()
+    whole = batch("b4", 2, "d").unionByName(batch("b5", 2, "e")).withColumnRenamed("batch_id", readers.MERGED_BATCH)
+    whole.write.parquet(f"{path}/day=2024-01-02/batch_id=__merged-000000001")
+    assert now() == both
+    assert store.compact(spark, path, schema, dt.date(2024, 1, 3)) == ["2024-01-01", "2024-01-02"] and now() == both
+    assert store.compact(spark, str(tmp_path / "none"), schema, dt.date(2024, 1, 3)) == []
