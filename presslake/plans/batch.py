@@ -17,7 +17,7 @@ from presslake.operators import classify, dedup, enrich, extract, feed as feeds,
 from presslake.operators.analytics import run_counters
 from presslake.operators.skew import anti_join, semi_join
 from presslake.schemas import ANSWER, ARTICLE, FAILURE, FEED, PENDING, REJECTED, STORED, STORED_ANSWER, STORED_REJECTED, SUMMARY_TABLE, conform
-from presslake.session import staged
+from presslake.session import dropping_stages, staged
 from presslake.sources import readers, store
 
 
@@ -136,6 +136,7 @@ def classify_articles(valid: DataFrame, cache: DataFrame, config: BatchConfig,
     ).drop("from_cache", "parsed_as")
 
 
+@dropping_stages
 def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str, config: BatchConfig,
               responses: DataFrame | None = None, position: str = "position",
               scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> dict:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +63,28 @@ def _stage_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/presslake/{spark.sparkContext.applicationId}"
 
 
+_own = threading.local()
+
+
+def dropping_stages(job: Callable) -> Callable:
+    """Delete the stages that `job(spark, …)` writes when it ends, also after a failure.
+
+    For jobs that write their results and hand out no frame that is built on a stage.
+    """
+    @wraps(job)
+    def run(spark: SparkSession, *args, **kwargs):
+        outer, _own.paths = getattr(_own, "paths", None), []
+        try:
+            return job(spark, *args, **kwargs)
+        finally:
+            for path in _own.paths:
+                target = spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _own.paths = outer
+
+    return run
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder now and continue from the written rows.
 
@@ -67,6 +92,8 @@ def staged(df: DataFrame) -> DataFrame:
     size is known to the planner. It survives the loss of any executor.
     """
     path = f"{_stage_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    if getattr(_own, "paths", None) is not None:
+        _own.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

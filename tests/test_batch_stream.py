@@ -101,6 +101,21 @@ def test_the_next_batch_skips_what_is_known(spark, first):
     assert contents(spark, root)[:2] == before[:2]
 
 
+def test_a_batch_leaves_no_stages(spark, tmp_path):
+    from pathlib import Path
+
+    from presslake.session import shared_dir
+
+    stages = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file:")).glob("presslake/*/stage-*")}
+    before = stages()
+    feed, pages = inputs(spark)
+    assert run_batch(spark, feed, pages, str(tmp_path), BatchConfig(AS_OF, "0001"))["stored"] == 2
+    assert stages() == before
+    with pytest.raises(Exception):
+        run_batch(spark, feed.drop("url"), pages, str(tmp_path), BatchConfig(AS_OF, "0002"))
+    assert stages() == before
+
+
 def test_a_failed_batch_is_logged(spark, tmp_path):
     feed, _ = inputs(spark)
     with pytest.raises(Exception):
