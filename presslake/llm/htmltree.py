@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ from presslake.session import staged
 #: Importance below which a branch is cut, and pages of a host from which its tree is trusted.
 LEAST_IMPORTANCE = 0.2
 LEAST_PAGES = 8
+#: A text tells of its site only beside a block of which so many times its own length makes up for it.
+LEAST_COMPANY = 4
 #: Weight of what a node says against how it is laid out.
 GAMMA = 0.9
 #: Cut paths of all hosts that may be copied to every task, and the salts of a host beyond that.
@@ -164,10 +167,24 @@ def _key(path: tuple[str, ...]) -> str:
     return ">".join(path)
 
 
+def _text_hash(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _company(texts: dict[str, list[str]]) -> dict[str, str]:
+    """For each text path of a page its longest block at another path; empty if that is short beside the path's own text."""
+    longest = sorted(((max(len(t) for t in text), node, max(text, key=lambda t: (len(t), t))) for node, text in texts.items()), reverse=True)[:2]
+    out = {}
+    for node, text in texts.items():
+        size, _, block = next((x for x in longest if x[1] != node), (0, "", ""))
+        out[node] = block if LEAST_COMPANY * size >= sum(map(len, text)) else ""
+    return out
+
+
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page: every element path with the sequence of its child styles, every text path with its words' hash."""
+    """For each page: every element path with the sequence of its child styles, every text path with its words; both beside what tells copies."""
     for batch in batches:
-        hosts, nodes, kinds, values = [], [], [], []
+        hosts, nodes, kinds, values, beside = [], [], [], [], []
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             host = host_of(url)
             children: dict[str, dict[str, None]] = {}
@@ -175,12 +192,16 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in blocks(page or ""):
                 for k in range(len(b.path)):
                     children.setdefault(_key(b.path[:k]), {})[b.path[k]] = None
-                texts.setdefault(_key(b.path), []).append(b.text)
+                if not b.noise:
+                    texts.setdefault(_key(b.path), []).append(b.text)
+            whole = _text_hash(*(x for node, text in texts.items() for x in (node, *text)))
             for node, below in children.items():
-                hosts.append(host), nodes.append(node), kinds.append("style"), values.append(",".join(below))
+                hosts.append(host), nodes.append(node), kinds.append("style"), values.append(_text_hash(",".join(below))), beside.append(whole)
+            company = _company(texts)
             for node, text in texts.items():
-                hosts.append(host), nodes.append(node), kinds.append("text"), values.append(" ".join(text))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (hosts, nodes, kinds, values)], ["host", "node", "kind", "value"])
+                hosts.append(host), nodes.append(node), kinds.append("text"), values.append(_text_hash(" ".join(text))), beside.append(_text_hash(company[node]))
+        yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.string()) for x in (hosts, nodes, kinds)], *[pa.array(x, pa.int64()) for x in (values, beside)]],
+                                         ["host", "node", "kind", "value", "beside"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -188,16 +209,20 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     `node` is the path of styled elements from the root. Its presentation importance is the entropy of its child sequences over
     the pages that have it, its content importance the entropy of its texts, both to the base of the number of pages: 1 when
-    every page differs, 0 when all are alike. Only counts travel: one row for each host, node and hash of a child
-    sequence or text, summed on the map side, so a host with most of the pages is no larger task than others.
+    every page differs, 0 when all are alike. Copies of a page count once: a text counts once for each longest block that
+    stands beside it on a page, so an article is not taken for a notice because its page is mirrored, repeated or dated anew; a
+    text that has next to nothing beside it is the article itself. What is noise by itself is not looked at. Only hashes
+    travel, made distinct and then summed on the map side, so a host with most of the pages is no larger task than others.
     """
-    seen = pages.select("url", "html").mapInArrow(_observe, "host string, node string, kind string, value string")
-    counted = seen.groupBy("host", "node", "kind", F.xxhash64("value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    seen = pages.select("url", "html").mapInArrow(_observe, "host string, node string, kind string, value long, beside long").distinct()
+    counted = seen.groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     sums = counted.groupBy("host", "node", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("weighted"))
     entropy = F.when(F.col("pages") > 1, (F.log("pages") - F.col("weighted") / F.col("pages")) / F.log("pages")).otherwise(F.lit(1.0))
     told = sums.withColumn("importance", entropy)
     one = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    return told.groupBy("host", "node").agg(F.max("pages").alias("pages"), one("style", "importance").alias("presentation"), one("text", "importance").alias("content"))
+    # Pages of a node are those that tell of its text; a node without own text has those of its children.
+    return told.groupBy("host", "node").agg(F.coalesce(one("text", "pages"), F.max("pages")).alias("pages"), one("style", "importance").alias("presentation"),
+                                            one("text", "importance").alias("content"))
 
 
 def noisy_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
@@ -228,7 +253,7 @@ def extract(pages: DataFrame, **settings) -> DataFrame:
     comments and the like go; of the rest, branches go that the style tree of the host finds alike on its pages. If a page has
     articles, only they count, else a main element, else the page. Character references are decoded, white space inside a
     block becomes one space, blocks stand in page order with a blank line between. Null addresses share one tree.
-    Repeated rows are pages of their own. A column `text` of `pages` is replaced; other columns stay.
+    Repeated rows are rows of the result, but copies of a page count once in the tree. A column `text` of `pages` is replaced; other columns stay.
     """
     low = staged(noisy_nodes(pages, **settings))
     # The few cut paths of each host; a path is cut only with many pages behind it, so a host has far fewer of them than pages.

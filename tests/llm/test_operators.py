@@ -324,6 +324,21 @@ def test_style_tree_cuts_what_a_site_repeats(spark):
     assert told[3] == "Story number 3 of many" and told[99] == "Follow our daily letter\n\nAlone"
 
 
+def test_copies_of_a_page_do_not_empty_it(spark):
+    page = "<html><body><div class=ad>Ad {ad}</div><article><h1>{head}</h1><p class=date>Day {day}</p><p class=body>{body}</p></article></body></html>"
+    body = lambda i: f"Story {i} of many with words enough to be the article of its page"
+    pages = [("equal", 1, 0, "One", 1)] * 9 + [("dated", 1, i, "One", i) for i in range(9)] + [(None, 1, 0, "One", 1)] * 9
+    pages += [("most", 0, 0, "Head", 0)] * 90 + [("most", i, i, f"Head {i}", i) for i in range(1, 11)]
+    rows = [(i, host and f"http://{host}.example/{i}", page.format(ad=ad, head=head, day=day, body=body(story))) for i, (host, story, day, head, ad) in enumerate(pages)]
+    told = {r["page_id"]: r["text"] for r in htmltree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert told == {i: f"{head}\n\nDay {day}\n\n{body(story)}" for i, (_, story, day, head, _) in enumerate(pages)}
+    # A notice beside stories that differ still goes, however often one of them is repeated.
+    page = "<article><p class=x>Follow our daily letter</p><p class=y>{}</p></article>"
+    rows = [(i, "http://h.example/", page.format(body(max(0, i - 80)))) for i in range(90)]
+    told = {r["page_id"]: r["text"] for r in htmltree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert told == {i: body(max(0, i - 80)) for i in range(90)}
+
+
 def test_addresses(spark):
     urls = ["http://A.example.COM/en/1?x=1", "https://www.example.com/en/", "http://x.net/es/1", "http://x.net/de/1", "http://com/", "http://example.com#f", None, "no", "http://",
             "http://notcom/en/", "ftp://b.net/fr/#a://c"]
