@@ -6,6 +6,7 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -29,12 +30,22 @@ SALTS = 64
 # Elements that are no text of a page, whatever a site does with them.
 SILENT = frozenset("script style noscript template head title svg canvas iframe object math select option textarea button datalist".split())
 NOISE = frozenset("nav footer aside form dialog menu".split())
-# Words in class, id, role or aria-label that name what is not the article.
+# Words of which a whole class token, id, role or aria-label consists that names what is not the article.
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner menu nav navbar navigation breadcrumb breadcrumbs sidebar "
     "side footer header masthead cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended comments comment reply replies disqus widget toolbar pagination pager search complementary "
     "contentinfo alert gdpr".split())
+# Words that leave the meaning of a noise word beside them as it is ('share-box'), and those that do so for a page header.
+BESIDE_NOISE = frozenset(
+    "area bar block bottom box button buttons col column container footer form group icons inner item items link links list main mobile module "
+    "outer page panel post posts primary row secondary section site slot social top ul unit".split())
+#: Noise words of what may hold articles of others; how far an element is from the article.
+OTHERS = frozenset("comment comments disqus recommended related replies reply".split())
+BY_NAME, BY_OTHERS, FOR_SURE = 1, 2, 3
+HEADERS = frozenset("header masthead".split())
+BESIDE_HEADER = frozenset("bar container global inner outer site top".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -56,40 +67,59 @@ class Block(NamedTuple):
     text: str
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """Style of an element from its attributes (numbers left out), and whether they name it as noise."""
+@lru_cache(maxsize=65536)
+def _is_noise(token: str, inside: bool) -> int:
+    """Whether a whole class token, id, role or label says that an element is not the article, as a level; `inside` an article a header is part of it."""
+    parts = {w.lower() for w in _NAME_PART.findall(token)}
+    if parts & HEADERS:
+        return BY_NAME if not inside and parts <= HEADERS | BESIDE_HEADER else 0
+    if not parts & NOISE_WORDS or not parts <= NOISE_WORDS | BESIDE_NOISE:
+        return 0
+    return BY_OTHERS if parts & OTHERS else BY_NAME
+
+
+def _names(attributes: str, inside: bool = False) -> tuple[str, int]:
+    """Style of an element from its attributes (numbers left out), and whether they name it as noise or hide it, as a level."""
     if not attributes or ("=" not in attributes and "hidden" not in attributes.lower()):
-        return "", False
-    style, noise = [], False
+        return "", 0
+    style, noise = [], 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         if name.lower() == "hidden":
-            noise = True
+            noise = FOR_SURE
             continue
-        noise = noise or any(w.lower() in NOISE_WORDS for w in _NAME_PART.findall(value))
+        noise = max([noise, *(_is_noise(t, inside) for t in ([value] if name.lower() == "aria-label" else value.split()))])
         if name.lower() in ("class", "id"):
             style.append(re.sub(r"\d+", "0", value.strip().lower()))
     return ".".join(style), noise
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str, wrapped: bool = False) -> list[Block]:
     """The text blocks of a page in order, each with the path of styled elements above it.
 
+    An element is noise by its tag, because it is hidden, or by its names, as is what it holds. Names of headings are
+    anchors, names of html, body, article and main say nothing, and no name reaches into a main element. If nearly all
+    text of a page stands in articles that only a name above them drops, such as that of a wrapper around the page, the page is read
+    again with `wrapped`: names then do not reach into articles, but those of comments and related articles.
+
     Unclosed and wrongly nested elements are closed as browsers close them: a new paragraph or block ends an open paragraph, a new
     item ends its neighbour, an end tag closes everything opened inside, an end tag without start is ignored.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, str, int]] = []
+    kept = named_only = 0
     pieces: list[str] = []
-    where: tuple[tuple[str, ...], bool] | None = None
+    where: tuple[tuple[str, ...], int] | None = None
 
     def end_block() -> None:
-        nonlocal where
+        nonlocal where, kept, named_only
         if pieces:
             text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             pieces.clear()
             if text:
-                out.append(Block(where[0], where[1], text))
+                out.append(Block(where[0], where[1] > 0, text))
+                kept += len(text) * (where[1] == 0)
+                named_only += len(text) * (where[1] == BY_NAME and any(s.split(".")[0] == "article" for s in where[0]))
         where = None
 
     def add(text: str) -> None:
@@ -97,8 +127,8 @@ def blocks(page: str) -> list[Block]:
         if where is None:
             if not text.strip():
                 return
-            where = tuple(s for t, s, _ in stack if t not in INLINE), bool(stack) and stack[-1][2]
-        elif bool(stack) and stack[-1][2] != where[1]:
+            where = tuple(s for t, s, _ in stack if t not in INLINE), stack[-1][2] if stack else 0
+        elif stack and stack[-1][2] != where[1]:
             end_block()
             return add(text)
         pieces.append(text)
@@ -143,17 +173,22 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k][0] in _SCOPE[tag]:
                     break
-        style, named = _names(m.group(4))
-        above = bool(stack) and stack[-1][2]
         inside = any(t in ("article", "main") for t, _, _ in stack)
-        noise = above or named and tag not in ("html", "body", "article", "main") or tag in NOISE or tag in SILENT or tag == "header" and not inside
+        style, named = _names(m.group(4), inside)
+        above = stack[-1][2] if stack else 0
+        if tag == "main" and above < FOR_SURE or tag == "article" and wrapped and above == BY_NAME:
+            above = 0
+        if tag in ("html", "body", "article", "main") or tag in HEADINGS and named < FOR_SURE:
+            named = 0
+        by_tag = tag in NOISE or tag in SILENT or tag == "header" and not inside
+        noise = max(above, named, FOR_SURE if by_tag else 0)
         stack.append((tag, f"{tag}.{style}" if style else tag, noise))
     if last < len(page):
         rest = page[last:]
         # A tag that the page breaks off is no text.
         add(rest[:rest.index("<")] if re.match(r"[^<]*<[A-Za-z/!][^>]*\Z", rest, re.S) else rest)
     end_block()
-    return out
+    return blocks(page, wrapped=True) if not wrapped and named_only > LEAST_COMPANY * kept else out
 
 
 def host_of(url: str | None) -> str:

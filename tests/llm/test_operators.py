@@ -339,6 +339,24 @@ def test_copies_of_a_page_do_not_empty_it(spark):
     assert told == {i: body(max(0, i - 80)) for i in range(90)}
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='content has-sidebar'>", "<div class=no-sidebar>", "<div class='ad-free wide'>", "<div id=with-menu>", "<div class=content-sidebar-wrap>",
+                                     "<div class=overlay>", "<div class='page modal' role=search>"])
+def test_names_of_wrappers_drop_nothing(wrapper):
+    for tag in ("article", "main"):
+        page = f"{wrapper}<{tag}><header class=entry-header><h1>Head</h1></header><p>Story</p></{tag}><section class=related-posts><article>Others</article></section></div>"
+        assert htmltree.main_text(page) == "Head\n\nStory"
+
+
+def test_names_inside_articles_drop_only_noise():
+    page = ("<article><div class=entry-header><h1>A</h1></div><section id=related-work><h2 id=search>B</h2><p>C</p></section><div class=social-science>D</div><p class=side-note>E</p>"
+            "<div class=header>F</div><div class='box share-links'>X</div><div class=adSlot1>X</div><div aria-label='Related posts'>X</div><section id=comments><article class=comment>X</article></section></article>")
+    assert htmltree.main_text(page) == "A\n\nB\n\nC\n\nD\n\nE\n\nF"
+    # Articles of others are not the page's, however long they are.
+    for name in ("comments", "related", "sidebar"):
+        assert htmltree.main_text(f"<div class=post><p>Plain story</p></div><div class={name}><article>One more voice on the story</article></div>") == "Plain story"
+    assert htmltree.main_text(f"<div class=post><p>Plain story</p></div><div class=comments><article>{'long ' * 99}</article></div>") == "Plain story"
+
+
 def test_addresses(spark):
     urls = ["http://A.example.COM/en/1?x=1", "https://www.example.com/en/", "http://x.net/es/1", "http://x.net/de/1", "http://com/", "http://example.com#f", None, "no", "http://",
             "http://notcom/en/", "ftp://b.net/fr/#a://c"]
