@@ -1,4 +1,4 @@
-"""HTML extraction with a site style tree: pages of a host share one tree, and branches of low importance are cut from each page."""
+"""HTML extraction with a style tree of each site: pages of a host share one tree, and text paths of low importance are cut from each page."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from presslake.session import staged
 
-#: Importance below which a branch is cut, and pages of a host from which its tree is trusted.
+#: Importance below which a text path is cut, and pages of a host from which its tree is trusted.
 LEAST_IMPORTANCE = 0.2
 LEAST_PAGES = 8
 #: A text tells of its site only beside a block of which so many times its own length makes up for it.
@@ -263,8 +263,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
 def noisy_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
     """(host, node): text-bearing nodes whose combined importance is low: the same words under the same style on most pages.
 
-    A text node combines the entropy of its content with that of the presentation above it, weighted by GAMMA. Nodes of fewer
-    than `least_pages` pages tell nothing and stay.
+    The content of a node is all its text on a page, as one value. Only a node that has both text and child elements combines its
+    entropy with that of its own child sequences, weighted by GAMMA; elsewhere the content alone decides. Nodes of fewer
+    than `least_pages` pages that are no copies tell nothing and stay. Nothing is carried up the tree.
     """
     tree = style_tree(pages)
     combined = GAMMA * F.col("content") + (1 - GAMMA) * F.coalesce(F.col("presentation"), F.col("content"))
@@ -285,7 +286,7 @@ def extract(pages: DataFrame, **settings) -> DataFrame:
     """`pages` with `text` (the main text, empty if none) in place of html.
 
     The whole html of every page is read; null html is empty. Elements that are never text and elements named as menus, adverts,
-    comments and the like go; of the rest, branches go that the style tree of the host finds alike on its pages. If a page has
+    comments and the like go; of the rest, text paths go that the style tree of the host finds alike on its pages. If a page has
     articles, only they count, else a main element, else the page. Character references are decoded, white space inside a
     block becomes one space, blocks stand in page order with a blank line between. Null addresses share one tree.
     Repeated rows are rows of the result, but copies of a page count once in the tree. A column `text` of `pages` is replaced; other columns stay.
