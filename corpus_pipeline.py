@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from presslake.llm import decontaminate, mixing, neardup, quality, sharding
 from presslake.session import staged
 
+#: Similarity of near duplicates in the pipeline, in percent; the query op5_near_duplicates has its own.
+NEAR_PERCENT = 80
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return neardup.one_of_each(docs)
+    """One document of each group of near duplicates: five-word shingles, similarity of NEAR_PERCENT or more."""
+    return neardup.one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,9 +17,9 @@ from presslake.session import staged
 
 SIZE = 5
 PERCENT = 85
-#: Signature of BANDS x ROWS values. A pair at 0.85 shares no band with probability (1 - 0.85^5)^25 = 4.3e-7.
-ROWS, BANDS = 5, 25
+#: Signature values, and the chance at which a pair at the threshold may share no band.
 HASHES = 128
+NO_BAND = 5e-7
 #: Chance at which the Bayesian test may lose a pair, and the signature values it reads at a time.
 MISS = 1e-7
 BATCH = 16
@@ -40,6 +40,19 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def banding(percent: int = PERCENT) -> tuple[int, int]:
+    """(rows, bands): the longest bands, and the fewest of them, that lose a pair at the threshold with at most NO_BAND.
+
+    At 0.85 these are 25 bands of 5 values, (1 - 0.85^5)^25 = 4.3e-7; at 0.8, 28 of 4, (1 - 0.8^4)^28 = 3.9e-7.
+    """
+    for rows in range(5, 0, -1):
+        chance = (percent / 100) ** rows
+        bands = math.ceil(math.log(NO_BAND) / math.log1p(-chance)) if chance < 1 else 1
+        if rows * bands <= HASHES:
+            return rows, bands
+    return 1, HASHES
+
+
 def least_matches(percent: int = PERCENT, miss: float = MISS) -> dict[int, int]:
     """For n compared values, the fewest matches at which the pair is still alive.
 
@@ -101,19 +114,25 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["doc_id", "text_key", "n_shingles", "node", "signature"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    factors = mixed(np.arange(1, ROWS + 1, dtype=np.uint64))
-    salt = mixed(np.arange(1000, 1000 + BANDS, dtype=np.uint64))
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
-        rows = values[:, :ROWS * BANDS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-        keys = mixed((rows * factors).sum(axis=2, dtype=np.uint64) ^ salt)
-        yield pa.RecordBatch.from_arrays([
-            batch.column("node").take(pa.array(np.repeat(np.arange(len(keys)), BANDS))),
-            pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))),
-        ], ["node", "band", "place"])
+def _bands(nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, band, place): the hash of each band of each signature, and which band of the signature it is."""
+    size, bands = banding(percent)
+    factors = mixed(np.arange(1, size + 1, dtype=np.uint64))
+    salt = mixed(np.arange(1000, 1000 + bands, dtype=np.uint64))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+            rows = values[:, :size * bands].reshape(-1, bands, size).astype(np.uint64)
+            keys = mixed((rows * factors).sum(axis=2, dtype=np.uint64) ^ salt)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("node").take(pa.array(np.repeat(np.arange(len(keys)), bands))),
+                pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(keys))),
+            ], ["node", "band", "place"])
+
+    return nodes.select("node", "signature").mapInArrow(cut, "node binary, band long, place int")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -222,6 +241,7 @@ def _across(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("band", "place", "node", "root", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
     made = _sets(open_rows.select("node").distinct(), nodes, docs)
+    width, bands = banding(percent)
     rows = rows.join(nodes.select("node", "signature").join(made, "node"), "node")
 
     def settle(rows: pa.Table) -> pa.RecordBatch | None:
@@ -237,7 +257,7 @@ def _across(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
             others = others[(group[others] != group[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))]
             if not len(others):
                 continue
-            same = (values[others, :ROWS * BANDS] == values[i, :ROWS * BANDS]).reshape(-1, BANDS, ROWS).all(axis=2)
+            same = (values[others, :width * bands] == values[i, :width * bands]).reshape(-1, bands, width).all(axis=2)
             others = others[same.argmax(axis=1) == place[0]]
             if not len(others):
                 continue
@@ -295,7 +315,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = staged(first.alias("f").join(some.alias("t"), same).select(
         "f.node", "f.doc_id", "f.text_key", "t.n_shingles", "t.signature").dropDuplicates(["node"]))
 
-    bands = staged(nodes.select("node", "signature").mapInArrow(_bands, "node binary, band long, place int"))
+    bands = staged(_bands(nodes, percent))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = staged(bands.join(sizes, "band"))
     # The member that shares bands most often stands in the middle of its group.

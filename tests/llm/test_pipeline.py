@@ -1,6 +1,8 @@
 """Registered queries and the pipeline on the smallest tables."""
 
 import collections
+import random
+import re
 
 import pytest
 
@@ -70,3 +72,33 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     for r in found:
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def groups_of(texts, percent):
+    """Groups of positions whose sets of five-word shingles are linked at `percent`, by comparing all pairs."""
+    words = [re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in words]
+    group = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 100 * len(x & y) >= percent * len(x | y):
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+def test_near_duplicate_stage_links_from_four_fifths(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(10**5)}" for _ in range(120)]
+        # Some words of the end replaced: 0.72 to 0.92 of the shingles of both.
+        for cut in (0, rng.randint(5, 18)):
+            rows.append((len(rows), " ".join(words[:120 - cut] + [f"n{rng.randrange(10**5)}" for _ in range(cut)])))
+    least = {percent: collections.Counter(groups_of([t for _, t in rows], percent)) for percent in (80, 85)}
+    assert len(least[80]) < len(least[85]) < len(rows)
+    group = groups_of([t for _, t in rows], 80)
+    kept = {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF_DIR).collect()}
+    assert kept == {group.index(g) for g in set(group)}
+    for percent, most in ((80, 28), (85, 25)):
+        size, bands = neardup.banding(percent)
+        assert bands == most and (1 - (percent / 100) ** size) ** bands < 5e-7 and size * bands <= neardup.HASHES
