@@ -290,20 +290,8 @@ def _across(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, text_key, n_shingles, component_id, kept.
-
-    Words are runs without ASCII white space, A-Z lower-cased; the set of a text holds its distinct 5-word shingles, or its
-    whole sequence if it has fewer words. Texts of equal sets are one class. Classes that share a band of their
-    signatures are candidates; each bucket is first compared with its most connected member, then what those links
-    leave apart is compared tile by tile, so pairs inside a group are never listed. Candidates pass the sequential
-    Bayesian test and are linked if 100 * intersection >= percent * union on the full sets. `component_id` is
-    the smallest id that links reach, `kept` marks the document with that id.
-
-    Null, empty and blank texts have no shingles, are linked with nothing and stay. Rows without id join components but do
-    not name them; a component without any id has a null component_id and all its rows are kept. Rows that share an id
-    are judged each by its own text. Empty input gives an empty result. Only doc_id and text are read.
-    """
+def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, n_shingles, node, signature), and for each node its first row (node, doc_id, text_key) and the root of its component."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     kinds = [T.StructField(c, keyed.schema[c].dataType) for c in ("doc_id", "text_key")]
     kinds += [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("signature", T.BinaryType())]
@@ -330,7 +318,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not more.isEmpty():
         roots = components(links.union(more))
 
-    classes = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    classes = nodes.select("node", "doc_id", "text_key").join(roots, "node", "left")
+    return told, classes.select("node", "doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per document: doc_id, text_key, n_shingles, component_id, kept.
+
+    Words are runs without ASCII white space, A-Z lower-cased; the set of a text holds its distinct 5-word shingles, or its
+    whole sequence if it has fewer words. Texts of equal sets are one class. Classes that share a band of their
+    signatures are candidates; each bucket is first compared with its most connected member, then what those links
+    leave apart is compared tile by tile, so pairs inside a group are never listed. Candidates pass the sequential
+    Bayesian test and are linked if 100 * intersection >= percent * union on the full sets. `component_id` is
+    the smallest id that links reach, `kept` marks the document with that id.
+
+    Null, empty and blank texts have no shingles, are linked with nothing and stay. Rows without id join components but do
+    not name them; a component without any id has a null component_id and all its rows are kept. Rows that share an id
+    are judged each by its own text. Empty input gives an empty result. Only doc_id and text are read.
+    """
+    told, classes = _classes(docs, percent)
     named = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = classes.join(named, "root").select(F.col("node").alias("_node"), "component_id")
     joined = told.join(of_node, told["node"] == of_node["_node"], "left")
@@ -340,9 +346,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` that `near_duplicates` keeps, columns as they are; a kept row that is repeated stays once."""
+    """One row of each component of `near_duplicates`, and the rows that are linked with nothing; columns as they are.
+
+    Of a component the row stays that is first by id (rows without id last), text hash and hash of the whole row, also if no row
+    has an id, one id is on several of its texts, or the row is repeated. Blank texts belong to no component: with an id,
+    one row stays for each id and text, without one all rows stay.
+    """
     names = docs.columns
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
-    found = packed.join(kept, packed["_doc"].eqNullSafe(kept["_id"]) & (packed["_text"] == kept["_key"]), "left_semi")
+    told, classes = _classes(docs, percent)
+    # Ids as text beside a flag: keys without null, so that the texts travel once for the minimum and the join.
+    keys = [F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_doc"), "text_key"]
+    homes = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("home"))
+    kept = homes.select("home.doc_id", "home.text_key").select(*keys)
+    kept = staged(kept.union(told.where("node is null and doc_id is not null").select(*keys)).distinct().withColumnRenamed("text_key", "_text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    packed = docs.select(row.alias("_row"), "doc_id", F.xxhash64("text").alias("text_key"), "text")
+    blank = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    # Repeated rows meet on the map side first, so many copies of one row do not gather.
+    first = packed.where(~blank).select("_row", *keys).groupBy("_none", "_doc", F.col("text_key").alias("_text")).agg(
+        F.min_by("_row", F.xxhash64(F.col("_row").cast("string"))).alias("_row"))
+    found = first.join(kept, ["_none", "_doc", "_text"], "left_semi").select("_row").union(packed.where(blank).select("_row"))
     return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])

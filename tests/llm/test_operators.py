@@ -184,6 +184,28 @@ def test_near_duplicates(docs, rows, empty):
     assert neardup.one_of_each(docs).columns == docs.columns
 
 
+def test_one_row_of_each_component(spark, docs, rows, empty):
+    rng = random.Random(21)
+    text = lambda: " ".join(f"w{rng.randrange(10**5)}" for _ in range(60))
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    a, b, c, d = (text() for _ in range(4))
+    made = [(1, a, "x")] * 5 + [(2, near(a), "x")] * 3 + [(None, a, "x")] * 2 + [(None, b, "x")] * 4 + [(None, near(b), "y")] * 2
+    made += [(7, c, "x"), (7, near(c), "x"), (7, d, "x"), (8, d, "x")] + [(9, text(), "x")]
+    made += [(4, text(), "u")] + [(5, t, s) for t in (text(),) for s in ("u", "v", "u")] + [(10, " ", "x")] * 2 + [(None, "", "x")] * 2 + [(None, None, "x")]
+    frame = spark.createDataFrame(made, "doc_id bigint, text string, `a.b` string").repartition(4)
+    told = collections.Counter(tuple(r) for r in neardup.one_of_each(frame).collect())
+    short = collections.Counter((i, t) for i, t, _ in told.elements())
+    assert short[1, a] == 1 and short[2, near(a)] == 0 and short[None, a] == 0
+    assert short[None, b] + short[None, near(b)] == 1 and short[7, c] + short[7, near(c)] == 1
+    assert short[7, d] == 1 and short[8, d] == 0 and sum(n for (i, _), n in short.items() if i in (4, 5, 9)) == 3
+    assert short[10, " "] == 1 and short[None, ""] == 2 and short[None, None] == 1
+    assert sum(told.values()) == 11 and set(told) <= set(made)
+    assert collections.Counter(tuple(r) for r in neardup.one_of_each(frame.repartition(9)).collect()) == told
+    components = {r["component_id"] for r in neardup.near_duplicates(docs).collect() if r["n_shingles"] and r["component_id"] is not None}
+    assert collections.Counter(r["doc_id"] for r in neardup.one_of_each(docs).collect() if shingles(r["text"])) == collections.Counter(components)
+    assert neardup.one_of_each(empty).count() == 0 and neardup.one_of_each(frame).columns == frame.columns
+
+
 def test_links_that_the_star_misses_are_found(spark):
     """A ring of texts, each close to its neighbours only, is one component whatever its centre; and tiles meet each other."""
     rng = random.Random(8)
