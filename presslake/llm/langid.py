@@ -18,6 +18,8 @@ LANDMARKS = 24
 #: Lengths in bytes of the n-grams, and the slots into which they are hashed.
 LENGTHS = (1, 2, 3, 4)
 SLOTS = 1 << 13
+#: Bytes of a piece at most: its n-grams fill well under half of the slots. Longer texts are the mean of their pieces.
+PIECE = 1 << 12
 RIDGE = 1e-3
 #: Texts that one matrix product scores.
 ROWS = 128
@@ -31,19 +33,25 @@ _TABLE = np.random.default_rng(31).integers(0, 2**32, (max(LENGTHS), 256), dtype
 class Model(NamedTuple):
     langs: list[str]
     landmarks: np.ndarray
-    norms: np.ndarray
     weights: np.ndarray
     offset: np.ndarray
 
 
 def presence(texts: list[bytes], slots: int = SLOTS) -> np.ndarray:
-    """Which hashed n-grams of any of LENGTHS stand in each whole text, as rows of 0 and 1. A-Z are lower-cased."""
+    """A row of length 1 for each whole text: which hashed n-grams of any of LENGTHS stand in it. A-Z are lower-cased.
+
+    A text is cut into equal pieces of at most PIECE bytes, with the n-grams over each cut; its row is the mean of the rows of 0
+    and 1 of the pieces, each of length 1. So no row is filled by the length of its text.
+    """
     out = np.zeros((len(texts), slots), np.float32)
     shift = np.uint32(32 - slots.bit_length() + 1)
+    mark = np.zeros(slots, np.float32)
     for row, text in zip(out, texts):
-        # Long texts are read in overlapping pieces, so that the working arrays stay small.
-        for begin in range(0, len(text), 1 << 18):
-            data = _LOWER[np.frombuffer(text, np.uint8, min(len(text) - begin, (1 << 18) + max(LENGTHS) - 1), begin)]
+        pieces = max(1, -(-len(text) // PIECE))
+        ends = [len(text) * i // pieces for i in range(pieces + 1)]
+        for begin, end in zip(ends, ends[1:]):
+            data = _LOWER[np.frombuffer(text, np.uint8, min(len(text), end + max(LENGTHS) - 1) - begin, begin)] if text else _LOWER[:0]
+            mark.fill(0)
             sums = None
             for k in range(max(LENGTHS)):
                 if len(data) <= k:
@@ -51,14 +59,15 @@ def presence(texts: list[bytes], slots: int = SLOTS) -> np.ndarray:
                 part = _TABLE[k][data[k:]]
                 sums = part if sums is None else sums[:len(part)] * np.uint32(0x9E3779B1) + part
                 if k + 1 in LENGTHS:
-                    row[(sums * np.uint32(0x85EBCA6B)) >> shift] = 1
+                    mark[(sums * np.uint32(0x85EBCA6B)) >> shift] = 1
+            row += mark / np.sqrt(max(mark.sum(), 1))
+        row /= max(np.sqrt(row @ row), 1e-9)
     return out
 
 
-def _kernel(rows: np.ndarray, landmarks: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """Shared n-grams divided by the geometric mean of both counts; the blended-spectrum presence kernel, normalised."""
-    own = np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
-    return (rows @ landmarks.T) / (own * norms[None, :])
+def _kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """Of pieces, shared n-grams divided by the geometric mean of both counts; of longer texts the mean over their pieces, normalised."""
+    return rows @ landmarks.T
 
 
 def fit(texts: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
@@ -69,11 +78,10 @@ def fit(texts: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge:
     x = presence(texts)
     chosen = [i for name in names for i in [i for i, v in enumerate(langs) if v == name][:landmarks]]
     marks = x[chosen]
-    norms = np.sqrt(np.maximum(marks.sum(axis=1), 1))
     # K_mm^(-1/2) turns similarities to landmarks into features whose inner products approximate the kernel.
-    values, vectors = np.linalg.eigh(_kernel(marks, marks, norms).astype(np.float64))
+    values, vectors = np.linalg.eigh(_kernel(marks, marks).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    features = _kernel(x, marks, norms) @ root
+    features = _kernel(x, marks) @ root
     target = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     # Each language has the same say, however many of its texts are in the sample.
     share = np.array([1.0 / langs.count(v) for v in langs])[:, None] * len(langs) / len(names)
@@ -81,7 +89,7 @@ def fit(texts: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge:
     centred = features - mean_f
     gram = centred.T @ (share * centred) + ridge * len(langs) * np.eye(features.shape[1])
     solved = np.linalg.solve(gram, centred.T @ (share * (target - mean_t)))
-    return Model(names, marks, norms.astype(np.float32), (root @ solved).astype(np.float32), (mean_t - mean_f @ solved).astype(np.float32))
+    return Model(names, marks, (root @ solved).astype(np.float32), (mean_t - mean_f @ solved).astype(np.float32))
 
 
 def train_on(docs: DataFrame, sample: int = SAMPLE, **settings) -> Model | None:
@@ -122,7 +130,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             usable = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
             for at in range(0, len(usable), ROWS):
                 some = usable[at:at + ROWS]
-                similar = _kernel(presence([texts[i].encode() for i in some]), model.landmarks, model.norms)
+                similar = _kernel(presence([texts[i].encode() for i in some]), model.landmarks)
                 told = similar @ model.weights + model.offset
                 power = np.exp(2 * (told - told.max(axis=1, keepdims=True)))
                 for i, best, share in zip(some, told.argmax(axis=1), power.max(axis=1) / power.sum(axis=1)):

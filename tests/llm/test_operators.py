@@ -293,6 +293,27 @@ def test_languages(spark, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_long_texts_keep_their_language():
+    """Large vocabularies: a megabyte of any language has nearly all n-grams that fit into the slots."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäéñö"))
+    shares = {lang: rng.dirichlet(np.full(len(letters), 2.0)) for lang in ("aa", "bb", "cc", "dd")}
+
+    def write(lang, n):
+        words = np.array(["".join(rng.choice(letters, rng.integers(2, 11), p=shares[lang])) for _ in range(min(n, 20_000))])
+        return " ".join(rng.choice(words, n)).encode()
+
+    langs = [lang for lang in shares for _ in range(30)]
+    model = langid.fit([write(lang, 150) for lang in langs], langs)
+    for n in (150, 20_000, 160_000):
+        texts = [write(lang, n) for lang in shares]
+        told = langid._kernel(langid.presence(texts), model.landmarks) @ model.weights + model.offset
+        assert n < 160_000 or min(map(len, texts)) > 1_000_000
+        assert [model.langs[i] for i in told.argmax(axis=1)] == list(shares)
+
+
 def test_shards(docs, rows, empty):
     told = sharding.shard(docs, block=20, fan=2).collect()
     assert len(told) == len(rows)
