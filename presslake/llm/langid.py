@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presslake.session import staged
+
 #: Labelled documents used to fit at most, for each language, those with the smallest hash of their text.
 SAMPLE = 400
 #: Landmarks for each language, the first of the sample.
@@ -95,20 +97,20 @@ def fit(texts: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge:
 def train_on(docs: DataFrame, sample: int = SAMPLE, **settings) -> Model | None:
     """A model from at most `sample` texts for each value of `lang`, chosen by the hash of the text.
 
-    Rows without text, letter or lang are not used. Only text and lang are read. The sample is found with one grouped
-    pass that keeps `sample` hashes for each language, so one very common language does not gather in one task.
+    Rows without text, letter or lang are not used. Only text and lang are read. Each language gives `sample` texts, or all its
+    distinct texts if they are fewer, however often some are repeated. Hashes are made distinct on all tasks and thinned
+    before they are ordered, so one very common language does not gather in one task; texts are read for the chosen ones only.
     """
+    from pyspark.sql import Window
+
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     keyed = usable.select("lang", F.xxhash64("text").alias("key"), "text")
-    per_task = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    keys = staged(keyed.select("lang", "key").distinct())
     # Hashes are uniform: the share that holds `sample` texts of a language, with room, bounds what is sorted afterwards.
-    total = per_task.withColumn("limit", F.least(F.lit(1.0), F.lit(4.0 * sample + 100) / F.col("n")))
-    near = keyed.join(F.broadcast(total.select("lang", "limit")), "lang").where(
-        (F.col("key") / F.lit(2.0**64) + F.lit(0.5)) <= F.col("limit"))
-    rows = near.groupBy("lang", "key").agg(F.min("text").alias("text"))
-    from pyspark.sql import Window
-
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("place") <= sample)
+    limits = keys.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * sample + 100) / F.count(F.lit(1))).alias("limit"))
+    near = keys.join(F.broadcast(limits), "lang").where((F.col("key") / F.lit(2.0**64) + F.lit(0.5)) <= F.col("limit"))
+    chosen = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("place") <= sample)
+    placed = keyed.join(F.broadcast(chosen.select("lang", "key", "place")), ["lang", "key"]).groupBy("lang", "place").agg(F.min("text").alias("text"))
     found = sorted((r["lang"], r["place"], r["text"]) for r in placed.collect())
     return fit([text.encode() for _, _, text in found], [lang for lang, _, _ in found], **settings)
 

@@ -293,6 +293,15 @@ def test_languages(spark, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_copies_do_not_thin_the_sample(spark, monkeypatch):
+    """Each language gives its distinct texts, up to the sample, however many copies some of them have."""
+    spread = lambda n, of: spark.range(n).select(F.concat(F.lit(f"{of} text "), F.least("id", F.lit(40)).cast("string")).alias("text"), F.lit(of).alias("lang"))
+    docs = spread(60_000, "aa").union(spread(30, "bb")).union(spark.range(900).select(F.concat(F.lit("text "), F.col("id").cast("string")), F.lit("cc")))
+    monkeypatch.setattr(langid, "fit", lambda texts, langs, **settings: (texts, langs))
+    texts, langs = langid.train_on(docs, sample=50)
+    assert collections.Counter(langs) == {"aa": 41, "bb": 30, "cc": 50} and len(set(texts)) == 121
+
+
 def test_long_texts_keep_their_language():
     """Large vocabularies: a megabyte of any language has nearly all n-grams that fit into the slots."""
     import numpy as np
