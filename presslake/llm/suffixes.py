@@ -1,10 +1,11 @@
-"""Suffix-array dedup: byte strings that an earlier document also holds, by blockwise suffix sorting over a difference cover.
-
-The array is never built whole. The suffixes of a difference-cover sample are ranked first, one bucket of them at a time. Two
-equal strings have a sample suffix at the same distance from both starts, so a string can repeat in another document only
-where a sample suffix ties with one of another document; and strings long enough to hold a whole period of the cover behind
-that suffix are settled by the sample's ranks alone. Only what is left, the suffixes around the ends of long ties, is sorted
-by its own first bytes, again one bucket at a time.
+"""Repeated byte strings: what an earlier document also holds, by fingerprints of fixed windows at the places of a difference cover.
+
+No suffix is sorted and no array is built. At the places of a difference cover 64-bit polynomial hashes of windows of bytes
+stand for the order of suffixes: equal windows have equal hashes, which deal out the buckets, and the hashes have no byte order. Two
+equal strings have a sample place at the same distance from both starts, so a string can repeat in another document only
+where the window of a sample place is equal to one of another document; strings long enough to hold a whole period of the
+cover behind it are settled by hashes of longer windows there. What is left, the strings around the ends of long ties, is
+matched by the hash of its own bytes. Bytes are not compared afterwards, so results are exact but for collisions of hashes.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 def string_ranks(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit rank of the `length` bytes from each place, equal for equal bytes, from one running sum over the unit."""
+    """A 64-bit hash of the `length` bytes from each place, equal for equal bytes but without their order, from one running sum over the unit."""
     if not len(places):
         return np.zeros(0, np.uint64)
     up, down = _powers(len(data) + 1)
