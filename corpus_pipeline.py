@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from presslake.llm import decontaminate, mixing, neardup, quality, sharding
-from presslake.session import staged
+from presslake.session import discard, scratch
 
 #: Similarity of near duplicates in the pipeline, in percent; the query op5_near_duplicates has its own.
 NEAR_PERCENT = 80
@@ -53,8 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written before the next reads it."""
+    """All stages over `documents`, each written before the next reads it; what a stage has read or staged goes once it is written."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        read = docs
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, read, sf_dir))
+        discard(read)
     return STAGES[-1][1](spark, docs, sf_dir)

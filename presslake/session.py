@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,36 @@ def _stage_root(spark: SparkSession) -> str:
 _own = threading.local()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the stages written inside when the block ends, also after a failure.
+
+    Gives `keep(df)`, which stages `df` like `staged` but leaves it to the surrounding block; a frame that outlives the block may
+    be built on kept stages only.
+    """
+    outer, own = getattr(_own, "paths", None), []
+    _own.paths = own
+
+    def keep(df: DataFrame) -> DataFrame:
+        inner, _own.paths = _own.paths, outer
+        try:
+            return staged(df)
+        finally:
+            _own.paths = inner
+
+    try:
+        yield keep
+    finally:
+        _own.paths = outer
+        for path in own:
+            _delete(spark, path)
+
+
 def dropping_stages(job: Callable) -> Callable:
     """Delete the stages that `job(spark, …)` writes when it ends, also after a failure.
 
@@ -73,32 +104,39 @@ def dropping_stages(job: Callable) -> Callable:
     """
     @wraps(job)
     def run(spark: SparkSession, *args, **kwargs):
-        outer, _own.paths = getattr(_own, "paths", None), []
-        try:
+        with scratch(spark):
             return job(spark, *args, **kwargs)
-        finally:
-            for path in _own.paths:
-                target = spark._jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-            _own.paths = outer
 
     return run
 
 
+def stage_path(spark: SparkSession, name: str = "stage") -> str:
+    """A new folder for a stage, which goes with the stages of the surrounding `scratch` block."""
+    path = f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_own, "paths", None) is not None:
+        _own.paths.append(path)
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder now and continue from the written rows.
 
     A table rather than a checkpoint, because the next steps read only some of its columns, and because its
     size is known to the planner. It survives the loss of any executor.
     """
-    path = f"{_stage_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    if getattr(_own, "paths", None) is not None:
-        _own.paths.append(path)
+    path = stage_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the stage that `staged` returned; any other frame is left alone."""
+    if (path := df.__dict__.get("stage_path")) is not None:
+        _delete(df.sparkSession, path)
 
 
 def clear_stages(spark: SparkSession) -> None:
     """Delete the stages of this application. Frames that were built on them can no longer be read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _stage_root(spark))
