@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslake.llm import decontaminate, htmltree, langid, license_scan, mixing, neardup, quality, sharding, suffixes, urlfilter
+from presslake.llm import (chat, clustering, decontaminate, htmltree, langid, license_scan, mixing, neardup, quality, search, sharding,
+                           suffixes, urlfilter)
 from presslake.llm.sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -77,6 +78,21 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], turns.schema)
+    log = turns.union(planted).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
+    return chat.digests(chat.format_chats(log))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_html": op1_extract_html,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -88,4 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language": op9_language,
     "op10_shard": op10_shard,
+    "op11_chat_format": op11_chat_format,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_ranked_search": op13_ranked_search,
 }

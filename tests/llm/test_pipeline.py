@@ -29,8 +29,15 @@ def test_query_equals_sql(spark, name):
     assert not problems
 
 
-def test_all_are_registered():
-    assert set(COLUMNS) | {"pipeline"} <= set(entry.queries())
+NEW_COLUMNS = {
+    "op11_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+    "op12_centroid_clusters": "vec_id cluster distance cluster_inertia inertia centroid_sha256", "op13_ranked_search": "item_id rank doc_id score",
+}
+
+
+def test_all_are_registered(spark):
+    assert set(COLUMNS) | set(NEW_COLUMNS) | {"pipeline"} <= set(entry.queries())
+    assert all(set(columns.split()) <= set(QUERIES[name](spark, SF_DIR).columns) for name, columns in NEW_COLUMNS.items())
 
 
 @pytest.mark.parametrize("name", list(COLUMNS))
@@ -41,7 +48,7 @@ def test_a_row_for_each_row(spark, name):
     assert told.count() == spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["op3_decontaminate", "op7_license_scan", "op8_quality_rules"])
+@pytest.mark.parametrize("name", ["op3_decontaminate", "op7_license_scan", "op8_quality_rules", "op11_chat_format"])
 def test_native_queries_run_no_python(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
@@ -59,7 +66,7 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     rules = quality.learn_from(docs, spark.read.parquet(f"{SF_DIR}/labels.parquet"))
     left = {r["doc_id"] for r in quality.judge(docs, rules).where("kept").collect()}
     frame = lambda ids: spark.createDataFrame([tuple(rows[i]) for i in sorted(ids)], docs.schema)
-    left = {r["doc_id"] for r in neardup.near_duplicates(frame(left)).where("kept").collect()}
+    left = {r["doc_id"] for r in neardup.near_duplicates(frame(left), percent=corpus_pipeline.NEAR_PERCENT).where("kept").collect()}
     bench = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
     left = {r["doc_id"] for r in decontaminate.contamination(frame(left), bench).where("not contaminated").collect()}
     copies = collections.Counter({r["doc_id"]: -(-r["taken"] // r["size"]) for r in mixing.mix(frame(left)).collect() if r["taken"]})
