@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from presslake.llm.shingles import mixed, shingle_sets
-from presslake.session import staged
+from presslake.session import scratch, staged
 
 SIZE = 5
 PERCENT = 85
@@ -158,19 +158,20 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, shingles): the full sets of the nodes in `needed`, written down; no other text is read into shingles."""
-    homes = nodes.join(needed, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    """(node, signature, shingles): the full sets of the nodes in `needed`, written down; no other text is read into shingles."""
+    homes = nodes.join(needed, "node", "left_semi").select("node", "signature", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    texts = texts.join(homes, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+    texts = texts.join(homes, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "signature", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _texts(batch)
             for part in _parts(rows):
-                yield pa.RecordBatch.from_arrays([batch.column("node")[part.start:part.stop], pa.array(
-                    [s.tobytes() for s in shingle_sets(rows[part], SIZE)], pa.binary())], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("node")[part.start:part.stop], batch.column("signature")[part.start:part.stop],
+                    pa.array([s.tobytes() for s in shingle_sets(rows[part], SIZE)], pa.binary())], ["node", "signature", "shingles"])
 
-    return staged(texts.mapInArrow(sets, "node binary, shingles binary"))
+    return staged(texts.mapInArrow(sets, "node binary, signature binary, shingles binary"))
 
 
 def _set_of(value: pa.Scalar) -> np.ndarray:
@@ -202,33 +203,32 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): for each node of `links` (a, b) the smallest node that it reaches, by large-star and small-star rounds.
 
     Each round is a few joins and minima over the links, which stay on the cluster; rounds grow with the logarithm of the size
-    of a component. The rounds end when the links no longer change.
+    of a component. The rounds end when every larger end has one smaller end that is no larger end itself.
     """
     def both(edges: DataFrame) -> DataFrame:
         return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0))).head())
+    def stars(edges: DataFrame) -> bool:
+        """Whether each component is its least node with the others around it. Links are distinct, and a > b in each."""
+        ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("ups"), F.lit(0).alias("downs")).union(
+            edges.select(F.col("b").alias("u"), F.lit(0).alias("ups"), F.lit(1).alias("downs")))
+        told = ends.groupBy("u").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs"))
+        return told.where("ups > 1 or (ups = 1 and downs = 1)").isEmpty()
 
     edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = state(edges)
-    while before[0]:
+    while not stars(edges):
         near = both(edges)
         least = near.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m"))
         large = near.join(least, near["a"] == least["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, large["a"] == least["u"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = staged(small.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
-        after = state(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return staged(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
 def _across(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """Links between rows of (band, place, node, root) that share a band but not a root.
+    """Links between the roots of rows of (band, place, node, root) that share a band but not a root.
 
     A bucket is cut into tiles of about `tile` members; each pair of tiles meets in one task with signatures and full sets. A
     pair is compared only in the first band that it shares, by the sequential test and then on the full sets, and only
@@ -242,12 +242,12 @@ def _across(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     rows = rows.select("band", "place", "node", "root", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
     made = _sets(open_rows.select("node").distinct(), nodes, docs)
     width, bands = banding(percent)
-    rows = rows.join(nodes.select("node", "signature").join(made, "node"), "node")
+    rows = rows.join(made, "node")
 
     def settle(rows: pa.Table) -> pa.RecordBatch | None:
         own, first, second, place = (rows.column(c).to_numpy() for c in ("own", "first", "second", "place"))
-        names, kept = rows.column("node").combine_chunks(), rows.column("shingles").combine_chunks()
-        group = rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        names, kept = rows.column("root").combine_chunks(), rows.column("shingles").combine_chunks()
+        group = names.dictionary_encode().indices.to_numpy().copy()
         values = _matrix(rows.column("signature"))
         sizes = np.array([len(x.as_buffer()) // 8 for x in kept])
         left, right = np.flatnonzero(own == first[0]), np.flatnonzero(own == second[0])
@@ -297,11 +297,9 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     kinds += [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("signature", T.BinaryType())]
     told = staged(keyed.mapInArrow(_describe, T.StructType(kinds)))
     some = told.where("node is not null")
-    first = some.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("home"))
-    first = first.select("node", F.col("home.doc_id").alias("doc_id"), F.col("home.text_key").alias("text_key"))
-    same = (F.col("f.node") == F.col("t.node")) & (F.col("f.text_key") == F.col("t.text_key")) & F.col("f.doc_id").eqNullSafe(F.col("t.doc_id"))
-    nodes = staged(first.alias("f").join(some.alias("t"), same).select(
-        "f.node", "f.doc_id", "f.text_key", "t.n_shingles", "t.signature").dropDuplicates(["node"]))
+    home = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("home")
+    nodes = staged(some.groupBy("node").agg(home, F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).select(
+        "node", F.col("home.doc_id").alias("doc_id"), F.col("home.text_key").alias("text_key"), "n_shingles", "signature"))
 
     bands = staged(_bands(nodes, percent))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -312,14 +310,14 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     centres = ranked.groupBy("band").agg(F.max(F.struct("rank", "node")).alias("top")).select("band", F.col("top.node").alias("a"))
     stars = ranked.select("band", F.col("node").alias("b")).join(centres, "band").where("a <> b").select("a", "b").distinct()
     links = staged(_linked(staged(_pruned(stars, nodes, percent)), nodes, docs, percent))
-    roots = components(links)
+    roots = staged(components(links))
     placed = shared.select("band", "place", "node").join(roots, "node", "left").select("band", "place", "node", F.coalesce("root", "node").alias("root"))
     more = staged(_across(placed, nodes, docs, percent))
+    classes = nodes.select("node", "doc_id", "text_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if not more.isEmpty():
-        roots = components(links.union(more))
-
-    classes = nodes.select("node", "doc_id", "text_key").join(roots, "node", "left")
-    return told, classes.select("node", "doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+        tops = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        classes = classes.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root"))
+    return told, classes.select("node", "doc_id", "text_key", "root")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -336,12 +334,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     not name them; a component without any id has a null component_id and all its rows are kept. Rows that share an id
     are judged each by its own text. Empty input gives an empty result. Only doc_id and text are read.
     """
-    told, classes = _classes(docs, percent)
-    named = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = classes.join(named, "root").select(F.col("node").alias("_node"), "component_id")
-    joined = told.join(of_node, told["node"] == of_node["_node"], "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
+    with scratch(docs.sparkSession) as keep:
+        told, classes = _classes(docs, percent)
+        named = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        of_node = classes.join(named, "root").select(F.col("node").alias("_node"), "component_id")
+        joined = told.join(of_node, told["node"] == of_node["_node"], "left")
+        component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        out = keep(joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
@@ -353,12 +352,13 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     one row stays for each id and text, without one all rows stay.
     """
     names = docs.columns
-    told, classes = _classes(docs, percent)
     # Ids as text beside a flag: keys without null, so that the texts travel once for the minimum and the join.
     keys = [F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_doc"), "text_key"]
-    homes = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("home"))
-    kept = homes.select("home.doc_id", "home.text_key").select(*keys)
-    kept = staged(kept.union(told.where("node is null and doc_id is not null").select(*keys)).distinct().withColumnRenamed("text_key", "_text"))
+    with scratch(docs.sparkSession) as keep:
+        told, classes = _classes(docs, percent)
+        homes = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("home"))
+        kept = homes.select("home.doc_id", "home.text_key").select(*keys)
+        kept = keep(kept.union(told.where("node is null and doc_id is not null").select(*keys)).distinct().withColumnRenamed("text_key", "_text"))
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     packed = docs.select(row.alias("_row"), "doc_id", F.xxhash64("text").alias("text_key"), "text")
     blank = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
