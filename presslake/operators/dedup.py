@@ -71,13 +71,66 @@ def dedup_cross_run(df: DataFrame, known: DataFrame | None, stored: DataFrame, r
     return df.join(kept, row_id, "left_semi").select(*df.columns)
 
 
-def dedup_batch(df: DataFrame, row_id: str = "ingest_rank", two_part_suffixes: list[str] | None = None) -> DataFrame:
+#: Rounds of plain first rows before chains are followed: batches without long chains end within them.
+PLAIN_ROUNDS = 1
+
+
+def _jump(chain: DataFrame) -> DataFrame:
+    """`chain` (rank, before, odd) with each row led to the end of its chain, and whether that is an odd number of steps away.
+
+    Rows point four times as far after each stage, so a chain of n rows takes log4(n) of them. Rows at their end are set aside.
+    """
+    def hop(rows: DataFrame, steps: DataFrame) -> DataFrame:
+        next_ = steps.select(F.col("__rank").alias("__before"), F.col("__before").alias("__next"), F.col("__odd").alias("__more"))
+        return rows.join(next_, "__before", "left").select(
+            "__rank", F.coalesce("__next", "__before").alias("__before"),
+            (F.col("__odd") != F.coalesce("__more", F.lit(False))).alias("__odd"), F.col("__next").isNotNull().alias("__moved"))
+
+    done, open_ = [], chain
+    while not open_.isEmpty():
+        steps = reduce(DataFrame.unionByName, [*done, open_])
+        told = staged(hop(hop(hop(open_, steps), steps), steps))
+        done.append(told.where(~F.col("__moved")).drop("__moved"))
+        open_ = told.where("__moved").drop("__moved")
+    return reduce(DataFrame.unionByName, [*done, open_])
+
+
+def _first_by_chains(left: DataFrame) -> DataFrame:
+    """Ranks of rows that are certainly kept: first rows under address and key, and every second row of chains that start there.
+
+    A row whose only earlier rivals are one single row is kept exactly if that row is not. Such rows point at their rival, and
+    the parity of the way to a first row settles the whole chain. Chains that start at a row with several rivals wait.
+    """
+    url, key = F.concat(F.lit("u"), "url"), F.concat_ws("\n", F.lit("k"), *KEY)
+    ends = left.where("url is not null").select("__rank", url.alias("__node")).unionByName(
+        left.where("__base is not null").select("__rank", key.alias("__node")))
+    first = ends.groupBy("__node").agg(F.min("__rank").alias("__rank"))
+    later = ends.join(first, ["__node", "__rank"], "left_anti")
+    second = later.groupBy("__node").agg(F.min("__rank").alias("__second"))
+    rival = first.join(second, "__node").select(F.col("__second").alias("__rank"), F.col("__rank").alias("__before"))
+    no = F.lit(None).cast(left.schema["__rank"].dataType)
+    told = (
+        ends.select("__rank", F.lit(1).alias("__ends"), F.lit(0).alias("__firsts"), no.alias("__before"))
+        .unionByName(first.select("__rank", F.lit(0).alias("__ends"), F.lit(1).alias("__firsts"), no.alias("__before")))
+        .unionByName(rival.select("__rank", F.lit(0).alias("__ends"), F.lit(0).alias("__firsts"), "__before"))
+        .groupBy("__rank").agg(F.sum("__ends").alias("__ends"), F.sum("__firsts").alias("__firsts"), F.count("__before").alias("__rivals"), F.max("__before").alias("__before"))
+    )
+    told = staged(told.where("__firsts = __ends or (__rivals = 1 and __firsts = __ends - 1)"))
+    heads = told.where("__firsts = __ends").select("__rank")
+    chain = told.where("__firsts < __ends").select("__rank", "__before", F.lit(True).alias("__odd"))
+    even = _jump(chain).where(~F.col("__odd")).join(heads.select(F.col("__rank").alias("__before")), "__before", "left_semi")
+    return heads.unionByName(even.select("__rank"))
+
+
+def dedup_batch(df: DataFrame, row_id: str = "ingest_rank", two_part_suffixes: list[str] | None = None,
+                plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
     """Go through the rows in `row_id` order and keep a row unless a kept row shares its address or key.
 
     A dropped row hides nothing, so two independent "keep first" steps would drop too much. Each round
     keeps the rows that come first both under their address and under their key, removes every row those
-    cover, and repeats on what is left. Copies of one (address, key) pair are merged beforehand: only the
-    first of them can ever be kept.
+    cover, and repeats on what is left. After `plain_rounds` such rounds, a round also follows the chains in which each row waits for one
+    earlier row, so a chain of any length is settled in one round of logarithmically many stages. Copies of one (address, key)
+    pair are merged beforehand: only the first of them can ever be kept.
     """
     free = F.col("url").isNull() & F.col("__base").isNull()
     rows = staged(
@@ -93,14 +146,19 @@ def dedup_batch(df: DataFrame, row_id: str = "ingest_rank", two_part_suffixes: l
     left = with_salt(rows, ["url"], hot_url, ["__rank"], "__url_salt")
     left = with_salt(left, KEY, hot_key, ["__rank"], "__key_salt")
     tests = F.col("url").isNotNull().cast("int") + F.col("__base").isNotNull().cast("int")
+    rounds = 0
     while not left.isEmpty():
         # Only numbers are aggregated: fixed-width state keeps these in hash aggregates, without a sort.
-        firsts = (
-            left.dropna(subset=["url"]).groupBy("url").agg(F.min("__rank").alias("__rank")).select("__rank")
-            .unionByName(left.dropna(subset=KEY).groupBy(*KEY).agg(F.min("__rank").alias("__rank")).select("__rank"))
-            .groupBy("__rank").agg(F.count(F.lit(1)).alias("__firsts"))
-        )
-        first = staged(left.join(firsts, "__rank").filter(F.col("__firsts") == tests).select("__rank", "url", *KEY))
+        if rounds < plain_rounds:
+            firsts = (
+                left.dropna(subset=["url"]).groupBy("url").agg(F.min("__rank").alias("__rank")).select("__rank")
+                .unionByName(left.dropna(subset=KEY).groupBy(*KEY).agg(F.min("__rank").alias("__rank")).select("__rank"))
+                .groupBy("__rank").agg(F.count(F.lit(1)).alias("__firsts"))
+            )
+            first = staged(left.join(firsts, "__rank").filter(F.col("__firsts") == tests).select("__rank", "url", *KEY))
+        else:
+            first = staged(left.join(_first_by_chains(left), "__rank", "left_semi").select("__rank", "url", *KEY))
+        rounds += 1
         kept.append(first.select(F.col("__rank").alias(row_id)))
         urls = repeat_salts(first.select("url").dropna(), ["url"], hot_url, "__url_salt")
         keys = repeat_salts(first.select(*KEY).dropna(), KEY, hot_key, "__key_salt")

@@ -73,6 +73,32 @@ def test_batch_on_adversarial_chains(spark, pairs):
     assert ids(dedup.dedup_batch(frame(spark, rows))) == in_order(rows)
 
 
+def chain(n, start=0, ring=""):
+    """Row i shares its address with the row before or its title with the one behind, in turns."""
+    return [(start + i, f"{ring}u{(i + 1) // 2}", "a.com", f"{ring}t{i // 2}") for i in range(n)]
+
+
+def test_long_chains_in_few_stages(spark, monkeypatch):
+    made, plain = [], dedup.staged
+    monkeypatch.setattr(dedup, "staged", lambda df: made.append(1) or plain(df))
+    rows = chain(1000)
+    assert ids(dedup.dedup_batch(frame(spark, rows))) == in_order(rows) == list(range(0, 1000, 2))
+    assert len(made) <= 12
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_chains_trees_and_rivals_against_row_by_row(spark, salted, seed):
+    r = random.Random(seed)
+    rows = [row for k in range(12) for row in chain(r.randint(1, 40), 1000 * k, f"c{k}")]
+    # Ranks dealt anew turn chains into trees of rivals; some rows tie several chains together or have only one of both keys.
+    order = r.sample(range(10**6), len(rows))
+    rows += [(20_000 + i, f"c{r.randrange(12)}u{r.randrange(12)}", "a.com", f"c{r.randrange(12)}t{r.randrange(12)}") for i in range(60)]
+    rows = [(order[i] if seed == 22 and i < len(order) else row[0] + 10**7, *row[1:]) for i, row in enumerate(rows)]
+    rows += [(2 * 10**7 + i, "" if i % 2 else f"c{i}u1", "a.com" if i % 2 else "", f"c{i}t2") for i in range(10)]
+    for plain_rounds in (0, 1):
+        assert ids(dedup.dedup_batch(frame(spark, rows), plain_rounds=plain_rounds)) == in_order(rows)
+
+
 @pytest.mark.parametrize("parts", [1, 4, 37])
 def test_result_does_not_depend_on_partitions(spark, parts):
     rows = random_rows(5, 300, 40, 40)
