@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 
 from presslake.llm.common import shuffle_partitions
 from presslake.llm.shingles import mixed
-from presslake.session import shared_dir, staged
+from presslake.session import scratch, stage_path, staged
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 50
 #: Residues that meet every difference modulo PERIOD: a perfect difference set.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 #: Bytes of text that one task reads as a unit, and suffixes for which there is a bucket.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 BUCKET_SUFFIXES = 1 << 21
 
 _BYTE = np.random.default_rng(4421).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -247,8 +247,8 @@ class _Reader:
         return settled
 
 
-def _units(docs: DataFrame, first: DataFrame, length: int, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """(chunk, ids, texts): the distinct texts with their smallest id, in units of about `chunk_bytes`; and their bytes.
+def _units(docs: DataFrame, first: DataFrame, length: int, chunk_bytes: int) -> tuple[DataFrame, int, str]:
+    """(chunk, ids, texts): the distinct texts with their smallest id, in units of about `chunk_bytes`; their bytes; and the name of the table.
 
     Ids are dealt to units by hash. The texts travel once, together with a mark for each text that counts, and are written as a
     table bucketed by unit, so that the joins with the answers of the rounds move only the answers.
@@ -287,29 +287,15 @@ def _units(docs: DataFrame, first: DataFrame, length: int, chunk_bytes: int) ->
             yield out()
 
     name = f"suffix_units_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/presslake/{spark.sparkContext.applicationId}/{name}"
+    path = stage_path(spark, name)
     spread.mapInArrow(pack, "chunk int, ids array<bigint>, texts array<binary>").write.bucketBy(n, "chunk").option("path", path).saveAsTable(name)
-    return spark.table(name), total
+    return spark.table(name), total, name
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, bucket_suffixes: int = BUCKET_SUFFIXES) -> DataFrame:
-    """Per row of `docs`: doc_id, text_key, n_bytes, spans (removed runs [start, end) of bytes), n_removed, n_spans, kept_sha256.
-
-    A byte is removed if a string of `length` bytes over it also starts in a document with a smaller doc_id. Strings do not cross
-    documents, overlaps count, and strings are judged on the input. A text that several documents hold is read once,
-    for the smallest id; for the others the whole text is a run. Texts shorter than `length` lose nothing.
-
-    Null and empty texts have no bytes. Rows without id are left as they are and take nothing from others. Rows that share id and
-    text get equal results; with one id on several texts, each is judged against smaller ids. Empty input gives an
-    empty result. Only doc_id and text are read.
-    """
-    text = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    told = staged(docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), F.xxhash64("text").alias("key"), F.octet_length(text).cast("long").alias("n_bytes")))
-    first = staged(told.where("doc_id is not null").groupBy("text_sha256").agg(
-        F.min("doc_id").alias("first_id"), F.first("key").alias("key"), F.first("n_bytes").alias("n_bytes")))
-    units, total = _units(docs, first, length, chunk_bytes)
+def _read_units(units: DataFrame, total: int, length: int, bucket_suffixes: int) -> DataFrame:
+    """(_id, _sha256, _spans, _removed, _kept) for each text of the units, after the rounds of questions and answers."""
     # A bucket holds a bounded number of suffixes, however many there are; ranks are spread evenly by their making.
-    buckets = max(1, -(-total * len(COVER) // (PERIOD * bucket_suffixes)), min(shuffle_partitions(docs.sparkSession), 1 + total // (1 << 18)))
+    buckets = max(1, -(-total * len(COVER) // (PERIOD * bucket_suffixes)), min(shuffle_partitions(units.sparkSession), 1 + total // (1 << 18)))
 
     def ask(name: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +344,30 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_
                 kinds = (pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["_id", "_sha256", "_spans", "_removed", "_kept"])
 
-    read = known.mapInArrow(cut, "_id bigint, _sha256 string, _spans array<struct<start:bigint,end:bigint>>, _removed bigint, _kept string")
+    return known.mapInArrow(cut, "_id bigint, _sha256 string, _spans array<struct<start:bigint,end:bigint>>, _removed bigint, _kept string")
+
+
+def deduplicate(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, bucket_suffixes: int = BUCKET_SUFFIXES) -> DataFrame:
+    """Per row of `docs`: doc_id, text_key, n_bytes, spans (removed runs [start, end) of bytes), n_removed, n_spans, kept_sha256.
+
+    A byte is removed if a string of `length` bytes over it also starts in a document with a smaller doc_id. Strings do not cross
+    documents, overlaps count, and strings are judged on the input. A text that several documents hold is read once,
+    for the smallest id; for the others the whole text is a run. Texts shorter than `length` lose nothing.
+
+    Null and empty texts have no bytes. Rows without id are left as they are and take nothing from others. Rows that share id and
+    text get equal results; with one id on several texts, each is judged against smaller ids. Empty input gives an
+    empty result. Only doc_id and text are read.
+    """
+    with scratch(docs.sparkSession) as keep:
+        text = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
+        told = keep(docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), F.xxhash64("text").alias("key"), F.octet_length(text).cast("long").alias("n_bytes")))
+        first = keep(told.where("doc_id is not null").groupBy("text_sha256").agg(
+            F.min("doc_id").alias("first_id"), F.first("key").alias("key"), F.first("n_bytes").alias("n_bytes")))
+        units, total, table = _units(docs, first, length, chunk_bytes)
+        try:
+            read = keep(_read_units(units, total, length, bucket_suffixes))
+        finally:
+            docs.sparkSession.sql(f"drop table if exists {table}")
     joined = told.join(first.select("text_sha256", "first_id"), "text_sha256", "left")
     joined = joined.join(read, (F.col("doc_id") == F.col("_id")) & (F.col("text_sha256") == F.col("_sha256")), "left")
     copy = F.coalesce((F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= length), F.lit(False))
