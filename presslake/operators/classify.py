@@ -219,6 +219,32 @@ def missing_summaries(df: DataFrame, cache: DataFrame, row_id: str = "url") -> D
     return anti_join(wanted, cache, ["cache_key"], [row_id]).select("cache_key", "url", "summary_en")
 
 
+def translate_missing(df: DataFrame, cache: DataFrame, translator: Callable[[pd.DataFrame], pd.DataFrame], row_id: str = "url",
+                      attempts: int = 3, backoff: float = 1.0) -> DataFrame:
+    """(cache_key, summary) for the hits that the cache does not hold, from a translator of batches.
+
+    `translator` gets batches of `cache_key, url, summary_en` and returns `cache_key, summary`. A failing batch is tried `attempts` times
+    with doubling waits. What it then leaves out or gives empty keeps its English summary, which is cached as well.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            told: dict = {}
+            for attempt in range(attempts):
+                try:
+                    result = translator(batch)
+                    told = dict(zip(result["cache_key"], result["summary"]))
+                except Exception:  # noqa: BLE001 - the service may fail in any way
+                    if attempt + 1 < attempts:
+                        time.sleep(backoff * 2**attempt)
+                else:
+                    break
+            # An empty or missing answer is as good as none.
+            texts = [t.strip() if isinstance(t := told.get(key), str) and t.strip() else english for key, english in zip(batch["cache_key"], batch["summary_en"])]
+            yield pd.DataFrame({"cache_key": batch["cache_key"], "summary": texts})
+
+    return missing_summaries(df, cache, row_id).mapInPandas(run, "cache_key string, summary string")
+
+
 def merge_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
     """Cache with new entries; a new entry replaces an old one of the same key."""
     return (

@@ -12,12 +12,6 @@ from presslake.functions.urls import url_host
 
 MIN_ARTICLE_LENGTH = 700
 MAX_FAILURES = 5
-# ---- fixed values: kinds of failure; further detail follows a kind after ':' ----
-FAILURE_KINDS = [
-    "no_valid_articles", "no_articles_found", "fetch_error", "text_too_short_before_processing", "text_extraction_failed",
-    "extraction_exception",
-]
-# ---- end of fixed values ----
 
 
 def with_placeholder(df: DataFrame) -> DataFrame:
@@ -97,11 +91,11 @@ def empty_scans(expected: DataFrame, feed: DataFrame, articles: DataFrame, at: C
 def domain_failures(failures: DataFrame, max_failures: int = MAX_FAILURES) -> DataFrame:
     """Failures per domain with the kinds of reason and the blacklist flag.
 
-    The text after ':' in a reason is free, so reasons are counted by kind first, and unknown kinds count as
-    `other`. What is then gathered per domain is at most one pair per kind, however many failures it has.
+    The text after ':' in a reason is free, so reasons are counted by kind first, each under its own name. What is then gathered per
+    domain is one pair per kind, however many failures it has; kinds are few, because code names them. For reasons
+    whose first part is free as well there is `failures_by_kind`, which gathers nothing.
     """
     kind = F.substring_index(F.coalesce("reason", F.lit("text_extraction_failed")), ":", 1)
-    kind = F.when(kind.isin(FAILURE_KINDS), kind).otherwise("other")
     return (
         failures.groupBy("domain", kind.alias("kind"))
         .agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from presslake import dims
 from presslake.functions.times import instant
@@ -18,7 +18,7 @@ from presslake.operators.analytics import run_counters
 from presslake.operators.skew import anti_join, semi_join
 from presslake.schemas import ANSWER, ARTICLE, FAILURE, FEED, PENDING, REJECTED, STORED, STORED_ANSWER, STORED_REJECTED, SUMMARY_TABLE, conform
 from presslake.session import dropping_stages, staged
-from presslake.sources import readers, store
+from presslake.sources import keyed, members, readers, store
 
 
 @dataclass(frozen=True)
@@ -47,11 +47,18 @@ class BatchConfig:
     failure_days: int | None = None
     #: Domains of which each batch must bring a feed row and an article; a miss is a failure of the domain.
     expected_domains: list[str] = field(default_factory=list)
+    #: Buckets of the article tables, by a hash of the address; None: plain tables. A table keeps the number it was made with.
+    key_buckets: int | None = None
+    #: Leave membership filters beside the article tables, and read only the days of history that they ask for.
+    member_filters: bool = False
 
 
-def select_candidates(feed: DataFrame, config: BatchConfig, known: DataFrame | None = None,
+def select_candidates(feed: DataFrame, config: BatchConfig, known: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
                       failed: DataFrame | None = None, position: str = "position") -> DataFrame:
-    """Feed rows worth extracting, in ingest order. All native filters come before any page is read."""
+    """Feed rows worth extracting, in ingest order. All native filters come before any page is read.
+
+    `known` holds the stored addresses, or tells which of the given rows' addresses are stored.
+    """
     if config.look_back_hours is None:
         rows = feeds.feed_required(feeds.seen_by(feed, config.as_of))
     else:
@@ -59,9 +66,36 @@ def select_candidates(feed: DataFrame, config: BatchConfig, known: DataFrame | N
     rows = feeds.with_ingest_rank(feeds.language_filter(rows, config.languages), position)
     gated = feeds.domain_gate(rows, failed, config.reliable, config.problematic, config.japanese,
                               row_id="ingest_rank").filter("gate_reason = 'reliable'")
+    if callable(known):
+        gated = staged(gated)
+        known = known(gated)
     return gated if known is None else dedup.new_urls(gated, known)
 
 
+def append_articles(df: DataFrame, path: str, schema: T.StructType, config: BatchConfig, day: str) -> None:
+    """Write the rows of a batch to an article table, in the layout that the batch asks for."""
+    if config.member_filters:
+        members.write(df, path, "url", day, config.batch_id)
+    if config.key_buckets:
+        keyed.create(df.sparkSession, path, schema, "url", config.key_buckets)
+    if keyed.layout(df.sparkSession, path) is not None:
+        keyed.append(df, path, day, config.batch_id)
+    else:
+        store.append_batch(df, path, day, batch_id=config.batch_id)
+
+
+def known_by_filters(spark: SparkSession, processed: str, rejected: str, config: BatchConfig) -> Callable[[DataFrame], DataFrame]:
+    """Which addresses of some rows are stored, exactly, by way of the membership filters of both tables."""
+    others, since = F.col("batch_id") != config.batch_id, config.as_of - dt.timedelta(days=config.retention_days)
+
+    def known(rows: DataFrame) -> DataFrame:
+        kept = others & (F.col("processed_at") >= instant(since))
+        return members.known_keys(rows, processed, STORED, since=since, where=kept).unionByName(
+            members.known_keys(rows, rejected, STORED_REJECTED, where=others)).distinct()
+
+    return known
+
+
 def page_texts(candidates: DataFrame, pages: DataFrame, min_region: int = extract.MIN_REGION) -> DataFrame:
     """(url, text) of every candidate whose page has landed; the text is null where none can be read.
 
@@ -125,26 +159,32 @@ def ahead_of_time(feed: DataFrame, config: BatchConfig) -> DataFrame:
 
 
 def classify_articles(valid: DataFrame, cache: DataFrame, config: BatchConfig,
-                      responses: DataFrame | None = None) -> DataFrame:
-    """Analysis, flat columns and both summaries."""
+                      responses: DataFrame | None = None,
+                      translator: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
+    """Analysis, flat columns and both summaries; what the cache does not hold comes from `translator`, where there is one."""
     if responses is None:
         scored = classify.classify_keywords(valid, **config.classifier)
     else:
         scored = classify.classify_mixed(valid, responses, **config.classifier)
-    return classify.fill_summaries(
-        classify.flatten_analysis(scored, keep=True), cache, unique_urls=True
-    ).drop("from_cache", "parsed_as")
+    flat = classify.flatten_analysis(scored, keep=True)
+    if translator is not None:
+        # Both the work-list and the result read the classified rows; translations are asked for once.
+        flat = staged(flat)
+        cache = classify.merge_cache(cache, staged(classify.translate_missing(flat, cache, translator)))
+    return classify.fill_summaries(flat, cache, unique_urls=True).drop("from_cache", "parsed_as")
 
 
 @dropping_stages
 def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str, config: BatchConfig,
               responses: DataFrame | None = None, position: str = "position",
-              scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> dict:
+              scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+              translator: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> dict:
     """Run one batch against the tables below `root` and return its counters.
 
     Candidates whose page has not landed wait in the table `pending` and join later batches until it has, for
     `retention_days`. `scorer` (rows of url, title and text in, `url, response_text` out) answers for articles without a
-    landed answer; its answers and the errors of batches that it could not answer are kept in `responses`.
+    landed answer; its answers and the errors of batches that it could not answer are kept in `responses`. `translator` (rows of
+    cache_key, url and summary_en in, `cache_key, summary` out) gives the second-language summaries that the cache lacks.
 
     Writing is idempotent per `batch_id`; history is read without the batch's own rows, so running a batch
     again after a failure stores the same rows.
@@ -165,7 +205,7 @@ def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str,
         )
         failed_since = None if config.failure_days is None else config.as_of - dt.timedelta(days=config.failure_days)
         failures = readers.read_table(spark, paths["failures"], FAILURE, since=failed_since).filter(others)
-        known = dedup.known_urls(processed, rejected)
+        known = known_by_filters(spark, paths["processed"], paths["rejected"], config) if config.member_filters else dedup.known_urls(processed, rejected)
         counted = failures if config.failure_days is None else store.retained(failures, config.as_of, config.failure_days, "at")
         failed = quality.failed_domains(counted, config.max_failures)
 
@@ -194,7 +234,7 @@ def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str,
             good_answers = answers.select("url", "response_text").dropna()
             responses = staged(landed.unionByName(good_answers, allowMissingColumns=True))
             store.append_batch(kept_answers, paths["responses"], "at", batch_id=config.batch_id)
-        scored = classify_articles(fresh, cache, config, responses).withColumn("batch_id", F.lit(config.batch_id))
+        scored = classify_articles(fresh, cache, config, responses, translator).withColumn("batch_id", F.lit(config.batch_id))
         accepted = staged(scored)
         turned_down = quality.rejected_rows(validated)
         if config.look_back_hours is None:
@@ -207,9 +247,9 @@ def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str,
         store.write_batch_json(conform(refused, REJECTED), paths["rejected_json"], config.batch_id)
         stored = enrich.store_projection(accepted, instant(config.as_of),
                                          F.lit(f"{paths['articles_json']}/batch_id={config.batch_id}"))
-        store.append_batch(stored, paths["processed"], batch_id=config.batch_id)
+        append_articles(stored, paths["processed"], STORED, config, "processed_at")
         refusals = enrich.reject_projection(refused, F.lit(f"{paths['rejected_json']}/batch_id={config.batch_id}"))
-        store.append_batch(refusals, paths["rejected"], "rejected_at", batch_id=config.batch_id)
+        append_articles(refusals, paths["rejected"], STORED_REJECTED, config, "rejected_at")
         of_domains = conform(new_failures, FAILURE)
         if config.expected_domains:
             expected = spark.createDataFrame([(d,) for d in config.expected_domains], "domain string")
@@ -249,5 +289,6 @@ def run_batch(spark: SparkSession, feed: DataFrame, pages: DataFrame, root: str,
     )
     for table in ("processed", "runs", "pending"):
         store.drop_expired(spark, paths[table], config.as_of, config.retention_days)
+    members.drop_expired_filters(spark, paths["processed"], config.as_of, config.retention_days)
     return {**counters, "seconds": seconds}
 

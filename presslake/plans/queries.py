@@ -191,8 +191,8 @@ def batch_files(spark, sf_dir):
 
 
 MANIFEST = """SELECT 'articles_json/batch_id=' || language AS filename, language AS batch_id, 'valid_articles' AS file_type,
-    count(*) AS total_articles, count(*) AS stored_count, 0::BIGINT AS failed_count FROM docs WHERE length(text) >= 700 GROUP BY 2
-    UNION ALL SELECT 'rejected_json/batch_id=' || language, language, 'rejected_articles', count(*), count(*), 0::BIGINT
+    count(*) AS total_articles, count(*) AS stored_count, 0::BIGINT AS failed_count, '[]' AS failed_articles FROM docs WHERE length(text) >= 700 GROUP BY 2
+    UNION ALL SELECT 'rejected_json/batch_id=' || language, language, 'rejected_articles', count(*), count(*), 0::BIGINT, '[]'
     FROM docs WHERE length(text) < 700 GROUP BY 2"""
 
 
@@ -200,7 +200,7 @@ MANIFEST = """SELECT 'articles_json/batch_id=' || language AS filename, language
 def batch_manifest(spark, sf_dir):
     rows = quality.validate(st.articles(spark, sf_dir)).withColumn("batch_id", F.col("language"))
     out = store.batch_manifest(quality.valid_rows(rows), quality.rejected_rows(rows), times.instant(AS_OF))
-    return out.drop("written_at")
+    return out.drop("written_at").withColumn("failed_articles", F.to_json("failed_articles"))
 
 
 @query("docs", """SELECT url, title, batch_id FROM (

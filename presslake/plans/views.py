@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from presslake.operators.analytics import daily_statistics
-from presslake.schemas import RUN_EVENT, STORED, STORED_REJECTED
-from presslake.sources import readers, store
+from presslake.schemas import RUN_EVENT, STORED, STORED_REJECTED, conform
+from presslake.sources import keyed, readers, store
 
 VIEWS = ["processed_articles", "rejected_articles", "pipeline_runs", "daily_statistics"]
 
 
+def current_rows(spark: SparkSession, path: str, schema: T.StructType, time: str, since: dt.datetime | None = None) -> DataFrame:
+    """The last written row per address; without a shuffle where the table is bucketed by it."""
+    if keyed.layout(spark, path) is not None:
+        return conform(keyed.current(spark, path, time, since), schema)
+    return store.latest(readers.read_table(spark, path, schema, since=since), "url", store.written_order(time))
+
+
 def stored_tables(spark: SparkSession, root: str, as_of: dt.datetime | None = None, days: int = 30) -> dict[str, DataFrame]:
     """Current state of the tables below `root`: the last written row per address and per run.
 
@@ -20,9 +27,8 @@ def stored_tables(spark: SparkSession, root: str, as_of: dt.datetime | None = No
     are not read.
     """
     since = as_of - dt.timedelta(days=days) if as_of else None
-    written = readers.read_table(spark, f"{root}/processed", STORED, since=since)
-    articles = store.latest(written, "url", store.written_order("processed_at"))
-    rejected = store.latest(readers.read_table(spark, f"{root}/rejected", STORED_REJECTED), "url", store.written_order("rejected_at"))
+    articles = current_rows(spark, f"{root}/processed", STORED, "processed_at", since)
+    rejected = current_rows(spark, f"{root}/rejected", STORED_REJECTED, "rejected_at")
     runs = store.runs_current(readers.read_table(spark, f"{root}/runs", RUN_EVENT))
     if as_of:
         articles = store.retained(articles, as_of, days)

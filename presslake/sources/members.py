@@ -1,9 +1,9 @@
 """Membership filters beside stored tables: which days may hold a key, known without reading the days.
 
 Each batch leaves a Bloom filter of its keys for each day it writes to, as rows (words, block, mask): a key sets BITS bits of one 64-bit word.
-Filters of one number of words merge by bitwise or; numbers are powers of two, so there are few of them however many
-days are kept. A probe meets the merged words first, then those of single days, and only what is left is looked up exactly
-in the days that may hold it. A filter never misses a key that it was given, so nothing is lost.
+Filters of one number of words merge by bitwise or, which is done for the batches of a day; numbers are powers of two, so there are few of
+them however many days are kept. A probe meets the words of all days at its place in one row, and only keys that a day may hold are
+looked up exactly, in those days. A filter never misses a key that it was given, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from presslake.operators.skew import anti_join
+from presslake.session import staged
 from presslake.sources.readers import MERGED_BATCH, path_exists, read_table
 from presslake.sources.store import _file_system, append_batch, drop_expired
 
@@ -91,10 +92,6 @@ def _sized(keys: DataFrame, key: str, words: list[int]) -> DataFrame:
     return each.select(key, "words", _block(key, F.col("words")).alias("block"), _mask(key).alias("own"))
 
 
-def _met(sized: DataFrame, filters: DataFrame) -> DataFrame:
-    return sized.join(filters, ["words", "block"]).where(F.col("mask").bitwiseAND(F.col("own")) == F.col("own"))
-
-
 def maybe_held(keys: DataFrame, path: str, key: str = "url", since: dt.datetime | None = None) -> tuple[DataFrame, list[dt.date]]:
     """The distinct keys that a filter of the table at `path` holds, and the days whose filters hold one of them."""
     spark = keys.sparkSession
@@ -103,12 +100,15 @@ def maybe_held(keys: DataFrame, path: str, key: str = "url", since: dt.datetime
     filters = _read(spark, path, since)
     # Powers of two: at most one for each bit of a number.
     words = sorted(r["words"] for r in filters.select("words").distinct().collect())
-    sized = _sized(keys, key, words)
-    merged = filters.groupBy("words", "block").agg(F.bit_or("mask").alias("mask"))
-    held = _met(sized, merged).select(key).distinct()
-    # A row for each kept day at most.
-    days = _met(sized.join(held, key, "left_semi"), filters.select("day", "words", "block", "mask")).select("day").distinct().collect()
-    return held, sorted(r["day"] for r in days)
+    if not words:
+        return keys.limit(0), []
+    # The words at one place, merged over the batches of a day: one for each kept day at most.
+    places = filters.groupBy("words", "block", "day").agg(F.bit_or("mask").alias("mask")).groupBy("words", "block").agg(
+        F.collect_list(F.struct("day", "mask")).alias("places"))
+    met = F.transform(F.filter("places", lambda p: p["mask"].bitwiseAND(F.col("own")) == F.col("own")), lambda p: p["day"])
+    found = staged(_sized(keys, key, words).join(places, ["words", "block"]).select(key, met.alias("days")).where("size(days) > 0"))
+    days = found.select(F.explode("days").alias("day")).distinct().collect()
+    return found.select(key).distinct(), sorted(r["day"] for r in days)
 
 
 def known_keys(rows: DataFrame, path: str, schema: T.StructType, key: str = "url", since: dt.datetime | None = None,

@@ -83,7 +83,11 @@ def write_batch_json(df: DataFrame, path: str, batch_id: str | None = None) -> N
 
 
 def batch_manifest(valid: DataFrame, rejected: DataFrame, written_at: Column, base_path: str = "") -> DataFrame:
-    """One row per batch and file type: how many rows were to be written, where, and when."""
+    """One row per batch and file type: how many rows were to be written, where, and when.
+
+    A write stores all rows or fails the batch, so there is no failed row to list: `failed_articles` is empty.
+    """
+    none = F.array().cast("array<struct<index:bigint,title:string,error:string>>")
     names = lambda kind: F.concat(F.lit(f"{base_path}{kind}/batch_id="), F.col("batch_id"))
     kinds = [("valid_articles", "articles_json", valid), ("rejected_articles", "rejected_json", rejected)]
     first, second = (
@@ -95,7 +99,7 @@ def batch_manifest(valid: DataFrame, rejected: DataFrame, written_at: Column, ba
         .agg(F.count(F.lit(1)).alias("total_articles"))
         .select(
             "batch_id", "file_type", "filename", "total_articles", F.col("total_articles").alias("stored_count"),
-            F.lit(0).cast("bigint").alias("failed_count"), written_at.alias("written_at"),
+            F.lit(0).cast("bigint").alias("failed_count"), none.alias("failed_articles"), written_at.alias("written_at"),
         )
     )
 

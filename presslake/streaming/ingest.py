@@ -94,7 +94,8 @@ def ingest(feed: DataFrame, pages: Callable[[SparkSession], DataFrame], root: st
            checkpoint: str, interval: str | None = None, position: str = "position",
            as_of: Callable[[], dt.datetime] | None = None,
            responses: Callable[[SparkSession], DataFrame] | None = None,
-           scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> StreamingQuery:
+           scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+           translator: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> StreamingQuery:
     """Run the whole batch on every micro-batch of a feed stream.
 
     `interval=None` works off what has landed and stops. The micro-batch number names the batch, so a
@@ -111,6 +112,6 @@ def ingest(feed: DataFrame, pages: Callable[[SparkSession], DataFrame], root: st
         if batch.isEmpty():
             return
         settings = replace(config, as_of=clock(), batch_id=f"stream-{number:012d}", look_back_hours=None)
-        run_batch(spark, batch, pages(spark), root, settings, responses(spark) if responses else None, position, scorer)
+        run_batch(spark, batch, pages(spark), root, settings, responses(spark) if responses else None, position, scorer, translator)
 
     return _start(feed.writeStream.foreachBatch(run), checkpoint, interval)

@@ -297,3 +297,54 @@ def test_views_answer_monitoring_sql(spark, first):
     assert all(spark.table(v).columns for v in VIEWS)
     register_views(spark, first[0], AS_OF + dt.timedelta(days=31))
     assert spark.table("processed_articles").count() == 0 == spark.table("pipeline_runs").count()
+
+
+def test_keyed_tables_and_filters_store_the_same(spark, tmp_path):
+    """Three batches, the second one repeated, in plain tables and in bucketed ones with filters; views show the same rows."""
+    from presslake.plans.views import stored_tables
+
+    feed, pages = inputs(spark)
+    extra = spark.createDataFrame([(99, "https://edition.bbc.com/new", "Another", "20240101T113000Z", "edition.bbc.com", "en", "GB")], FEED)
+    more = spark.createDataFrame([("https://edition.bbc.com/new", html(AI * 30))], "url string, html string")
+    shown = []
+    for name, layout in (("plain", {}), ("keyed", {"key_buckets": 3, "member_filters": True})):
+        root = str(tmp_path / name)
+        counters = [run_batch(spark, f, p, root, BatchConfig(AS_OF, b, **layout)) for b, f, p in (
+            ("0001", feed, pages), ("0002", feed.union(extra), pages.union(more)), ("0002", feed.union(extra), pages.union(more)), ("0003", feed, pages))]
+        views = stored_tables(spark, root, AS_OF)
+        articles = views["processed_articles"]
+        assert ("Bucketed: true" in articles._jdf.queryExecution().executedPlan().toString()) == (name == "keyed")
+        shown.append((contents(spark, root), sorted(tuple(map(str, r)) for r in articles.drop("file_stored_in").collect()),
+                      [{k: v for k, v in c.items() if k != "seconds"} for c in counters]))
+    assert shown[0] == shown[1] and [c["stored"] for c in shown[0][2]] == [2, 1, 1, 0]
+
+
+def test_translations_are_asked_for_once_and_kept(spark, tmp_path):
+    feed, pages = inputs(spark)
+    said = str(tmp_path / "said")
+
+    def translator(batch):
+        with open(said, "a") as out:
+            out.writelines(f"{k}\n" for k in batch["cache_key"])
+        return batch.assign(summary="Dansk: " + batch["summary_en"])[["cache_key", "summary"]]
+
+    def broken(batch):
+        raise OSError("no service")
+
+    root = str(tmp_path / "store")
+    run_batch(spark, feed, pages, root, BatchConfig(AS_OF, "0001"), translator=translator)
+    got = {r.url: r.summary_da for r in tables(spark, root)["processed"].collect()}
+    assert got["https://www.bbc.com/ai"] == "Dansk: Fallback classification: 4 AI terms found"
+    assert not got["https://dr.dk/vejr"].startswith("Dansk")
+    run_batch(spark, feed, pages, root, BatchConfig(AS_OF, "0002"), translator=translator)
+    assert open(said).read().split() == ["https://www.bbc.com/ai"]
+    cache = readers.read_table(spark, f"{root}/summary_cache", schemas.SUMMARY_TABLE)
+    assert [(r.cache_key, r.summary) for r in cache.collect()] == [("https://www.bbc.com/ai", got["https://www.bbc.com/ai"])]
+    from presslake.operators import classify
+
+    hits = spark.createDataFrame([("u1", True, "One"), ("u2", True, "Two"), ("u3", False, "Three"), ("u4", True, "")], "url string, ai_topic_detected boolean, summary_en string")
+    none = cache.select("cache_key", "summary").limit(0)
+    told = classify.translate_missing(hits, none, broken, backoff=0.0).collect()
+    assert sorted(map(tuple, told)) == [("u1", "One"), ("u2", "Two")]
+    half = lambda batch: batch.assign(summary=[" Et " if k == "u1" else "  " for k in batch["cache_key"]])[["cache_key", "summary"]]
+    assert sorted(map(tuple, classify.translate_missing(hits, none, half).collect())) == [("u1", "Et"), ("u2", "Two")]

@@ -127,6 +127,8 @@ def test_failure_counting(spark):
     assert not got["four.com"].is_failed and got["five.com"].is_failed
     assert [(x.kind, x.n) for x in got["five.com"].reasons] == [("fetch_error", 2), ("no_articles_found", 3)]
     assert [r.domain for r in quality.failed_domains(rows).collect()] == ["five.com"]
+    odd = spark.createDataFrame([("a.com", "dns_timeout: x", dt.datetime(2024, 1, 1), "b"), ("a.com", None, dt.datetime(2024, 1, 2), "b")], rows.schema)
+    assert [(x.kind, x.n) for x in quality.domain_failures(odd).first().reasons] == [("dns_timeout", 1), ("text_extraction_failed", 1)]
     report = quality.failure_report(rows).first()
     assert (report.tracked_domains, report.failed_domains, report.total_failures, report.batch_seconds) == (2, 1, 9, 240.0)
 
