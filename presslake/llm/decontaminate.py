@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presslake.llm.common import PLAIN_WORD, ascii_lower, words_of
+from presslake.llm.common import PLAIN_WORD, ascii_lower, let, words_of
 from presslake.operators.stage import computed
 from presslake.session import staged
 
@@ -40,23 +40,24 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_broad
     """(doc_id, row_key, item_id, start, end): the maximal runs of words that a document and an item share around an n-gram.
 
     Each run holds a window of the item. Documents are read on a grid of n-grams; an n-gram of the broadcast hash set of the
-    benchmark that is met there is extended word by word to both sides, which also verifies it. `row_key`
-    is a hash of the text, so that rows which share an id stay apart.
+    benchmark that is met there tells how item and document may lie over each other. Words stay out of that join: documents that met
+    something are read again, once, and each such position is verified and extended word by word. `row_key` is a hash of
+    the text, so that rows which share an id stay apart. `most_broadcast` bounds what is copied to every task: n-grams, of three
+    numbers each, and keys of documents that met one; beyond it both meet in a shuffle.
     """
-    items = staged(_items(benchmark, window))
-    runs = sorted(r["least_run"] for r in items.select("least_run").distinct().collect())
-    words = docs.select("doc_id", F.xxhash64("text").alias("row_key"), words_of(ascii_lower(F.col("text")), PLAIN_WORD).alias("words"))
+    numbered = staged(_items(benchmark, window).withColumn("item_no", F.monotonically_increasing_id()))
+    runs = sorted(r["least_run"] for r in numbered.select("least_run").distinct().collect())
+    words = words_of(ascii_lower(F.col("text")), PLAIN_WORD).alias("words")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     if not runs:
-        return words.limit(0).select("doc_id", "row_key", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"),
+        return keyed.limit(0).select("doc_id", "row_key", F.lit(None).cast(numbered.schema["item_id"].dataType).alias("item_id"),
                                      F.lit(0).alias("start"), F.lit(0).alias("end"))
     grids, grams = [], []
     for run in runs:
         length, step = _gram(run)
-        one = items.where(F.col("least_run") == run)
         at = F.explode(F.sequence(F.lit(0), F.size("item") - length))
-        grams.append(one.select("*", at.alias("offset")).select(
-            "item_id", "item", "least_run", "offset", F.lit(length).alias("length"),
-            F.xxhash64(F.lit(run), F.slice("item", F.col("offset") + 1, length)).alias("gram")))
+        grams.append(numbered.where(F.col("least_run") == run).select("item_no", "item", at.alias("offset")).select(
+            "item_no", "offset", F.xxhash64(F.lit(run), F.slice("item", F.col("offset") + 1, length)).alias("gram")))
         last = F.size("words") - length
         starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
         grids.append(_grid(starts, run, length))
@@ -67,20 +68,36 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_broad
     if known.count() <= most_broadcast:
         known = F.broadcast(known)
     # Words and grid are each computed once per document: the fence stops filters that would repeat them.
-    looked = computed(computed(words, "words").select("doc_id", "row_key", "words", F.concat(*grids).alias("grid")), "grid")
-    met = looked.select("doc_id", "row_key", "words", F.explode("grid").alias("g")).select("doc_id", "row_key", "words", "g.gram", "g.at")
-    met = met.join(known, "gram")
-    first = F.col("at") - F.col("offset")
-    differing = F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda j: ~F.coalesce(F.get("words", first + j) == F.get("item", j), F.lit(False)))
-    told = met.select("doc_id", "row_key", "item_id", "least_run", "offset", "length", first.alias("first"),
-                      F.size("item").alias("n_item"), differing.alias("differing"))
-    left = F.coalesce(F.array_max(F.filter("differing", lambda j: j < F.col("offset"))) + 1, F.lit(0))
-    right = F.coalesce(F.array_min(F.filter("differing", lambda j: j >= F.col("offset") + F.col("length"))), F.col("n_item"))
-    broken = F.exists("differing", lambda j: (j >= F.col("offset")) & (j < F.col("offset") + F.col("length")))
-    found = told.select("doc_id", "row_key", "item_id", "least_run", (F.col("first") + left).alias("start"),
-                        (F.col("first") + right).alias("end"), broken.alias("broken"))
-    return found.where(~F.col("broken") & (F.col("end") - F.col("start") >= F.col("least_run"))).select(
-        "doc_id", "row_key", "item_id", "start", "end").distinct()
+    looked = computed(computed(keyed.select("doc_id", "row_key", words), "words").select("doc_id", "row_key", F.concat(*grids).alias("grid")), "grid")
+    met = looked.select("doc_id", "row_key", F.explode("grid").alias("g")).select("doc_id", "row_key", "g.gram", "g.at").join(known, "gram")
+    # How the item lies over the document, however many n-grams say so.
+    over = met.groupBy("doc_id", "row_key", "item_no").agg(F.collect_set(F.col("at") - F.col("offset")).alias("firsts"))
+    over = staged(over.withColumnRenamed("doc_id", "_doc").withColumnRenamed("row_key", "_key"))
+    place = F.xxhash64("_doc", "_key").alias("_place")
+    places = staged(over.select(place).distinct())
+    again = keyed.withColumn("_place", F.xxhash64("doc_id", "row_key"))
+    if places.count() <= most_broadcast:
+        again = again.join(F.broadcast(places), "_place", "left_semi")
+    over = over.join(numbered, "item_no").groupBy("_doc", "_key").agg(F.collect_list(F.struct("item_id", "item", "least_run", "firsts")).alias("over"))
+    same = again["doc_id"].eqNullSafe(over["_doc"]) & (again["row_key"] == over["_key"])
+    both = again.select("doc_id", "row_key", "text").join(over, same).select("doc_id", "row_key", words, "over")
+
+    def verified(one: Column) -> Column:
+        """The runs of an item over a document, for every way in which it may lie there."""
+        item, last = one["item"], F.size(one["item"])
+
+        def at(first: Column) -> Column:
+            differing = F.filter(F.sequence(F.lit(0), last - 1), lambda j: ~F.coalesce(F.get("words", first + j) == F.get(item, j), F.lit(False)))
+            # Runs lie between the places that differ.
+            edges = F.concat(F.array(F.lit(-1)), differing, F.array(last))
+            lie = let(edges, lambda all_: F.transform(all_, lambda e, i: F.struct(
+                (first + e + 1).alias("start"), (first + F.coalesce(F.get(all_, i + 1), e)).alias("end"))))
+            return F.filter(lie, lambda r: r["end"] - r["start"] >= one["least_run"])
+
+        return F.transform(F.flatten(F.transform(one["firsts"], at)), lambda r: F.struct(one["item_id"].alias("item_id"), r["start"].alias("start"), r["end"].alias("end")))
+
+    told = computed(computed(both, "met").select("doc_id", "row_key", F.flatten(F.transform("over", verified)).alias("runs")), "runs")
+    return told.select("doc_id", "row_key", F.explode("runs").alias("r")).select("doc_id", "row_key", "r.item_id", "r.start", "r.end").distinct()
 
 
 def _covered(spans: Column) -> Column:

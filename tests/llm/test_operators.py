@@ -85,6 +85,25 @@ def test_cover_meets_every_difference():
     assert {(a - b) % suffixes.PERIOD for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.PERIOD))
 
 
+@pytest.mark.parametrize("most", [decontaminate.MOST_BROADCAST, 0])
+def test_decontamination_of_very_long_texts(spark, most):
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(4000)}"
+    item = [word() for _ in range(40)]
+    longer = [word() for _ in range(3000)]
+    long = [word() for _ in range(150_000)]
+    long[70_000:70_040] = item
+    long[90_000:90_013] = item[7:20]
+    long[90_020:90_032] = item[7:19]
+    long[120_000:122_000] = longer[500:2500]
+    long[121_000] = "other"
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(long[::-1])), (3, " ".join(item * 300))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(longer))], "item_id bigint, text string")
+    told = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench, most_broadcast=most).collect()}
+    assert (told[1]["n_words"], told[1]["n_hit"], told[1]["items"]) == (150_000, 40 + 13 + 1999, ["1", "2"])
+    assert told[2]["n_hit"] == 0 and told[3]["n_hit"] == told[3]["n_words"] == 12_000 and told[3]["contaminated"]
+
+
 def test_decontamination(spark, docs, rows, empty):
     passage = rows[61][1].split("\n")[0].split(" ", 10)[10]
     items = [(1, passage), (2, passage), (3, "one two"), (4, None), (5, ""), (None, rows[0][1]), (6, rows[64][1]), (3, "one two")]
