@@ -13,17 +13,18 @@ RECENT_AI_COLUMNS = [
 ]
 
 
-def _newest_first(df: DataFrame) -> DataFrame:
+def newest_first(df: DataFrame) -> DataFrame:
+    """The order of all article lists: by time, the newest first, then by address."""
     return df.orderBy(F.desc("processed_at"), "url")
 
 
 def recent_articles(df: DataFrame, limit: int = 10) -> DataFrame:
     """Newest articles; order and limit become one top-k step per partition."""
-    return _newest_first(df.select(*RECENT_COLUMNS)).limit(limit)
+    return newest_first(df.select(*RECENT_COLUMNS)).limit(limit)
 
 
 def recent_ai_articles(df: DataFrame, limit: int = 10) -> DataFrame:
-    return _newest_first(df.filter("ai_topic_detected").select(*RECENT_AI_COLUMNS)).limit(limit)
+    return newest_first(df.filter("ai_topic_detected").select(*RECENT_AI_COLUMNS)).limit(limit)
 
 
 def recent_runs(runs: DataFrame, limit: int = 10) -> DataFrame:
@@ -46,14 +47,14 @@ def browse(df: DataFrame, category: str = "all", topic: str = "all") -> DataFram
 
 def browse_page(df: DataFrame, page: int = 1, size: int = 10) -> DataFrame:
     """One page of the newest-first list, by position."""
-    return _newest_first(df).offset((page - 1) * size).limit(size)
+    return newest_first(df).offset((page - 1) * size).limit(size)
 
 
 def browse_after(df: DataFrame, processed_at: object, url: str, size: int = 10) -> DataFrame:
     """The page that follows a given row. Deep pages cost no more than the first: earlier rows are filtered
     out in the scan instead of being sorted and skipped."""
     at = F.lit(processed_at)
-    return _newest_first(
+    return newest_first(
         df.filter((F.col("processed_at") < at) | ((F.col("processed_at") == at) & (F.col("url") > url)))
     ).limit(size)
 

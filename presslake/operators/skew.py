@@ -1,6 +1,7 @@
 """Membership joins that stay balanced when one key holds a large share of the rows.
 
-A key is hot when it holds more rows than a mean task gets, that is a share above 1/partitions of the probing side. Hot keys
+With adaptive skew handling on, as it is by default, Spark splits the partitions of a frequent key at run time, which costs no pass of its
+own, and the plain join is used. Without it, a sketch pass finds hot keys first. A key is hot when it holds more rows than a mean task gets, that is a share above 1/partitions of the probing side. Hot keys
 are found in one column-pruned pass with bounded state. Their rows are spread over as many salts as
 their share asks for, and the few matching rows of the other side are repeated once per salt, so the
 result is exactly that of the plain join. Both limits come from the measured share and the number of shuffle
@@ -59,6 +60,12 @@ def repeat_salts(df: DataFrame, keys: list[str], hot: dict[int, int], out: str =
     return df.withColumn(out, F.explode(F.sequence(F.lit(0), _salts(keys, hot) - 1)))
 
 
+def adaptive(df: DataFrame) -> bool:
+    """Whether Spark splits skewed join partitions at run time."""
+    conf = df.sparkSession.conf
+    return all(conf.get(f"spark.sql.adaptive.{name}", "true").lower() == "true" for name in ("enabled", "skewJoin.enabled"))
+
+
 def membership_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
                     spread: list[str] | None = None) -> DataFrame:
     """`left` joined with the distinct `keys` of `right`; `how` is left_semi, left_anti or left.
@@ -69,7 +76,8 @@ def membership_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     # The distinct combines copies before its shuffle.
     members = right.dropna(subset=keys)
     members = members.distinct() if how != "left" else members
-    (hot,) = hot_hashes(left, keys)
+    # The probing side is the left one of a semi, anti or left join, which adaptive execution may split.
+    hot = {} if adaptive(left) else hot_hashes(left, keys)[0]
     added = [c for c in members.columns if c not in keys] if how == "left" else []
     if not hot:
         return left.join(members, keys, how).select(*left.columns, *added)

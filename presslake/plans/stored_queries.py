@@ -7,11 +7,11 @@ import datetime as dt
 from pyspark.sql import functions as F, types as T
 
 from presslake import schemas
-from presslake.operators import dedup, quality, rollup, sketches
+from presslake.operators import dedup, quality, rollup, sketches, substrings
 from presslake.plans import standins as st
 from presslake.plans.queries import TIME, query, scratch
 from presslake.session import staged
-from presslake.sources import keyed, marks, members, readers, store
+from presslake.sources import keyed, marks, members, paged, readers, store
 from presslake.streaming import failures as failing, ingest, progress
 
 BUCKETS = 4
@@ -154,6 +154,26 @@ def old_batch_files(spark, sf_dir):
     return back.groupBy("language").agg(F.count(F.lit(1)).alias("articles"), F.sum(F.length("text")).alias("chars"), F.count_distinct(F.md5("text")).alias("texts"))
 
 
+# ---- lists and long lists of substrings -------------------------------------------------------------------
+
+
+@query("stored", "SELECT url, title, domain FROM stored ORDER BY processed_at DESC, url LIMIT 10 OFFSET 130")
+def browse_page_indexed(spark, sf_dir):
+    """Page 14 of all articles, read from the one or two ranges of the list that hold it."""
+    path = scratch(spark, "list")
+    paged.write_index(st.stored(spark, sf_dir), path, 8)
+    return paged.read_page(spark, path, 14).select("url", "title", "domain")
+
+
+@query(sql="""SELECT p.page_id, count(DISTINCT part) AS parts FROM pages p JOIN (
+    SELECT DISTINCT lower(split_part(text, ' ', 2)) AS part FROM documents WHERE length(split_part(text, ' ', 2)) > 0) ON contains(lower(p.url), part) GROUP BY 1""")
+def substring_list(spark, sf_dir):
+    """Which of a list as long as the documents (the second word of each) stand in an address, by an index of q-grams."""
+    entries = st.table(spark, sf_dir, "documents").select(F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("entry"))
+    found = substrings.matches(st.table(spark, sf_dir, "pages"), F.lower("url"), entries, "page_id")
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("parts"))
+
+
 # ---- stateful streams ------------------------------------------------------------------------------------
 
 FAILURE_DAYS = 7

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from presslake import schemas
-from presslake.operators import rollup, sketches
-from presslake.sources import keyed, marks, members, readers, store
+from presslake.operators import browse, rollup, sketches, substrings
+from presslake.sources import keyed, marks, members, paged, readers, store
 
 ROWS = "url string, title string, domain string, processed_at timestamp, batch_id string"
 
@@ -204,3 +204,35 @@ def test_rollup_equals_direct_counts_after_every_change(spark):
         got = sorted(map(tuple, rollup.distribution(kept, *by).collect()), key=str)
         direct = left.withColumn("day", F.to_date("processed_at")).groupBy(*by).agg(F.count(F.lit(1)), F.count_if("ai_topic_detected")).collect()
         assert got == sorted(map(tuple, direct), key=str)
+
+
+def test_pages_are_read_from_their_ranges(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(f"u{i:05d}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(400))) for i in range(5000)]
+    df = spark.createDataFrame(rows, "url string, processed_at timestamp")
+    path = str(tmp_path / "list")
+    paged.write_index(df, path, 16)
+    for page, size in ((1, 10), (7, 13), (321, 10), (500, 10), (501, 10), (3, 900), (9999, 10)):
+        assert paged.read_page(spark, path, page, size).collect() == browse.browse_page(df, page, size).collect()
+    deep = paged.read_page(spark, path, 400)
+    assert "range" in plan(deep).split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert tuple(paged.page_numbers(spark, path, 10).first()) == (5000, 500)
+
+
+def test_long_substring_lists(spark):
+    rng = random.Random(9)
+    part = lambda lo, hi: "".join(rng.choice("abc.-") for _ in range(rng.randint(lo, hi)))
+    texts = [(i, part(0, 30)) for i in range(300)] + [(300, None), (301, ""), (302, "ä" * 5 + "xyz")]
+    listed = sorted({part(1, 9) for _ in range(400)} | {"äx", "xyz", "xyz", "z"})
+    df = spark.createDataFrame(texts, "id long, text string")
+    entries = spark.createDataFrame([(e,) for e in [*listed, "", None]], "entry string")
+    found = substrings.matches(df, F.col("text"), entries, "id")
+    assert sorted(map(tuple, found.collect())) == sorted((i, e) for i, t in texts for e in listed if t and e in t)
+    told = {r.id: r.listed for r in substrings.with_listed(df, F.col("text"), entries, "id").collect()}
+    assert told == {i: bool(t) and any(e in t for e in listed) for i, t in texts}
+    assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
+    assert substrings.matches(df, F.col("text"), entries.limit(0), "id").count() == 0
+    # 100,000 entries: the plan does not grow with the list.
+    many = spark.range(100_000).select(F.concat(F.lit("site-"), F.col("id").cast("string"), F.lit(".org")).alias("entry"))
+    hosts = spark.range(0, 200_000, 1000).select("id", F.concat(F.lit("www.site-"), F.col("id").cast("string"), F.lit(".org")).alias("host"))
+    assert substrings.matches(hosts, F.col("host"), many, "id").where(F.expr("entry = concat('site-', id, '.org')")).count() == 100
