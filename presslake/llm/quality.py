@@ -171,7 +171,8 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **setti
 
     The sample is the rows of `labels` with the smallest hashes of their ids, so it is the same at each run and its size does
     not grow with the input. Labels without id or quality are not used; an id labelled twice counts by its lowest
-    label. Without labels of both kinds there are no rules.
+    label, and of rows that share a labelled id the one with the least statistics is learned from. Without labels of both kinds
+    there are no rules.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.select("doc_id", (F.col("quality") == 0).alias("_bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -179,8 +180,9 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **setti
     told = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
     columns = features()
     names = list(columns)
-    rows = told.select("doc_id", "_bad", *[c.alias(name) for name, c in columns.items()]).limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r["doc_id"], [r[name] for name in names]))
+    # One row for each labelled id, the least where an id is repeated: `sample` rows at most, the same at each run.
+    each = told.select("doc_id", F.struct("_bad", *[c.alias(name) for name, c in columns.items()]).alias("found"))
+    rows = [r["found"] for r in each.groupBy("doc_id").agg(F.min("found").alias("found")).orderBy("doc_id").collect()]
     return learn([{name: r[name] for name in names} for r in rows], [r["_bad"] for r in rows], **settings)
 
 
