@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,7 +25,6 @@ RIDGE = 1e-3
 #: Texts that one matrix product scores.
 ROWS = 128
 
-_LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TABLE = np.random.default_rng(31).integers(0, 2**32, (max(LENGTHS), 256), dtype=np.uint32)
@@ -39,6 +37,11 @@ class Model(NamedTuple):
     offset: np.ndarray
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of one of Unicode's letter categories stands in the text, as the pattern \\p{L} of the sample."""
+    return any(map(str.isalpha, text))
+
+
 def presence(texts: list[bytes], slots: int = SLOTS) -> np.ndarray:
     """A row of length 1 for each whole text: which hashed n-grams of any of LENGTHS stand in it. A-Z are lower-cased.
 
@@ -129,7 +132,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-            usable = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
+            usable = [i for i, t in enumerate(texts) if t and has_letter(t)] if model else []
             for at in range(0, len(usable), ROWS):
                 some = usable[at:at + ROWS]
                 similar = _kernel(presence([texts[i].encode() for i in some]), model.landmarks)
