@@ -355,6 +355,11 @@ def test_shards(docs, rows, empty):
     for r in told:
         homes[r["text_crc32"], r["size"]].add(r["shard"])
     assert all(len(v) == 1 for v in homes.values())
+    # No shard is fuller than another by more than the largest group that cannot be divided.
+    group = collections.Counter()
+    for (_, size, crc), n in of.items():
+        group[size, crc] += size * n
+    assert max(loads.values()) - min(loads.get(k, 0) for k in range(24)) <= max(group.values())
     out = sharding.sharded_documents(docs)
     assert out.count() == len(rows) and out.columns == [*docs.columns, "shard", "slot"]
     assert sharding.shard(empty).count() == 0
@@ -444,3 +449,16 @@ def test_trees_learn_given_labels(spark):
     labels = spark.createDataFrame([(u, "block" if "1234567" in u else "allow") for _, u in rows[:120]], "url string, verdict string")
     told = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id bigint, url string"), labels=labels).collect()}
     assert all((told[i] == "block") == ("1234567" in u) for i, u in rows)
+
+
+def test_letters_are_those_of_unicode():
+    assert [langid.has_letter(t) for t in ("½", "²", "Ⅷ", "12 _ !", "", "ª", "ʰ", "Ж", "字", "1a")] == [False] * 5 + [True] * 5
+
+
+def test_rules_do_not_depend_on_repeated_ids(spark):
+    rng = random.Random(3)
+    text = lambda bad: " ".join(rng.choice(["#", "$$", "x"] if bad else ["word", "other", "plain"]) for _ in range(40))
+    rows = [(i, text(i % 2)) for i in range(60)] + [(i % 4, text(i % 3)) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id bigint, quality int")
+    found = [quality.learn_from(spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id bigint, text string").repartition(k), labels, sample=40) for k in (1, 5, 9)]
+    assert found[0] and found[0] == found[1] == found[2]
