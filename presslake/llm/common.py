@@ -38,12 +38,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def prefix_sums(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, stage: Callable[[DataFrame], DataFrame] = staged) -> DataFrame:
     """`df` with `before`: the sum of `value` over the rows of the same `group` that come earlier in `order`.
 
     Rows are range-sorted by (group, order), so a group of any size spreads over many tasks. Each task keeps one running
     sum; the sums of whole partitions, a row for each pair of partition and group, give the offsets. The sorted rows are
-    written once, because the borders of a range sort may differ when it is computed again. `group` may be null.
+    written once by `stage`, because the borders of a range sort may differ when it is computed again. `group` may be null.
     Rows equal in `order` are told apart by the sort itself; give a total order for results that do not vary.
     """
     keys = [F.col(group).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in order]]
@@ -68,9 +68,9 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], [f.name for f in fields])
 
     ordered = df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).withColumn("pid", F.spark_partition_id())
-    done = staged(ordered.mapInArrow(running, schema))
+    done = stage(ordered.mapInArrow(running, schema))
     totals = done.groupBy("pid", group).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("total"))
     earlier = Window.partitionBy(group).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("pid", F.col(group).alias("_group"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("_offset"))
-    found = done.join(offsets, (done["pid"] == offsets["pid"]) & done[group].eqNullSafe(offsets["_group"]))
-    return found.drop(offsets["pid"]).withColumn("before", F.col("local_before") + F.col("_offset")).drop("pid", "_group", "_offset", "local_before")
+    offsets = totals.select("pid", F.col(group).alias("_offset_group"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("_offset"))
+    found = done.join(offsets, (done["pid"] == offsets["pid"]) & done[group].eqNullSafe(offsets["_offset_group"]))
+    return found.drop(offsets["pid"]).withColumn("before", F.col("local_before") + F.col("_offset")).drop("pid", "_offset_group", "_offset", "local_before")

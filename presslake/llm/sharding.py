@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presslake.llm.common import prefix_sums
-from presslake.session import staged
+from presslake.session import scratch, staged
 
 SHARDS = 24
 #: Groups that one task differences, and partial partitions that one task of a later level combines.
@@ -135,22 +135,32 @@ def shard(docs: DataFrame, shards: int = SHARDS, **settings) -> DataFrame:
     numbers the rows of a shard from 0 in order of id and text hash, repeated rows following each other. Null ids
     come last. Empty input gives an empty result. Only doc_id and text are read.
     """
-    narrow = staged(docs.select("doc_id", byte_size(F.col("text")).alias("size"),
-                                F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
-                                text_group(F.col("text")).alias("group")))
-    groups = staged(narrow.groupBy("group").agg(F.sum("size").alias("weight")))
-    placed = narrow.join(assign_groups(groups, shards, **settings).select("group", "shard"), "group")
-    counted = prefix_sums(placed.withColumn("one", F.lit(1).cast("long")), "shard", ["doc_id", "group"], "one")
+    with scratch(docs.sparkSession) as keep:
+        narrow = staged(docs.select("doc_id", byte_size(F.col("text")).alias("size"),
+                                    F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
+                                    text_group(F.col("text")).alias("group")))
+        groups = staged(narrow.groupBy("group").agg(F.sum("size").alias("weight")))
+        placed = narrow.join(assign_groups(groups, shards, **settings).select("group", "shard"), "group")
+        counted = prefix_sums(placed.withColumn("one", F.lit(1).cast("long")), "shard", ["doc_id", "group"], "one", keep)
     return counted.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("before").alias("slot"))
 
 
 def sharded_documents(docs: DataFrame, shards: int = SHARDS, **settings) -> DataFrame:
-    """`docs` with `shard` and `slot`; columns of these names in `docs` are replaced. Repeated rows get slots of their own."""
+    """`docs` with `shard` and `slot`; columns of these names in `docs` are replaced. Repeated rows get slots of their own.
+
+    Equal rows are counted first, so a row that is repeated often does not gather, and slots are summed up over (id, text hash,
+    row hash) alone. The rows meet their places once, in one shuffle.
+    """
     own = [c for c in docs.columns if c not in ("shard", "slot")]
-    narrow = staged(docs.select("text").select(text_group(F.col("text")).alias("group"), byte_size(F.col("text")).alias("size")))
-    groups = staged(narrow.groupBy("group").agg(F.sum("size").alias("weight")))
-    told = assign_groups(groups, shards, **settings).select(F.col("group").alias("_group"), F.col("shard").alias("_shard"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), text_group(F.col("text")).alias("_group"), F.col("doc_id").alias("_id"))
-    placed = packed.join(told, "_group").withColumn("_one", F.lit(1).cast("long"))
-    counted = prefix_sums(placed, "_shard", ["_id", "_group"], "_one")
-    return counted.select(*[F.col(f"_row.`{c}`").alias(c) for c in own], F.col("_shard").cast("int").alias("shard"), F.col("before").alias("slot"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), text_group(F.col("text")).alias("_group"),
+                         F.col("doc_id").alias("_id"), byte_size(F.col("text")).alias("_size"))
+    packed = packed.withColumn("_hash", F.xxhash64(F.col("_row").cast("string")))
+    with scratch(docs.sparkSession) as keep:
+        narrow = staged(packed.groupBy("_group", "_hash").agg(F.min("_id").alias("_id"), F.max("_size").alias("_size"), F.count(F.lit(1)).alias("_times")))
+        groups = staged(narrow.groupBy(F.col("_group").alias("group")).agg(F.sum(F.col("_size") * F.col("_times")).alias("weight")))
+        told = assign_groups(groups, shards, **settings).select(F.col("group").alias("_group"), F.col("shard").alias("_shard"))
+        counted = prefix_sums(narrow.join(told, "_group"), "_shard", ["_id", "_group", "_hash"], "_times", keep)
+    places = counted.select("_group", "_hash", "_shard", F.col("before").alias("_first"), "_times")
+    rows = packed.groupBy("_group", "_hash").agg(F.first("_row").alias("_row")).join(places, ["_group", "_hash"])
+    each = rows.select("_row", "_shard", F.explode(F.sequence("_first", F.col("_first") + F.col("_times") - 1)).alias("_slot"))
+    return each.select(*[F.col(f"_row.`{c}`").alias(c) for c in own], F.col("_shard").cast("int").alias("shard"), F.col("_slot").alias("slot"))
