@@ -26,6 +26,8 @@ GAMMA = 0.9
 #: Cut paths of all hosts that may be copied to every task, and the salts of a host beyond that.
 MOST_BROADCAST = 20_000
 SALTS = 64
+#: Share of a page's text that its articles hold at least, where they are the story.
+LEAST_ARTICLE = 0.3
 
 # Elements that are no text of a page, whatever a site does with them.
 SILENT = frozenset("script style noscript template head title svg canvas iframe object math select option textarea button datalist".split())
@@ -67,10 +69,23 @@ class Block(NamedTuple):
     text: str
 
 
+#: Noise words that keep their meaning as the first or as the last part of a longer name ('comment-body', 'user-comments').
+FIRST_NOISE = frozenset("advert advertisement comment comments cookie cookies disqus newsletter".split())
+LAST_NOISE = FIRST_NOISE | frozenset("adverts breadcrumb breadcrumbs sidebar".split())
+#: Parts of names that speak of something else than the element itself, and those that scripts put in front.
+ABOUT_OTHERS = frozenset("has no not with without hide free".split())
+SCRIPT_MARKS = frozenset("js is".split())
+
+
 @lru_cache(maxsize=65536)
 def _is_noise(token: str, inside: bool) -> int:
-    """Whether a whole class token, id, role or label says that an element is not the article, as a level; `inside` an article a header is part of it."""
-    parts = {w.lower() for w in _NAME_PART.findall(token)}
+    """Whether a class token, id, role or label says that an element is not the article, as a level; `inside` an article a header is part of it."""
+    ordered = [w.lower() for w in _NAME_PART.findall(token)]
+    while ordered and ordered[0] in SCRIPT_MARKS:
+        ordered = ordered[1:]
+    parts = set(ordered)
+    if len(ordered) > 1 and (ordered[0] in FIRST_NOISE or ordered[-1] in LAST_NOISE) and not parts & ABOUT_OTHERS:
+        return BY_OTHERS if parts & OTHERS else BY_NAME
     if parts & HEADERS:
         return BY_NAME if not inside and parts <= HEADERS | BESIDE_HEADER else 0
     if not parts & NOISE_WORDS or not parts <= NOISE_WORDS | BESIDE_NOISE:
@@ -274,12 +289,17 @@ def noisy_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importan
 
 
 def main_text(page: str | None, noisy: frozenset[str] = frozenset()) -> str:
-    """The blocks of the article, joined by blank lines; `noisy` holds the paths that the site's tree has cut."""
+    """The blocks of the article, joined by blank lines; `noisy` holds the paths that the site's tree has cut.
+
+    Articles, or else a main element, stand for the page if they hold `LEAST_ARTICLE` of its text; less than that is a teaser beside the story.
+    """
     found = [b for b in blocks(page or "") if not b.noise and not (noisy and _key(b.path) in noisy)]
-    article = [b for b in found if any(s.split(".")[0] == "article" for s in b.path)]
-    if not article:
-        article = [b for b in found if any(s.split(".")[0] == "main" for s in b.path)]
-    return "\n\n".join(b.text for b in (article or found))
+    size = lambda some: sum(len(b.text) for b in some)
+    for tag in ("article", "main"):
+        held = [b for b in found if any(s.split(".")[0] == tag for s in b.path)]
+        if held and size(held) >= LEAST_ARTICLE * size(found):
+            return "\n\n".join(b.text for b in held)
+    return "\n\n".join(b.text for b in found)
 
 
 def extract(pages: DataFrame, **settings) -> DataFrame:
@@ -287,7 +307,7 @@ def extract(pages: DataFrame, **settings) -> DataFrame:
 
     The whole html of every page is read; null html is empty. Elements that are never text and elements named as menus, adverts,
     comments and the like go; of the rest, text paths go that the style tree of the host finds alike on its pages. If a page has
-    articles, only they count, else a main element, else the page. Character references are decoded, white space inside a
+    articles that hold a fair share of its text, only they count, else such a main element, else the page. Character references are decoded, white space inside a
     block becomes one space, blocks stand in page order with a blank line between. Null addresses share one tree.
     Repeated rows are rows of the result, but copies of a page count once in the tree. A column `text` of `pages` is replaced; other columns stay.
     """

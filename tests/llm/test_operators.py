@@ -462,3 +462,20 @@ def test_rules_do_not_depend_on_repeated_ids(spark):
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id bigint, quality int")
     found = [quality.learn_from(spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id bigint, text string").repartition(k), labels, sample=40) for k in (1, 5, 9)]
     assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_names_of_comments_notices_and_sidebars():
+    story = "<p>" + "The story goes on. " * 30 + "</p>"
+    for name in ("comment-body", "user-comments", "js-cookie-notice", "article-sidebar", "comments_list wide", "newsletter-wrap"):
+        page = f"<body><article>{story}<div class='{name}'><p>Not the story</p></div></article></body>"
+        assert htmltree.main_text(page) == ("The story goes on. " * 30).strip()
+    for name in ("has-sidebar", "no-sidebar", "ad-free", "with-menu", "related-work", "social-science", "side-note", "entry-header", "no-comments"):
+        assert "Kept" in htmltree.main_text(f"<body><article>{story}<div class='{name}'><p>Kept</p></div></article></body>")
+
+
+def test_a_teaser_beside_a_story_does_not_stand_for_the_page():
+    story = "The story goes on. " * 30
+    page = f"<body><article><h2>Teaser</h2><p>Read more</p></article><div class='text'><p>{story}</p></div></body>"
+    assert htmltree.main_text(page) == f"Teaser\n\nRead more\n\n{story.strip()}"
+    swapped = f"<body><article><p>{story}</p></article><div class='text'><p>Read more</p></div></body>"
+    assert htmltree.main_text(swapped) == story.strip()
