@@ -25,8 +25,20 @@ def read_feed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
     return conform(spark.read.format(fmt).schema(FEED).load(path), FEED, {"language": "en"})
 
 
-def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).schema(PAGE).load(path)
+def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", since: dt.datetime | None = None,
+               until: dt.datetime | None = None) -> DataFrame:
+    """Landed pages. With bounds the pages lie in folders `landed=YYYY-MM-DD`, and only those of days from `since` to `until` are read.
+
+    Give a batch the days in which its candidates can have landed: its look-back, or the retention where rows wait for their page.
+    """
+    if since is None and until is None:
+        return spark.read.format(fmt).schema(PAGE).load(path)
+    rows = spark.read.format(fmt).schema(T.StructType([*PAGE.fields, T.StructField("landed", T.DateType())])).load(path)
+    if since is not None:
+        rows = rows.where(F.col("landed") >= F.lit(since.date()))
+    if until is not None:
+        rows = rows.where(F.col("landed") <= F.lit(until.date()))
+    return rows.drop("landed")
 
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:

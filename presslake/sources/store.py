@@ -16,6 +16,10 @@ from presslake.schemas import RUN_EVENT
 from presslake.sources.readers import MERGED, MERGED_BATCH, batch_folders, path_exists, read_table
 
 
+#: Stored bytes for which a merged day gets a file of its own.
+FILE_BYTES = 256 << 20
+
+
 def written_order(time: str | None = None) -> list[Column]:
     """When a row was written: by its time, then by batch id, of which a longer one is later (`b10` after `b9`)."""
     return [*([F.col(time)] if time else []), F.length("batch_id"), F.col("batch_id")]
@@ -159,12 +163,12 @@ def drop_expired(spark: SparkSession, path: str, as_of: dt.datetime, days: int =
     return sorted(dropped)
 
 
-def compact(spark: SparkSession, path: str, schema: T.StructType, before: dt.date, files: int = 1) -> list[str]:
+def compact(spark: SparkSession, path: str, schema: T.StructType, before: dt.date, files: int | None = None) -> list[str]:
     """Merge the batch folders of every day before `before` into one folder per day; returns the days.
 
     Every row stays, under its batch id. The merged folder is written first and the folders that it covers go afterwards;
     readers skip whichever of the two is not needed, so a merge may be cut short at any point and run again. Run it
-    when no batch is being written for those days. `files` is the number of files per day.
+    when no batch is being written for those days. `files` is the number of files per day; without it one for each FILE_BYTES of the day.
     """
     fs, root = _file_system(spark, path)
     if not path_exists(spark, path):
@@ -181,7 +185,8 @@ def compact(spark: SparkSession, path: str, schema: T.StructType, before: dt.dat
         rows = read_table(spark, path, placed, since=start)
         rows = rows.where(F.col("day") == F.lit(start.date())).withColumnRenamed("batch_id", MERGED_BATCH).drop("day")
         number = 1 + max([int(n.removeprefix(MERGED)) for n in covered if n.startswith(MERGED)], default=0)
-        rows.repartition(files).write.mode("overwrite").parquet(f"{path}/day={day}/batch_id={MERGED}{number:09d}")
+        size = fs.getContentSummary(_file_system(spark, f"{path}/day={day}")[1]).getLength()
+        rows.repartition(files or max(1, -(-size // FILE_BYTES))).write.mode("overwrite").parquet(f"{path}/day={day}/batch_id={MERGED}{number:09d}")
         names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
         for name in covered:
             fs.delete(_file_system(spark, f"{path}/day={day}/batch_id={names.escapePathName(name)}")[1], True)

@@ -74,6 +74,27 @@ def read_totals(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return latest(spark.read.parquet(path), keys, ["version"]).drop("version")
 
 
+def merge_totals(spark: SparkSession, path: str, keys: list[str]) -> int | None:
+    """Fold the versions of a table kept by `write_totals` into the newest of them; returns its number, or None with fewer than two.
+
+    The folded rows are written beside the newest version first and the others go afterwards. If it is cut short, rows stand in two
+    versions, of which the newer counts, and it can run again. Run it while the stream is stopped or between two of its triggers.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = {int(str(e.getPath()).rsplit("=", 1)[1]): e.getPath() for e in (fs.globStatus(target) or [])}
+    if len(held) < 2:
+        return None
+    newest = max(held)
+    old = latest(spark.read.parquet(path).where(F.col("version") < newest), keys, ["version"]).drop("version")
+    current = spark.read.parquet(f"{path}/version={newest}").select(*keys)
+    old.join(current, keys, "left_anti").write.mode("append").parquet(f"{path}/version={newest}")
+    for number, folder in held.items():
+        if number != newest:
+            fs.delete(folder, True)
+    return newest
+
+
 def progress_rates(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """One row per recent micro-batch of a stream: rows read, rows per second in and through, seconds taken.
 

@@ -236,3 +236,13 @@ def test_long_substring_lists(spark):
     many = spark.range(100_000).select(F.concat(F.lit("site-"), F.col("id").cast("string"), F.lit(".org")).alias("entry"))
     hosts = spark.range(0, 200_000, 1000).select("id", F.concat(F.lit("www.site-"), F.col("id").cast("string"), F.lit(".org")).alias("host"))
     assert substrings.matches(hosts, F.col("host"), many, "id").where(F.expr("entry = concat('site-', id, '.org')")).count() == 100
+
+
+def test_pages_are_pruned_by_landing_day(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    for day in range(1, 6):
+        spark.createDataFrame([(f"u{day}", "<p>x</p>")], schemas.PAGE).write.parquet(f"{path}/landed=2024-01-0{day}")
+    told = readers.read_pages(spark, path, since=dt.datetime(2024, 1, 2, 5), until=dt.datetime(2024, 1, 3, 1))
+    assert sorted(r.url for r in told.collect()) == ["u2", "u3"] and told.columns == ["url", "html"]
+    assert "landed" in plan(told).split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert readers.read_pages(spark, f"{path}/landed=2024-01-04").count() == 1

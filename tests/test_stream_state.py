@@ -47,6 +47,17 @@ def test_stream_equals_replay_and_state_stays_small(spark, tmp_path):
     assert state <= 7 * (DAYS + 1 + 4) + sum(r[1] is not None and r[1] >= until for r in rows)
 
 
+def test_versions_of_totals_are_merged(spark, tmp_path):
+    path = str(tmp_path / "totals")
+    assert ingest.merge_totals(spark, path, ["k"]) is None
+    for version, rows in enumerate([[("a", 1), ("b", 1)], [("b", 2), ("c", 1)], [("a", 3)]]):
+        spark.createDataFrame(rows, "k string, n long").write.parquet(f"{path}/version={version}")
+    told = lambda: sorted(tuple(r) for r in ingest.read_totals(spark, path, ["k"]).select("k", "n").collect())
+    assert told() == [("a", 3), ("b", 2), ("c", 1)]
+    assert ingest.merge_totals(spark, path, ["k"]) == 2 and told() == [("a", 3), ("b", 2), ("c", 1)]
+    assert [p.name for p in (tmp_path / "totals").glob("version=*")] == ["version=2"] and ingest.merge_totals(spark, path, ["k"]) is None
+
+
 def test_replay_by_hand(spark):
     day = lambda d, h=0: dt.datetime(2024, 1, d, h)
     rows = [("a", day(1), False), ("a", day(2), True), ("a", day(3), False), ("a", day(4, 5), False), ("b", day(1), False), ("c", day(5), False)]
