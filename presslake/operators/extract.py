@@ -1,13 +1,13 @@
 """Article text, title and fragments from landed pages.
 
-Well-formed pages are read with native expressions. Pages that patterns cannot read exactly (nested
-regions, class-marked containers, unusual entities, unclosed scripts) are the only ones handed to a small
-HTML reader, in Arrow batches.
+Well-formed pages are read with native expressions, nested articles and blocks by the depth of their tags. Pages that these
+cannot read exactly (class-marked containers, unclosed tags, unusual entities, unclosed scripts) are the only ones handed to a
+small HTML reader, in Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from html.entities import name2codepoint
 from html.parser import HTMLParser
 
@@ -59,6 +59,49 @@ def siblings(source: Column | str, tag: str) -> Column:
     return F.regexp_extract_all(_col(source), F.lit(rf"(?is)<{tag}(?=[\s/>])[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once per row, however often `body` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _tags(source: Column, tag: str) -> Column:
+    """struct<tags, parts, depth>: the start and end tags of one element, what stands between them, and how many are open after each.
+
+    Depths are sums over the tags so far: a start tag counts up, an end tag down.
+    """
+    mark = rf"(?i)</?{tag}(?=[\s/>])[^>]*>"
+    found = F.struct(F.regexp_extract_all(source, F.lit(mark), F.lit(0)).alias("tags"), F.split(source, mark, -1).alias("parts"))
+
+    def with_depth(f: Column) -> Column:
+        steps = F.transform(f["tags"], lambda t: F.when(t.startswith("</"), -1).otherwise(1))
+        depth = _once(steps, lambda s: F.transform(s, lambda _, i: F.aggregate(F.slice(s, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x)))
+        return F.struct(f["tags"].alias("tags"), f["parts"].alias("parts"), depth.alias("depth"))
+
+    return _once(found, with_depth)
+
+
+def _balanced(tags: Column) -> Column:
+    """Whether every start tag has its end tag and the other way round."""
+    depth = tags["depth"]
+    return F.coalesce((F.array_min(depth) >= 0) & (F.element_at(depth, -1) == 0), F.lit(False))
+
+
+def _inside(tags: Column, i: Column) -> Column:
+    """How many parts stand inside the element that tag number `i` opens: up to the first tag behind it that leaves one less open than it found."""
+    behind = F.slice(tags["depth"], i + 2, F.greatest(F.size(tags["depth"]) - i - 1, F.lit(0)))
+    return F.array_position(behind, F.get(tags["depth"], i) - 1).cast("int")
+
+
+def nested(source: Column | str, tag: str) -> Column:
+    """Inner sources of all `tag` elements in the order of their start tags, those inside others included; null unless all are closed."""
+    def read(tags: Column) -> Column:
+        starts = F.filter(F.transform(tags["tags"], lambda t, i: F.when(~t.startswith("</"), i)), lambda i: i.isNotNull())
+        inner = F.transform(starts, lambda i: F.array_join(F.slice(tags["parts"], i + 2, _inside(tags, i)), " "))
+        return F.when(_balanced(tags), inner)
+
+    return _once(_tags(_col(source), tag), read)
+
+
 def body(source: Column | str) -> Column:
     """Inner source of the body, also when its end tag is missing."""
     return F.regexp_extract(_col(source), r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1)
@@ -170,7 +213,11 @@ def page_text(df: DataFrame, html: str = "html", out: str = "text", min_region:
     stripped = lambda source: F.regexp_replace(source, TAG, " ")
     tidy = lambda c: collapse_spaces(F.when(F.col(c).contains("&"), decode_entities(c)).otherwise(F.col(c)))
     # Each step is its own projection, so no pattern runs twice; main and body are read only when needed.
-    steps = df.withColumn("__src", visible(html)).withColumn("__articles", siblings("__src", "article"))
+    steps = df.withColumn("__src", visible(html)).withColumn("__siblings", siblings("__src", "article"))
+    steps = steps.withColumn("__opened", F.regexp_count("__src", F.lit(r"(?i)<article(?=[\s/>])")))
+    # Articles inside others, or without an end tag, are not found side by side.
+    steps = steps.withColumn("__articles", F.when(F.col("__opened") == F.size("__siblings"), F.col("__siblings")).otherwise(
+        F.coalesce(nested("__src", "article"), "__siblings")))
     steps = steps.withColumn("__raw", stripped(F.array_join("__articles", " ")))
     steps = steps.withColumn("__text", tidy("__raw"))
     for name, source in (("main", region("__src", "main")), ("body", body("__src"))):
@@ -179,8 +226,7 @@ def page_text(df: DataFrame, html: str = "html", out: str = "text", min_region:
         steps = steps.withColumn("__text", F.when(F.col(f"__no_{name}"), F.col("__text")).otherwise(tidy("__raw")))
     source = F.col("__src")
     needs_tree = (
-        # An article inside another or without an end tag is not found as a piece of its own.
-        (F.regexp_count(source, F.lit(r"(?i)<article(?=[\s/>])")) != F.size("__articles"))
+        (F.col("__opened") != F.size("__articles"))
         | source.rlike(r"(?is)<!--|<(?:script|style)\b")
         | (~F.col("__no_main") & (F.regexp_count(source, F.lit(r"(?i)<main\b")) > 1))
         | (~F.col("__no_body") & source.rlike(CLASS_REGION))
@@ -310,14 +356,58 @@ def is_overview_entry(domain: Column | str = "domain", url: str = "url") -> Colu
     return F.coalesce((_col(domain) == OVERVIEW_DOMAIN) & named, F.lit(False))
 
 
-def entry_text(html: Column | str, url: Column | str) -> Column:
-    """Text of the entry that an address names in an overview page; null without page, name or block."""
+def _attribute(tag: Column, name: str) -> Column:
+    value = rf"(?i)(?<![\w-]){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+    return F.concat(*[F.regexp_extract(tag, value, k) for k in (1, 2, 3)])
+
+
+def _native_fragment(html: Column, element_id: Column, content_class: str) -> Column:
+    """struct<text, odd>: as `_fragment`, by the depth of the div tags; `odd` where that cannot tell."""
+    source = visible(html)
+
+    def read(tags: Column) -> Column:
+        first = lambda test: F.array_min(F.filter(F.transform(tags["tags"], lambda t, i: F.when(~t.startswith("</") & test(t, i), i)), lambda i: i.isNotNull()))
+        named = F.filter(F.transform(tags["tags"], lambda t, i: F.when(~t.startswith("</") & (_attribute(t, "id") == element_id), i)), lambda i: i.isNotNull())
+        blocks = F.transform(named, lambda i: F.struct(i.alias("begin"), (i + _inside(tags, i)).alias("end")))
+        marked = lambda t: F.array_contains(F.split(_attribute(t, "class"), r"\s+"), content_class)
+        hit = _once(blocks, lambda b: first(lambda t, i: F.exists(b, lambda x: (i >= x["begin"]) & (i < x["end"])) & marked(t)))
+        pieces = _once(hit, lambda h: F.when(h.isNotNull(), F.split(F.array_join(F.slice(tags["parts"], h + 2, _inside(tags, h)), "<div>"), TAG, -1)))
+
+        def told(pieces: Column) -> Column:
+            text = F.array_join(F.filter(F.transform(pieces, lambda x: strip(decode_entities(x))), lambda x: x != ""), " ")
+            kept = lambda t: F.filter(F.transform(F.split(t, "\n", -1), strip), lambda x: F.length(x) > 10)
+            return F.struct(_once(text, lambda t: F.when(F.length(t) > MIN_REGION, F.array_join(kept(t), "\n"))).alias("text"),
+                            (~_balanced(tags) | F.coalesce(F.exists(pieces, lambda x: x.rlike(OTHER_ENTITY)), F.lit(False))).alias("odd"))
+
+        return _once(pieces, told)
+
+    out = _once(_tags(source, "div"), read)
+    unread = source.rlike(r"(?is)<!--|<(?:script|style)\b")
+    return _once(out, lambda o: F.struct(o["text"].alias("text"), (o["odd"] | unread).alias("odd")))
+
+
+def with_fragment(df: DataFrame, html: str, element_id: Column, content_class: str, out: str) -> DataFrame:
+    """`df` with the text of the block that `element_id` names: natively where its tags are balanced, else by the HTML reader.
+
+    Null without page, name or block. The reader's inputs are columns of their own, so that it runs once and on odd pages only.
+    """
     @F.pandas_udf(T.StringType())
     def read(pages: pd.Series, names: pd.Series) -> pd.Series:
-        texts = [_fragment(p, n, FRAGMENT_CLASS) if p is not None and n is not None else None for p, n in zip(pages, names)]
+        texts = [_fragment(p, n, content_class) if p is not None and n is not None else None for p, n in zip(pages, names)]
         return pd.Series(texts, dtype=object)
 
-    return read(_col(html), F.concat(F.lit(FRAGMENT_PREFIX), query_parameter(url, OVERVIEW_PARAMETER)))
+    named = df.withColumn("__id", element_id)
+    usable = F.col(html).isNotNull() & F.col("__id").isNotNull()
+    named = named.withColumn("__native", F.when(usable, _native_fragment(F.col(html), F.col("__id"), content_class)))
+    told = named.select(*df.columns, "__id", F.col("__native.text").alias("__text"), F.when(F.col("__native.odd"), F.col(html)).alias("__odd"))
+    told = computed(told, "fragments")
+    text = F.when(F.col("__odd").isNull(), F.col("__text")).otherwise(read("__odd", "__id"))
+    return told.select(*[c for c in df.columns if c != out], text.alias(out))
+
+
+def entry_text(df: DataFrame, html: str, url: str, out: str) -> DataFrame:
+    """`df` with the text of the entry that an address names in an overview page; null without page, name or block."""
+    return with_fragment(df, html, F.concat(F.lit(FRAGMENT_PREFIX), query_parameter(url, OVERVIEW_PARAMETER)), FRAGMENT_CLASS, out)
 
 
 def fragment_text(df: DataFrame, domain: str = OVERVIEW_DOMAIN, path: str = OVERVIEW_PATH,
@@ -325,22 +415,15 @@ def fragment_text(df: DataFrame, domain: str = OVERVIEW_DOMAIN, path: str = OVER
                   content_class: str = FRAGMENT_CLASS) -> DataFrame:
     """Text of one entry of an overview page, named by a query parameter of its address.
 
-    The trigger filter is native and comes before the Python batch step, which sees overview pages only.
-    Nested blocks cannot be matched by a pattern, hence the reader.
+    Blocks are found by the depth of their tags; only pages with unclosed blocks, scripts or unusual references go to the HTML reader.
     """
     rows = (
         df.filter((F.col("domain") == domain) & F.col("url").contains(path))
         .select("url", "html", F.concat(F.lit(prefix), query_parameter("url", parameter)).alias("element_id"))
         .dropna()
     )
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [_fragment(h, i, content_class) for h, i in zip(batch["html"], batch["element_id"])]
-            yield pd.DataFrame({"url": batch["url"], "text": texts})
-
-    schema = T.StructType([T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
-    return rows.mapInPandas(read, schema).dropna(subset=["text"])
+    told = with_fragment(rows, "html", F.col("element_id"), content_class, "text")
+    return computed(told.select("url", "text"), "fragment_text").dropna(subset=["text"])
 
 
 def cleaned(df: DataFrame, text: str = "text") -> DataFrame:

@@ -105,7 +105,8 @@ def page_texts(candidates: DataFrame, pages: DataFrame, min_region: int = extrac
     landed = pages.select("url", "html").join(candidates.select("url").distinct(), "url", "left_semi")
     marked = landed.withColumn("entry", F.when(extract.is_overview_entry(url_host("url")), F.col("html")))
     marked = marked.withColumn("html", F.when(~extract.is_overview_entry(url_host("url")), F.col("html")))
-    read = extract.page_text(marked, min_region=min_region).select("url", F.coalesce("text", extract.entry_text("entry", "url")).alias("text"))
+    read = extract.entry_text(extract.page_text(marked, min_region=min_region), "entry", "url", "entry_text")
+    read = read.select("url", F.coalesce("text", "entry_text").alias("text"))
     return read.groupBy("url").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
 
 

@@ -140,6 +140,38 @@ def test_articles_side_by_side_need_no_tree(spark):
     df = spark.createDataFrame(list(pages.items()), "name string, html string")
     got = {r.name: (r.text, r.reader) for r in extract.page_text(df, reader="reader").collect()}
     assert got["siblings"] == (f"{a}{b}".strip(), "patterns") and got["empty one"] == (b.strip(), "patterns")
-    assert got["nested"][1] == got["unclosed"][1] == "tree" and got["none"] == (a.strip(), "patterns") and got["null"][0] is None
-    for name in ("siblings", "empty one"):
+    assert got["nested"][1] == "patterns" and got["unclosed"][1] == "tree" and got["none"] == (a.strip(), "patterns") and got["null"][0] is None
+    for name in ("siblings", "empty one", "nested"):
         assert extract._tree_text(pages[name]) == got[name][0]
+
+
+def test_nested_elements_by_depth(spark):
+    import random
+
+    rng = random.Random(12)
+
+    def tree(tag, depth):
+        inner = "".join(rng.choice([f"text {rng.randrange(99)} ", f"<p>para {rng.randrange(99)}</p>", tree(tag, depth - 1) if depth else "x"]) for _ in range(rng.randint(1, 4)))
+        return f"<{tag} class='c{rng.randrange(3)}'>{inner}</{tag}>"
+
+    pages = [f"<body>{'intro ' * 30}{tree('article', 4)}between{tree('ARTICLE', 3)}</body>" for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    for r in extract.page_text(df, min_region=5, reader="reader").withColumn("tree", extract.tree_text("html", 5)).collect():
+        assert r.reader == "patterns" and (r.text or "") == (r.tree if len(r.tree) > 5 else ""), r.html
+
+
+def test_fragments_by_depth_equal_the_reader(spark):
+    import random
+
+    rng = random.Random(13)
+
+    def block(depth):
+        attrs = rng.choice(["", " id='f1'", ' class="hit x"', " class=hit", " id=f1 class='a hit'", " data-id='f1'"])
+        inner = "".join(rng.choice([f"line {rng.randrange(99)} of words\n", "<p>p &amp; q</p>", "a&nbsp;b", block(depth - 1) if depth else "z"]) for _ in range(rng.randint(1, 4)))
+        return f"<div{attrs}>{inner}</div>" if rng.random() < 0.97 else f"<div{attrs}>{inner}"
+
+    pages = ["<body>" + "".join(block(4) for _ in range(3)) + "filler words " * 9 + "</body>" for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    told = extract.with_fragment(df, "html", F.lit("f1"), "hit", "text").withColumn("n", extract._native_fragment(F.col("html"), F.lit("f1"), "hit")).collect()
+    assert all(r.text == extract._fragment(r.html, "f1", "hit") for r in told)
+    assert sum(not r.n.odd for r in told) > 50 and sum(r.text is not None for r in told) >= 5
