@@ -297,6 +297,61 @@ def test_licences(spark, docs, empty):
     assert set(told[0]) == {t.label for t in license_scan.TEMPLATES} and all(told[i] == ["proprietary"] for i in range(1, 31))
 
 
+def licence_matches(text, templates, least, tolerance):
+    """Every template at every place, word by word."""
+    words = PLAIN.findall(lower(text))
+    at = lambda i: words[i] if 0 <= i < len(words) else None
+    found = set()
+    for t in templates:
+        parts, key = t.text.split(), t.key_phrase.split()
+        first = next(i for i in range(len(parts)) if parts[i:i + len(key)] == key)
+        for start in range(-len(parts), len(words)):
+            if all(at(start + first + k) == w for k, w in enumerate(key)):
+                share = sum(any(at(start + i + d) == w for d in range(-tolerance, tolerance + 1)) for i, w in enumerate(parts)) / len(parts)
+                if share >= least:
+                    found.add((t.label, start, share))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("settings", [{}, {"tolerance": 0}, {"top_words": 1, "tolerance": 2, "least_share": 0.8}])
+def test_licences_equal_a_look_at_every_place(spark, docs, rows, settings):
+    rng = random.Random(11)
+    templates = license_scan.TEMPLATES
+    texts = [None, "", " ", "the of and or", "MIT License under the", "x" * 30_000, "under the MIT license " * 50]
+    for k in range(150):
+        words = []
+        for t in rng.choices(templates, k=rng.randint(1, 3)):
+            part = t.text.split()
+            for _ in range(rng.randint(0, 4)):
+                i = rng.randrange(len(part))
+                part[i:i + rng.randint(0, 1)] = rng.choice([[], ["new"], ["one", "more"], ["the"]])
+            words += part[rng.choice([0, 0, 3]):] + rng.choices(["filler", "the", "license", "of", "text"], k=rng.randint(0, 20))
+        texts.append((", " if k % 2 else " ").join(words).title() if k % 3 else "\n".join(words))
+    texts.append(" ".join(t.text for t in templates) + " the software of license" * 20_000 + templates[1].text)
+    texts += texts[8:10]
+    rows = [(i, t, "clash", "clash") for i, t in enumerate(texts)] + [(3, texts[3], "", ""), (9, texts[9], "", ""), (None, texts[10], "", "")]
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string, word string, start string").repartition(7), **settings)
+    told = collections.Counter((r["doc_id"], r["n_words"], tuple(tuple(p) for p in sorted(r["places"])), tuple(r["labels"]),
+                                tuple((m["label"], m["at"], round(m["share"], 9)) for m in r["matches"])) for r in found.collect())
+    least, tolerance = settings.get("least_share", license_scan.LEAST_SHARE), settings.get("tolerance", license_scan.TOLERANCE)
+    hand = collections.Counter()
+    for i, t, *_ in rows:
+        words = PLAIN.findall(lower(t))
+        places = sorted((name, k) for name, p in license_scan.BASE_PHRASES.items() for k in range(len(words)) if words[k:k + len(p.split())] == p.split())
+        matches = licence_matches(t, templates, least, tolerance)
+        labels = sorted({name for name, _ in places} | {m[0] for m in matches})
+        hand[i, len(words), tuple(places), tuple(labels), tuple((m, k, round(v, 9)) for m, k, v in matches)] += 1
+    assert told == hand
+
+
+def test_a_word_more_or_less_does_not_end_a_match(spark):
+    text = license_scan.TEMPLATES[1].text.split()
+    cut = text[:5] + ["and", "more"] + text[5:40] + text[42:]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(cut))] + [(i, "plain words") for i in range(3, 40)], "doc_id bigint, text string")
+    share = lambda **s: {r["doc_id"]: max((m["share"] for m in r["matches"]), default=0) for r in license_scan.scan(docs, **s).where("doc_id < 3").collect()}
+    assert share(tolerance=0)[2] < 0.7 and share()[2] > 0.95 and share()[1] == share(tolerance=0)[1] == 1
+
+
 def test_languages(spark, empty):
     rng = random.Random(2)
     words = {"aa": ["kala", "mala", "tal", "lak"], "bb": ["üren", "ten", "reuz", "ütz"]}
