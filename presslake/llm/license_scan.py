@@ -109,24 +109,39 @@ def _vocabulary(templates: list[Template]) -> list[str]:
     return sorted({w for t in templates for w in t.text.split()})
 
 
+def _first(template: Template) -> int:
+    """Offset of the key phrase in its template."""
+    parts, key = template.text.split(), template.key_phrase.split()
+    return next(i for i in range(len(parts)) if parts[i:i + len(key)] == key)
+
+
+def _at(word: Column, i: Column) -> Column:
+    return F.struct(word.alias("word"), i.alias("at"))
+
+
 def _rarest(phrase: str, idf: dict[str, float]) -> str:
     """The word of a phrase with the highest IDF; words that no document holds come first."""
     return min(phrase.split(), key=lambda w: (-idf.get(w, math.inf), w))
 
 
-def _phrase_places(words: Column, phrases: dict[str, str]) -> Column:
-    """array<struct<label, at>>: all places where the words of a phrase stand one after the other."""
-    def places(label: str, parts: list[str]) -> Column:
-        def here(w: Column, i: Column) -> Column:
-            test = w == parts[0]
-            for k, part in enumerate(parts[1:], 1):
-                test = test & (F.coalesce(F.get(words, i + k), F.lit("")) == part)
-            return F.when(test, i)
+def _standing(words: Column, hits: Column, asked: list[tuple[str, Column, int]], idf: dict[str, float]) -> Column:
+    """array<struct<what, at>>: where the phrases of `asked` (phrase, what, words before it) stand; `hits` are the places (word, at) of rarest words."""
+    def row(phrase: str, what: Column, before: int) -> Column:
+        rare, parts = _rarest(phrase, idf), phrase.split()
+        behind = parts.index(rare)
+        return F.struct(F.lit(rare).alias("rare"), F.lit(behind).alias("behind"), F.array(*[F.lit(w) for w in parts]).alias("parts"),
+                        what.alias("what"), F.lit(behind + before).alias("shift"))
 
-        at = F.filter(F.transform(words, here), lambda i: i.isNotNull())
-        return F.transform(at, lambda i: F.struct(F.lit(label).alias("label"), i.alias("at")))
+    table = F.array(*[row(*one) for one in asked])
 
-    return F.flatten(F.array(*[places(label, phrase.split()) for label, phrase in phrases.items()]))
+    def at_hit(hit: Column) -> Column:
+        def stands(r: Column) -> Column:
+            near = (r["rare"] == hit["word"]) & (hit["at"] >= r["behind"])
+            return F.when(near, F.slice(words, hit["at"] - r["behind"] + 1, F.size(r["parts"])) == r["parts"]).otherwise(False)
+
+        return F.transform(F.filter(table, stands), lambda r: F.struct(r["what"].alias("what"), (hit["at"] - r["shift"]).alias("at")))
+
+    return F.flatten(F.transform(hits, at_hit))
 
 
 def word_idf(docs: DataFrame, templates: list[Template] = TEMPLATES, phrases: dict[str, str] = BASE_PHRASES) -> dict[str, float]:
@@ -141,26 +156,28 @@ def word_idf(docs: DataFrame, templates: list[Template] = TEMPLATES, phrases: di
 
 
 def read_words(docs: DataFrame, idf: dict[str, float], templates: list[Template] = TEMPLATES, phrases: dict[str, str] = BASE_PHRASES) -> DataFrame:
-    """The texts as the scan needs them, written down: doc_id, row_key, n_words, places (of base phrases), found.
+    """The texts as the scan needs them, written down: doc_id, row_key, n_words, places (of base phrases), keys, found.
 
-    `found` holds the position of each licence word, for texts with the rarest word of at least one phrase; no other text can
-    hold a phrase, and its words stay where they are.
+    Phrases are looked for around their rarest words only. `keys` are the (template, start) whose key phrase stands in full, and `found`
+    holds the position of each licence word, for texts with such a key; no template can match the others, and their words stay where they are.
     """
     vocabulary = F.array(*[F.lit(w) for w in _vocabulary(templates)])
     signs = F.array(*[F.lit(w) for w in sorted({_rarest(p, idf) for p in [*phrases.values(), *(t.key_phrase for t in templates)]})])
 
     def read(words: Column) -> Column:
-        licence = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(vocabulary, x["word"]))
-        none = F.array().cast("array<struct<word:string,at:int>>")
-        told = F.arrays_overlap(words, signs)
-        return F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            F.when(told, _phrase_places(words, phrases)).otherwise(F.array().cast("array<struct<label:string,at:int>>")).alias("places"),
-            F.when(told, licence).otherwise(none).alias("found"))
+        return let(F.filter(F.transform(words, _at), lambda x: F.array_contains(signs, x["word"])), lambda hits: around(words, hits))
+
+    def around(words: Column, hits: Column) -> Column:
+        places = _standing(words, hits, [(phrase, F.lit(label), 0) for label, phrase in phrases.items()], idf)
+        keys = _standing(words, hits, [(t.key_phrase, F.lit(k), _first(t)) for k, t in enumerate(templates)], idf)
+        return F.struct(F.size(words).cast("long").alias("n_words"), places.cast("array<struct<label:string,at:int>>").alias("places"),
+                        keys.cast("array<struct<template:int,start:int>>").alias("keys"), words.alias("words"))
 
     words = words_of(ascii_lower(F.col("text")), PLAIN_WORD)
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), let(words, read).alias("_read"))
-    return staged(rows.select("doc_id", "row_key", "_read.*"))
+    licence = F.filter(F.transform("_read.words", _at), lambda x: F.array_contains(vocabulary, x["word"]))
+    found = F.when(F.size("_read.keys") > 0, licence).otherwise(F.array().cast("array<struct<word:string,at:int>>"))
+    return staged(rows.select("doc_id", "row_key", "_read.n_words", "_read.places", "_read.keys", found.alias("found")))
 
 
 def template_matches(read: DataFrame, idf: dict[str, float], templates: list[Template] = TEMPLATES, top_words: int = TOP_WORDS,
@@ -181,15 +198,15 @@ def template_matches(read: DataFrame, idf: dict[str, float], templates: list[Tem
         [(w, k, i) for k, t in enumerate(templates) for i, w in enumerate(t.text.split())], "word string, template int, offset int"))
     in_file = F.transform("found", lambda x: x["word"])
     top = F.array_union(F.slice(F.array_intersect(licence_words, in_file), 1, top_words), F.array_intersect(always, in_file))
-    present = read.where(F.size("found") > 0).select("doc_id", "row_key", "found")
+    present = read.where(F.size("keys") > 0).select("doc_id", "row_key", "found")
     looked = present.select("doc_id", "row_key", let(top, lambda t: F.filter("found", lambda x: F.array_contains(t, x["word"]))).alias("found"))
 
     def met(rows: DataFrame) -> DataFrame:
         each = rows.select("doc_id", "row_key", F.explode("found").alias("x")).select("doc_id", "row_key", "x.word", "x.at")
         return each.join(postings, "word").select("doc_id", "row_key", "template", (F.col("at") - F.col("offset")).alias("start"), "offset")
 
-    votes = met(looked).select("doc_id", "row_key", "template", "start").distinct()
-    # Every word of the file that a template has: the postings of all words, met at the voted places.
+    votes = met(looked).select("doc_id", "row_key", "template", "start")
+    # Every word of the file that a template has: the postings of all words.
     placed = met(present)
 
     def equal(names: list[str]) -> Column:
@@ -198,17 +215,9 @@ def template_matches(read: DataFrame, idf: dict[str, float], templates: list[Tem
             test = test & (F.col(f"p.{name}") == F.col(f"v.{name}"))
         return test
 
-    needed, length, label = [], [], []
-    for t in templates:
-        parts, key = t.text.split(), t.key_phrase.split()
-        at = next(i for i in range(len(parts)) if parts[i:i + len(key)] == key)
-        needed.append(F.array(*[F.lit(at + k) for k in range(len(key))]))
-        length.append(F.lit(float(len(parts))))
-        label.append(F.lit(t.label))
-    pick = lambda values: F.get(F.array(*values), F.col("template"))
-    keyed = placed.where(F.array_contains(pick(needed), F.col("offset"))).alias("p").join(votes.alias("v"), equal(["row_key", "template", "start"]), "left_semi")
-    whole = keyed.groupBy("doc_id", "row_key", "template", "start").agg(F.collect_set("offset").alias("offsets")).where(
-        F.size("offsets") == F.size(pick(needed)))
+    keys = read.select("doc_id", "row_key", F.explode("keys").alias("x")).select("doc_id", "row_key", "x.*").distinct()
+    whole = keys.alias("p").join(votes.alias("v"), equal(["row_key", "template", "start"]), "left_semi")
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("template"))
     # Neighbouring starts meet by an equi-join of ranges: those of the anchor, and the ones before and after.
     width = max(1, tolerance)
     near = whole.select("doc_id", "row_key", "template", F.col("start").alias("anchor"), F.explode(
@@ -216,8 +225,8 @@ def template_matches(read: DataFrame, idf: dict[str, float], templates: list[Tem
     ranged = placed.withColumn("range", F.floor(F.col("start") / width))
     close = ranged.alias("p").join(near.alias("v"), equal(["row_key", "template", "range"]) & (F.abs(F.col("p.start") - F.col("v.anchor")) <= tolerance))
     shares = close.groupBy("p.doc_id", "p.row_key", "p.template", "v.anchor").agg(F.size(F.collect_set("p.offset")).alias("in_place"))
-    share = F.col("in_place") / pick(length)
-    return shares.where(share >= least_share).select("doc_id", "row_key", pick(label).alias("label"), F.col("anchor").alias("at"), share.alias("share"))
+    share = F.col("in_place") / pick([float(len(t.text.split())) for t in templates])
+    return shares.where(share >= least_share).select("doc_id", "row_key", pick([t.label for t in templates]).alias("label"), F.col("anchor").alias("at"), share.alias("share"))
 
 
 def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, phrases: dict[str, str] = BASE_PHRASES, **settings) -> DataFrame:
@@ -226,8 +235,8 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, phrases: dict[s
     `places` are all places of the base phrases (word numbers from 0), `base_labels` their labels; `labels` adds those of
     verified templates. `score` is 1 with a base label, else the largest share of a matched template, else 0. Label
     arrays are distinct and sorted. Null and empty texts have no words, no labels and score 0. Repeated rows
-    get equal results, once per row. Other columns are not read. The texts are read twice: for the IDF, then for the words
-    of texts that hold one of the rarest.
+    get equal results, once per row. Other columns are not read. The texts are read twice: for the IDF, then for phrases and
+    the words of texts that hold one.
     """
     idf = word_idf(docs, templates, phrases)
     read = read_words(docs, idf, templates, phrases)
