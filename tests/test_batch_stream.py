@@ -348,3 +348,39 @@ def test_translations_are_asked_for_once_and_kept(spark, tmp_path):
     assert sorted(map(tuple, told)) == [("u1", "One"), ("u2", "Two")]
     half = lambda batch: batch.assign(summary=[" Et " if k == "u1" else "  " for k in batch["cache_key"]])[["cache_key", "summary"]]
     assert sorted(map(tuple, classify.translate_missing(hits, none, half).collect())) == [("u1", "Et"), ("u2", "Two")]
+
+
+@pytest.mark.parametrize("layout", [{}, {"key_buckets": 3, "member_filters": True}])
+def test_batches_of_landed_folders_keep_counts_and_sketches(spark, tmp_path, layout):
+    """A row that outlived its retention by hours is replaced, a batch runs again, and each folder is read by one batch only."""
+    from presslake.operators import rollup, sketches
+    from presslake.plans import upkeep, views
+
+    root, landed = str(tmp_path / "store"), str(tmp_path / "feed")
+    feed, pages = inputs(spark)
+    early = AS_OF - dt.timedelta(days=30, hours=6)
+    extra = spark.createDataFrame([(99, "https://edition.bbc.com/new", "Another", "20240101T113000Z", "edition.bbc.com", "en", "GB")], FEED)
+    more = pages.union(spark.createDataFrame([("https://edition.bbc.com/new", html(AI * 30))], "url string, html string"))
+    land = lambda rows, at: rows.write.parquet(f"{landed}/landed={at}")
+    run = lambda at, b: upkeep.run_landed(spark, landed, more, root, BatchConfig(at, b, None, **layout), schema=feed.schema)["stored"]
+
+    def plain(df):
+        return sorted(tuple(map(str, r)) for r in df.collect())
+
+    def direct():
+        return plain(rollup.counted(views.stored_tables(spark, root)["processed_articles"]))
+
+    land(feed.withColumn("seendate", F.lit("20231202T053000Z")), "a")
+    # Look-back is off, so of the listed addresses also the one dated hours ago is stored.
+    assert run(early, "0001") == 3
+    assert {r[0] for r in direct()} == {str(early.date())} and direct() == plain(upkeep.article_counts(spark, root))
+    land(feed, "b")
+    assert run(AS_OF, "0002") == 3
+    assert {r[0] for r in direct()} == {str(AS_OF.date())} and direct() == plain(upkeep.article_counts(spark, root))
+    land(extra, "c")
+    assert run(AS_OF, "0003") == 1 and run(AS_OF, "0003") == 1 and run(AS_OF, "0004") == 0
+    assert direct() == plain(upkeep.article_counts(spark, root, AS_OF))
+    total = rollup.distribution(upkeep.article_counts(spark, root)).first()
+    assert total["articles"] == views.stored_tables(spark, root)["processed_articles"].count()
+    found = sketches.distinct_between(upkeep.article_sketches(spark, root), AS_OF.date(), AS_OF.date()).first()
+    assert found["rows"] == found["url"] == total["articles"]
