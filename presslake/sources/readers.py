@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -14,6 +15,33 @@ MERGED = "__merged-"
 MERGED_BATCH = "merged_batch_id"
 
 
+#: Says how a table is laid out; a table without it has a folder for each day.
+LAYOUT = "_layout.json"
+#: What a day folder of a table may hold; it is named by the first day.
+PERIODS = ("day", "month", "year")
+
+
+def layout(spark: SparkSession, path: str) -> dict | None:
+    """How the table at `path` is laid out, if it says so."""
+    if not path_exists(spark, f"{path}/{LAYOUT}"):
+        return None
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{LAYOUT}")
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def period_of(spark: SparkSession, path: str) -> str:
+    return (layout(spark, path) or {}).get("period", "day")
+
+
+def period_start(day: dt.date, period: str) -> dt.date:
+    """The name of the day folder that holds `day`."""
+    return day.replace(month=1, day=1) if period == "year" else day.replace(day=1) if period == "month" else day
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether any file matches `path`, on whatever file system it names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -53,7 +81,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     """A stored table in today's schema; a table that was never written is empty.
 
     The schema is given to the reader, so columns an old file lacks are null and partition values such as
-    `batch_id=007` stay text. `since` prunes the day folders that lie wholly before it; rows of its own day all stay.
+    `batch_id=007` stay text. `since` prunes the day folders that lie wholly before it; rows of its own day (month, year) all stay.
     Rows of merged folders (see `store.compact`) come with the batch id that they were written under.
     """
     if not path_exists(spark, f"{path}/*"):
@@ -62,7 +90,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     added = [T.StructField("day", T.DateType())] * (merged or since is not None) + [T.StructField(MERGED_BATCH, T.StringType())] * merged
     rows = spark.read.format(fmt).schema(T.StructType([*schema.fields, *added])).load(path)
     if since is not None:
-        rows = rows.where(F.col("day") >= F.lit(since.date()))
+        rows = rows.where(F.col("day") >= F.lit(period_start(since.date(), period_of(spark, path))))
     rows = conform(valid_batches(rows, path) if merged else rows, schema)
     return rows.fillna({k: v for k, v in COLUMN_DEFAULTS.items() if k in rows.columns})
 

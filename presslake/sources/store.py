@@ -2,18 +2,22 @@
 
 Tables are append-only parquet, partitioned by day and batch. An "upsert" appends, and readers take the
 latest row of a key, so a batch never rewrites what is already stored. Writing a batch again under its id replaces
-exactly its own partitions, which makes a re-run after a failure harmless. Retention drops whole days.
+exactly its own partitions, which makes a re-run after a failure harmless. Retention drops whole days. A table whose rows
+spread over very many days may be created with a folder for each month or year instead; what is said of days holds for these.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from presslake.functions.times import instant
 from presslake.schemas import RUN_EVENT
-from presslake.sources.readers import MERGED, MERGED_BATCH, batch_folders, path_exists, read_table
+from presslake.sources.readers import (
+    LAYOUT, MERGED, MERGED_BATCH, PERIODS, batch_folders, layout, path_exists, period_of, period_start, read_table,
+)
 
 
 #: Stored bytes for which a merged day gets a file of its own.
@@ -55,18 +59,42 @@ def _drop_batch(spark: SparkSession, path: str, batch_id: str, levels: str = "")
         fs.create(_file_system(spark, f"{folder.getPath().getParent()}/batch_id={name}/_replaced")[1], True).close()
 
 
+def write_layout(spark: SparkSession, path: str, said: dict) -> None:
+    if said["period"] not in PERIODS:
+        raise ValueError(f"period {said['period']!r} is none of {PERIODS}")
+    fs, target = _file_system(spark, f"{path}/{LAYOUT}")
+    out = fs.create(target, True)
+    out.write(bytearray(json.dumps(said).encode()))
+    out.close()
+
+
+def create(spark: SparkSession, path: str, period: str = "day") -> None:
+    """Lay out an empty table with a folder for each `period`; a table that is there keeps its layout.
+
+    Every folder costs several file operations of the driver, so choose the period by the days that a write brings: `day` for
+    batches of a day or a few, `year` for rows of many years. Without this call a table has a folder for each day.
+    """
+    if layout(spark, path) is None and not path_exists(spark, f"{path}/*"):
+        write_layout(spark, path, {"period": period})
+
+
+def folder_day(time: str | Column, period: str) -> Column:
+    """The day folder of a row."""
+    return F.to_date(time) if period == "day" else F.trunc(F.to_date(time), period)
+
+
 def append_batch(df: DataFrame, path: str, day: str = "processed_at", files_per_partition: int | None = None,
                  batch_id: str | None = None) -> None:
     """Write the rows of a batch below `day=…/batch_id=…`, replacing earlier output of the same batch.
 
     Given `batch_id`, all earlier output of that batch goes first, also on days that it no longer has; without
-    it only the partitions that are written anew are replaced.
+    it only the partitions that are written anew are replaced. Rows are dealt by folder, so a folder gets a file for each
+    advisory partition size of its rows, however many tasks bring them.
     """
     if batch_id is not None:
         _drop_batch(df.sparkSession, path, batch_id, "day=*/")
-    out = df.withColumn("day", F.to_date(day))
-    if files_per_partition:
-        out = out.repartition(files_per_partition)
+    out = df.withColumn("day", folder_day(day, period_of(df.sparkSession, path)))
+    out = out.repartition(files_per_partition) if files_per_partition else out.hint("rebalance", "day", "batch_id")
     (
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("day", "batch_id").parquet(path)
@@ -148,11 +176,11 @@ def _file_system(spark: SparkSession, path: str):
 def drop_expired(spark: SparkSession, path: str, as_of: dt.datetime, days: int = 30) -> list[str]:
     """Delete the day partitions that lie wholly before the retention limit; returns their names.
 
-    Rows of the limit day itself are left to `retained`, which batches and views apply.
+    Rows of the limit day (month, year) itself are left to `retained`, which batches and views apply.
     """
-    limit = (as_of - dt.timedelta(days=days)).date()
     if not path_exists(spark, path):
         return []
+    limit = period_start((as_of - dt.timedelta(days=days)).date(), period_of(spark, path))
     fs, root = _file_system(spark, path)
     dropped = []
     for entry in fs.listStatus(root):
@@ -173,6 +201,7 @@ def compact(spark: SparkSession, path: str, schema: T.StructType, before: dt.dat
     fs, root = _file_system(spark, path)
     if not path_exists(spark, path):
         return []
+    before = period_start(before, period_of(spark, path))
     own = [f for f in schema.fields if f.name not in ("batch_id", "day")]
     placed = T.StructType([*own, T.StructField("batch_id", T.StringType()), T.StructField("day", T.DateType())])
     days = sorted(n[4:] for n in (e.getPath().getName() for e in fs.listStatus(root)) if n.startswith("day=") and n[4:] < before.isoformat())
@@ -195,7 +224,7 @@ def compact(spark: SparkSession, path: str, schema: T.StructType, before: dt.dat
 
 
 def clear_all(spark: SparkSession, paths: list[str]) -> None:
-    """Remove all data below the given table folders and make sure that nothing is left."""
+    """Remove all data below the given table folders, with their layout, and make sure that nothing is left."""
     for path in paths:
         fs, target = _file_system(spark, path)
         fs.delete(target, True)

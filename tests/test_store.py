@@ -187,3 +187,32 @@ def test_merged_days_keep_every_row(spark, tmp_path):
     assert now() == both
     assert store.compact(spark, path, schema, dt.date(2024, 1, 3)) == ["2024-01-01", "2024-01-02"] and now() == both
     assert store.compact(spark, str(tmp_path / "none"), schema, dt.date(2024, 1, 3)) == []
+
+
+def test_a_table_of_many_days_keeps_few_folders_and_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    store.create(spark, path, "year")
+    assert readers.read_table(spark, path, schemas.STORED).count() == 0
+    # Four years in hours, dealt at random over many tasks.
+    hours = spark.range(0, 24 * 1461, 7).select(
+        F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.lit("b1").alias("batch_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600).alias("processed_at")).repartition(16)
+    store.append_batch(hours, path, batch_id="b1")
+    store.append_batch(hours.where("processed_at >= '2026-06-01'").withColumn("batch_id", F.lit("b2")), path, batch_id="b2")
+    store.append_batch(hours, path, batch_id="b1")
+    assert sorted(p.name for p in (tmp_path / "t").glob("day=*")) == [f"day={y}-01-01" for y in (2024, 2025, 2026, 2027)]
+    assert len(list((tmp_path / "t").glob("*/*/*.parquet"))) == 6
+    late = hours.where("processed_at >= '2026-06-01'").count()
+    assert readers.read_table(spark, path, schemas.STORED).count() == hours.count() + late
+    # A year that the limit lies in is kept, read from its start and left unmerged.
+    since = readers.read_table(spark, path, schemas.STORED, since=dt.datetime(2026, 6, 1))
+    assert since.where("processed_at >= '2026-06-01'").count() == 2 * late and since.where("processed_at < '2026-01-01'").isEmpty()
+    assert store.drop_expired(spark, path, dt.datetime(2025, 7, 1), 30) == ["day=2024-01-01"]
+    assert store.compact(spark, path, schemas.STORED, dt.date(2027, 5, 1)) == ["2026-01-01"]
+    kept = hours.where("processed_at >= '2025-01-01'").count()
+    counts = readers.read_table(spark, path, schemas.STORED).groupBy("batch_id").count().collect()
+    assert {r["batch_id"]: r["count"] for r in counts} == {"b1": kept, "b2": late}
+    store.create(spark, path, "day")
+    assert readers.period_of(spark, path) == "year"
+    with pytest.raises(ValueError):
+        store.create(spark, str(tmp_path / "none"), "week")
