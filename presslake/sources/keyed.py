@@ -9,45 +9,36 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from presslake.schemas import COLUMN_DEFAULTS, conform
-from presslake.sources.readers import path_exists
-from presslake.sources.store import _drop_batch, _file_system, latest, written_order
+from presslake.sources import readers
+from presslake.sources.readers import period_start
+from presslake.sources.store import _drop_batch, _file_system, folder_day, latest, write_layout, written_order
 
-#: Says by which column, in how many buckets and in which columns a table is stored.
-LAYOUT = "_layout.json"
 #: Batch ids of merged folders: what is left of all batches up to the merge.
 BASE = "__base-"
 
 
 def layout(spark: SparkSession, path: str) -> dict | None:
-    """How the table at `path` is bucketed, or None."""
-    if not path_exists(spark, f"{path}/{LAYOUT}"):
-        return None
-    fs, target = _file_system(spark, f"{path}/{LAYOUT}")
-    stream = fs.open(target)
-    try:
-        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
+    """By which column, in how many buckets, in which columns and in which periods the table at `path` is stored; None if it has no buckets."""
+    said = readers.layout(spark, path)
+    return said if said and "buckets" in said else None
 
 
-def create(spark: SparkSession, path: str, schema: T.StructType, key: str = "url", buckets: int = 64) -> None:
+def create(spark: SparkSession, path: str, schema: T.StructType, key: str = "url", buckets: int = 64,
+           period: str = "day") -> None:
     """Lay out an empty table of `schema`, which has a batch_id, at `path`; a table that is there keeps its layout.
 
-    `buckets` is for good: choose it so that a bucket of all kept days is a task's worth of rows.
+    `buckets` is for good: choose it so that a bucket of all kept days is a task's worth of rows. So is `period`, see `store.create`.
     """
     if layout(spark, path) is not None:
         return
+    if readers.layout(spark, path) is not None:
+        period = readers.period_of(spark, path)
     fields = [f for f in schema.fields if f.name not in ("day", "batch_id")]
-    said = {"key": key, "buckets": buckets, "schema": T.StructType(fields).jsonValue()}
-    fs, target = _file_system(spark, f"{path}/{LAYOUT}")
-    out = fs.create(target, True)
-    out.write(bytearray(json.dumps(said).encode()))
-    out.close()
+    write_layout(spark, path, {"key": key, "buckets": buckets, "schema": T.StructType(fields).jsonValue(), "period": period})
 
 
 def _registered(spark: SparkSession, path: str) -> str:
@@ -74,7 +65,7 @@ def append(df: DataFrame, path: str, day: str = "processed_at", batch_id: str |
         _drop_batch(spark, path, batch_id, "day=*/")
     name = _registered(spark, path)
     fields = T.StructType.fromJson(said["schema"])
-    rows = conform(df.withColumn("day", F.to_date(day)), T.StructType([*fields.fields, T.StructField("day", T.DateType()), T.StructField("batch_id", T.StringType())]))
+    rows = conform(df.withColumn("day", folder_day(day, said.get("period", "day"))), T.StructType([*fields.fields, T.StructField("day", T.DateType()), T.StructField("batch_id", T.StringType())]))
     # Dealt by the hash that places buckets, so each bucket is written by one task, as one file a day.
     _insert(rows.repartition(said["buckets"], said["key"]), name)
 
@@ -90,10 +81,10 @@ def _insert(rows: DataFrame, name: str) -> None:
 
 
 def read(spark: SparkSession, path: str, since: dt.datetime | None = None) -> DataFrame:
-    """All rows, base and deltas, with `day` and `batch_id`; day folders wholly before `since` are not read."""
+    """All rows, base and deltas, with `day` (of the folder) and `batch_id`; day folders wholly before `since` are not read."""
     rows = spark.table(_registered(spark, path))
     if since is not None:
-        rows = rows.where(F.col("day") >= F.lit(since.date()))
+        rows = rows.where(F.col("day") >= F.lit(period_start(since.date(), readers.period_of(spark, path))))
     return rows.fillna({k: v for k, v in COLUMN_DEFAULTS.items() if k in rows.columns})
 
 
@@ -118,7 +109,7 @@ def merge(spark: SparkSession, path: str, time: str = "processed_at") -> str | N
         return None
     number = 1 + max([int(n.removeprefix(BASE)) for n in names if n.startswith(BASE)], default=0)
     batch_id = f"{BASE}{number:09d}"
-    rows = current(spark, path, time).withColumn("day", F.to_date(time)).withColumn("batch_id", F.lit(batch_id))
+    rows = current(spark, path, time).withColumn("day", folder_day(time, readers.period_of(spark, path))).withColumn("batch_id", F.lit(batch_id))
     name = _registered(spark, path)
     _insert(rows.select(*spark.table(name).columns), name)
     for folder in held:

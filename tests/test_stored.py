@@ -246,3 +246,28 @@ def test_pages_are_pruned_by_landing_day(spark, tmp_path):
     assert sorted(r.url for r in told.collect()) == ["u2", "u3"] and told.columns == ["url", "html"]
     assert "landed" in plan(told).split("PartitionFilters:")[1].split("PushedFilters")[0]
     assert readers.read_pages(spark, f"{path}/landed=2024-01-04").count() == 1
+
+
+@pytest.fixture
+def years(spark, tmp_path):
+    """A keyed table of four years, of which the second batch brings every third article again."""
+    path = str(tmp_path / "years")
+    keyed.create(spark, path, schemas.STORED, "url", 4, "year")
+    rows = spark.range(0, 24 * 1461, 31).select(
+        F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.lit("old").alias("title"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600).alias("processed_at"), "id")
+    again = rows.where("id % 3 = 0").withColumns({"title": F.lit("new"), "processed_at": F.col("processed_at") + F.expr("INTERVAL 40 DAYS")})
+    for batch_id, part in (("b1", rows), ("b2", again)):
+        keyed.append(part.drop("id").withColumn("batch_id", F.lit(batch_id)), path, batch_id=batch_id)
+    return path, rows.count(), again.count()
+
+
+def test_keyed_rows_of_many_days_lie_in_few_folders(spark, years):
+    path, n, again = years
+    names = {"/".join(p.parts[-2:]) for p in Path(path).glob("day=*/batch_id=*")}
+    assert names == {f"day={y}-01-01/batch_id={b}" for y in (2024, 2025, 2026, 2027, 2028) for b in ("b1", "b2")} - {"day=2028-01-01/batch_id=b1"}
+    assert len(list(Path(path).glob("*/*/*.parquet"))) <= 9 * 4
+    titles = {r["title"]: r["count"] for r in keyed.current(spark, path).groupBy("title").count().collect()}
+    assert titles == {"old": n - again, "new": again}
+    recent = keyed.current(spark, path, since=dt.datetime(2026, 6, 1))
+    assert "Exchange" not in plan(recent) and recent.agg(F.min("processed_at")).first()[0].year == 2026
