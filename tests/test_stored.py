@@ -271,3 +271,12 @@ def test_keyed_rows_of_many_days_lie_in_few_folders(spark, years):
     assert titles == {"old": n - again, "new": again}
     recent = keyed.current(spark, path, since=dt.datetime(2026, 6, 1))
     assert "Exchange" not in plan(recent) and recent.agg(F.min("processed_at")).first()[0].year == 2026
+
+
+def test_a_merge_keeps_the_years(spark, years):
+    path, n, again = years
+    base = keyed.merge(spark, path)
+    assert {"/".join(p.parts[-2:]) for p in Path(path).glob("day=*/batch_id=*")} == {f"day={y}-01-01/batch_id={base}" for y in range(2024, 2029)}
+    assert keyed.read(spark, path).count() == n
+    titles = {r["title"]: r["count"] for r in keyed.current(spark, path).groupBy("title").count().collect()}
+    assert titles == {"old": n - again, "new": again}
