@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from presslake.operators.skew import anti_join
 from presslake.session import staged
-from presslake.sources.readers import MERGED_BATCH, path_exists, read_table
-from presslake.sources.store import _file_system, append_batch, drop_expired
+from presslake.sources.readers import MERGED_BATCH, path_exists, period_of, period_start, read_table
+from presslake.sources.store import _file_system, append_batch, create, drop_expired, folder_day
 
 #: Keys of a word, and bits that each sets: about one key in a hundred that is not there passes.
 KEYS_PER_WORD, BITS = 4, 5
@@ -49,14 +49,22 @@ def _filters(rows: DataFrame, key: str) -> DataFrame:
     return sized.groupBy("day", "batch_id", "words", _block(key, F.col("words")).alias("block")).agg(F.bit_or(_mask(key)).alias("mask"))
 
 
+def _laid_out(spark: SparkSession, path: str) -> str:
+    """The period of the table at `path`, which its filters get too: one for each folder of the table."""
+    period = period_of(spark, path)
+    if period != "day":
+        create(spark, filter_path(path), period)
+    return period
+
+
 def write(df: DataFrame, path: str, key: str = "url", day: str = "processed_at", batch_id: str | None = None) -> None:
     """Leave the filters of what `store.append_batch` writes with the same arguments. Write them before the rows: a filter may know too much, never too little."""
-    rows = df.select(key, "batch_id", F.col(day).alias("__time"), F.to_date(day).alias("day"))
+    rows = df.select(key, "batch_id", folder_day(day, _laid_out(df.sparkSession, path)).alias("day"))
     if batch_id is None:
         found = _filters(rows, key)
     else:
         found = _filters(rows.withColumn("batch_id", F.lit(batch_id)), key)
-    append_batch(found.withColumnRenamed("day", "__day"), filter_path(path), "__day", files_per_partition=1, batch_id=batch_id)
+    append_batch(found.withColumnRenamed("day", "__day"), filter_path(path), "__day", batch_id=batch_id)
 
 
 def _folders(spark: SparkSession, path: str) -> set[tuple[str, str]]:
@@ -67,13 +75,14 @@ def _folders(spark: SparkSession, path: str) -> set[tuple[str, str]]:
 
 def build(spark: SparkSession, path: str, schema: T.StructType, key: str = "url") -> list[str]:
     """Filters for the day folders that have batch folders without one (older tables, merged days); returns the days. Only these are read."""
+    _laid_out(spark, path)
     missing = sorted({d for d, b in _folders(spark, path) - _folders(spark, filter_path(path))})
     own = T.StructType([f for f in schema.fields if f.name not in ("day", "batch_id", MERGED_BATCH)])
     for day in missing:
         # Folder by folder as stored, so that every name of a batch folder gets its filter.
         rows = spark.read.schema(T.StructType([*own, T.StructField("batch_id", T.StringType()), T.StructField("day", T.DateType())])).parquet(path)
         found = _filters(rows.where(F.col("day") == F.lit(dt.date.fromisoformat(day))), key)
-        append_batch(found.withColumnRenamed("day", "__day"), filter_path(path), "__day", files_per_partition=1)
+        append_batch(found.withColumnRenamed("day", "__day"), filter_path(path), "__day")
     return missing
 
 
@@ -83,7 +92,7 @@ def drop_expired_filters(spark: SparkSession, path: str, as_of: dt.datetime, day
 
 def _read(spark: SparkSession, path: str, since: dt.datetime | None) -> DataFrame:
     rows = spark.read.schema(T.StructType([*FILTER.fields, T.StructField("day", T.DateType())])).parquet(filter_path(path))
-    return rows if since is None else rows.where(F.col("day") >= F.lit(since.date()))
+    return rows if since is None else rows.where(F.col("day") >= F.lit(period_start(since.date(), period_of(spark, path))))
 
 
 def _sized(keys: DataFrame, key: str, words: list[int]) -> DataFrame:
@@ -123,7 +132,7 @@ def known_keys(rows: DataFrame, path: str, schema: T.StructType, key: str = "url
     held, days = maybe_held(keys, path, key, since)
     bare = {dt.date.fromisoformat(d) for d, _ in _folders(spark, path) - _folders(spark, filter_path(path))}
     if since is not None:
-        bare = {d for d in bare if d >= since.date()}
+        bare = {d for d in bare if d >= period_start(since.date(), period_of(spark, path))}
     asked = keys if bare else held
     days = sorted({*days, *bare})
     if not days:

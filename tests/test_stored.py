@@ -280,3 +280,24 @@ def test_a_merge_keeps_the_years(spark, years):
     assert keyed.read(spark, path).count() == n
     titles = {r["title"]: r["count"] for r in keyed.current(spark, path).groupBy("title").count().collect()}
     assert titles == {"old": n - again, "new": again}
+
+
+def test_filters_follow_the_years_of_their_table(spark, tmp_path):
+    path = str(tmp_path / "history")
+    store.create(spark, path, "year")
+    rows = spark.range(0, 24 * 1461, 13).select(
+        F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.lit("b1").alias("batch_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600).alias("processed_at")).repartition(8)
+    members.write(rows, path, batch_id="b1")
+    store.append_batch(rows, path, batch_id="b1")
+    years = [f"day={y}-01-01" for y in (2024, 2025, 2026, 2027)]
+    for table in (path, members.filter_path(path)):
+        assert sorted(p.name for p in Path(table).glob("day=*")) == years and len(list(Path(table).glob("*/*/*.parquet"))) == 4
+    assert members.build(spark, path, schemas.STORED) == []
+    keys = asked(spark, [0, 13, 24 * 800 - 24 * 800 % 13, 24 * 1400 - 24 * 1400 % 13, 1])
+    told = lambda **limits: {r.url for r in members.known_keys(keys, path, schemas.STORED, **limits).collect()}
+    assert told() == {r.url for r in keys.collect()} - {"u1"}
+    # Of the year that the limit lies in, filters and rows are read; earlier years are not.
+    assert told(since=dt.datetime(2026, 12, 1)) == told() - {"u0", "u13"}
+    gone = members.drop_expired_filters(spark, path, dt.datetime(2026, 1, 15))
+    assert gone == store.drop_expired(spark, path, dt.datetime(2026, 1, 15)) == ["day=2024-01-01"]
