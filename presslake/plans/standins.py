@@ -100,9 +100,20 @@ def labelled(spark: SparkSession, sf_dir: str, toxic: int | None = None) -> Data
     return articles(spark, sf_dir).join(ids.select("doc_id"), "doc_id", "left_semi")
 
 
-def page_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def own_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages under addresses of their own: some share one with another page, and there each page is an article."""
+    own = F.concat("url", F.lit("#page-"), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").withColumn("url", own)
+
+
+def given_address(url: str) -> Column:
+    """The address that `own_addresses` has made one of a page's own."""
+    return F.regexp_replace(url, "#page-[0-9]+$", "")
+
+
+def page_feed(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
     """Pages as feed rows with their source, one per minute."""
-    return extract.page_title(table(spark, sf_dir, "pages")).select(
+    return extract.page_title(table(spark, sf_dir, "pages") if pages is None else pages).select(
         "page_id", "url", "title",
         compact(F.timestamp_seconds(F.lit(START) + F.col("page_id") * 60)).alias("seendate"),
         urls.url_authority("url").alias("domain"),
