@@ -90,10 +90,11 @@ def incremental_load(spark, sf_dir):
     root = scratch(spark, "incremental")
     feed = st.articles(spark, sf_dir).select(
         "url", "title", F.col("published_at").alias("seendate"), "domain", "language", F.col("source_country").alias("sourcecountry"), "processed_at")
-    for batch_id, landed in (("b1", "processed_at < '2024-01-05'"), ("b2", "processed_at >= '2024-01-05'"), ("b1", None)):
+    # The first days land one by one; the decades after them, of 24 articles a day, in folders named by the last day of each year.
+    for batch_id, landed, named in (("b1", "processed_at < '2024-01-05'", "yyyyMMdd"), ("b2", "processed_at >= '2024-01-05'", "yyyy'1231'"), ("b1", None, None)):
         if landed:
-            day = F.date_format("processed_at", "yyyyMMdd").alias("landed")
-            feed.where(landed).select(*schemas.FEED.names, day).write.mode("append").partitionBy("landed").parquet(f"{root}/feed")
+            rows = feed.where(landed).select(*schemas.FEED.names, F.date_format("processed_at", named).alias("landed"))
+            rows.hint("rebalance", "landed").write.mode("append").partitionBy("landed").parquet(f"{root}/feed")
         span = marks.span_of(spark, f"{root}/feed", f"{root}/marks", batch_id)
         rows = marks.read_span(spark, f"{root}/feed", span, schemas.FEED)
         stored = rows.select("url", F.lit(batch_id).alias("batch_id"), F.lit("2024-01-01").cast("timestamp").alias("processed_at"))

@@ -42,10 +42,14 @@ def span_of(spark: SparkSession, path: str, marks: str, batch_id: str, column: s
 
 
 def read_span(spark: SparkSession, path: str, span: Span, schema, column: str = "landed") -> DataFrame:
-    """Rows of the folders in `span`; the bounds reach the scan as partition filters, other folders are not read."""
-    if span.high is None:
+    """Rows of the folders in `span`; other folders are neither listed nor read, however many have landed before."""
+    landed = [] if span.high is None else landed_folders(spark, path, column)
+    asked = [f for f in landed if f <= span.high and (span.low is None or f > span.low)]
+    if not asked:
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{_ddl(schema)}, `{column}` string").parquet(path).where(F.col(column) <= span.high)
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    folders = [path] if len(asked) == len(landed) else [f"{path}/{column}={names.escapePathName(f)}" for f in asked]
+    rows = spark.read.schema(f"{_ddl(schema)}, `{column}` string").option("basePath", path).parquet(*folders).where(F.col(column) <= span.high)
     rows = rows if span.low is None else rows.where(F.col(column) > span.low)
     return rows.drop(column)
 

@@ -166,6 +166,18 @@ def test_incremental_loads_read_new_folders_only(spark, tmp_path):
     assert marks.span_of(spark, feed, notes, "b2") == two and marks.span_of(spark, feed, notes, "b3") == ("2024010113", "2024010114")
 
 
+def test_a_load_lists_its_own_folders_only(spark, tmp_path):
+    feed = str(tmp_path / "feed")
+    rows = spark.createDataFrame([(f"u{i}", f"2024-01-01 {i:02d}:00") for i in range(20)], "url string, landed string")
+    rows.write.partitionBy("landed").parquet(feed)
+    schema = rows.select("url").schema
+    scan = marks.read_span(spark, feed, marks.Span("2024-01-01 16:00", "2024-01-01 18:00"), schema)
+    assert sorted(r.url for r in scan.collect()) == ["u17", "u18"] and len(scan.inputFiles()) == 2
+    assert marks.read_span(spark, feed, marks.Span(None, "2024-01-01 19:00"), schema).count() == 20
+    assert marks.read_span(spark, feed, marks.Span("2024-01-01 19:00", "2024-01-02"), schema).count() == 0
+
+
+
 def test_sketches_of_days_add_up(spark):
     df = spark.range(40_000).select(
         F.concat(F.lit("d"), (F.col("id") % 9000).cast("string")).alias("domain"), F.when(F.col("id") % 10 > 0, (F.col("id") % 3).cast("string")).alias("language"),
