@@ -6,8 +6,7 @@ import datetime as dt
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 DAY_MS = 86_400_000
@@ -19,12 +18,18 @@ STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def _together(rows: list[tuple[int, bool]]) -> tuple[list[int], list[bool]]:
+    """Rows as one element of a list state: what one micro-batch brings of a domain."""
+    return [at for at, _ in rows], [ok for _, ok in rows]
+
+
 class FailureWindow(StatefulProcessor):
     """Failures of one domain since its last success, by day.
 
     Rows wait until the watermark has passed them and then count in order of time, so the result does not depend on how they
-    arrive. State is what waits and a number for each of the last `days` days with failures. One timer
-    stands for what happens next: the first waiting row, or the day that expires first.
+    arrive. State is what waits and one value: a number for each of the last `days` days with failures, what was told, and
+    the moment of the one timer, which stands for what happens next: the first waiting row, or the day that expires first.
+    Every access to state is a message to the JVM, so there are few: with many domains these take most of the time.
     """
 
     def __init__(self, days: int):
@@ -32,22 +37,32 @@ class FailureWindow(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, ok boolean")
-        self.by_day = handle.getMapState("by_day", "day bigint", "n bigint")
-        self.told = handle.getValueState("told", "n bigint")
-
-    def _wake(self) -> None:
-        """Replace the timer by one at what happens next."""
-        nexts = [at for at, _ in self.waiting.get()] if self.waiting.exists() else []
-        nexts += [(day + self.days + 1) * DAY_MS for (day,) in self.by_day.keys()] if self.by_day.exists() else []
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if nexts:
-            self.handle.registerTimer(min(nexts))
+        self.waiting = handle.getListState("waiting", "at array<bigint>, ok array<boolean>")
+        self.counted = handle.getValueState("counted", "days array<bigint>, failures array<bigint>, told bigint, wake bigint")
+
+    def _held(self) -> tuple[dict[int, int], int, int | None]:
+        held = self.counted.get()
+        if held is None:
+            return {}, 0, None
+        days, failures, told, wake = held
+        return dict(zip(days, failures)), told, wake
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        came = [(int(r.at_ms), bool(r.ok)) for r in rows]
+        self.waiting.appendValue(_together(came))
+        first = min(at for at, _ in came)
+        counts, told, wake = self._held()
+        if wake is None or first < wake:
+            if wake is not None:
+                self.handle.deleteTimer(wake)
+            self.handle.registerTimer(first)
+            self.counted.update((list(counts), list(counts.values()), told, first))
+        return iter([])
 
-    def _settle(self, domain: str, now: int) -> Iterator[pd.DataFrame]:
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        counts = {day: n for (day,), (n,) in self.by_day.iterator()} if self.by_day.exists() else {}
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        counts, told, _ = self._held()
+        rows = sorted(row for ats, oks in self.waiting.get() for row in zip(ats, oks))
         for at, ok in rows:
             if at >= now:
                 break
@@ -58,25 +73,18 @@ class FailureWindow(StatefulProcessor):
                 counts[at // DAY_MS] = counts.get(at // DAY_MS, 0) + 1
         left = [r for r in rows if r[0] >= now]
         counts = {day: n for day, n in counts.items() if (day + self.days + 1) * DAY_MS > now}
-        self.waiting.put(left) if left else self.waiting.clear()
-        self.by_day.clear()
-        for day, n in counts.items():
-            self.by_day.updateValue((day,), (n,))
+        if len(left) < len(rows):
+            self.waiting.put([_together(left)]) if left else self.waiting.clear()
+        nexts = [at for at, _ in left[:1]] + [(day + self.days + 1) * DAY_MS for day in counts]
         total = sum(counts.values())
-        before = self.told.get()[0] if self.told.exists() else 0
-        if total != before:
-            self.told.update((total,)) if total else self.told.clear()
-            yield pd.DataFrame({"domain": [domain], "failures": [total], "told_at": [pd.Timestamp(now, unit="ms")]})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        came = [(int(at), bool(ok)) for batch in rows for at, ok in zip(batch["at_ms"], batch["ok"])]
-        self.waiting.appendList(came)
-        self._wake()
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key[0], timerValues.getCurrentWatermarkInMs())
-        self._wake()
+        # The timer that has gone off leaves by itself.
+        if nexts:
+            self.handle.registerTimer(min(nexts))
+            self.counted.update((list(counts), list(counts.values()), total, min(nexts)))
+        else:
+            self.counted.clear()
+        if total != told:
+            yield Row(domain=key[0], failures=total, told_at=dt.datetime.fromtimestamp(now / 1000, dt.timezone.utc))
 
     def close(self) -> None:
         pass
@@ -89,7 +97,7 @@ def failing_domains(outcomes: DataFrame, days: int, late: str = "1 hour") -> Dat
     its domain. Rows later than `late` are dropped. Rows without domain, time or outcome are left out.
     """
     rows = outcomes.dropna(subset=["domain", "at", "ok"]).select("domain", "at", F.unix_millis("at").alias("at_ms"), "ok")
-    return rows.withWatermark("at", late).groupBy("domain").transformWithStateInPandas(
+    return rows.withWatermark("at", late).groupBy("domain").transformWithState(
         statefulProcessor=FailureWindow(days), outputStructType=FAILING, outputMode="Update", timeMode="EventTime")
 
 

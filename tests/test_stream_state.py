@@ -86,3 +86,59 @@ def test_every_micro_batch_is_logged(spark, tmp_path):
     (rate,) = progress.rates(told).collect()
     assert rate.input_rows == 30 and rate.batches == told.count() and rate.late_rows == 0 and rate.rows_per_second > 0
     assert progress.logged_progress(spark, str(tmp_path / "nothing")).count() == 0
+
+
+class Calls:
+    """A stand-in for the state of one domain that counts the messages sent to it."""
+
+    def __init__(self):
+        self.n, self.rows, self.value, self.timers = 0, [], None, set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.n += 1
+            return {"getListState": lambda *_: self, "getValueState": lambda *_: Value(self), "appendValue": self.rows.append,
+                    "get": lambda: iter(self.rows), "put": lambda r: setattr(self, "rows", r), "clear": lambda: setattr(self, "rows", []),
+                    "registerTimer": self.timers.add, "deleteTimer": self.timers.discard}[name](*args)
+        return call
+
+
+class Value:
+    def __init__(self, calls):
+        self.calls = calls
+
+    def get(self):
+        self.calls.n += 1
+        return self.calls.value
+
+    def update(self, value):
+        self.calls.n += 1
+        self.calls.value = value
+
+    def clear(self):
+        self.calls.n += 1
+        self.calls.value = None
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_a_domain_takes_few_state_messages(spark):
+    state, window = Calls(), failures.FailureWindow(DAYS)
+    window.init(state)
+    state.n = 0
+    day = failures.DAY_MS
+    rows = spark.createDataFrame([(day * k // 10, k == 3) for k in range(20)], "at_ms long, ok boolean").collect()
+    list(window.handleInputRows(("d",), iter(rows), None))
+    assert state.timers == {0} and state.n <= 4
+    state.n, state.timers = 0, set()
+    told = list(window.handleExpiredTimer(("d",), Now(day), None))
+    # Rows 4 to 9 have failed since the success; row 10 wakes the domain next.
+    assert [(r.domain, r.failures) for r in told] == [("d", 6)] and state.timers == {day} and state.n <= 6
+    state.timers = set()
+    assert [r.failures for r in window.handleExpiredTimer(("d",), Now(3 * day), None)] == [10] and state.timers == {4 * day}
+    state.timers = set()
+    assert [r.failures for r in window.handleExpiredTimer(("d",), Now(5 * day), None)] == [0]
+    assert not state.timers and not state.rows and state.value is None
