@@ -27,7 +27,7 @@ def _two_batches(spark, sf_dir):
     """A keyed table of articles: those with a label, then later all long ones under a new title."""
     path = scratch(spark, "keyed")
     # A day holds 24 articles, and the tables span decades.
-    keyed.create(spark, path, schemas.STORED, "url", BUCKETS, "year")
+    keyed.create(spark, path, schemas.STORED, "url", BUCKETS, "decade")
     old = st.labelled(spark, sf_dir).drop("text").withColumn("batch_id", F.lit("b1"))
     keyed.append(old, path, batch_id="b1")
     new = quality.long_enough(st.articles(spark, sf_dir)).drop("text").withColumns({

@@ -41,8 +41,11 @@ def create(spark: SparkSession, path: str, schema: T.StructType, key: str = "url
     write_layout(spark, path, {"key": key, "buckets": buckets, "schema": T.StructType(fields).jsonValue(), "period": period})
 
 
-def _registered(spark: SparkSession, path: str) -> str:
-    """The catalogue's name of the table at `path` in this session, with the folders that are there now."""
+def _registered(spark: SparkSession, path: str, synced: bool = True) -> str:
+    """The catalogue's name of the table at `path` in this session, with the folders that are there now.
+
+    Without `synced` the folders are not looked for: a write replaces its own and adds them to the catalogue whatever it lists.
+    """
     said = layout(spark, path)
     name = f"keyed_{hashlib.md5(path.encode()).hexdigest()}"
     if not spark.catalog.tableExists(name):
@@ -50,24 +53,27 @@ def _registered(spark: SparkSession, path: str) -> str:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
         spark.sql(f"CREATE TABLE {name} ({columns}, day DATE, batch_id STRING) USING parquet LOCATION '{path}' "
                   f"PARTITIONED BY (day, batch_id) CLUSTERED BY (`{said['key']}`) INTO {said['buckets']} BUCKETS")
-    spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
+    if synced:
+        spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
     return name
 
 
 def append(df: DataFrame, path: str, day: str = "processed_at", batch_id: str | None = None) -> None:
-    """Add the rows of batches as delta files, one for each day and bucket; earlier output of the same batch goes.
+    """Add the rows of batches as delta files for each day and bucket; earlier output of the same batch goes.
 
-    Given `batch_id`, all earlier output of that batch goes first, also on days that it no longer has.
+    Given `batch_id`, all earlier output of that batch goes first, also on days that it no longer has. Rows are dealt by the file
+    they go to, over as many tasks as the rows need, so few buckets do not bound the tasks that write.
     """
     spark = df.sparkSession
     said = layout(spark, path)
     if batch_id is not None:
         _drop_batch(spark, path, batch_id, "day=*/")
-    name = _registered(spark, path)
+    name = _registered(spark, path, synced=False)
     fields = T.StructType.fromJson(said["schema"])
     rows = conform(df.withColumn("day", folder_day(day, said.get("period", "day"))), T.StructType([*fields.fields, T.StructField("day", T.DateType()), T.StructField("batch_id", T.StringType())]))
-    # Dealt by the hash that places buckets, so each bucket is written by one task, as one file a day.
-    _insert(rows.repartition(said["buckets"], said["key"]), name)
+    # The hash that places buckets: a bucket's rows of a day are one file, or one for each advisory partition size.
+    bucket = F.pmod(F.hash(said["key"]), F.lit(said["buckets"]))
+    _insert(rows.withColumn("__bucket", bucket).hint("rebalance", "day", "batch_id", "__bucket").drop("__bucket"), name)
 
 
 def _insert(rows: DataFrame, name: str) -> None:
@@ -110,7 +116,7 @@ def merge(spark: SparkSession, path: str, time: str = "processed_at") -> str | N
     number = 1 + max([int(n.removeprefix(BASE)) for n in names if n.startswith(BASE)], default=0)
     batch_id = f"{BASE}{number:09d}"
     rows = current(spark, path, time).withColumn("day", folder_day(time, readers.period_of(spark, path))).withColumn("batch_id", F.lit(batch_id))
-    name = _registered(spark, path)
+    name = _registered(spark, path, synced=False)
     _insert(rows.select(*spark.table(name).columns), name)
     for folder in held:
         fs.delete(_file_system(spark, folder)[1], True)

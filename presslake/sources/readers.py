@@ -18,7 +18,7 @@ MERGED_BATCH = "merged_batch_id"
 #: Says how a table is laid out; a table without it has a folder for each day.
 LAYOUT = "_layout.json"
 #: What a day folder of a table may hold; it is named by the first day.
-PERIODS = ("day", "month", "year")
+PERIODS = ("day", "month", "year", "decade")
 
 
 def layout(spark: SparkSession, path: str) -> dict | None:
@@ -39,6 +39,8 @@ def period_of(spark: SparkSession, path: str) -> str:
 
 def period_start(day: dt.date, period: str) -> dt.date:
     """The name of the day folder that holds `day`."""
+    if period == "decade":
+        return dt.date(day.year // 10 * 10, 1, 1)
     return day.replace(month=1, day=1) if period == "year" else day.replace(day=1) if period == "month" else day
 
 

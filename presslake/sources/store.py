@@ -3,7 +3,7 @@
 Tables are append-only parquet, partitioned by day and batch. An "upsert" appends, and readers take the
 latest row of a key, so a batch never rewrites what is already stored. Writing a batch again under its id replaces
 exactly its own partitions, which makes a re-run after a failure harmless. Retention drops whole days. A table whose rows
-spread over very many days may be created with a folder for each month or year instead; what is said of days holds for these.
+spread over very many days may be created with a folder for each month, year or decade instead; what is said of days holds for these.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def create(spark: SparkSession, path: str, period: str = "day") -> None:
     """Lay out an empty table with a folder for each `period`; a table that is there keeps its layout.
 
     Every folder costs several file operations of the driver, so choose the period by the days that a write brings: `day` for
-    batches of a day or a few, `year` for rows of many years. Without this call a table has a folder for each day.
+    batches of a day or a few, `year` for rows of many years, `decade` where a year has few. Without this call a table has a folder for each day.
     """
     if layout(spark, path) is None and not path_exists(spark, f"{path}/*"):
         write_layout(spark, path, {"period": period})
@@ -80,6 +80,8 @@ def create(spark: SparkSession, path: str, period: str = "day") -> None:
 
 def folder_day(time: str | Column, period: str) -> Column:
     """The day folder of a row."""
+    if period == "decade":
+        return F.make_date(F.floor(F.year(time) / 10).cast("int") * 10, F.lit(1), F.lit(1))
     return F.to_date(time) if period == "day" else F.trunc(F.to_date(time), period)
 
 

@@ -313,3 +313,60 @@ def test_filters_follow_the_years_of_their_table(spark, tmp_path):
     assert told(since=dt.datetime(2026, 12, 1)) == told() - {"u0", "u13"}
     gone = members.drop_expired_filters(spark, path, dt.datetime(2026, 1, 15))
     assert gone == store.drop_expired(spark, path, dt.datetime(2026, 1, 15)) == ["day=2024-01-01"]
+
+
+def test_few_buckets_do_not_bound_the_tasks_that_write(spark, salted, tmp_path):
+    path = str(tmp_path / "articles")
+    keyed.create(spark, path, schemas.STORED, "url", 2, "year")
+    rows = spark.range(0, 24 * 1461, 31).select(
+        F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.lit("b1").alias("batch_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600).alias("processed_at"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        keyed.append(rows, path, batch_id="b1")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = list(Path(path).glob("*/*/*.parquet"))
+    # Still one file for each folder and bucket, but written by more tasks than there are buckets.
+    assert len(files) == 4 * 2 and len({f.name.split("-")[1] for f in files}) > 2
+    assert "Exchange" not in plan(keyed.current(spark, path)) and keyed.current(spark, path).count() == rows.count()
+
+
+def test_appending_looks_at_no_other_folders(spark, table, monkeypatch):
+    for day in (1, 2, 3):
+        keyed.append(rows_of(spark, range(day * 10, day * 10 + 10), "b1", day, "one"), table)
+    assert keyed.read(spark, table).count() == 30
+    # Another session drops two days, which this one still has in its catalogue.
+    for day in (1, 2):
+        shutil.rmtree(f"{table}/day=2024-01-0{day}")
+    said, run = [], type(spark).sql
+    monkeypatch.setattr(type(spark), "sql", lambda self, text, *a, **k: (said.append(text), run(self, text, *a, **k))[1])
+    keyed.append(rows_of(spark, range(5), "b1", 2, "two"), table, batch_id="b1")
+    keyed.append(rows_of(spark, range(3), "b2", 1, "three"), table, batch_id="b2")
+    assert not [s for s in said if "REPAIR" in s]
+    assert sorted((r.url, r.title) for r in keyed.read(spark, table).collect()) == sorted([(f"u{i}", "two") for i in range(5)] + [(f"u{i}", "three") for i in range(3)])
+    assert len([s for s in said if "REPAIR" in s]) == 1
+
+
+def test_rows_of_centuries_lie_in_folders_of_decades(spark, tmp_path):
+    path, plain = str(tmp_path / "keyed"), str(tmp_path / "plain")
+    keyed.create(spark, path, schemas.STORED, "url", 2, "decade")
+    store.create(spark, plain, "decade")
+    dates = [dt.datetime(y, m, d, 12) for y in range(1999, 2041) for m, d in ((1, 1), (12, 31))]
+    rows = spark.createDataFrame([(f"u{i}", "old", "d.com", at, "b1") for i, at in enumerate(dates)], ROWS)
+    keyed.append(rows, path, batch_id="b1")
+    store.append_batch(rows, plain, batch_id="b1")
+    decades = [f"day={y}-01-01" for y in (1990, 2000, 2010, 2020, 2030, 2040)]
+    for p in (path, plain):
+        assert sorted(f.name for f in Path(p).glob("day=*")) == decades
+    keyed.append(rows.where("url >= 'u5'").withColumns({"title": F.lit("new"), "batch_id": F.lit("b2")}), path, batch_id="b2")
+    base = keyed.merge(spark, path)
+    assert {"/".join(f.parts[-2:]) for f in Path(path).glob("day=*/batch_id=*")} == {f"{d}/batch_id={base}" for d in decades}
+    held = {r.url: r.title for r in keyed.current(spark, path).collect()}
+    assert held == {f"u{i}": "new" if f"u{i}" >= "u5" else "old" for i in range(len(dates))}
+    # Of the decade that a limit lies in, all rows stay; earlier decades are pruned.
+    since = dt.datetime(2029, 12, 31, 23)
+    assert keyed.read(spark, path, since).agg(F.min("processed_at")).first()[0].year == 2020
+    assert readers.read_table(spark, plain, schemas.STORED, since=since).agg(F.min("processed_at")).first()[0].year == 2020
+    assert store.drop_expired(spark, plain, dt.datetime(2010, 1, 31)) == decades[:2]
+    assert store.drop_expired(spark, plain, dt.datetime(2010, 1, 30)) == []
